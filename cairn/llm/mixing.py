@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import WORD, materialize, table, text_of
 
-WEIGHTS, MAX_RATE, SEEDS = (5, 2, 1), 3, 16
+WEIGHTS, MAX_RATE, SEEDS = (5, 2, 1), 3, 32
 
 
 def size_of(text: Column) -> Column:
