@@ -149,18 +149,19 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(links: DataFrame, name: str = "stars") -> DataFrame:
     """(node, root) of every node with a link; root is the smallest node of the component.
 
-    Alternating large-star and small-star steps (connected components in MapReduce); each step is an aggregation
-    and a join, written to the shared folder, until no edge changes.
+    Alternating large-star and small-star steps (connected components in MapReduce), each an aggregation and a join,
+    until no edge changes. The aggregates are written before they are joined: both sides of the join are then
+    plain shuffles, and adaptive execution can split the partition of a node with very many edges.
     """
     key = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     state = key(edges)
     while state[0]:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m"))
+        low = materialize(both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m")), name)
         large = both.join(low, F.col("u") == F.col("c")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        down = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), name)
+        least = materialize(down.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")), name)
         small = down.join(least, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = materialize(small, name)
         before, state = state, key(edges)
@@ -179,7 +180,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(shard_links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "first_id", "root")
     rooted = materialize(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
     names = rooted.join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
     return lite.join(names, F.col("fp") == F.col("__fp")).drop("__fp")
 
