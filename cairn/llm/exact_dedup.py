@@ -76,7 +76,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _flagged(lite, _filter_words(lite.select(F.col("__h").alias("h")), log2), log2).drop("__h")
     maybe, alone = rows.filter("__maybe"), rows.filter("not __maybe")
     best = F.struct((-F.col("__n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
-    groups = maybe.groupBy(F.col("text_sha256").alias("__sha")).agg(F.min(best).alias("__best"), F.count(F.lit(1)).alias("group_size"))
+    # written first: both sides of the join are then plain shuffles, and adaptive execution splits a hot group's partition
+    groups = materialize(maybe.groupBy(F.col("text_sha256").alias("__sha")).agg(F.min(best).alias("__best"), F.count(F.lit(1)).alias("group_size")), "groups")
     together = maybe.join(groups, F.col("text_sha256") == F.col("__sha")).select(
         "doc_id", F.col("__best.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.row")).alias("kept"), "text_sha256"
     )
