@@ -1,45 +1,45 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts are cut into words at single spaces that stand between two other characters that are no white space; the
-pre-token pattern never matches across such a cut, and the space goes to the word behind it. Pass one emits each block
-of documents' distinct words; they are dealt and sorted by word, so that each distinct word is pre-tokenised and
-encoded once, and its ids go back to every block that has it. Pass two packs each block's rows (compressed) and
-meets the block's words: words are laid out again by their positions and replaced by their ids.
+pre-token pattern never matches across such a cut, and the space goes to the word behind it. Pass one sends each block
+of documents' distinct words to buckets by hash; a bucket's task pre-tokenises and encodes each distinct word once and
+answers every block that has it. Pass two packs each block's rows (compressed) and meets the answers: words are laid
+out again by their positions and replaced by their ids.
 
-A block is a run of rows of one input partition; if a plan deals rows differently in the two passes, words that a
-block then lacks are encoded in place, so the ids are right in any case. Decoding looks up each id's bytes in the
-vocabulary's table.
+A block is a run of rows of one input partition. Answers carry a checksum of the words asked for; if a plan deals rows
+differently in the two passes, words without an answer are encoded in place, so the ids are right in any case. A bucket
+whose words outgrow ``MAX_KNOWN`` starts its list anew. Decoding looks up each id's bytes in the vocabulary's table.
 
 Defined results: null text is empty and has no ids. Rows that repeat are encoded alike, each for itself. An
-empty table gives an empty result. All columns of the input come back, with ``ids`` under a name of the caller's choice.
+empty table gives an empty result. The columns asked for come back, with ``ids`` under a name of the caller's choice.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import io
-import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.llm.common import table, text_of
+from cairn.llm.common import table
+from cairn.llm.word_shuffle import blocks, buckets, compress, expand, lay_out, list_words, pack_rows, pack_words, shares, unpack_rows, unpack_words
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text after which a block of documents ends.
 BLOCK_CHARS = 6_000_000
+#: Distinct words that a bucket remembers.
+MAX_KNOWN = 2_000_000
 
 _WIDE = re.compile(r"\s\s|^\s|\s$")
 #: White space that the pre-token pattern knows and Python's \s does not, or the other way round, is left to it.
@@ -62,14 +62,14 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str) -> list[bytes]:
     """Pieces whose concatenation is the text and that pre-tokenise each for itself."""
     if not text:
         return []
     if _WIDE.search(text) or _ODD.search(text):
-        return _careful(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
+        return [w.encode() for w in _careful(text)]
+    first, *rest = text.encode().split(b" ")
+    return [first, *[b" " + w for w in rest]]
 
 
 def _careful(text: str) -> list[str]:
@@ -81,97 +81,106 @@ def _careful(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table]]:
-    """(block number, rows): runs of rows of this partition with BLOCK_CHARS bytes of text or a row more."""
-    held, size, n = [], 0, 0
-    base = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8")
-        start = 0
-        for k, bytes_ in enumerate(lengths.tolist()):
-            size += bytes_
-            if size >= BLOCK_CHARS:
-                held.append(batch.slice(start, k + 1 - start))
-                yield base + n, pa.Table.from_batches(held)
-                held, size, n, start = [], 0, n + 1, k + 1
-        if start < batch.num_rows:
-            held.append(batch.slice(start))
-    if held:
-        yield base + n, pa.Table.from_batches(held)
-
-
-def _block_words(docs: DataFrame, text: str) -> DataFrame:
-    """(word, block) of each block's distinct words."""
+def _asked(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """(bucket, block, words): each block's distinct words, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _blocks(batches, text):
-            words: set[str] = set()
+        for block, rows in blocks(batches, text, BLOCK_CHARS):
+            index: dict[bytes, None] = {}
             for t in rows.column(text).to_pylist():
-                words.update(words_of(t or ""))
-            yield from pa.table({"word": pa.array(list(words), "string"), "block": pa.array(np.full(len(words), block, "i8"))}).to_batches(20_000)
+                index.update(dict.fromkeys(words_of(t or "")))
+            words = list(index)
+            out = [(k, pack_words([words[i] for i in own.tolist()])) for k, own in shares(words, n)]
+            yield pa.record_batch({"bucket": pa.array([k for k, _ in out], "int32"), "block": pa.array([block] * len(out), "int64"), "words": pa.array([w for _, w in out], "binary")})
 
-    return docs.select(text).mapInArrow(run, "word string, block long")
+    return docs.select(text).mapInArrow(run, "bucket int, block long, words binary")
 
 
-def _encoded_words(pairs: DataFrame, path: str) -> DataFrame:
-    """(block, word, ids): rows are dealt and sorted by word, so a word is encoded when it first appears in the stream."""
+def _answered(asked: DataFrame, path: str) -> DataFrame:
+    """(to_block, bucket, check, ids): numbers of ids and the ids of the words asked for, in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
-        last, last_ids = None, b""
+        encode, known = encoder(path).encode_ordinary, {}
         for batch in batches:
-            ids = []
-            for w in batch.column("word").to_pylist():
-                if w != last:
-                    last, last_ids = w, np.array(encode(w), "u4").tobytes()
-                ids.append(last_ids)
-            yield pa.record_batch({"to_block": batch.column("block"), "word": batch.column("word"), "ids": pa.array(ids, "binary")})
-
-    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, "to_block long, word string, ids binary")
+            checks, ids = [], []
+            for packed in batch.column("words").to_pylist():
+                words = unpack_words(packed)
+                if len(known) > MAX_KNOWN:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(encode(w.decode()), "u4").tobytes()
+                own = list(map(known.__getitem__, words))
+                lengths = np.fromiter(map(len, own), "u4", len(own)) // np.uint32(4)
+                # low and high halves apart: the high ones are zeros, or nearly so
+                flat = np.frombuffer(b"".join(own), "u2").reshape(-1, 2)
+                checks.append(zlib.crc32(b"".join(words)))
+                ids.append(compress(np.uint32(len(own)).tobytes() + lengths.tobytes() + flat[:, 0].tobytes() + flat[:, 1].tobytes()))
+            yield pa.record_batch({"to_block": batch.column("block"), "bucket": batch.column("bucket"), "check": pa.array(checks, "int64"), "ids": pa.array(ids, "binary")})
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "to_block long, bucket int, check long, ids binary")
+
+
+def _unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(expand(packed), "u2")
+    n = int(raw[:2].view("u4")[0])
+    lengths, halves = raw[2 : 2 + 2 * n].view("u4"), raw[2 + 2 * n :]
+    low, high = np.split(halves, 2)
+    return lengths, low.astype("i4") | high.astype("i4") << 16
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
     """(block, rows): each block's rows as one compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in _blocks(batches, text):
-            sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(rows)
-            yield pa.record_batch({"block": pa.array([block], "int64"), "rows": pa.array([sink.getvalue()], "binary")})
+        for block, rows in blocks(batches, text, BLOCK_CHARS):
+            yield pa.record_batch({"block": pa.array([block], "int64"), "rows": pa.array([pack_rows(rows)], "binary")})
 
     return docs.mapInArrow(run, "block long, rows binary")
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``docs`` with an array of token ids per row."""
+def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, unless given) with an array of token ids per row."""
     path = path or public_tokenizers.path(VOCABULARY)
-    prepared = docs.withColumn("__text", text_of(text_col))
-    fields = [f for f in docs.schema.fields if f.name != ids_col]
-    prepared = prepared.select(*[f.name for f in fields], "__text")
-    words = _encoded_words(_block_words(prepared, "__text"), path)
-    schema = T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    keep = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
+    prepared = docs.select(*keep, *[F.col(text_col).cast("string").alias("__text")] * (text_col not in keep))
+    text = text_col if text_col in keep else "__text"
+    n = buckets(docs.sparkSession)
+    answers = _answered(_asked(prepared, text, n), path)
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    empty = to_arrow_schema(schema)
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True))
-        encode, parts = encoder(path).encode_ordinary, []
+        answered = {k: (c, x) for k, c, x in zip(right.column("bucket").to_pylist(), right.column("check").to_pylist(), right.column("ids").to_pylist(), strict=True)}
+        parts = []
         for packed in left.column("rows"):
-            rows = pa.ipc.open_stream(packed.as_buffer()).read_all()
-            texts, flat, ends = rows.column("__text"), [], []
-            for t in texts:
-                words = words_of(t.as_py() or "")
-                try:
-                    flat.append(b"".join(map(known.__getitem__, words)))
-                except KeyError:  # this pass dealt the rows in other blocks
-                    flat.append(b"".join(known.get(w) or np.array(encode(w), "u4").tobytes() for w in words))
-                ends.append(len(flat[-1]) // 4)
-            offsets = np.concatenate(([0], np.cumsum(ends))).astype("i4")
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "i4")))
-            parts.append(rows.drop_columns(["__text"]).append_column(ids_col, ids))
-        return pa.concat_tables(parts) if parts else pa.table({f.name: pa.array([], pa.null()) for f in schema.fields}).cast(empty)
-
-    empty = to_arrow_schema(schema)
-    return _packed(prepared, "__text").groupBy("block").cogroup(words.groupBy("to_block")).applyInArrow(place, schema)
+            rows = unpack_rows(packed.as_buffer())
+            index, flat, lengths = list_words(rows.column(text).to_pylist(), words_of)
+            words = list(index)
+            counts, ids, order = [], [], []
+            for k, own in shares(words, n) if words else ():
+                check, found = answered.get(k, (None, b""))
+                asked = [words[i] for i in own.tolist()]
+                if check == zlib.crc32(b"".join(asked)):
+                    c, x = _unpack_ids(found)
+                else:  # this pass dealt the rows in other blocks
+                    each = [encoder(path).encode_ordinary(w.decode()) for w in asked]
+                    c, x = np.array([len(e) for e in each], "u4"), np.array([i for e in each for i in e], "i4")
+                order.append(own)
+                counts.append(c)
+                ids.append(x)
+            if words:
+                place_ = np.empty(len(words), "i8")
+                place_[np.concatenate(order)] = np.arange(len(words))
+                laid, own = lay_out(place_[flat], np.concatenate(counts), np.concatenate(ids))
+                ends = np.concatenate(([0], np.cumsum(own)))[np.concatenate(([0], np.cumsum(lengths)))]
+            else:
+                laid, ends = np.zeros(0, "i4"), np.zeros(len(lengths) + 1, "i8")
+            array = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(laid.astype("i4")))
+            parts.append(rows.select(keep).append_column(ids_col, array))
+        return pa.concat_tables(parts).cast(empty) if parts else empty.empty_table()
+
+    return _packed(prepared, text).groupBy("block").cogroup(answers.groupBy("to_block")).applyInArrow(place, schema)
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
@@ -191,7 +200,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", out: str = "decod
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    encoded = encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return digests(decode_documents(encoded))
 
 
