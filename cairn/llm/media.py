@@ -14,9 +14,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.llm.common import table, text_of
 
@@ -26,7 +28,12 @@ CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"u
 SAMPLE_BYTES, TIMESCALE, SAMPLES_A_CHUNK, KEY_EVERY = 64, 8000, 256, 16
 CODEC = b"raw "
 
-PROBED = "codec string, timescale long, duration long, n_samples long, key_ranges array<struct<start:long,length:long>>"
+PROBED = T.StructType([
+    T.StructField("codec", T.StringType()), T.StructField("timescale", T.LongType()), T.StructField("duration", T.LongType()), T.StructField("n_samples", T.LongType()),
+    T.StructField("key_ranges", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))),
+])
+#: Rows whose media are in a Python worker's hands at once.
+SLICE_ROWS = 200
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -151,19 +158,23 @@ def read_samples(media: bytes) -> bytes:
     return b"".join(media[a:b] for a, b in zip(start[new].tolist(), end[last].tolist(), strict=True))
 
 
-def _packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for payloads in batches:
-        yield payloads.map(lambda x: None if x is None else pack(x))
+def _appended(df: DataFrame, source: str, name: str, kind: T.DataType, value) -> DataFrame:
+    """``df`` with ``name``: value of each of ``source``'s bytes (null of null), computed few rows at a time."""
+    columns = [c for c in df.columns if c != name]
+    schema = T.StructType([*[df.schema[c] for c in columns], T.StructField(name, kind)])
+    arrow = to_arrow_schema(T.StructType([T.StructField(name, kind)]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(lo, SLICE_ROWS)
+                made = [None if x is None else value(x) for x in rows.column(source).to_pylist()]
+                yield rows.select(columns).append_column(name, pa.array(made, arrow.field(0).type))
 
-def _samples(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for media in batches:
-        yield media.map(lambda x: None if x is None else read_samples(x))
+    return df.mapInArrow(run, schema)
 
 
-def _probe_one(media: bytes | None) -> dict | None:
-    if media is None:
-        return None
+def _probe(media: bytes) -> dict | None:
     try:
         t = sample_table(media)
     except ValueError:
@@ -173,13 +184,7 @@ def _probe_one(media: bytes | None) -> dict | None:
     return {"codec": t["codec"], "timescale": t["timescale"], "duration": t["duration"], "n_samples": len(k), "key_ranges": ranges}
 
 
-def _probed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for media in batches:
-        rows = [_probe_one(x) or {} for x in media]
-        yield pd.DataFrame({c: [r.get(c) for r in rows] for c in ("codec", "timescale", "duration", "n_samples", "key_ranges")}).astype({c: "Int64" for c in ("timescale", "duration", "n_samples")})
-
-
-def padded(text) -> "F.Column":
+def padded(text: Column) -> Column:
     """UTF-8 of a text with bytes 0 up to a positive multiple of SAMPLE_BYTES."""
     raw = text.cast("binary")
     n = F.octet_length(raw)
@@ -188,15 +193,15 @@ def padded(text) -> "F.Column":
 
 
 def pack_column(df: DataFrame, payload: str, media: str) -> DataFrame:
-    return df.withColumn(media, F.pandas_udf(_packed, "binary")(F.col(payload)))
+    return _appended(df, payload, media, T.BinaryType(), pack)
 
 
 def probe_column(df: DataFrame, media: str, probed: str) -> DataFrame:
-    return df.withColumn(probed, F.pandas_udf(_probed, PROBED)(F.col(media)))
+    return _appended(df, media, probed, PROBED, _probe)
 
 
 def samples_column(df: DataFrame, media: str, payload: str) -> DataFrame:
-    return df.withColumn(payload, F.pandas_udf(_samples, "binary")(F.col(media)))
+    return _appended(df, media, payload, T.BinaryType(), read_samples)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
