@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,13 +84,14 @@ def unpack_rows(packed: bytes) -> pa.Table:
 def list_words(texts: list, split: Callable[[str], list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """The words of a block's texts in the order of first appearance, with their positions there; each text's words
     as such positions, end to end; and the texts' numbers of words."""
-    index: dict[bytes, int] = {}
-    add, flat, lengths = index.setdefault, [], []
+    index: defaultdict[bytes, int] = defaultdict()
+    index.default_factory = index.__len__  # a new word gets the next position
+    flat = []
     for text in texts:
         words = split(text or "")
-        flat.append(np.fromiter((add(w, len(index)) for w in words), "i4", len(words)))
-        lengths.append(len(words))
-    return index, np.concatenate(flat) if flat else np.zeros(0, "i4"), np.array(lengths, "i8")
+        flat.append(np.fromiter(map(index.__getitem__, words), "i4", len(words)))
+    index.default_factory = None
+    return index, np.concatenate(flat) if flat else np.zeros(0, "i4"), np.fromiter(map(len, flat), "i8", len(flat))
 
 
 def lay_out(which: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
