@@ -63,40 +63,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rat
     )
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: __row, doc_id, size, source_size, target, copies, taken."""
-    lite = materialize(
-        docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("doc_id"),
-                    F.col(source_col).alias("__source"), size_of(text_of(text_col)).alias("size")),
-        "mix",
-    )
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), size_of(text_of(text_col)).alias("size")), "mix")
+
+
+def _source_rates(lite: DataFrame) -> DataFrame:
+    """Per source (__key): __total, target, __rate, __frac and __seed; written, so that joins know its size."""
     targets = source_targets(lite.groupBy("__source").agg(F.sum("size").alias("__total")))
     rates = targets.withColumn("__rate", F.when(F.col("__total") > 0, F.col("target") / F.col("__total")).otherwise(0.0))
     rates = materialize(rates.withColumn("__frac", F.col("__rate") - F.floor("__rate")).withColumnRenamed("__source", "__key"), "rates")
-    same = F.col("__source").eqNullSafe(F.col("__key"))
-    rated = lite.join(rates, same)
     extra = [F.sum(F.when(u < F.col("__frac"), F.col("size")).otherwise(0)).alias(f"__s{k}") for k, u in enumerate(draws("doc_id"))]
     miss = [F.struct(F.abs(F.col(f"__s{k}") - F.col("__frac") * F.col("__total")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)]
-    seeds = rated.groupBy("__key", "__frac", "__total").agg(*extra).select(F.col("__key").alias("__key2"), F.least(*miss).getField("seed").alias("__seed"))
-    sources = materialize(rates.join(seeds, F.col("__key").eqNullSafe(F.col("__key2"))).drop("__key2"), "seeds")
-    draw = F.element_at(F.array(*draws("doc_id")), F.col("__seed") + 1)
-    copies = (F.floor("__rate") + F.when(draw < F.col("__frac"), 1).otherwise(0)).cast("long")
-    return lite.join(sources, same).select(
-        "__row", "doc_id", "size", F.col("__total").alias("source_size"), "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
-    )
+    drawn = lite.join(rates, F.col("__source").eqNullSafe(F.col("__key"))).groupBy("__key", "__frac", "__total").agg(*extra)
+    seeds = drawn.select(F.col("__key").alias("__key2"), F.least(*miss).getField("seed").alias("__seed"))
+    return materialize(rates.join(seeds, F.col("__key").eqNullSafe(F.col("__key2"))).drop("__key2"), "seeds")
+
+
+def _copies(id_col: str) -> Column:
+    """How often a document is taken: its source's whole rate, and one more by its own draw."""
+    draw = F.element_at(F.array(*draws(id_col)), F.col("__seed") + 1)
+    return (F.floor("__rate") + F.when(draw < F.col("__frac"), 1).otherwise(0)).cast("long")
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken."""
+    lite = _sizes(docs, id_col, text_col, source_col)
+    planned = lite.join(_source_rates(lite), F.col("__source").eqNullSafe(F.col("__key"))).withColumn("copies", _copies("doc_id"))
+    return planned.select("doc_id", "size", F.col("__total").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row repeated as the mix takes it, with its own columns."""
-    columns = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    copies = mix_plan(docs, id_col, text_col, source_col).filter("copies > 0").select("__row", "copies")
-    taken = numbered.join(copies.withColumnRenamed("copies", "__copies"), "__row")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(columns)
+    """``docs`` with each row repeated as the mix takes it, with its own columns. A document's copies follow from its id
+    and its source's row, so texts are not shuffled while the sources' table is small enough for Spark to broadcast."""
+    rates = _source_rates(_sizes(docs, id_col, text_col, source_col)).select("__key", "__rate", "__frac", "__seed")
+    own = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__key"))).withColumn("__copies", _copies(id_col)).filter("__copies > 0")
+    return own.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return mix_plan(table(spark, sf_dir, "documents"))
 
 
 def _draw_sql(k: int) -> str:
