@@ -37,9 +37,11 @@ from cairn.llm.word_shuffle import blocks, buckets, compress, expand, lay_out, l
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text after which a block of documents ends.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
 #: Distinct words that a bucket remembers.
 MAX_KNOWN = 2_000_000
+#: Rows that are decoded at once.
+DECODED_ROWS = 500
 
 _WIDE = re.compile(r"\s\s|^\s|\s$")
 #: White space that the pre-token pattern knows and Python's \s does not, or the other way round, is left to it.
@@ -190,11 +192,13 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", out: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = token_bytes(path)
         for batch in batches:
-            ids, raw = batch.column(ids_col), []
-            for k in range(batch.num_rows):
-                own = ids[k].values
-                raw.append(b"" if own is None else b"".join(map(table_.__getitem__, own.to_numpy().tolist())))
-            yield batch.append_column(out, pa.array(raw, "binary"))
+            for lo in range(0, batch.num_rows, DECODED_ROWS):
+                rows = batch.slice(lo, DECODED_ROWS)
+                raw = []
+                for ids in rows.column(ids_col):
+                    own = ids.values
+                    raw.append(b"" if own is None else b"".join(map(table_.__getitem__, own.to_numpy().tolist())))
+                yield rows.append_column(out, pa.array(raw, "binary"))
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
 

@@ -78,8 +78,9 @@ def features(word: np.ndarray, form: np.ndarray) -> np.ndarray:
     ))
 
 
-def _words(texts: pd.Series) -> list[list[bytes]]:
-    return [t.encode().split() for t in texts]
+def _words(texts: pd.Series) -> Iterator[list[bytes]]:
+    """One text's words at a time: a whole batch's words would fill a worker's memory."""
+    return (t.encode().split() for t in texts)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
