@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.llm.common import table
+from cairn.llm.common import freeing, table
 from cairn.llm.word_shuffle import blocks, buckets, compress, expand, lay_out, list_words, pack_rows, pack_words, shares, unpack_rows, unpack_words
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -86,6 +86,7 @@ def _careful(text: str) -> list[str]:
 def _asked(docs: DataFrame, text: str, n: int) -> DataFrame:
     """(bucket, block, words): each block's distinct words, by bucket."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, text, BLOCK_CHARS):
             index: dict[bytes, None] = {}
@@ -101,6 +102,7 @@ def _asked(docs: DataFrame, text: str, n: int) -> DataFrame:
 def _answered(asked: DataFrame, path: str) -> DataFrame:
     """(to_block, bucket, check, ids): numbers of ids and the ids of the words asked for, in that order."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = encoder(path).encode_ordinary, {}
         for batch in batches:
@@ -134,6 +136,7 @@ def _unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _packed(docs: DataFrame, text: str) -> DataFrame:
     """(block, rows): each block's rows as one compressed Arrow stream."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in blocks(batches, text, BLOCK_CHARS):
             yield pa.record_batch({"block": pa.array([block], "int64"), "rows": pa.array([pack_rows(rows)], "binary")})
@@ -189,6 +192,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", out: str = "decod
     """``encoded`` with the bytes that the ids stand for."""
     path = path or public_tokenizers.path(VOCABULARY)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = token_bytes(path)
         for batch in batches:

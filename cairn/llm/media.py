@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.llm.common import table, text_of
+from cairn.llm.common import freeing, table, text_of
 
 #: Boxes that hold only boxes (fixed values of ISO/IEC 14496-12).
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf")
@@ -164,6 +164,7 @@ def _appended(df: DataFrame, source: str, name: str, kind: T.DataType, value) ->
     schema = T.StructType([*[df.schema[c] for c in columns], T.StructField(name, kind)])
     arrow = to_arrow_schema(T.StructType([T.StructField(name, kind)]))
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import id_crc_mod, table, text_of
+from cairn.llm.common import freeing, id_crc_mod, table, text_of
 
 #: Labelled rows that training reads at most; the table of weights has 2**LOG2 entries.
 MAX_TRAIN_ROWS, LOG2, EPOCHS = 8000, 18, 3
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     sample = docs.select(id_col, text_of(text_col).alias("t")).join(F.broadcast(drawn), id_col).select(order.alias("k"), "t", F.col("__y").alias("y"))
     sample = sample.repartition(1).sortWithinPartitions("k", "y", "t")
 
+    @freeing
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forms, rows = Forms(), []
         for batch in batches:
@@ -135,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "__score") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1]))
 
+    @freeing
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, bias, forms = np.frombuffer(shared.value[0], "f4"), shared.value[1], Forms()
         for texts in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, table, text_of
+from cairn.llm.common import freeing, materialize, table, text_of
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: A subtree of so many fingerprints or fewer is compared at once; the votes of so many shingles are summed at once.
@@ -53,6 +53,7 @@ def fingerprint(text: str, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = WORDS, out: str = "__fp") -> DataFrame:
     """``docs`` with the fingerprint as a signed 64-bit integer."""
 
+    @freeing
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.fromiter((fingerprint(t, words) for t in texts), "u8", len(texts)).view("i8"))
@@ -119,6 +120,7 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = distinct.select("fp", F.explode(F.array(*shards)).alias("s")).select("fp", "s.block", "s.value")
     dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value", "fp")
 
+    @freeing
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(fps: np.ndarray) -> pd.DataFrame:
             root = bk_links(fps.view("u8"), radius)
