@@ -43,11 +43,11 @@ def tokenize(text: Column) -> Column:
     case, without stop words and single characters. Runs of CJK characters become bigrams."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     t = F.regexp_replace(t, r"([a-z0-9])([A-Z])", "$1 $2")
-    parts = F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda p: p != "")
     cjk = "[\\u4e00-\\u9fff]"
+    parts = F.split(F.lower(t), r"[^\p{L}\p{N}]+")
     bigrams = lambda p: F.filter(F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.substring(p, i, 2)), lambda b: F.length(b) == 2)
-    cut = F.flatten(F.transform(parts, lambda p: F.when(p.rlike(cjk), bigrams(p)).otherwise(F.array(F.lower(p)))))
-    return F.filter(cut, lambda p: (F.length(p) > 1) & ~p.isin(STOP_WORDS))
+    cut = F.flatten(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.when(p.rlike(cjk), bigrams(p)).otherwise(F.array(p))))
+    return F.filter(F.when(t.rlike(cjk), cut).otherwise(parts), lambda p: (F.length(p) > 1) & ~p.isin(STOP_WORDS))
 
 
 def normalize_query(q: Column) -> Column:

@@ -12,15 +12,16 @@ K1, B, RRF_K = 1.5, 0.75, 60
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl): the inverted index. Counting needs one shuffle, on (id, term)."""
-    t = docs.select(F.col(id_col).alias("id"), X.tokenize(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
-    return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf, dl): the inverted index. Counting needs one shuffle, on (id, term). A document without tokens has
+    none; the outer form keeps the optimizer from tokenizing twice to test for that."""
+    t = docs.select(F.col(id_col).alias("id"), X.tokenize(F.col(text_col)).alias("t"))
+    return t.select("id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term is not null").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings, df per term, one row of n, avgdl and the floor of negative idf)."""
     p = postings(docs, id_col, text_col)
-    lengths = docs.select(F.size(X.tokenize(F.col(text_col))).alias("dl")).filter("dl > 0").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    lengths = docs.select(F.nullif(F.size(X.tokenize(F.col(text_col))), F.lit(0)).alias("dl")).agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     floor = df.crossJoin(F.broadcast(lengths)).agg((F.avg(idf) * 0.25).alias("floor"))  # one row beside each term
@@ -32,21 +33,24 @@ def _occurrences(tokens: str, term: str) -> Column:
 
 
 def bm25_scores(docs: DataFrame, query: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, score) of documents with a query term. Only the query's terms are counted per document, where the rows
+    """(id, score) of documents; null for one without tokens. Only the query's terms are counted per document, where the rows
     lie; the corpus statistics are one small aggregate. A term that the query repeats counts each time."""
     terms = sorted(set(query))
-    t = docs.select(F.col(id_col).alias("id"), X.tokenize(F.col(text_col)).alias("t")).filter(F.size("t") > 0)
+    t = docs.select(F.col(id_col).alias("id"), X.tokenize(F.col(text_col)).alias("t"))
     hit = t.select("id", F.size("t").alias("dl"), *[_occurrences("t", w).alias(f"tf{k}") for k, w in enumerate(terms)])
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"), *[F.sum(F.array_contains("t", w).cast("long")).alias(f"df{k}") for k, w in enumerate(terms)])
-    words = t.select(F.explode(F.array_distinct("t")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # each document also yields a null word, which carries its length; one shuffle on the word gives every statistic
+    words = t.select(F.size("t").alias("dl"), F.explode_outer(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("w"))
+    none = F.col("w").isNull()
+    per = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(none, F.col("dl")).otherwise(0)).alias("words"), F.sum((none & (F.col("dl") > 0)).cast("long")).alias("docs"))
+    stats = per.agg(F.sum("docs").alias("n"), (F.sum("words") / F.nullif(F.sum("docs"), F.lit(0))).alias("avgdl"), *[F.coalesce(F.max(F.when(F.col("w") == w, F.col("df"))), F.lit(0)).alias(f"df{k}") for k, w in enumerate(terms)])
     idf = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
-    floor = words.crossJoin(F.broadcast(stats.select("n"))).agg((F.avg(idf(F.col("df"))) * 0.25).alias("floor"))
+    floor = per.crossJoin(F.broadcast(stats.select("n"))).agg((F.avg(F.when(F.col("w").isNotNull(), idf(F.col("df")))) * 0.25).alias("floor"))
     score = F.lit(0.0)
     for k, w in enumerate(terms):
         one = F.when(F.col(f"df{k}") > 0, F.when(idf(F.col(f"df{k}")) < 0, F.col("floor")).otherwise(idf(F.col(f"df{k}")))).otherwise(0.0)
         tf = F.col(f"tf{k}")
         score = score + query.count(w) * one * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.crossJoin(F.broadcast(stats.crossJoin(floor))).select("id", score.alias("score"))
+    return hit.crossJoin(F.broadcast(stats.crossJoin(floor))).select("id", F.when(F.col("dl") > 0, score).alias("score"))
 
 
 def bm25_topk(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str, drop_zero: bool = False) -> DataFrame:

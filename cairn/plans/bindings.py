@@ -47,9 +47,9 @@ def tokenize(spark, d):
     return t(spark, d, "documents").select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-@query(r"""SELECT doc_id, 'retrieval:5:' || trim(regexp_replace(lower(trim(regexp_replace(left(text, 60), '\s+', ' ', 'g'))), '[。.？?！!，,；;]+$', '')) AS key FROM documents""")
+@query(r"""SELECT doc_id, 'retrieval:5:' || trim(regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[。.？?！!，,；;]+$', '')) AS key FROM documents""")
 def cache_key(spark, d):
-    return t(spark, d, "documents").select("doc_id", X.cache_key(F.left("text", F.lit(60)), 5).alias("key"))
+    return t(spark, d, "documents").select("doc_id", X.cache_key(F.col("text"), 5).alias("key"))
 
 
 @query("SELECT doc_id, left(sha256(source || ':' || lang || ':1-' || n_chars::VARCHAR), 16) AS id FROM documents")
@@ -243,14 +243,14 @@ def latency_report(spark, d):
 
 
 def _edges(spark, d) -> DataFrame:
-    li = t(spark, d, "lineitem").filter("l_partkey % 50 = 0")
+    li = t(spark, d, "lineitem")
     up = li.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct().withColumn("edge_type", F.lit("import"))
     down = li.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("o"), F.col("l_orderkey") % 100).alias("target")).distinct().withColumn("edge_type", F.lit("import"))
     return up.unionByName(down)
 
 
-_EDGES = """e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_partkey % 50 = 0
- UNION SELECT DISTINCT 'p' || l_partkey, 'o' || (l_orderkey % 100) FROM lineitem WHERE l_partkey % 50 = 0)"""
+_EDGES = """e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem
+ UNION SELECT DISTINCT 'p' || l_partkey, 'o' || (l_orderkey % 100) FROM lineitem)"""
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT target, depth + 1 FROM b JOIN e ON source = node WHERE depth < 2),
@@ -495,10 +495,10 @@ def xml_context(spark, d):
     return context.xml_context(t(spark, d, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").alias("ord"), F.col("role").alias("path"), F.lit("t").alias("lang"), F.col("text").alias("content")))
 
 
-@query("""WITH u AS (SELECT source, left(text, 50) AS k FROM documents WHERE doc_id < 20), i AS (SELECT source, left(text, 50) AS k, min(doc_id) AS ord FROM documents GROUP BY ALL) SELECT source AS file_path, ord FROM i WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.source = i.source AND u.k = i.k)""")
+@query("""WITH u AS (SELECT source, left(text, 50) AS k FROM documents WHERE lang = 'fr'), i AS (SELECT source, left(text, 50) AS k, min(doc_id) AS ord FROM documents GROUP BY ALL) SELECT source AS file_path, ord FROM i WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.source = i.source AND u.k = i.k)""")
 def set_dedupe_contexts(spark, d):
-    docs = t(spark, d, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("ord"), F.col("text").alias("content"))
-    return context.set_dedupe_contexts(docs, docs.filter("ord < 20")).select("file_path", "ord")
+    docs = t(spark, d, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("ord"), F.col("text").alias("content"), "lang")
+    return context.set_dedupe_contexts(docs, docs.filter("lang = 'fr'")).select("file_path", "ord")
 
 
 @query("SELECT lang AS type, count(*) AS n FROM documents GROUP BY lang")
@@ -549,7 +549,7 @@ def grep_context(spark, d):
 
 @query()
 def unified_diff(spark, d):
-    docs = t(spark, d, "documents").filter("n_chars < 3000")
+    docs = t(spark, d, "documents")
     return docs.select("doc_id", logs.unified_diff(F.col("source"), F.col("text"), F.replace("text", F.lit("the"), F.lit("a")), X.diff_context_lines(F.col("text"), F.col("text"))).alias("diff"))
 
 
@@ -601,17 +601,17 @@ def merge_small_blocks(spark, d):
     return sizes.select("l_orderkey", F.array_join(parse.merge_small_blocks(F.col("sizes")).cast("array<string>"), ",").alias("merged"))
 
 
-@query("SELECT page_id AS path FROM pages WHERE octet_length(encode(html)) <= 1048576 AND regexp_matches(url, '/en/')")
+@query("SELECT page_id AS path FROM pages WHERE octet_length(encode(html)) <= 1048576")
 def scan_workspace(spark, d):
-    listing = t(spark, d, "pages").filter(F.col("url").rlike("/en/")).select(F.concat("page_id", F.lit(".py")).alias("path"), F.octet_length("html").alias("length"))
+    listing = t(spark, d, "pages").select(F.concat("page_id", F.lit(".py")).alias("path"), F.octet_length("html").alias("length"))
     return tables.workspace_files(listing).select(F.regexp_replace("path", r"\.py$", "").cast("bigint").alias("path"))
 
 
-@query("SELECT doc_id, file_path FROM (SELECT doc_id, source AS file_path FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0) UNION ALL SELECT -doc_id - 1, source FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0)")
+@query("SELECT doc_id, file_path FROM (SELECT doc_id, source AS file_path FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en') UNION ALL SELECT -doc_id - 1, source FROM documents WHERE source IN ('src1', 'src2') AND lang = 'en')")
 def vec_upsert_file(spark, d):
-    old = t(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"))
-    fresh = old.filter("file_path in ('src1', 'src2') and doc_id % 2 = 0").withColumn("doc_id", -F.col("doc_id") - 1)
-    return tables.upsert_files(old, fresh)
+    old = t(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), "lang")
+    fresh = old.filter("file_path in ('src1', 'src2') and lang = 'en'").withColumn("doc_id", -F.col("doc_id") - 1)
+    return tables.upsert_files(old.drop("lang"), fresh)
 
 
 @query("SELECT doc_id FROM documents WHERE source <> 'src1'")
@@ -630,13 +630,12 @@ def vec_count(spark, d):
     return e.agg(F.count(F.lit(1)).alias("n"), F.sum((F.size("embedding") == 64).cast("long")).alias("valid"))
 
 
-@query("SELECT doc_id, sha256(text) AS content_hash, doc_id % 3 = 0 AS hit FROM documents")
+@query("WITH c AS (SELECT DISTINCT sha256(text) AS h FROM documents JOIN labels USING (doc_id)) SELECT doc_id, sha256(text) AS content_hash, c.h IS NOT NULL AS hit FROM documents LEFT JOIN c ON c.h = sha256(text)")
 def cache_embed(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.concat("text", F.lit("")).alias("content"))
-    keyed = docs.withColumn("content_hash", F.sha2("content", 256))
-    third = keyed.filter("doc_id % 3 = 0").select(F.concat("content_hash", F.col("doc_id").cast("string")).alias("k"))
-    keyed = keyed.withColumn("k", F.concat("content_hash", F.col("doc_id").cast("string")))
-    return keyed.join(third.withColumn("hit", F.lit(True)), "k", "left").select("doc_id", "content_hash", F.coalesce("hit", F.lit(False)).alias("hit"))
+    docs = t(spark, d, "documents").select("doc_id", F.col("text").alias("content"))  # labelled texts are the ones already embedded
+    known = docs.join(t(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.sha2("content", 256).alias("content_hash")).distinct()
+    hits, misses = tables.cache_embed(docs, known.select("content_hash", F.lit("m").alias("model"), F.array(F.lit(0.0)).alias("embedding")), "m")
+    return hits.select("doc_id", "content_hash", F.lit(True).alias("hit")).unionByName(misses.select("doc_id", "content_hash", F.lit(False).alias("hit")))
 
 
 @query()
