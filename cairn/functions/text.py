@@ -243,3 +243,17 @@ def rg_norm(line: Column) -> Column:
 def anonymize(text: Column) -> Column:
     """Spec-derived: comments dropped, names of six or more letters replaced by ``id``."""
     return F.regexp_replace(F.regexp_replace(text, r"(?m)(#|//).*$", ""), r"\b[A-Za-z_]{6,}\b", "id")
+
+
+def snippet_guard(text: Column, most: int = 50_000) -> Column:
+    return F.length(text) <= most
+
+
+def project_status(processed: Column, total: Column) -> Column:
+    """Progress to four places; 0 where there is nothing to do."""
+    return F.when(total > 0, F.round(processed / total, 4)).otherwise(0.0)
+
+
+def filter_recent(mtime: Column, now: Column, months: int) -> Column:
+    """Whether a file (mtime in seconds) changed within ``months`` of 30 days; 0 months or an unknown time: yes."""
+    return F.lit(True) if months <= 0 else F.coalesce(mtime >= now - months * 30 * 86400, F.lit(True))

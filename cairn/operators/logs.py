@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.text import err_norm_path, tail_slice
+from cairn.functions.text import diff_context_lines, err_norm_path, tail_slice
 
 ERROR = "struct<error_type:string,error_message:string,file_path:string,line:int,col:int,language:string,parse_strategy:string,code_snippet:string>"
 # The forms of error lines, as the tools print them.
@@ -187,3 +187,48 @@ def json_first_object(text: Column) -> Column:
 def git_status_parse(line: Column) -> Column:
     path = F.substring(line, 4, 1 << 30)
     return F.struct(F.trim(F.substring(line, 1, 2)).alias("status"), F.regexp_replace(path, "^.* -> ", "").alias("path"))
+
+
+# Messages of error codes.
+ERROR_MESSAGES = {
+    10001: "无效的 API Key", 10002: "Token 已过期", 10003: "无效的 Token", 10101: "模型调用频率超限，请稍后重试", 10102: "输入内容过长，请缩短后重试",
+    10103: "模型响应超时，请稍后重试", 10104: "网络连接失败，请检查网络", 10105: "模型服务异常，请稍后重试", 10106: "请求参数错误", 10201: "服务器内部错误", 10202: "服务暂时不可用",
+}
+
+
+def unresolved_errors(code: Column) -> Column:
+    """The message of an error code."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ERROR_MESSAGES.items() for x in kv]), code), F.lit("未知错误"))
+
+
+def detect_framework(tests: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project, framework) from test files (project, kind) and the projects' package.json (project, package; null where there
+    is none): jest as a dependency, an npm test script, any JavaScript test, any Python test, else unknown."""
+    kinds = tests.groupBy("project").agg(F.bool_or(F.col("kind") == "javascript").alias("js"), F.bool_or(F.col("kind") == "python").alias("py"))
+    at = lambda p: F.get_json_object("package", p)
+    jest = at("$.dependencies.jest").isNotNull() | at("$.devDependencies.jest").isNotNull()
+    script = F.coalesce(at("$.scripts.test"), F.lit("")) != ""
+    name = F.when(F.col("js").isNull(), "unknown").when(jest, "jest").when(script & F.col("js"), "npm_test").when(F.col("js"), "jest").otherwise("pytest")
+    return projects.join(kinds, "project", "left").select("project", name.alias("framework"))
+
+
+def should_run_tests(enabled: bool, tool: Column, tests: Column) -> Column:
+    """Whether a repair is followed by the tests: switched on, a file written, and tests there."""
+    return F.lit(enabled) & (tool == "write_file") & F.coalesce(tests > 0, F.lit(False))
+
+
+def timeout_result(framework: Column, stdout: Column, seconds: int = 60) -> Column:
+    """The result row of a run that was stopped: one error, nothing passed, 2,000 characters of output."""
+    zero = F.lit(0)
+    return F.struct(
+        F.lit(False).alias("success"), framework.alias("framework"), zero.alias("passed"), zero.alias("failed"), F.lit(1).alias("errors"), zero.alias("skipped"), zero.alias("total"),
+        F.left(F.coalesce(stdout, F.lit("")), F.lit(2000)).alias("stdout"), F.lit(True).alias("timed_out"), F.lit(f"timed out after {seconds}s").alias("error_message"),
+    )
+
+
+def build_diff_files(proposed: DataFrame, current: DataFrame) -> DataFrame:
+    """(path, old_content, new_content, diff) of proposed files (path, content) against those there; rows without path or
+    content are left out, and the longer text decides how much context is shown."""
+    good = proposed.filter("path <> '' and content is not null").select("path", F.col("content").alias("new_content"))
+    both = good.join(current.select("path", F.col("content").alias("old_content")), "path", "left").withColumn("old_content", F.coalesce("old_content", F.lit("")))
+    return both.withColumn("diff", unified_diff(F.col("path"), F.col("old_content"), F.col("new_content"), diff_context_lines(F.col("old_content"), F.col("new_content"))))

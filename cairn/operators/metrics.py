@@ -46,3 +46,22 @@ def fim_split(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hole = F.floor(n * (20 + h(0) % 31) / 100)
     start = F.floor((n - hole) * (h(1) % 101) / 100)
     return docs.select(id_col, F.element_at(F.array(F.lit("PSM"), F.lit("SPM"), F.lit("PMS")), (h(2) % 3 + 1).cast("int")).alias("form"), start.alias("prefix_chars"), hole.alias("hole_chars"), (n - start - hole).alias("suffix_chars"))
+
+
+def avg_rounds(messages: DataFrame, key: str) -> DataFrame:
+    """Spec-derived: mean number of user messages per task."""
+    rounds = messages.groupBy(key).agg(F.sum((F.col("role") == "user").cast("long")).alias("rounds"))
+    return rounds.agg(F.round(F.avg("rounds"), 6).alias("avg_rounds"), F.count(F.lit(1)).alias("tasks"))
+
+
+def leaderboard(samples: DataFrame, model: str, problem: str, passed: Column) -> DataFrame:
+    """Spec-derived: models by the share of problems that one of their samples passes; equal shares share a rank."""
+    best = samples.groupBy(model, problem).agg(F.bool_or(passed).cast("double").alias("p"))
+    board = best.groupBy(model).agg(F.round(F.avg("p"), 6).alias("pass_rate"), F.count(F.lit(1)).alias("problems"))
+    above = board.select(F.col("pass_rate").alias("r")).groupBy().agg(F.collect_list("r").alias("all"))  # one number per model
+    return board.crossJoin(F.broadcast(above)).withColumn("place", (F.size(F.filter("all", lambda x: x > F.col("pass_rate"))) + 1)).drop("all")
+
+
+def windowed_counts(events: DataFrame, ts: str, window: str) -> DataFrame:
+    """Spec-derived: event counts by tumbling window and type; the stream's batch form."""
+    return events.groupBy(F.window(F.col(ts).cast("timestamp"), window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")

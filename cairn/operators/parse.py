@@ -4,6 +4,7 @@ languages by line patterns, which is less than a grammar would give."""
 from __future__ import annotations
 
 import ast
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -136,8 +137,79 @@ def chunk_symbol(files: DataFrame, symbols: DataFrame, most: int = 200, piece: i
     return cut.select("path", "symbol_name", "chunk_type", F.concat("symbol_name", F.lit(" | "), "sig", F.lit("\n"), "c.body").alias("content"), "c.start_line", "c.end_line")
 
 
-def chunk_file(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    whole = chunk_header(files, symbols).unionByName(chunk_symbol(files, symbols))
+PIECES = "path string, symbol_name string, chunk_type string, content string, start_line int, end_line int"
+_CONTROL = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.With, ast.AsyncWith, ast.Match)
+
+
+def _logical_blocks(lines: list[str], least: int) -> list[list[str]] | None:
+    """The body of a definition cut at its control-flow statements, runs of others together; blocks of fewer than
+    ``least`` lines gather. Null where the lines are not Python."""
+    try:
+        body = ast.parse(textwrap.dedent("\n".join(lines))).body[0].body
+    except (SyntaxError, ValueError, IndexError, AttributeError):
+        return None
+    blocks, loose, end = [], [], 0
+    for stmt in body:
+        first = min([stmt.lineno, *(d.lineno for d in getattr(stmt, "decorator_list", []))])
+        if first <= end:  # shares a line with the statement before it
+            first = end + 1
+        text = lines[first - 1 : stmt.end_lineno]
+        end = max(end, stmt.end_lineno)
+        if not text:
+            continue
+        text = [text[0].lstrip(), *text[1:]]
+        if isinstance(stmt, _CONTROL):
+            blocks += [b for b in (loose, text) if b]
+            loose = []
+        else:
+            loose = loose + text
+    blocks += [loose] if loose else []
+    out, held = [], []
+    for b in blocks:
+        if len(b) >= least:
+            out += [x for x in (held, b) if x]
+            held = []
+        else:
+            held = held + b
+            if len(held) >= least:
+                out.append(held)
+                held = []
+    if held:
+        if out:
+            out[-1] = out[-1] + held
+        else:
+            out.append(held)
+    return out or None
+
+
+def chunk_split_ast(files: DataFrame, symbols: DataFrame, most: int = 200, piece: int = 150, least: int = 40) -> DataFrame:
+    """Chunks of Python functions and classes of more than ``most`` lines, cut at their statements; where they do not parse,
+    in pieces of ``piece`` lines. Only the definitions' own lines reach Python."""
+    long = symbols.filter((F.col("end_line") - F.col("start_line") >= most) & F.col("symbol_type").isin("function", "class") & F.endswith("path", F.lit(".py")))
+    lines = F.slice(F.split("content", "\r?\n", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    bodies = files.join(long, "path").select("path", "name", "symbol_type", "start_line", "end_line", lines.alias("lines"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, name, kind, start, end, body in batch.itertuples(index=False):
+                body = list(body)
+                signature = next((x.strip() for x in body if not x.strip().startswith("@")), "")
+                blocks = _logical_blocks(body, least) or [body[k : k + piece] for k in range(0, len(body), piece)]
+                at = start
+                for k, b in enumerate(blocks):
+                    stop = end if k == len(blocks) - 1 else min(at + len(b) - 1, end)
+                    out.append((path, name, kind, "\n".join([f"{name} | {signature}", *b]), at, stop))
+                    at = stop + 1
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+
+    return bodies.mapInPandas(run, PIECES)
+
+
+def chunk_file(files: DataFrame, symbols: DataFrame, most: int = 200) -> DataFrame:
+    """Header and symbol chunks; long Python definitions are cut at statements, long ones of other languages by lines."""
+    split = F.endswith("path", F.lit(".py")) & (F.col("end_line") - F.col("start_line") >= most)
+    whole = chunk_header(files, symbols).unionByName(chunk_symbol(files, symbols.filter(~split), most)).unionByName(chunk_split_ast(files, symbols, most))
     return whole.withColumn("id", chunk_id(F.col("path"), F.col("symbol_name"), F.col("start_line"), F.col("end_line")))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,3 +102,49 @@ def confirm_check(issued: DataFrame, confirmed: DataFrame, ttl: int = 300) -> Da
     """First confirmation of each token in its session within ``ttl`` seconds; a token is good once."""
     first = confirmed.groupBy("token", "session").agg(F.min("at").alias("at"), F.min_by("allow", "at").alias("allow"))
     return issued.join(first, ["token", "session"]).filter(F.col("at").between(F.col("issued_at"), F.col("issued_at") + ttl)).select("token", "session", "allow")
+
+
+def confirm_store(issued: DataFrame, lookups: DataFrame, ttl: int = 300) -> DataFrame:
+    """Lookups (token, ord, at, kind get or pop) of tokens (token, issued_at) with found. A get finds a token up to ``ttl``
+    seconds old and removes an older one; a pop finds any token that is still there, whatever its age, and removes it."""
+    j = lookups.join(issued, "token", "left").withColumn("__late", F.col("at") - F.col("issued_at") > ttl)
+    removes = (F.col("kind") == "pop") | F.col("__late")
+    gone = F.coalesce(F.max(removes.cast("int")).over(W.partitionBy("token").orderBy("at", "ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) == 1
+    return j.withColumn("found", F.coalesce(~gone & ((F.col("kind") == "pop") | ~F.col("__late")), F.lit(False))).drop("__late")
+
+
+def retrieval_cache(requests: DataFrame, ttl: int = 300) -> DataFrame:
+    """Requests (key, at in seconds) with hit: served from the result computed at most ``ttl`` seconds before. The index's
+    version belongs in the key, so a change of the index empties the cache. Rows stream past in the order of key and time;
+    only the last computation is kept, so a hot key needs no memory. There is no limit on entries beside the time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, since = None, 0.0
+        for b in batches:
+            hits = []
+            for k, at in zip(b["key"], b["at"], strict=True):
+                hit = k == key and at - since <= ttl
+                if not hit:
+                    key, since = k, at
+                hits.append(hit)
+            yield b.assign(hit=hits)
+
+    own = requests.select("key", F.col("at").cast("double").alias("at"))
+    return own.repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, "key string, at double, hit boolean")
+
+
+def rate_cleanup(log: DataFrame, seconds: str, now: float, window: int = 86400) -> DataFrame:
+    """Requests that a limit may still count."""
+    return log.filter(F.col(seconds) > now - window)
+
+
+def quota_cleanup(usage: DataFrame, day: str, today: Column, keep: int = 1) -> DataFrame:
+    """Usage rows of the last ``keep`` days."""
+    return usage.filter(F.col(day) > F.date_sub(today, keep))
+
+
+def token_usage_record(requests: DataFrame, key: str) -> DataFrame:
+    """Input and output tokens per request: an answer's tokens and those of everything before it in its conversation."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    before = F.coalesce(F.sum(n).over(W.partitionBy(key).orderBy("turn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return requests.withColumn("input_tokens", X.estimate_tokens(before)).withColumn("output_tokens", X.estimate_tokens(n)).filter("role = 'assistant'").withColumn("tokens", F.col("input_tokens") + F.col("output_tokens"))

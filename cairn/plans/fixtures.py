@@ -24,3 +24,5 @@ FILES = [
     ("utils.py", "import re\n\n\ndef tidy(x):\n    return re.sub('a', 'b', str(x))\n"),
     ("web/view.js", "import { a } from './a'\nconst b = require('b')\n\nfunction show(x) {\n  const y = x\n  return y\n}\nclass View {\n}\n"),
 ]
+COMMANDS = ["rm -rf /", "sudo ls", "ls -l", "npm init", "npm init -y", "python3", "python3 a.py", "ssh host", "ssh -T host", "passwd", "mysql -u root -p", ""]
+LONG_FILE = ("long.py", "def big(n):\n    total = 0\n" + "".join(f"    if n > {k}:\n" + "".join(f"        total += {j}\n" for j in range(50)) + f"    n -= {k}\n" for k in range(5)) + "    return total\n")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.text import INDEX_LANGUAGES, detect_language, is_test_file_pat, output_preview
+from cairn.functions.text import INDEX_LANGUAGES, detect_language, is_test_file_pat, output_preview, workspace_relative
 
 # Folders that are never read, and the size beyond which a file is not.
 SKIP_DIRS = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".idea", ".vscode")
@@ -127,3 +127,23 @@ def last_message(rows: DataFrame, key: str, order: str, role: str) -> DataFrame:
 def dense_number(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """Batches of ``size`` rows per key, in order."""
     return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) / size))
+
+
+def filter_ws_results(results: DataFrame, files: DataFrame, root: str | None) -> DataFrame:
+    """Search results whose file lies in the workspace and is there, by their path relative to it; without a workspace, all."""
+    if not root:
+        return results
+    return results.withColumn("file_path", workspace_relative(F.col("file_path"), root)).join(files.select("file_path").distinct(), "file_path", "left_semi")
+
+
+def index_symbols(symbols: DataFrame, path: str | None = None) -> DataFrame:
+    return symbols if path is None else symbols.filter(F.col("path") == path)
+
+
+def symbol_counts(symbols: DataFrame) -> DataFrame:
+    return symbols.groupBy("path").agg(F.count(F.lit(1)).alias("symbols"))
+
+
+def cursor_file(contexts: DataFrame) -> DataFrame:
+    """Per conversation (conv) the first implicit context's path."""
+    return contexts.filter("type = 'implicit'").groupBy("conv").agg(F.min_by("file_path", "ord").alias("file_path"))

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import context, graph, logs, parse, search, session
+from cairn.operators import context, graph, logs, parse, plans, search, session
 from cairn.plans import fixtures
-from cairn.sources import tables
+from cairn.sources import stores, tables
 from cairn.streaming import jobs
 
 
@@ -209,3 +209,79 @@ def test_streams_equal_batch(spark, tmp_path):
         spark.createDataFrame(batch, "path string, seq long, action string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "chg"))
         jobs.incremental_index(spark.readStream.schema("path string, seq long, action string, content string").parquet(str(tmp_path / "chg")), str(tmp_path / "idx"), str(tmp_path / "ck2")).awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "idx/v=1")).select("path", "content").collect()} == {("a", "2"), ("c", "y")}
+
+
+def test_plan_convert_and_checks(spark):
+    good = [{"id": f"s{k}", "description": f"d{k}", "dependencies": [f"s{k - 1}"] if k else [], "suggested_tool": "ask_user"} for k in range(5)]
+    cyclic = [{**s, "dependencies": ["s4"]} if k == 0 else s for k, s in enumerate(good)]
+    rows = [("good", json.dumps({"plan": good})), ("bare", json.dumps(good)), ("cycle", json.dumps({"plan": cyclic})), ("none", "{}"), ("cut", '{"plan": ['), ("odd", json.dumps({"plan": [{"description": " x ", "dependencies": "s1", "suggested_tool": "fly"}, {"id": "", "description": ""}]})), ("null", None)]
+    raw = spark.createDataFrame(rows, "plan string, raw string")
+    bad = sorted((r.plan, r.violation) for r in plans.plan_merge_checks(raw).collect())
+    assert bad == [("cut", "json"), ("cycle", "cycle"), ("none", "plan"), ("null", "json"), ("odd", "count"), ("odd", "description")]
+    odd = [tuple(r)[1:] for r in plans.plan_convert(raw).filter("plan = 'odd'").orderBy("ord").collect()]
+    assert odd == [(0, "step_1", "x", "x", [], ""), (1, "step_2", "", "", [], "")]
+    assert plans.plan_convert(raw).filter("plan = 'bare'").count() == 5
+
+
+def test_confirm_store(spark):
+    issued = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0)], "token string, issued_at int")
+    looked = spark.createDataFrame([("a", 1, 10, "get"), ("a", 2, 20, "pop"), ("a", 3, 30, "pop"), ("b", 1, 900, "pop"), ("c", 1, 301, "get"), ("c", 2, 302, "pop"), ("z", 1, 1, "get")], "token string, ord int, at int, kind string")
+    found = {(r.token, r.ord): r.found for r in session.confirm_store(issued, looked).collect()}
+    assert found == {("a", 1): True, ("a", 2): True, ("a", 3): False, ("b", 1): True, ("c", 1): False, ("c", 2): False, ("z", 1): False}
+
+
+def test_retrieval_cache_against_a_plain_cache(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("aaab"), float(rng.randrange(5000))) for _ in range(800)]
+    seen, want = {}, []
+    for k, at in sorted(rows):
+        hit = k in seen and at - seen[k] <= 300
+        if not hit:
+            seen[k] = at
+        want.append((k, at, hit))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = sorted(tuple(r) for r in session.retrieval_cache(spark.createDataFrame(rows, "key string, at double")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(want)
+
+
+def test_long_functions_split_at_statements(spark):
+    path, source = fixtures.LONG_FILE
+    files = spark.createDataFrame([(path, source), ("bad.py", "x = 1\n")], "path string, content string")
+    cut = parse.chunk_split_ast(files, parse.parse_symbols_py(files)).orderBy("start_line").collect()
+    assert [(r.start_line, r.end_line) for r in cut][0][0] == 1 and cut[-1].end_line == len(source.splitlines())
+    assert len(cut) == 10 and all(a.end_line + 1 == b.start_line for a, b in zip(cut, cut[1:], strict=False))
+    assert all(r.content.startswith("big | def big(n):\n") for r in cut) and "n > 0" in cut[0].content
+    unreadable = spark.createDataFrame([(path, "def f(:\n" + "x\n" * 400)], "path string, content string")
+    known = spark.createDataFrame([(path, "f", "function", 1, 401)], "path string, name string, symbol_type string, start_line int, end_line int")
+    assert [(r.start_line, r.end_line) for r in parse.chunk_split_ast(unreadable, known).orderBy("start_line").collect()] == [(1, 150), (151, 300), (301, 401)]
+    assert parse.chunk_file(files, parse.parse_symbols_py(files)).filter("symbol_name = 'big'").count() == 10
+
+
+def test_framework_results_and_diffs(spark):
+    tests_ = spark.createDataFrame([("a", "javascript"), ("b", "python"), ("c", "javascript"), ("d", "python")], "project string, kind string")
+    projects = spark.createDataFrame([("a", '{"scripts": {"test": "x"}}'), ("b", None), ("c", "{cut"), ("d", '{"dependencies": {"jest": "1"}}'), ("e", None)], "project string, package string")
+    assert {r.project: r.framework for r in logs.detect_framework(tests_, projects).collect()} == {"a": "npm_test", "b": "pytest", "c": "jest", "d": "jest", "e": "unknown"}
+    now = spark.createDataFrame([("a", "1\n"), ("b", "same\n")], "path string, content string")
+    new = spark.createDataFrame([("a", "2\n"), ("b", "same\n"), ("c", "new\n"), (None, "x"), ("d", None)], "path string, content string")
+    diffs = {r.path: r.diff for r in logs.build_diff_files(new, now).collect()}
+    assert set(diffs) == {"a", "b", "c"} and diffs["b"] == "" and "-1\n+2" in diffs["a"] and "+new" in diffs["c"]
+    assert value(spark, X.filter_recent(F.lit(5.0), F.lit(100 * 86400.0), 3)) is False and value(spark, X.filter_recent(F.lit(None).cast("double"), F.lit(1.0), 3)) is True
+    assert value(spark, X.filter_recent(F.lit(5.0), F.lit(1e12), 0)) is True and value(spark, X.project_status(F.lit(0), F.lit(0))) == 0.0
+
+
+def test_clicks_and_edits_against_every_pair(spark):
+    rng = random.Random(5)
+    clicks = [(rng.choice("aaab"), k, rng.randrange(500)) for k in range(120)]
+    edits = [(rng.choice("aaab"), k, rng.randrange(500)) for k in range(120)]
+    got = stores.click_then_edit(spark.createDataFrame(clicks, "k string, click_id int, at int"), spark.createDataFrame(edits, "k string, edit_id int, at int"), "k", 30)
+    want = sorted((a[1], b[1]) for a in clicks for b in edits if a[0] == b[0] and 0 < b[2] - a[2] <= 30)
+    assert sorted((r.click_id, r.edit_id) for r in got.collect()) == want
+
+
+def test_bm25_without_tokens(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (2, ""), (3, None), (4, "blue blue")], "i int, t string")
+    assert [r.id for r in search.bm25_topk(docs, ["fox"], 5, "i", "t").collect()] == [1, 4]
+    assert search.bm25_topk(docs.limit(0), ["fox"], 5, "i", "t").collect() == []
