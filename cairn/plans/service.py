@@ -242,12 +242,12 @@ def plan_merge_checks(spark, d):
 
 # --- sessions -------------------------------------------------------------------------------------------------------
 
-_LOOKUPS = "l AS (SELECT l_orderkey AS token, l_linenumber AS ord, l_quantity::INT * 20 AS sec, CASE WHEN l_returnflag = 'R' THEN 'pop' ELSE 'get' END AS kind FROM lineitem)"
+_LOOKUPS = "l AS (SELECT l_orderkey AS token, l_partkey * 100000 + l_suppkey AS ord, l_quantity::INT * 20 AS sec, CASE WHEN l_returnflag = 'R' THEN 'pop' ELSE 'get' END AS kind FROM lineitem)"
 
 
 @query(f"WITH {_LOOKUPS}, x AS (SELECT *, sec > 300 AS late, coalesce(max((kind = 'pop' OR sec > 300)::INT) OVER (PARTITION BY token ORDER BY sec, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS gone FROM l) SELECT token, ord, NOT gone AND (kind = 'pop' OR NOT late) AS found FROM x")
 def confirm_store(spark, d):
-    looked = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("token"), F.col("l_linenumber").alias("ord"), (F.col("l_quantity").cast("int") * 20).alias("at"), F.when(F.col("l_returnflag") == "R", "pop").otherwise("get").alias("kind"))
+    looked = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("token"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("ord"), (F.col("l_quantity").cast("int") * 20).alias("at"), F.when(F.col("l_returnflag") == "R", "pop").otherwise("get").alias("kind"))
     return session.confirm_store(t(spark, d, "orders").select(F.col("o_orderkey").alias("token"), F.lit(0).alias("issued_at")), looked).select("token", "ord", "found")
 
 
