@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from cairn.llm.common import freeing, materialize, table, text_of
 
 WORDS, RADIUS, SEED = 4, 4, 42
+#: Groups by exact similarity: words a shingle, least Jaccard similarity, bits within which fingerprints are candidates,
+#: and the number of candidates that a set hands out in the first pass.
+SET_WORDS, SIMILARITY, SET_RADIUS, FIRST_PAIRS = 5, 0.8, 15, 4
 #: A subtree of so many fingerprints or fewer is compared at once; the votes of so many shingles are summed at once.
 LEAF, VOTES = 48, 1 << 15
 _U = np.uint64
@@ -187,20 +190,189 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lite.join(names, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: of each group the row of the smallest id, and of
-    rows that repeat it the first read. Only the row numbers of dropped rows are joined to the documents."""
+def _first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
     columns = docs.columns
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    groups = near_groups(docs, id_col, text_col, words, radius)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
-    groups = materialize(groups.select("__row", "doc_id", group.alias("g")), "groups")
+    groups = materialize(groups.select("__row", "doc_id", "g"), "groups")
     keep = groups.groupBy("g").agg(first.alias("k")).select(F.col("k.row").alias("__row"))
     dropped = materialize(groups.select("__row").join(keep, "__row", "left_anti"), "dropped")
     return numbered.join(dropped, "__row", "left_anti").select(columns)
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: of each group the row of the smallest id, and of
+    rows that repeat it the first read. Only the row numbers of dropped rows are joined to the documents."""
+    groups = near_groups(docs, id_col, text_col, words, radius)
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
+    return _first_of_groups(docs, groups.select("__row", "doc_id", group.alias("g")))
+# --- groups by exact similarity --------------------------------------------------------------------------------
+
+
+def shingle_set(text: str, words: int = SET_WORDS) -> np.ndarray:
+    """The sorted distinct XXH64 values of a text's shingles; a text of fewer words is one shingle, one without words none."""
+    tokens = text.encode().lower().split()
+    if not tokens:
+        return np.zeros(0, "u8")
+    joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
+    ends = np.cumsum(np.fromiter(map(len, tokens), "i8", len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    stops = ends[min(words, len(tokens)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), "u8", n))
+
+
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The majority vote of a set's values: each distinct shingle votes once, as in the Jaccard similarity."""
+    votes = np.zeros(64, "i8")
+    for k in range(0, len(shingles), VOTES):
+        votes += np.unpackbits(shingles[k : k + VOTES].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="i8")
+    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view("u8")[0])
+
+
+def set_key(shingles: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], "u8").view("i8")[0])
+
+
+def near_pairs(fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, radius: int, similarity: float, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions (i, j), i < j, of one shard's sets, ordered by size, that may be similar and differ in label: of each j those
+    that are the ``lo``-th to before the ``hi``-th nearest in the order; and whether some j has more."""
+    left, right, more = [], [], False
+    first = np.searchsorted(sizes, np.ceil(similarity * sizes - 1e-9), "left")  # similar sets have similar sizes
+    step = 256
+    for at in range(0, len(fps), step):
+        j = np.arange(at, min(at + step, len(fps)))
+        i = np.arange(first[at], j[-1] + 1)
+        near = np.bitwise_count(fps[j][:, None] ^ fps[i][None, :]) <= radius
+        near &= (i[None, :] >= first[j][:, None]) & (i[None, :] < j[:, None])
+        row, col = np.nonzero(near[:, ::-1])
+        if not len(row):
+            continue
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        a, b = i[::-1][col], j[row]
+        own = (rank >= lo) & (labels[a] != labels[b])
+        more = more or bool((own & (rank >= hi)).any())
+        own &= rank < hi
+        left.append(a[own])
+        right.append(b[own])
+    none = np.zeros(0, "i8")
+    return np.concatenate([none, *left]), np.concatenate([none, *right]), more
+
+
+def candidates(sets: DataFrame, radius: int, similarity: float, lo: int, hi: int) -> DataFrame:
+    """(a, b, more): keys of ``sets`` (key, fp, size, label) that may be similar. A pair is searched for in the shard of
+    every block, and handed out by the first block that it shares. Nulls in a and b: the shard has more to hand out."""
+    cuts = _blocks(radius)
+    shards = [
+        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value"))
+        for k, (shift, width) in enumerate(cuts)
+    ]
+    dealt = sets.select("*", F.explode(F.array(*shards)).alias("s")).select("key", "fp", "size", "label", "s.block", "s.value")
+    dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value", "size", "fp", "key")
+
+    @freeing
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(block: int, parts: list[np.ndarray]) -> pd.DataFrame:
+            key, fps, sizes, labels = np.concatenate(parts, 1)
+            fps = fps.view("u8")
+            i, j, more = near_pairs(fps, sizes, labels, radius, similarity, lo, hi)
+            differ, own = fps[i] ^ fps[j], np.ones(len(i), bool)
+            for shift, width in cuts[:block]:
+                own &= (differ >> _U(shift)) & _U((1 << width) - 1) != 0
+            got = pd.DataFrame({"a": pd.array(key[i[own]], "Int64"), "b": pd.array(key[j[own]], "Int64"), "more": False})
+            return pd.concat([got, pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "more": [True]})]) if more else got
+
+        held, now = [], None
+        for batch in batches:
+            block, value = batch["block"].to_numpy().astype("i8"), batch["value"].to_numpy().astype("i8")
+            rows = np.stack([batch[c].to_numpy().astype("i8") for c in ("key", "fp", "size", "label")])
+            cut = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (value[1:] != value[:-1])))) if len(block) else []
+            for x, y in zip(cut, [*cut[1:], len(block)]):
+                shard = (int(block[x]), int(value[x]))
+                if held and shard != now:
+                    yield out(now[0], held)
+                    held = []
+                now = shard
+                held.append(rows[:, x:y])
+        if held:
+            yield out(now[0], held)
+
+    return dealt.mapInPandas(search, "a long, b long, more boolean")
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose sets have at least that Jaccard similarity; ``texts`` has each key's text."""
+
+    @freeing
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(x, words) for x in batch["text"]]
+            if any(set_key(x) != k for x, k in zip(found, batch["key"], strict=True)):
+                raise RuntimeError("two scans of the documents number their rows differently")
+            yield pd.DataFrame({"key": batch["key"], "shingles": [x.tobytes() for x in found]})
+
+    @freeing
+    def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = np.zeros(len(left), bool)
+            for k, (x, y) in enumerate(zip(left, right, strict=True)):
+                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield pd.Series(out)
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    held = materialize(texts(asked).mapInPandas(sets, "key long, shingles binary"), "sets")
+    side = lambda c: held.select(F.col("key").alias(c), F.col("shingles").alias(f"__{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.pandas_udf(compare, "boolean")("__a", "__b")).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, radius: int = SET_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: __row, doc_id, key (of its shingle set), root (the smallest key reachable over pairs of sets
+    of at least that Jaccard similarity). Fingerprints within ``radius`` bits are only candidates.
+
+    Candidates are handed out in passes, few per set first; between passes, found links join sets, and pairs within
+    a component need no comparison. Passes go on until each candidate was compared or lies within a component."""
+
+    @freeing
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                s = shingle_set(t, words)
+                rows.append((set_key(s), np.array([set_fingerprint(s)], "u8").view("i8")[0], len(s)))
+            yield pd.DataFrame(rows, columns=["key", "fp", "size"])
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
+    marked = numbered.withColumn("s", F.pandas_udf(run, "key long, fp long, size long")("__text"))
+    lite = materialize(marked.select("__row", "doc_id", "s.key", "s.fp", "s.size"), "fingerprints")
+    sets = materialize(lite.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("__row").alias("__row")), "distinct")
+
+    def texts(asked: DataFrame) -> DataFrame:
+        rows = sets.join(asked, "key").select("key", "__row")
+        return numbered.select("__row", F.col("__text").alias("text")).join(rows, "__row").select("key", "text")
+
+    links, roots, lo, hi = None, None, 0, FIRST_PAIRS
+    while True:
+        labelled = sets.withColumn("label", F.col("key")) if roots is None else (
+            sets.join(roots, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key"))
+        )
+        found = materialize(candidates(labelled.select("key", "fp", "size", "label"), radius, similarity, lo, hi), "candidates")
+        new = similar_pairs(found.filter("not more").select("a", "b"), texts, words, similarity)
+        links = materialize(new if links is None else links.unionByName(new), "links")
+        roots = materialize(components(links), "roots")
+        if not found.filter("more").head(1):
+            break
+        lo, hi = hi, hi * 8
+    return lite.join(roots, F.col("key") == F.col("node"), "left").select("__row", "doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, radius: int = SET_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """As drop_near_copies, for the groups of similar_groups."""
+    groups = similar_groups(docs, id_col, text_col, words, radius, similarity).withColumnRenamed("root", "g")
+    return _first_of_groups(docs, groups)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

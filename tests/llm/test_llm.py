@@ -141,6 +141,40 @@ def test_simhash(docs, none, spark):
     assert simhash.near_groups(none).count() == 0 and simhash.drop_near_copies(none).count() == 0
 
 
+def test_similar_copies(spark, docs, none, monkeypatch):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(vocabulary, 200).tolist() for _ in range(6)]
+    texts = [" ".join(b) for b in base]
+    for b in base[:4]:
+        for changes in (1, 2, 3, 3, 4, 4, 5, 6, 9):  # similarities on both sides of 0.8
+            t = list(b)
+            for k in rng.choice(200, changes, replace=False):
+                t[k] = "new" + str(rng.integers(10**6))
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    want = sorted(set(label))
+    assert 10 < len(want) < 40
+    for first in (4, 1):  # one candidate a pass: more passes, the same groups
+        monkeypatch.setattr(simhash, "FIRST_PAIRS", first)
+        assert sorted(r.doc_id for r in simhash.drop_similar_copies(df).collect()) == want
+    kept = simhash.drop_similar_copies(docs)
+    assert kept.columns == docs.columns and sorted((str(r.doc_id) for r in kept.collect()), key=str) == sorted({"0", "3", "6", "8", "9", "11", "12", "13", "14", "None"}, key=str)
+    assert simhash.drop_similar_copies(none).count() == 0
+
+
 def test_bk_trees_lose_no_link(spark):
     rng = np.random.default_rng(1)
     seeds = rng.integers(0, 2**63, 40, dtype="u8")
