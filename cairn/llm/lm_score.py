@@ -7,9 +7,8 @@ windows of ``CONTEXT + STRIDE`` positions. Windows overlap by ``CONTEXT``, so th
 at least CONTEXT ids before it (fewer only at a text's start); windows are scored in batches with a causal mask.
 
 Counts (of words for the base; of ids for ranks and the last tail's inside) cover all training documents. The attention
-weights are fitted by distributed training: every task trains on its own share of the training documents and the
-weights are averaged, ROUNDS times. The share is one of SHARES; it falls from all documents to 1 in MAX_SHARES as the corpus
-grows and then stays, so what training reads keeps growing with the input.
+weights are fitted by distributed training on all training documents: tasks train on parts of about TASK_CHARS
+characters each, and the parts' weights are averaged, ROUNDS times.
 
 Rows travel as blocks: one written table holds each block's rows (compressed) and its distinct words with counts, by
 bucket. Buckets sum the counts and encode each distinct word once; their answers return to the blocks, where texts are
@@ -44,9 +43,7 @@ INPUTS, HEAD, TAILS = 1024, 124, (256, 640)
 ROUNDS, BATCH, RATE = 2, 64, 0.03
 #: A task with fewer steps than this a pass repeats its pass, MAX_PASSES times at most.
 MIN_STEPS, MAX_PASSES = 40, 8
-#: Characters of training text that are read whole; beyond, 1 document in 2, 4 ... MAX_SHARES.
-WHOLE_CHARS, MAX_SHARES = 8_000_000, 128
-#: Characters that one training task reads about: weights of tasks that read much less average badly.
+#: Characters that are trained on at a time, about: weights of parts that are much smaller average badly.
 TASK_CHARS = 1_000_000
 BLOCK_CHARS = 5_000_000
 PAD, BOS = 0, 1
@@ -363,9 +360,8 @@ def _answers(table_: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _fit(docs: DataFrame, ids: Ids, path: str, chars: int) -> np.ndarray:
-    """Weights, averaged over the tasks' weights by their numbers of ids, ROUNDS times."""
-    shares = next((s for s in (1, 2, 4, 8, 16, 32, 64) if chars <= s * WHOLE_CHARS), MAX_SHARES)
-    own = docs.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == 0)).select("text").coalesce(max(1, round(chars / shares / TASK_CHARS)))
+    """Weights, averaged over the parts' weights by their numbers of ids, ROUNDS times."""
+    own = docs.filter(~F.col("held_out")).select("text").coalesce(max(1, round(chars / TASK_CHARS)))
     spark = docs.sparkSession
     flat = start_weights(ids.bias)
     end = len(ids.row) - 1
@@ -374,16 +370,28 @@ def _fit(docs: DataFrame, ids: Ids, path: str, chars: int) -> np.ndarray:
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, round_=round_) -> Iterator[pd.DataFrame]:
             encode, (flat, row, rank) = encoder(path).encode_ordinary, shared.value
-            texts = [np.array([*encode(" " + b" ".join(_words(t)).decode() if t else ""), end], "i4") for b in batches for t in b["text"]]
-            if not texts:
-                return
-            flat_ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-            inputs, starts, scored = layout(flat_ids, lengths, row)
-            targets = np.full(len(starts) * STRIDE, -1, "i4")
-            targets[scored] = rank[flat_ids]
-            out = train(flat, inputs, starts, targets.reshape(-1, STRIDE), round_)
-            n = float(len(flat_ids))
-            yield pd.DataFrame({"k": np.arange(len(out)), "x": out.astype("f8") * n, "n": n})
+            total, n = np.zeros(len(flat)), 0.0
+
+            def learn(texts: list[np.ndarray]) -> None:
+                nonlocal n
+                flat_ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+                inputs, starts, scored = layout(flat_ids, lengths, row)
+                targets = np.full(len(starts) * STRIDE, -1, "i4")
+                targets[scored] = rank[flat_ids]
+                total[:] += train(flat, inputs, starts, targets.reshape(-1, STRIDE), round_).astype("f8") * len(flat_ids)
+                n += len(flat_ids)
+
+            held, size = [], 0
+            for t in (t for b in batches for t in b["text"]):
+                held.append(np.array([*encode(" " + b" ".join(_words(t)).decode() if t else ""), end], "i4"))
+                size += len(t)
+                if size >= TASK_CHARS:
+                    learn(held)
+                    held, size = [], 0
+            if held:
+                learn(held)
+            if n:
+                yield pd.DataFrame({"k": np.arange(len(total)), "x": total, "n": n})
 
         got = own.mapInPandas(run, "k int, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(got):

@@ -417,6 +417,16 @@ def test_lm_beats_the_base(spark):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
+def test_lm_fits_on_all_training_documents(spark):
+    path = public_tokenizers.path(lm_score.VOCABULARY)
+    size = bpe.encoder(path).max_token_value + 1
+    rows = [(i, False, f"the cat number {i} sat on the mat") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").coalesce(1)
+    ids = lm_score.Ids(np.ones(size + 1, "i8"))
+    small, large = (lm_score._fit(df, ids, path, chars) for chars in (1_000, 2_000_000_000))
+    assert (small != lm_score.start_weights(ids.bias)).any() and (small == large).all()
+
+
 def test_pipeline_on_small_tables(spark, tmp_path):
     import corpus_pipeline
 
