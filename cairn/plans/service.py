@@ -51,6 +51,14 @@ def workspace_relative(spark, d):
     return pages.select("page_id", X.workspace_relative(path, "/w").alias("rel"), X.path_within(F.when(F.col("url").startswith("https://"), path).otherwise(F.lit("/w/../x")), "/w").alias("inside"))
 
 
+@query()
+def workspace_relative_all(spark, d):
+    """As workspace_relative, for every page: urls of any depth, with dots, queries and fragments."""
+    path = F.regexp_replace("url", r"^[a-z]+://[^/]*/", "/w/x/../")
+    within = F.when(F.col("url").startswith("https://"), path).otherwise(F.lit("/w/../x"))
+    return t(spark, d, "pages").select("page_id", X.workspace_relative(path, "/w").alias("rel"), X.path_within(within, "/w").alias("inside"))
+
+
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN substr(url, 8) ELSE url END AS path FROM pages")
 def err_norm_path(spark, d):
     return t(spark, d, "pages").select("page_id", X.err_norm_path(F.col("url"), F.lit("https:/")).alias("path"))

@@ -285,3 +285,24 @@ def test_bm25_without_tokens(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, ""), (3, None), (4, "blue blue")], "i int, t string")
     assert [r.id for r in search.bm25_topk(docs, ["fox"], 5, "i", "t").collect()] == [1, 4]
     assert search.bm25_topk(docs.limit(0), ["fox"], 5, "i", "t").collect() == []
+
+
+def test_workspace_relative_of_all_pages(spark, tmp_path):
+    import posixpath
+    import re
+
+    from cairn.plans import service  # noqa: F401 - adds to the queries
+    from cairn.plans.bindings import QUERIES
+
+    urls = ["https://h/a/b.html", "http://h/a/b.html", "https://h/a/b/c/d.html?x=1#y", "https://h/", "https://h/../../etc/x", "https://h/a/./b//c.d/", "https://h/a/../..", "https://h", "x/y", "https://h/?q=../z"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def rel(path):
+        full = posixpath.normpath(posixpath.join("/w", path))
+        return "." if full == "/w" else full[3:] if full.startswith("/w/") else None
+
+    def want(i, url):
+        path = re.sub("^[a-z]+://[^/]*/", "/w/x/../", url)
+        return i, rel(path), url.startswith("https://") and rel(path) is not None
+
+    assert sorted(map(tuple, QUERIES["workspace_relative_all"](spark, str(tmp_path)).collect())) == [want(i, u) for i, u in enumerate(urls)]
