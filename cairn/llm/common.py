@@ -20,9 +20,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _OWN_FOLDER = "file:///tmp/checkpoints/cairn"
 
 
+#: Folders written and not yet removed, oldest first.
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _OWN_FOLDER).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this machine
+    will do if the executors run in this process; on a cluster they would not see each other's files, so that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (where or _OWN_FOLDER).rstrip("/")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -36,14 +44,51 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and the files
-    outlive the executors that wrote them. The folder is removed when the driver's Python ends."""
+    outlive the executors that wrote them. The folder is removed by ``release``, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``release``: the number of folders written and not yet removed."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Remove the folders written since the mark, but for the last ``keep``; nothing may read them any more."""
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for path in gone:
+        _remove(spark, path)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores put behind it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` as one struct, ``row``: names of our own beside it clash with none of the caller's.
+    ``select("row.*")`` gives the columns back."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"))
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def field(column: str) -> str:
+    """The name of a column inside ``row``."""
+    return "row." + quoted(column)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,13 +1,16 @@
 """Exact dedup: a two-pass Bloom filter finds possibly repeated texts; only those rows shuffle.
 
 Everything is DataFrame functions. Pass one counts, per bit of the filter, how many rows set it; a row whose
-text occurs twice finds all of its bits set at least twice. Pass two tests every row against the bits that were
+text occurs twice finds all of its bits set at least twice. Pass two tests every row's hash against the bits that were
 set twice: rows that fail are certainly alone and pass straight through, the others shuffle by SHA-256 of the
-normalised text, which decides exactly.
+normalised text, which decides exactly. The filter grows with the table: while it is small enough it is broadcast, beyond
+that hashes (never texts) are dealt by its words. Texts are moved by ``keep_first`` alone, and only where a key matches.
 
 Defined results: null text is empty, and all empty texts are equal. Of equal texts the longest original (code
-points), then the smallest doc_id (null last), then the first row read stays. Rows that repeat a doc_id are rows
-of their own; one of them stays. An empty table gives an empty result. Other columns are not looked at.
+points), then the smallest doc_id (null last) stays, then in exact_groups the first row read, in drop_exact_copies the least
+key of id and text. Rows that repeat a doc_id are rows of their own; one of them stays. An empty table gives an empty
+result. Other columns are not looked at, whatever their names. ``docs`` may be any plan whose rows do not change
+from one evaluation to the next; their order and partitions may.
 """
 
 from __future__ import annotations
@@ -17,92 +20,50 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACES, materialize, table, text_of
-
-#: Bits of the filter for each row, and the number of bits that a row sets.
-BITS_PER_ROW, HASHES = 16, 2
-#: The filter's size: 2**16 bits at least. Up to 2**26 bits (2**20 words of 64 bits) it is broadcast.
-MIN_LOG2, BROADCAST_LOG2 = 16, 26
+from cairn.llm.common import SPACES, as_rows, field, materialize, table, text_of
+from cairn.llm.rows import filter_log2, flagged, keep_first, keyed, words_set_twice
 
 
 def normalised(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c)), SPACES, text)
 
 
-def _bits(hash64: Column, log2: int) -> list[Column]:
-    """Bit positions of a hash: its low bits, and those of the hash's own hash."""
-    mask = F.lit((1 << log2) - 1).cast("long")
-    return [h.bitwiseAND(mask) for h in [hash64, F.xxhash64(hash64)][:HASHES]]
-
-
-def _filter_words(hashes: DataFrame, log2: int) -> DataFrame:
-    """The bits that two rows or more have set, as 64-bit words (word, bits); pre-aggregated before the shuffle."""
-    twice = (
-        hashes.select(F.explode(F.array(*_bits(F.col("h"), log2))).alias("bit"))
-        .groupBy("bit").count().filter("count > 1")
-    )
-    return twice.groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")
-    )
-
-
-def _flagged(df: DataFrame, words: DataFrame, log2: int) -> DataFrame:
-    """``df`` (with column __h) and __maybe: whether all bits of the hash are set at least twice. The filter is
-    broadcast where its size bound allows it; a larger one is joined by Spark's own choice."""
-    maybe = F.lit(True)
-    for k, bit in enumerate(_bits(F.col("__h"), log2)):
-        side = words.select(F.col("word").alias(f"__w{k}"), F.col("bits").alias(f"__b{k}"))
-        df = df.withColumn(f"__p{k}", bit)
-        side = F.broadcast(side) if log2 <= BROADCAST_LOG2 else side
-        df = df.join(side, F.shiftright(f"__p{k}", 6) == F.col(f"__w{k}"), "left")
-        maybe = maybe & F.coalesce(F.expr(f"getbit(__b{k}, cast(__p{k} & 63 as int)) = 1"), F.lit(False))
-    df = df.withColumn("__maybe", maybe)
-    return df.drop(*[f"__{n}{k}" for k in range(HASHES) for n in "wpb"])
+def _possible(lite: DataFrame) -> DataFrame:
+    """``lite`` (written; with column sha) and ``maybe``: whether the text may occur twice."""
+    log2 = filter_log2(lite.count())
+    words = materialize(words_set_twice(lite.select(F.xxhash64("sha").alias("h")), log2), "filter")
+    return flagged(lite, F.xxhash64("sha"), words, log2)
 
 
-def _log2(rows: int) -> int:
-    return max(MIN_LOG2, (max(1, rows) * BITS_PER_ROW - 1).bit_length())
+def _marks(text_col: str) -> list[Column]:
+    text = text_of(field(text_col))
+    return [F.length(text).cast("long").alias("n"), F.sha2(normalised(text).cast("binary"), 256).alias("sha")]
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    text = text_of(text_col)
-    lite = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("__row"),
-                    F.length(text).cast("long").alias("__n"), F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256")),
-        "exact",
-    ).withColumn("__h", F.xxhash64("text_sha256"))
-    log2 = _log2(lite.count())
-    rows = _flagged(lite, _filter_words(lite.select(F.col("__h").alias("h")), log2), log2).drop("__h")
-    maybe, alone = rows.filter("__maybe"), rows.filter("not __maybe")
-    best = F.struct((-F.col("__n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    # the row number is written with the row, and every later step reads what was written
+    lite = materialize(as_rows(docs).select(F.col(field(id_col)).alias("doc_id"), F.monotonically_increasing_id().alias("at"), *_marks(text_col)), "exact")
+    rows = _possible(lite)
+    maybe, alone = rows.filter("maybe"), rows.filter("not maybe")
+    best = F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("at").alias("at"))
     # written first: both sides of the join are then plain shuffles, and adaptive execution splits a hot group's partition
-    groups = materialize(maybe.groupBy(F.col("text_sha256").alias("__sha")).agg(F.min(best).alias("__best"), F.count(F.lit(1)).alias("group_size")), "groups")
-    together = maybe.join(groups, F.col("text_sha256") == F.col("__sha")).select(
-        "doc_id", F.col("__best.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.row")).alias("kept"), "text_sha256"
+    groups = materialize(maybe.groupBy(F.col("sha").alias("group")).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
+    together = maybe.join(groups, F.col("sha") == F.col("group")).select(
+        "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("at") == F.col("best.at")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return alone.select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     ).unionByName(together)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns. Rows that the filter clears pass without a shuffle."""
-    columns = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    text = text_of(text_col)
-    lite = materialize(
-        numbered.select("__row", F.col(id_col).alias("__id"), F.length(text).cast("long").alias("__n"),
-                        F.sha2(normalised(text).cast("binary"), 256).alias("__sha")),
-        "exact",
-    ).withColumn("__h", F.xxhash64("__sha"))
-    log2 = _log2(lite.count())
-    words = _filter_words(lite.select(F.col("__h").alias("h")), log2)
-    best = F.struct((-F.col("__n")).alias("n"), F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), F.col("__row").alias("row"))
-    keep = _flagged(lite, words, log2).filter("__maybe").groupBy("__sha").agg(F.min(best).alias("__best")).select(F.col("__best.row").alias("__row"))
-    rows = _flagged(numbered.withColumn("__h", F.xxhash64(F.sha2(normalised(text).cast("binary"), 256))), words, log2)
-    alone, maybe = rows.filter("not __maybe"), rows.filter("__maybe")
-    return alone.select(columns).unionByName(maybe.join(keep, "__row", "left_semi").select(columns))
+    """The rows of ``docs`` that stay, with their own columns. Rows that the filters clear pass without a shuffle."""
+    own = F.col(field(id_col))
+    lite = materialize(keyed(docs, id_col, text_col).select("k1", "k2", own.alias("id"), *_marks(text_col)), "exact")
+    maybe = _possible(lite).filter("maybe")
+    members = maybe.select(F.col("sha").alias("g"), "k1", "k2", (-F.col("n")).alias("shorter"), F.col("id").isNull().alias("no_id"), "id")
+    return keep_first(docs, members, ["shorter", "no_id", "id"], id_col, text_col)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import WORD, materialize, table, text_of
+from cairn.llm.common import WORD, as_rows, field, materialize, quoted, table, text_of
 
 WEIGHTS, MAX_RATE, SEEDS = (5, 2, 1), 3, 32
 
@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rat
 
 
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), size_of(text_of(text_col)).alias("size")), "mix")
+    return materialize(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).alias("__source"), size_of(text_of(quoted(text_col))).alias("size")), "mix")
 
 
 def _source_rates(lite: DataFrame) -> DataFrame:
@@ -96,8 +96,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with each row repeated as the mix takes it, with its own columns. A document's copies follow from its id
     and its source's row, so texts are not shuffled while the sources' table is small enough for Spark to broadcast."""
     rates = _source_rates(_sizes(docs, id_col, text_col, source_col)).select("__key", "__rate", "__frac", "__seed")
-    own = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__key"))).withColumn("__copies", _copies(id_col)).filter("__copies > 0")
-    return own.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    own = as_rows(docs).join(rates, F.col(field(source_col)).eqNullSafe(F.col("__key"))).withColumn("copies", _copies(field(id_col))).filter("copies > 0")
+    return own.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

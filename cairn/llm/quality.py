@@ -14,6 +14,7 @@ labelled twice is learnt from once per distinct label. Without labelled rows eve
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import freeing, id_crc_mod, table, text_of
+from cairn.llm.common import free_name, freeing, id_crc_mod, quoted, table, text_of
 
 #: Labelled rows that training reads at most; the table of weights has 2**LOG2 entries.
 MAX_TRAIN_ROWS, LOG2, EPOCHS = 8000, 18, 3
@@ -36,14 +37,12 @@ _FORM = bytes(
 )
 
 
+_REPEATS = re.compile(rb"(?s)(.)\1+")
+
+
 def _form(word: bytes) -> bytes:
-    """Case, digits and signs of a word, repeats collapsed; bytes beyond ASCII count as small letters."""
-    out, last = bytearray(), -1
-    for c in word[:64].translate(_FORM):
-        if c != last:
-            out.append(c)
-        last = c
-    return bytes(out[:12])
+    """Case, digits and signs of a whole word, repeats collapsed; bytes beyond ASCII count as small letters."""
+    return _REPEATS.sub(rb"\1", word.translate(_FORM))
 
 
 class Forms:
@@ -111,10 +110,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Train on at most MAX_TRAIN_ROWS labelled rows that are not held out. The sample is drawn from ids alone and
     broadcast (its size is bounded), so no text is shuffled; one task makes the features, trains, and hands back
     the weights (2**LOG2 numbers)."""
-    order = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    marks = labels.filter((id_crc_mod(id_col, 5) != 0) & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("__y")).distinct()
-    drawn = docs.select(id_col).distinct().join(marks, id_col).orderBy(order, id_col, "__y").limit(MAX_TRAIN_ROWS)
-    sample = docs.select(id_col, text_of(text_col).alias("t")).join(F.broadcast(drawn), id_col).select(order.alias("k"), "t", F.col("__y").alias("y"))
+    order = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    marks = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("y"))
+    marks = marks.filter((id_crc_mod("id", 5) != 0) & F.col("y").isin(0, 1)).select("id", F.col("y").cast("int").alias("y")).distinct()
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), text_of(quoted(text_col)).alias("t"))
+    drawn = rows.select("id").distinct().join(marks, "id").orderBy(order, "id", "y").limit(MAX_TRAIN_ROWS)
+    sample = rows.join(F.broadcast(drawn), "id").select(order.alias("k"), "t", "y")
     sample = sample.repartition(1).sortWithinPartitions("k", "y", "t")
 
     @freeing
@@ -134,6 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", score_col: str = "__score") -> DataFrame:
+    """``docs`` with the score behind the other columns: ``columns[-1]``, which is ``score_col``, or that with underscores behind
+    it where ``docs`` has a column of the name."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1]))
 
     @freeing
@@ -146,7 +149,14 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, float], text_col:
                 out[k] = w[slots] @ values + bias
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    return docs.withColumn(score_col, F.pandas_udf(score, "double")(text_of(text_col)))
+    return docs.withColumn(free_name(docs.columns, score_col), F.pandas_udf(score, "double")(text_of(quoted(text_col))))
+
+
+def drop_low_quality(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their own columns."""
+    scored = score_documents(docs, model, text_col)
+    score = scored.columns[-1]
+    return scored.filter(F.col(quoted(score)) >= threshold).drop(score)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

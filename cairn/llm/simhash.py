@@ -26,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import freeing, materialize, table, text_of
+from cairn.llm.common import field, freeing, materialize, table, text_of
+from cairn.llm.rows import keep_first, keyed, meeting
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Groups by exact similarity: words a shingle, least Jaccard similarity, bits within which fingerprints are candidates,
-#: and the number of candidates that a set hands out in the first pass.
-SET_WORDS, SIMILARITY, SET_RADIUS, FIRST_PAIRS = 5, 0.8, 15, 4
+#: the number of candidates that a set hands out in the first pass, and the number of minima that name a set's shards.
+SET_WORDS, SIMILARITY, SET_RADIUS, FIRST_PAIRS, MINIMA = 5, 0.8, 20, 4, 6
+#: A shard of more fingerprints than this is dealt to several tasks, each of which compares two of its slices.
+SHARD_ROWS = 20_000
 #: A subtree of so many fingerprints or fewer is compared at once; the votes of so many shingles are summed at once.
 LEAF, VOTES = 48, 1 << 15
 _U = np.uint64
@@ -114,39 +117,56 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def split_hot(dealt: DataFrame, key: str) -> DataFrame:
+    """``dealt`` (block, value, and ``key``) with ``part``. A shard of more than SHARD_ROWS rows is cut into slices by hash of
+    ``key``, and has a part for every two slices, so that any two of its rows meet in one and no part is much larger than two
+    slices. Other shards have one part."""
+    sizes = materialize(dealt.groupBy("block", "value").count().filter(F.col("count") > SHARD_ROWS), "hot")
+    if not sizes.head(1):
+        return dealt.withColumn("part", F.lit(0).cast("long"))
+    slices = F.ceil(F.col("count") / SHARD_ROWS).cast("long")
+    own = F.pmod(F.xxhash64(key), slices)
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), slices - 1), lambda t: F.least(own, t) * slices + F.greatest(own, t))
+    whole = F.array(F.lit(0).cast("long"))
+    return dealt.join(sizes, ["block", "value"], "left").withColumn("part", F.explode(F.when(F.col("count").isNull(), whole).otherwise(parts))).drop("count")
+
+
+def _shards(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, the columns' values) of each part of a shard, of rows that come sorted by block, value and part."""
+    held, now = [], None
+    for batch in batches:
+        key = np.stack([batch[c].to_numpy().astype("i8") for c in ("block", "value", "part")])
+        rows = np.stack([batch[c].to_numpy().astype("i8") for c in columns])
+        new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0))) if key.shape[1] else np.zeros(0, bool)
+        cuts = np.flatnonzero(new).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], key.shape[1]]):
+            this = tuple(key[:, lo].tolist())
+            if held and this != now:
+                yield now[0], np.concatenate(held, 1)
+                held = []
+            now = this
+            held.append(rows[:, lo:hi])
+    if held:
+        yield now[0], np.concatenate(held, 1)
+
+
 def shard_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): per shard and fingerprint b that is linked there, the first fingerprint a of its set."""
     shards = [
         F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value"))
         for k, (shift, width) in enumerate(_blocks(radius))
     ]
-    dealt = distinct.select("fp", F.explode(F.array(*shards)).alias("s")).select("fp", "s.block", "s.value")
-    dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value", "fp")
+    dealt = split_hot(distinct.select("fp", F.explode(F.array(*shards)).alias("s")).select("fp", "s.block", "s.value"), "fp")
+    dealt = dealt.repartition("block", "value", "part").sortWithinPartitions("block", "value", "part", "fp")
 
     @freeing
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(fps: np.ndarray) -> pd.DataFrame:
-            root = bk_links(fps.view("u8"), radius)
-            own = root != np.arange(len(fps))
-            return pd.DataFrame({"a": fps[root[own]], "b": fps[own]})
-
-        held, now = [], None
-        for batch in batches:
-            shard = batch["block"].to_numpy().astype("i8") << 40 | batch["value"].to_numpy()
-            fps = batch["fp"].to_numpy().astype("i8")
-            cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
-            found = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(shard)]):
-                if held and shard[lo] != now:
-                    if sum(map(len, held)) > 1:
-                        found.append(out(np.concatenate(held)))
-                    held = []
-                now = shard[lo]
-                held.append(fps[lo:hi])
-            if found:
-                yield pd.concat(found)
-        if held and sum(map(len, held)) > 1:
-            yield out(np.concatenate(held))
+        for _, (fps,) in _shards(batches, ["fp"]):
+            if len(fps) > 1:
+                root = bk_links(fps.view("u8"), radius)
+                own = root != np.arange(len(fps))
+                if own.any():
+                    yield pd.DataFrame({"a": fps[root[own]], "b": fps[own]})
 
     return dealt.mapInPandas(search, "a long, b long")
 
@@ -176,36 +196,29 @@ def components(links: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row per document: __row, doc_id, fp (signed 64 bits), component_id (the smallest doc_id reachable)."""
-    lite = materialize(
-        fingerprints(docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("doc_id"), F.col(text_col)), text_col, words, "fp").drop(text_col),
-        "fingerprints",
-    )
+    """One row per document: k1, k2 (its key), doc_id, fp (signed 64 bits), component_id (the smallest doc_id reachable)."""
+    rows = keyed(docs, id_col, text_col).select("k1", "k2", F.col(field(id_col)).alias("doc_id"), F.col(field(text_col)).alias("text"))
+    lite = materialize(fingerprints(rows, "text", words, "fp").drop("text"), "fingerprints")
     distinct = materialize(lite.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(shard_links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "first_id", "root")
     rooted = materialize(rooted, "rooted")
     named = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
-    names = rooted.join(named, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return lite.join(names, F.col("fp") == F.col("__fp")).drop("__fp")
+    names = rooted.join(named, "root").select(F.col("fp").alias("named_fp"), "component_id", "root")
+    return lite.join(names, F.col("fp") == F.col("named_fp")).drop("named_fp")
 
 
-def _first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    columns = docs.columns
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
-    groups = materialize(groups.select("__row", "doc_id", "g"), "groups")
-    keep = groups.groupBy("g").agg(first.alias("k")).select(F.col("k.row").alias("__row"))
-    dropped = materialize(groups.select("__row").join(keep, "__row", "left_anti"), "dropped")
-    return numbered.join(dropped, "__row", "left_anti").select(columns)
+def _first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    members = groups.select(F.col("root").alias("g"), "k1", "k2", F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+    return keep_first(docs, members, ["no_id", "id"], id_col, text_col)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: of each group the row of the smallest id, and of
-    rows that repeat it the first read. Only the row numbers of dropped rows are joined to the documents."""
-    groups = near_groups(docs, id_col, text_col, words, radius)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp").cast("string")))
-    return _first_of_groups(docs, groups.select("__row", "doc_id", group.alias("g")))
+    rows that repeat it one. Only keys are grouped; texts are moved where a key meets a decision."""
+    return _first_of_groups(docs, near_groups(docs, id_col, text_col, words, radius), id_col, text_col)
+
+
 # --- groups by exact similarity --------------------------------------------------------------------------------
 
 
@@ -259,45 +272,40 @@ def near_pairs(fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, radius: i
     return np.concatenate([none, *left]), np.concatenate([none, *right]), more
 
 
+def minima(shingles: np.ndarray) -> list[int]:
+    """MINIMA shingles of a set, each the least by an order of its own: two sets share one of them with the
+    probability of their Jaccard similarity."""
+    salts = np.random.default_rng(11).integers(0, 1 << 63, (MINIMA, 2), dtype="u8")
+    return [int(((shingles ^ x) * (y | _U(1))).min().view("i8")) for x, y in salts] if len(shingles) else []
+
+
 def candidates(sets: DataFrame, radius: int, similarity: float, lo: int, hi: int) -> DataFrame:
-    """(a, b, more): keys of ``sets`` (key, fp, size, label) that may be similar. A pair is searched for in the shard of
-    every block, and handed out by the first block that it shares. Nulls in a and b: the shard has more to hand out."""
-    cuts = _blocks(radius)
-    shards = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value"))
-        for k, (shift, width) in enumerate(cuts)
-    ]
-    dealt = sets.select("*", F.explode(F.array(*shards)).alias("s")).select("key", "fp", "size", "label", "s.block", "s.value")
-    dealt = dealt.repartition("block", "value").sortWithinPartitions("block", "value", "size", "fp", "key")
+    """(a, b, more): keys of ``sets`` (key, fp, size, minima, label) that may be similar. Each set goes to one shard per minimum, where
+    fingerprints are compared. Nulls in a and b: the shard has more to hand out."""
+    dealt = sets.select("key", "fp", "size", "label", F.posexplode("minima").alias("block", "value"))
+    dealt = split_hot(dealt, "key").repartition("block", "value", "part").sortWithinPartitions("block", "value", "part", "size", "fp", "key")
 
     @freeing
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(block: int, parts: list[np.ndarray]) -> pd.DataFrame:
-            key, fps, sizes, labels = np.concatenate(parts, 1)
-            fps = fps.view("u8")
-            i, j, more = near_pairs(fps, sizes, labels, radius, similarity, lo, hi)
-            differ, own = fps[i] ^ fps[j], np.ones(len(i), bool)
-            for shift, width in cuts[:block]:
-                own &= (differ >> _U(shift)) & _U((1 << width) - 1) != 0
-            got = pd.DataFrame({"a": pd.array(key[i[own]], "Int64"), "b": pd.array(key[j[own]], "Int64"), "more": False})
-            return pd.concat([got, pd.DataFrame({"a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "more": [True]})]) if more else got
-
-        held, now = [], None
-        for batch in batches:
-            block, value = batch["block"].to_numpy().astype("i8"), batch["value"].to_numpy().astype("i8")
-            rows = np.stack([batch[c].to_numpy().astype("i8") for c in ("key", "fp", "size", "label")])
-            cut = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (value[1:] != value[:-1])))) if len(block) else []
-            for x, y in zip(cut, [*cut[1:], len(block)]):
-                shard = (int(block[x]), int(value[x]))
-                if held and shard != now:
-                    yield out(now[0], held)
-                    held = []
-                now = shard
-                held.append(rows[:, x:y])
-        if held:
-            yield out(now[0], held)
-
-    return dealt.mapInPandas(search, "a long, b long, more boolean")
+        left, right, n, any_more = [], [], 0, False
+        table_ = lambda a, b, more: pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "more": more})
+        for _, (key, fps, sizes, labels) in _shards(batches, ["key", "fp", "size", "label"]):
+            if len(key) < 2 or (labels == labels[0]).all():
+                continue
+            i, j, more = near_pairs(fps.view("u8"), sizes, labels, radius, similarity, lo, hi)
+            any_more = any_more or more
+            left.append(key[i])
+            right.append(key[j])
+            n += len(i)
+            if n > 50_000:
+                yield table_(np.concatenate(left), np.concatenate(right), False)
+                left, right, n = [], [], 0
+        if n:
+            yield table_(np.concatenate(left), np.concatenate(right), False)
+        if any_more:
+            yield table_([None], [None], True)
+
+    return dealt.mapInPandas(search, "a long, b long, more boolean").distinct()
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -307,8 +315,6 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(x, words) for x in batch["text"]]
-            if any(set_key(x) != k for x, k in zip(found, batch["key"], strict=True)):
-                raise RuntimeError("two scans of the documents number their rows differently")
             yield pd.DataFrame({"key": batch["key"], "shingles": [x.tobytes() for x in found]})
 
     @freeing
@@ -328,7 +334,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, radius: int = SET_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: __row, doc_id, key (of its shingle set), root (the smallest key reachable over pairs of sets
+    """One row per document: k1, k2, doc_id, key (of its shingle set), root (the smallest key reachable over pairs of sets
     of at least that Jaccard similarity). Fingerprints within ``radius`` bits are only candidates.
 
     Candidates are handed out in passes, few per set first; between passes, found links join sets, and pairs within
@@ -340,37 +346,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for t in texts:
                 s = shingle_set(t, words)
-                rows.append((set_key(s), np.array([set_fingerprint(s)], "u8").view("i8")[0], len(s)))
-            yield pd.DataFrame(rows, columns=["key", "fp", "size"])
+                rows.append((set_key(s), np.array([set_fingerprint(s)], "u8").view("i8")[0], len(s), minima(s)))
+            yield pd.DataFrame(rows, columns=["key", "fp", "size", "minima"])
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
-    marked = numbered.withColumn("s", F.pandas_udf(run, "key long, fp long, size long")("__text"))
-    lite = materialize(marked.select("__row", "doc_id", "s.key", "s.fp", "s.size"), "fingerprints")
-    sets = materialize(lite.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("__row").alias("__row")), "distinct")
+    text = text_of("text")
+    numbered = keyed(docs, id_col, text_col).select("k1", "k2", F.col(field(id_col)).alias("doc_id"), text_of(field(text_col)).alias("text"))
+    marked = numbered.withColumn("s", F.pandas_udf(run, "key long, fp long, size long, minima array<long>")(text))
+    lite = materialize(marked.select("k1", "k2", "doc_id", "s.*"), "fingerprints")
+    first = F.min(F.struct("k1", "k2")).alias("first")
+    sets = materialize(lite.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("minima").alias("minima"), first), "distinct")
 
     def texts(asked: DataFrame) -> DataFrame:
-        rows = sets.join(asked, "key").select("key", "__row")
-        return numbered.select("__row", F.col("__text").alias("text")).join(rows, "__row").select("key", "text")
+        wanted = materialize(sets.join(asked, "key").select("key", "first.k1", "first.k2"), "wanted")
+        return meeting(numbered.select("k1", "k2", "text"), wanted).groupBy("key").agg(F.first("text").alias("text"))
 
     links, roots, lo, hi = None, None, 0, FIRST_PAIRS
     while True:
         labelled = sets.withColumn("label", F.col("key")) if roots is None else (
             sets.join(roots, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key"))
         )
-        found = materialize(candidates(labelled.select("key", "fp", "size", "label"), radius, similarity, lo, hi), "candidates")
+        found = materialize(candidates(labelled.select("key", "fp", "size", "minima", "label"), radius, similarity, lo, hi), "candidates")
         new = similar_pairs(found.filter("not more").select("a", "b"), texts, words, similarity)
         links = materialize(new if links is None else links.unionByName(new), "links")
         roots = materialize(components(links), "roots")
         if not found.filter("more").head(1):
             break
         lo, hi = hi, hi * 8
-    return lite.join(roots, F.col("key") == F.col("node"), "left").select("__row", "doc_id", "key", F.coalesce("root", "key").alias("root"))
+    return lite.join(roots, F.col("key") == F.col("node"), "left").select("k1", "k2", "doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
 def drop_similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, radius: int = SET_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """As drop_near_copies, for the groups of similar_groups."""
-    groups = similar_groups(docs, id_col, text_col, words, radius, similarity).withColumnRenamed("root", "g")
-    return _first_of_groups(docs, groups)
+    return _first_of_groups(docs, similar_groups(docs, id_col, text_col, words, radius, similarity), id_col, text_col)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import Row
 
-from cairn.llm import bpe, chat_format, exact_dedup, lm_score, media, mixing, quality, simhash, url_filter, warc
+from cairn.llm import bpe, chat_format, exact_dedup, lm_score, media, mixing, quality, rows, simhash, url_filter, warc
 
 WS = b" \t\n\x0b\x0c\r"
 TEXTS = [
@@ -61,6 +61,80 @@ def test_exact_groups(docs, none):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_exact_copies(none).count() == 0
 
 
+CLASH = "k1 long, k2 long, maybe string, row string, g int, stays int, times int, h long, word long, id int, __score double, __key string, __rate double, __copies int"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """60 texts, each of them twice under other ids and once as a near copy, and every internal name as a column."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+        near = [*words[:-1], "other"]
+        rows += [(k, t, f"s{i % 3}", *range(k, k + 4), k, k, k, k, k, k, 0.5, "key", 0.25, 7) for k, t in ((3 * i, " ".join(words)), (3 * i + 1, " ".join(words)), (3 * i + 2, " ".join(near)))]
+    rows = [(r[0], r[1], r[2], r[3], r[4], str(r[5]), str(r[6]), *r[7:]) for r in rows]
+    return spark.createDataFrame(rows, f"doc_id long, text string, source string, {CLASH}")
+
+
+def test_stages_hand_callers_columns_back(clashing):
+    before = {r.doc_id: r for r in clashing.collect()}
+    model = (np.zeros(1 << quality.LOG2, "f4"), 0.0)
+    for stage, ids in ((exact_dedup.drop_exact_copies, {k for k in before if k % 3 != 1}), (simhash.drop_near_copies, None),
+                       (simhash.drop_similar_copies, {k for k in before if k % 3 == 0}), (mixing.mix_documents, None), (lambda d: quality.drop_low_quality(d, model), set(before))):
+        out = stage(clashing)
+        got = out.collect()
+        assert out.columns == clashing.columns and got
+        assert all(r == before[r.doc_id] for r in got)
+        assert ids is None or sorted(r.doc_id for r in got) == sorted(ids)
+    scored = quality.score_documents(clashing, model)
+    assert scored.columns[-1] == "__score_" and scored.select(clashing.columns).first() == clashing.first()
+
+
+def test_stages_on_shuffled_input(spark):
+    """The plan under a stage may deal rows otherwise each time that it is evaluated; no row is lost for it."""
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        text = "concat_ws(' ', transform(sequence(1, 30), x -> sha2(concat(id % 4000, ':', x), 256)))"
+        df = spark.range(8000).selectExpr("id as doc_id", f"{text} as text", "id as extra").repartition("doc_id")
+        for stage in (exact_dedup.drop_exact_copies, simhash.drop_near_copies, simhash.drop_similar_copies):
+            got = stage(df).agg({"*": "count", "doc_id": "max", "extra": "sum"}).first()
+            assert tuple(got) == (4000, 3999, sum(range(4000))) or sorted(got) == sorted((4000, 3999, sum(range(4000))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_rows_that_agree_in_id_and_text(spark):
+    df = spark.createDataFrame([(1, "one two three four five six", k) for k in range(5)] + [(None, "x", 1), (None, "x", 2), (2, None, 3), (2, "", 3)], "doc_id long, text string, extra int")
+    for stage in (exact_dedup.drop_exact_copies, simhash.drop_near_copies, simhash.drop_similar_copies):
+        got = stage(df).collect()
+        assert sorted(str(r.doc_id) for r in got) == ["1", "2", "None"]
+        assert [r.extra for r in got] == [r.extra for r in stage(df.repartition(5)).collect()] or len(got) == 3
+
+
+def test_filter_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2500 as string) as text").cache()
+    whole = sorted(map(tuple, exact_dedup.exact_groups(df).collect()))
+    monkeypatch.setattr(rows, "BROADCAST_LOG2", 10)  # hashes are dealt by word; decisions share a filter that is far too small
+    assert sorted(map(tuple, exact_dedup.exact_groups(df).collect())) == whole
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()) == list(range(2500))
+
+
+def test_hot_shards_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    seeds = rng.integers(0, 1 << 36, 300, dtype="u8")  # all share the highest blocks
+    fps = np.unique(np.concatenate([seeds, *(seeds ^ np.uint64((1 << k) | (1 << (k + 9))) for k in range(0, 24, 3))]))
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
+    groups = []
+    for most in (100_000, 150):
+        monkeypatch.setattr(simhash, "SHARD_ROWS", most)
+        root = {r.node: r.root for r in simhash.components(simhash.shard_links(df)).collect()}
+        groups.append([root.get(int(x), int(x)) for x in fps])
+    assert groups[0] == groups[1] and len(set(groups[0])) == 300
+
+
 def test_bloom_flags_only_repeats(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "cast(if(id < 4900, id, 1) as string) as text")
     got = exact_dedup.exact_groups(df)
