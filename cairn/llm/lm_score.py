@@ -7,12 +7,13 @@ windows of ``CONTEXT + STRIDE`` positions. Windows overlap by ``CONTEXT``, so th
 at least CONTEXT ids before it (fewer only at a text's start); windows are scored in batches with a causal mask.
 
 Counts (of words for the base; of ids for ranks and the last tail's inside) cover all training documents. The attention
-weights are fitted by distributed training on all training documents: tasks train on parts of about TASK_CHARS
-characters each, and the parts' weights are averaged, ROUNDS times.
+weights are fitted by distributed training on every training document: a first, short round on one window in FIRST_SHARE
+brings all tasks to common weights, then each task passes over all windows of its partition, and the tasks' weights
+are averaged by their numbers of ids. Weights travel as one packed vector a task, summed in two steps.
 
-Rows travel as blocks: one written table holds each block's rows (compressed) and its distinct words with counts, by
-bucket. Buckets sum the counts and encode each distinct word once; their answers return to the blocks, where texts are
-scored.
+Documents travel as blocks: one written table holds each block's ids of documents, its texts as positions in the list of its
+distinct words, and that list with counts, by bucket. Buckets sum the counts and encode each distinct word once; their answers
+return to the blocks, which are written again as token ids with all that counts say. Training and scoring read that table.
 
 Defined results: null text is empty and consists of the end token. A null id counts as the empty text. Rows that
 repeat are counted and scored each for itself. Without training documents N and V are 0 and the base is log10 of
@@ -26,26 +27,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import encoder
-from cairn.llm.common import freeing, id_crc_mod, materialize, table, text_of
+from cairn.llm.common import freeing, id_crc_mod, materialize, quoted, table, text_of
 from cairn.llm.word_shuffle import blocks, buckets, compress, expand, lay_out, list_words, pack_rows, pack_words, shares, unpack_rows, unpack_words
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Positions before a window's scored ones, and scored positions a window; numbers of a position's vectors.
 CONTEXT, STRIDE, DIM = 8, 24, 32
 #: Ids with vectors of their own; ids in the softmax's head, and in its tails of modelled ids.
-INPUTS, HEAD, TAILS = 1024, 124, (256, 640)
-ROUNDS, BATCH, RATE = 2, 64, 0.03
-#: A task with fewer steps than this a pass repeats its pass, MAX_PASSES times at most.
+INPUTS, HEAD, TAILS = 1024, 64, (128, 320, 512)
+#: Windows a step; step size; and the first round's share of windows (one in so many).
+BATCH, RATE, FIRST_SHARE = 128, 0.03, 16
+#: A block with fewer steps than this a pass repeats its pass, MAX_PASSES times at most.
 MIN_STEPS, MAX_PASSES = 40, 8
-#: Characters that are trained on at a time, about: weights of parts that are much smaller average badly.
-TASK_CHARS = 1_000_000
 BLOCK_CHARS = 5_000_000
+#: Logits are held below this, so that no maximum need be taken off before exp.
+HIGHEST = np.float32(60)
 PAD, BOS = 0, 1
 _LEN = CONTEXT + STRIDE
 
@@ -116,20 +117,20 @@ _CAUSAL = np.where(_KEY <= _QUERY, 0, -1e9).astype("f4")
 def _attend(p: dict, windows: np.ndarray) -> tuple[np.ndarray, ...]:
     """Masked attention of a batch of windows: the positions' outputs, and what training needs."""
     q_ids = windows[:, CONTEXT:]
-    q, k, v = p["q"][q_ids], p["k"][windows], p["v"][windows]
+    q, k, v = p["q"].take(q_ids, 0), p["k"].take(windows, 0), p["v"].take(windows, 0)
     a = q @ k[:, :, :DIM].transpose(0, 2, 1)
     a += (k[:, :, DIM] + np.where(windows == PAD, np.float32(-1e9), np.float32(0)))[:, None, :]
     a += p["r"][_DISTANCE] + _CAUSAL
-    a -= a.max(-1, keepdims=True)
+    np.minimum(a, HIGHEST, out=a)
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+    a *= 1 / (a.sum(-1, keepdims=True) + np.float32(1e-30))
     h = a @ v
-    h += p["o"][q_ids]
+    h += p["o"].take(q_ids, 0)
     return h.reshape(-1, DIM), a, q, k, v, q_ids
 
 
 def _scatter(n: int, ids: np.ndarray, grads: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, grads.shape[-1]), "f4")
+    out = np.zeros((n, grads.shape[-1]), grads.dtype)
     ids, grads = ids.ravel(), grads.reshape(-1, grads.shape[-1])
     order = np.argsort(ids, kind="stable")
     rows, first = np.unique(ids[order], return_index=True)
@@ -157,24 +158,25 @@ def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float,
     g = {f"w{x}": np.zeros_like(p[f"w{x}"]) for x in range(len(TAILS) + 1)}
     for tier, own, goal in _tiers(np.maximum(t, 0)):
         w = p[f"w{tier}"]
-        d = h[own] @ w
-        d -= d.max(1, keepdims=True)
+        x = h[own]
+        d = x @ w
+        rows, counts = np.arange(len(goal)), (use[own] / np.float32(n)).astype(h.dtype)
+        wanted = np.minimum(d[rows, goal], HIGHEST)
+        np.minimum(d, HIGHEST, out=d)
         np.exp(d, out=d)
-        d /= d.sum(1, keepdims=True)
-        rows = np.arange(len(goal))
-        loss -= np.log(np.maximum(d[rows, goal], 1e-30))[use[own]].sum() / n
-        d[rows, goal] -= 1
-        d *= (use[own] / np.float32(n))[:, None].astype("f4")
-        g[f"w{tier}"] = h[own].T @ d
+        total = d.sum(1)
+        loss += float((np.log(total) - wanted) @ counts)
+        d *= (counts / total)[:, None]
+        d[rows, goal] -= counts
+        g[f"w{tier}"] = x.T @ d
         dh[own] += d @ w.T
     dh = dh[:, :DIM].reshape(*q_ids.shape, DIM)
     da = dh @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dk = np.concatenate((ds.transpose(0, 2, 1) @ q, ds.sum(1)[:, :, None]), -1)
-    g["q"] = _scatter(INPUTS, q_ids, ds @ k[:, :, :DIM])
-    g["k"] = _scatter(INPUTS, windows, dk)
-    g["v"] = _scatter(INPUTS, windows, a.transpose(0, 2, 1) @ dh)
-    g["o"] = _scatter(INPUTS, q_ids, dh)
+    at_keys = np.concatenate((ds.transpose(0, 2, 1) @ q, ds.sum(1)[:, :, None], a.transpose(0, 2, 1) @ dh), -1)
+    at_queries = np.concatenate((ds @ k[:, :, :DIM], dh), -1)
+    g["k"], g["v"] = np.split(_scatter(INPUTS, windows, at_keys), [DIM + 1], 1)
+    g["q"], g["o"] = np.split(_scatter(INPUTS, q_ids, at_queries), [DIM], 1)
     g["r"] = np.bincount(_DISTANCE.ravel(), (ds.sum(0) * (_CAUSAL == 0)).ravel(), _LEN).astype("f4")
     return float(loss), np.concatenate([g[name].ravel() for name in shapes()])
 
@@ -197,22 +199,28 @@ def layout(ids: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> tuple[np.nd
     return flat, starts, scored
 
 
-def train(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray, seed: int) -> np.ndarray:
-    """Adam over the windows in random order; few windows are passed over several times."""
-    flat = flat.copy()
-    m, s = np.zeros_like(flat), np.zeros_like(flat)
-    rng, steps = np.random.default_rng(seed), -(-len(starts) // BATCH)
-    passes = min(MAX_PASSES, max(1, round(MIN_STEPS / steps)))
-    order = np.concatenate([rng.permutation(len(starts)) for _ in range(passes)])
-    steps = -(-len(order) // BATCH)
-    for step in range(steps):
-        pick = order[step * BATCH : (step + 1) * BATCH]
-        _, g = gradient(unpack(flat), inputs[starts[pick][:, None] + np.arange(_LEN)], targets[pick])
-        m += 0.1 * (g - m)
-        s += 0.01 * (g * g - s)
-        rate = RATE * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.99 ** (step + 1)) / (1 - 0.9 ** (step + 1))
-        flat -= (rate * m / (np.sqrt(s) + 1e-8)).astype("f4")
-    return flat
+class Adam:
+    """Steps over windows in random order. A pass over few windows is repeated; the step size falls with every block,
+    and within it, so that the average of several learners' weights is taken when they move little."""
+
+    def __init__(self, flat: np.ndarray, seed: int):
+        self.flat, self.rng, self.step, self.blocks = flat.copy(), np.random.default_rng(seed), 0, 0
+        self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
+
+    def learn(self, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray) -> None:
+        steps = -(-len(starts) // BATCH)
+        passes = min(MAX_PASSES, max(1, round(MIN_STEPS / max(1, steps))))
+        order = np.concatenate([self.rng.permutation(len(starts)) for _ in range(passes)])
+        steps, span = -(-len(order) // BATCH), np.arange(_LEN)
+        self.blocks += 1
+        for k in range(steps):
+            pick = order[k * BATCH : (k + 1) * BATCH]
+            _, g = gradient(unpack(self.flat), inputs.take(starts[pick][:, None] + span), targets[pick])
+            self.step += 1
+            self.m += np.float32(0.1) * (g - self.m)
+            self.s += np.float32(0.01) * (g * g - self.s)
+            rate = RATE / np.sqrt(self.blocks) * (1 - 0.9 * k / steps) * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+            self.flat -= np.float32(rate) * self.m / (np.sqrt(self.s) + np.float32(1e-8))
 
 
 def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray, size: int = 64) -> np.ndarray:
@@ -264,9 +272,21 @@ def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, target
 # --- the corpus ------------------------------------------------------------------------------------------------
 
 
+def _ints(values: np.ndarray) -> bytes:
+    """Compressed whole numbers, in two bytes each where they fit."""
+    small = not len(values) or (values.min() >= 0 and values.max() < 65536)
+    return compress(b"2" + values.astype("u2").tobytes() if small else b"4" + values.astype("i4").tobytes())
+
+
+def _read_ints(packed: bytes) -> np.ndarray:
+    raw = expand(packed)
+    return np.frombuffer(raw, "u2" if raw[:1] == b"2" else "i4", offset=1).astype("i4")
+
+
 def _block_table(docs: DataFrame, n: int) -> DataFrame:
-    """Written: (block, rows, n_train), each block's rows, compressed; and (block, bucket, words, counts), its distinct
-    words by bucket with the number of times that training documents have them."""
+    """Written: (block, rows, flat, lengths, deal, n_train): each block's rows without texts, its texts as positions in its list
+    of words, their lengths, and each word's bucket; and (block, bucket, words, counts): its distinct words by bucket with
+    the number of times that training documents have them."""
 
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,16 +294,22 @@ def _block_table(docs: DataFrame, n: int) -> DataFrame:
             index, flat, lengths = list_words(rows.column("text").to_pylist(), _words)
             held_out = rows.column("held_out").to_numpy()
             counts = np.bincount(flat[np.repeat(~held_out, lengths)], minlength=len(index))
-            words = list(index)
-            out = [(k, pack_words([words[i] for i in own.tolist()]), compress(counts[own].astype("i8").tobytes())) for k, own in shares(words, n)] if words else []
+            words, out, deal = list(index), [], np.zeros(len(index), "i4")
+            for k, own in shares(words, n) if words else ():
+                deal[own] = k
+                out.append((k, pack_words([words[i] for i in own.tolist()]), compress(counts[own].astype("i8").tobytes())))
             column = lambda kind, first, rest: pa.array([first, *rest], kind)
+            none = [None] * len(out)
             yield pa.record_batch({
                 "block": column("int64", block, [block] * len(out)), "bucket": column("int32", None, [k for k, _, _ in out]),
-                "rows": column("binary", pack_rows(rows), [None] * len(out)), "n_train": column("int64", int((~held_out).sum()), [0] * len(out)),
+                "rows": column("binary", pack_rows(rows.drop_columns(["text"])), none), "flat": column("binary", _ints(flat), none),
+                "lengths": column("binary", _ints(lengths), none), "deal": column("binary", _ints(deal), none),
+                "n_train": column("int64", int((~held_out).sum()), [0] * len(out)),
                 "words": column("binary", None, [w for _, w, _ in out]), "counts": column("binary", None, [c for _, _, c in out]),
             })
 
-    return materialize(docs.mapInArrow(run, "block long, bucket int, rows binary, n_train long, words binary, counts binary"), "blocks", "uncompressed")
+    schema = "block long, bucket int, rows binary, flat binary, lengths binary, deal binary, n_train long, words binary, counts binary"
+    return materialize(docs.mapInArrow(run, schema), "blocks", "uncompressed")
 
 
 def _word_table(table_: DataFrame, path: str, size: int) -> DataFrame:
@@ -301,11 +327,10 @@ def _word_table(table_: DataFrame, path: str, size: int) -> DataFrame:
             flat = np.concatenate(ids)
             own = np.bincount(flat, np.repeat(c, lengths), size).astype("i8")
             some = np.flatnonzero(own)
-            chars = int((c * (np.fromiter(map(len, words), "i8", len(words)) + 1)).sum())
             return pa.record_batch({
                 "bucket": pa.array([now], "int32"), "words": pa.array([pack_words(words)], "binary"), "counts": pa.array([compress(c.tobytes())], "binary"),
-                "lengths": pa.array([compress(lengths.tobytes())], "binary"), "ids": pa.array([compress(flat.tobytes())], "binary"),
-                "n": pa.array([int(c.sum())], "int64"), "v": pa.array([int((c > 0).sum())], "int64"), "chars": pa.array([chars], "int64"),
+                "lengths": pa.array([_ints(lengths)], "binary"), "ids": pa.array([_ints(flat)], "binary"),
+                "n": pa.array([int(c.sum())], "int64"), "v": pa.array([int((c > 0).sum())], "int64"),
                 "id": pa.array([some.astype("i4")], pa.list_(pa.int32())), "times": pa.array([own[some]], pa.list_(pa.int64())),
             })
 
@@ -321,7 +346,7 @@ def _word_table(table_: DataFrame, path: str, size: int) -> DataFrame:
             yield row()
 
     dealt = table_.filter("bucket is not null").select("bucket", "words", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    return materialize(dealt.mapInArrow(run, "bucket int, words binary, counts binary, lengths binary, ids binary, n long, v long, chars long, id array<int>, times array<long>"), "words", "uncompressed")
+    return materialize(dealt.mapInArrow(run, "bucket int, words binary, counts binary, lengths binary, ids binary, n long, v long, id array<int>, times array<long>"), "words", "uncompressed")
 
 
 def _id_counts(words: DataFrame, size: int) -> np.ndarray:
@@ -344,11 +369,11 @@ def _answers(table_: DataFrame, words: DataFrame) -> DataFrame:
             for bucket, block, asked, c, n, x in zip(*(batch.column(k).to_pylist() for k in ("bucket", "block", "words", "counts", "lengths", "ids")), strict=True):
                 if block is None:
                     index = {w: k for k, w in enumerate(unpack_words(asked))}
-                    counts, lengths, ids = np.frombuffer(expand(c), "i8"), np.frombuffer(expand(n), "i4"), np.frombuffer(expand(x), "i4")
+                    counts, lengths, ids = np.frombuffer(expand(c), "i8"), _read_ints(n), _read_ints(x)
                     continue
                 own = np.fromiter(map(index.__getitem__, unpack_words(asked)), "i8")
                 laid, each = lay_out(own, lengths, ids)
-                out.append((block, bucket, compress(counts[own].tobytes()), compress(each.astype("i4").tobytes()), compress(laid.astype("u2").tobytes() if laid.max(initial=0) < 65536 else laid.astype("i4").tobytes())))
+                out.append((block, bucket, compress(counts[own].tobytes()), _ints(each), _ints(laid)))
             kinds = {"to_block": "int64", "bucket": "int32", "counts": "binary", "lengths": "binary", "ids": "binary"}
             yield pa.record_batch({name: pa.array([o[k] for o in out], kind) for k, (name, kind) in enumerate(kinds.items())})
 
@@ -359,111 +384,122 @@ def _answers(table_: DataFrame, words: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "to_block long, bucket int, counts binary, lengths binary, ids binary")
 
 
-def _fit(docs: DataFrame, ids: Ids, path: str, chars: int) -> np.ndarray:
-    """Weights, averaged over the parts' weights by their numbers of ids, ROUNDS times."""
-    own = docs.filter(~F.col("held_out")).select("text").coalesce(max(1, round(chars / TASK_CHARS)))
-    spark = docs.sparkSession
+def _windows(flat_ids: np.ndarray, n_ids: np.ndarray, row: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """layout's inputs, starts and places, and the windows' targets."""
+    inputs, starts, scored = layout(flat_ids, n_ids, row)
+    targets = np.full(len(starts) * STRIDE, -1, "i4")
+    targets[scored] = rank[flat_ids]
+    return inputs, starts, scored, targets.reshape(-1, STRIDE)
+
+
+def _fit(laid: DataFrame, ids: Ids) -> np.ndarray:
+    """Weights, averaged over tasks by their numbers of ids: after a round on a share of the windows, and one on all."""
+    spark = laid.sparkSession
     flat = start_weights(ids.bias)
-    end = len(ids.row) - 1
-    for round_ in range(ROUNDS):
+    for share in (FIRST_SHARE, 1):
         shared = spark.sparkContext.broadcast((flat, ids.row, ids.rank))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared, round_=round_) -> Iterator[pd.DataFrame]:
-            encode, (flat, row, rank) = encoder(path).encode_ordinary, shared.value
-            total, n = np.zeros(len(flat)), 0.0
-
-            def learn(texts: list[np.ndarray]) -> None:
-                nonlocal n
-                flat_ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-                inputs, starts, scored = layout(flat_ids, lengths, row)
-                targets = np.full(len(starts) * STRIDE, -1, "i4")
-                targets[scored] = rank[flat_ids]
-                total[:] += train(flat, inputs, starts, targets.reshape(-1, STRIDE), round_).astype("f8") * len(flat_ids)
-                n += len(flat_ids)
-
-            held, size = [], 0
-            for t in (t for b in batches for t in b["text"]):
-                held.append(np.array([*encode(" " + b" ".join(_words(t)).decode() if t else ""), end], "i4"))
-                size += len(t)
-                if size >= TASK_CHARS:
-                    learn(held)
-                    held, size = [], 0
-            if held:
-                learn(held)
+        @freeing
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, share=share) -> Iterator[pa.RecordBatch]:
+            flat, row, rank = shared.value
+            learner, n = Adam(flat, share), 0
+            for batch in batches:
+                for packed, lengths, held_out in zip(*(batch.column(c).to_pylist() for c in ("ids", "n_ids", "held_out")), strict=True):
+                    n_ids, held = _read_ints(lengths), np.frombuffer(held_out, bool)
+                    flat_ids = _read_ints(packed)[np.repeat(~held, n_ids)]
+                    if not len(flat_ids):
+                        continue
+                    inputs, starts, _, targets = _windows(flat_ids, n_ids[~held], row, rank)
+                    own = np.arange(0, len(starts), share)
+                    learner.learn(inputs, starts[own], targets[own])
+                    n += len(flat_ids)
             if n:
-                yield pd.DataFrame({"k": np.arange(len(total)), "x": total, "n": n})
+                total = (learner.flat.astype("f8") * n).tobytes()
+                yield pa.record_batch({"x": pa.array([total], "binary"), "n": pa.array([n], "int64")})
+
+        @freeing
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = None, 0
+            for batch in batches:
+                for x, k in zip(batch.column("x").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    total = np.frombuffer(x, "f8") + (0 if total is None else total)
+                    n += k
+            if n:
+                yield pa.record_batch({"x": pa.array([total.tobytes()], "binary"), "n": pa.array([n], "int64")})
 
-        got = own.mapInPandas(run, "k int, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
-        if len(got):
-            flat = flat.copy()
-            flat[got["k"].to_numpy()] = got["x"].to_numpy().astype("f4")
+        parts = materialize(laid.select("ids", "n_ids", "held_out").mapInArrow(run, "x binary, n long"), "weights", "uncompressed")
+        sums = parts.repartition(max(1, int(parts.count() ** 0.5))).mapInArrow(add, "x binary, n long").collect()
+        if sums:
+            flat = (sum(np.frombuffer(r["x"], "f8") for r in sums) / sum(r["n"] for r in sums)).astype("f4")
     return flat
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    path = path or public_tokenizers.path(VOCABULARY)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (id_crc_mod(id_col, 10) == 0).alias("held_out"), text_of(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    vocabulary = encoder(path)
-    size = vocabulary.max_token_value + 1
-    n_buckets = buckets(docs.sparkSession)
-    table_ = _block_table(rows, n_buckets)
-    words = _word_table(table_, path, size)
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    n_docs, (n_words, v_words, chars) = table_.agg(zero("n_train")).first()[0], words.agg(zero("n"), zero("v"), zero("chars")).first()
-    total, distinct = n_words + n_docs, v_words + (n_docs > 0)
-    ids = Ids(np.append(_id_counts(words, size), n_docs))
-    flat = _fit(rows, ids, path, chars)
-    shared = docs.sparkSession.sparkContext.broadcast((flat, ids.row, ids.rank, ids.inside))
+def _laid_table(table_: DataFrame, words: DataFrame, size: int, n_docs: int, total: int, distinct: int, kind: str) -> DataFrame:
+    """Written, one row per block: (rows, ids, n_ids, held_out): its documents with all that counts say of them, and their texts as
+    token ids, each text closed by the end id ``size``."""
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat, row, rank, inside = shared.value
         answered = dict(zip(right.column("bucket").to_pylist(), zip(*(right.column(k).to_pylist() for k in ("counts", "lengths", "ids")), strict=True), strict=True))
-        parts = []
-        for packed in left.column("rows"):
-            docs_ = unpack_rows(packed.as_buffer())
-            index, own_words, n_words = list_words(docs_.column("text").to_pylist(), _words)
-            order, counts, own_lengths, own_ids = [], [], [], []
-            for k, own in shares(list(index), n_buckets) if index else ():
-                c, lengths, x = (expand(v) for v in answered[k])
-                order.append(own)
-                counts.append(np.frombuffer(c, "i8"))
-                own_lengths.append(np.frombuffer(lengths, "i4"))
-                own_ids.append(np.frombuffer(x, "u2" if len(x) == 2 * own_lengths[-1].sum() else "i4").astype("i4"))
-            end = len(index)  # the end token's place behind the words
-            counts = np.concatenate([*counts, [n_docs]])
-            own_lengths = np.concatenate([*own_lengths, np.ones(1, "i4")])
-            own_ids = np.concatenate([*own_ids, np.array([size], "i4")])
+        out = []
+        for rows, packed, lengths, deal in zip(*(left.column(c).to_pylist() for c in ("rows", "flat", "lengths", "deal")), strict=True):
+            docs_, own_words, n_words, deal = unpack_rows(rows), _read_ints(packed), _read_ints(lengths).astype("i8"), _read_ints(deal)
+            end = len(deal)  # the end token's place behind the words
+            found = [answered[k] for k in np.unique(deal).tolist()]
+            counts = np.concatenate([*(np.frombuffer(expand(c), "i8") for c, _, _ in found), [n_docs]])
+            own_lengths = np.concatenate([*(_read_ints(x) for _, x, _ in found), np.ones(1, "i4")])
+            own_ids = np.concatenate([*(_read_ints(x) for _, _, x in found), np.array([size], "i4")])
             moved = np.empty(end, "i4")
-            if end:
-                moved[np.concatenate(order)] = np.arange(end)
+            moved[np.argsort(deal, kind="stable")] = np.arange(end)
             base = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
             n_tokens = n_words + 1
             place_ = np.full(int(n_tokens.sum()), end, "i4")
             inner = np.ones(len(place_), bool)
             inner[np.cumsum(n_tokens) - 1] = False
             place_[inner] = moved[own_words]
-            del index, own_words
             first = np.cumsum(n_tokens) - n_tokens
-            base_score = np.add.reduceat(base[place_], first)
-            known = np.add.reduceat((counts[place_] > 0).astype("i8"), first)
-            flat_ids, lengths = lay_out(place_, own_lengths, own_ids)
-            n_ids = np.add.reduceat(lengths, first)
-            inputs, starts, scored = layout(flat_ids, n_ids, row)
-            targets = np.full(len(starts) * STRIDE, -1, "i4")
-            targets[scored] = rank[flat_ids]
-            by_rank = score_ranks(flat, inputs, starts, targets.reshape(-1, STRIDE)).ravel()[scored]
-            score = np.add.reduceat(by_rank.astype("f8") + inside[flat_ids], np.cumsum(n_ids) - n_ids)
-            parts.append(pa.table({
+            flat_ids, each = lay_out(place_, own_lengths, own_ids)
+            told = pa.table({
                 "doc_id": docs_.column("doc_id"), "held_out": docs_.column("held_out"), "n_tokens": pa.array(n_tokens, "int64"),
-                "n_known": pa.array(known, "int64"), "train_tokens": pa.array(np.full(len(n_tokens), total), "int64"),
-                "base_score": pa.array(base_score), "score": pa.array(score),
-            }))
-        return pa.concat_tables(parts)
+                "n_known": pa.array(np.add.reduceat((counts[place_] > 0).astype("i8"), first), "int64"),
+                "train_tokens": pa.array(np.full(len(n_tokens), total), "int64"), "base_score": pa.array(np.add.reduceat(base[place_], first)),
+            })
+            held = docs_.column("held_out").to_numpy().astype(bool)
+            out.append((pack_rows(told), _ints(flat_ids), _ints(np.add.reduceat(each, first)), held.tobytes()))
+        return pa.table({name: pa.array([r[k] for r in out], "binary") for k, name in enumerate(("rows", "ids", "n_ids", "held_out"))})
+
+    own = table_.filter("bucket is null").select("block", "rows", "flat", "lengths", "deal")
+    placed = own.groupBy("block").cogroup(_answers(table_, words).groupBy("to_block")).applyInArrow(place, "rows binary, ids binary, n_ids binary, held_out binary")
+    return materialize(placed, "laid", "uncompressed")
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), (id_crc_mod(quoted(id_col), 10) == 0).alias("held_out"), text_of(quoted(text_col)).alias("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    size = encoder(path).max_token_value + 1
+    table_ = _block_table(rows, buckets(docs.sparkSession))
+    words = _word_table(table_, path, size)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    n_docs, (n_words, v_words) = table_.agg(zero("n_train")).first()[0], words.agg(zero("n"), zero("v")).first()
+    laid = _laid_table(table_, words, size, n_docs, n_words + n_docs, v_words + (n_docs > 0), kind)
+    ids = Ids(np.append(_id_counts(words, size), n_docs))
+    flat = _fit(laid, ids)
+    shared = docs.sparkSession.sparkContext.broadcast((flat, ids.row, ids.rank, ids.inside))
+
+    @freeing
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, row, rank, inside = shared.value
+        for batch in batches:
+            for told, packed, lengths in zip(*(batch.column(c).to_pylist() for c in ("rows", "ids", "n_ids")), strict=True):
+                flat_ids, n_ids = _read_ints(packed), _read_ints(lengths)
+                inputs, starts, scored, targets = _windows(flat_ids, n_ids, row, rank)
+                by_rank = score_ranks(flat, inputs, starts, targets).ravel()[scored]
+                total = np.add.reduceat(by_rank.astype("f8") + inside[flat_ids], np.cumsum(n_ids) - n_ids)
+                yield from unpack_rows(told).append_column("score", pa.array(total)).to_batches()
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return table_.filter("bucket is null").select("block", "rows").groupBy("block").cogroup(_answers(table_, words).groupBy("to_block")).applyInArrow(place, schema)
+    return laid.select("rows", "ids", "n_ids").mapInArrow(score, schema)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,10 +31,11 @@ from cairn.llm.rows import keep_first, keyed, meeting
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Groups by exact similarity: words a shingle, least Jaccard similarity, bits within which fingerprints are candidates,
-#: the number of candidates that a set hands out in the first pass, and the number of minima that name a set's shards.
-SET_WORDS, SIMILARITY, SET_RADIUS, FIRST_PAIRS, MINIMA = 5, 0.8, 20, 4, 6
-#: A shard of more fingerprints than this is dealt to several tasks, each of which compares two of its slices.
-SHARD_ROWS = 20_000
+#: the number of minima that name a set's shards, and the bins of its sketch.
+SET_WORDS, SIMILARITY, SET_RADIUS, MINIMA, BINS = 5, 0.8, 20, 6, 64
+#: A shard of more fingerprints, or a candidate group of more shingles, is dealt to several tasks, each of which compares
+#: two of its slices.
+SHARD_ROWS, GROUP_SHINGLES = 20_000, 3_000_000
 #: A subtree of so many fingerprints or fewer is compared at once; the votes of so many shingles are summed at once.
 LEAF, VOTES = 48, 1 << 15
 _U = np.uint64
@@ -84,6 +85,11 @@ class Forest:
         roots = np.unique(self.find(members))
         self.parent[roots] = roots[0]
 
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join each of ``a`` with its of ``b``."""
+        while (differ := (x := self.find(a)) != (y := self.find(b))).any():
+            np.minimum.at(self.parent, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+
 
 def bk_links(fps: np.ndarray, radius: int) -> np.ndarray:
     """For each of a shard's distinct fingerprints, the position of the first one linked to it through the shard."""
@@ -117,18 +123,19 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def split_hot(dealt: DataFrame, key: str) -> DataFrame:
-    """``dealt`` (block, value, and ``key``) with ``part``. A shard of more than SHARD_ROWS rows is cut into slices by hash of
-    ``key``, and has a part for every two slices, so that any two of its rows meet in one and no part is much larger than two
-    slices. Other shards have one part."""
-    sizes = materialize(dealt.groupBy("block", "value").count().filter(F.col("count") > SHARD_ROWS), "hot")
+def split_hot(dealt: DataFrame, key: str, limit: int, weight: str | None = None) -> tuple[DataFrame, bool]:
+    """``dealt`` (block, value, and ``key``) with ``part``, and whether any shard was cut. A shard of more than ``limit`` rows (or
+    sum of ``weight``) is cut into slices by hash of ``key``, and has a part for every two slices, so that any two of its rows
+    meet in one and no part is much larger than two slices. Other shards have one part."""
+    load = F.sum(weight) if weight else F.count(F.lit(1))
+    sizes = materialize(dealt.groupBy("block", "value").agg(load.alias("load")).filter(F.col("load") > limit), "hot")
     if not sizes.head(1):
-        return dealt.withColumn("part", F.lit(0).cast("long"))
-    slices = F.ceil(F.col("count") / SHARD_ROWS).cast("long")
+        return dealt.withColumn("part", F.lit(0).cast("long")), False
+    slices = F.ceil(F.col("load") / limit).cast("long")
     own = F.pmod(F.xxhash64(key), slices)
     parts = F.transform(F.sequence(F.lit(0).cast("long"), slices - 1), lambda t: F.least(own, t) * slices + F.greatest(own, t))
     whole = F.array(F.lit(0).cast("long"))
-    return dealt.join(sizes, ["block", "value"], "left").withColumn("part", F.explode(F.when(F.col("count").isNull(), whole).otherwise(parts))).drop("count")
+    return dealt.join(sizes, ["block", "value"], "left").withColumn("part", F.explode(F.when(F.col("load").isNull(), whole).otherwise(parts))).drop("load"), True
 
 
 def _shards(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[int, np.ndarray]]:
@@ -156,7 +163,7 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value"))
         for k, (shift, width) in enumerate(_blocks(radius))
     ]
-    dealt = split_hot(distinct.select("fp", F.explode(F.array(*shards)).alias("s")).select("fp", "s.block", "s.value"), "fp")
+    dealt, _ = split_hot(distinct.select("fp", F.explode(F.array(*shards)).alias("s")).select("fp", "s.block", "s.value"), "fp", SHARD_ROWS)
     dealt = dealt.repartition("block", "value", "part").sortWithinPartitions("block", "value", "part", "fp")
 
     @freeing
@@ -247,31 +254,6 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], "u8").view("i8")[0])
 
 
-def near_pairs(fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, radius: int, similarity: float, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Positions (i, j), i < j, of one shard's sets, ordered by size, that may be similar and differ in label: of each j those
-    that are the ``lo``-th to before the ``hi``-th nearest in the order; and whether some j has more."""
-    left, right, more = [], [], False
-    first = np.searchsorted(sizes, np.ceil(similarity * sizes - 1e-9), "left")  # similar sets have similar sizes
-    step = 256
-    for at in range(0, len(fps), step):
-        j = np.arange(at, min(at + step, len(fps)))
-        i = np.arange(first[at], j[-1] + 1)
-        near = np.bitwise_count(fps[j][:, None] ^ fps[i][None, :]) <= radius
-        near &= (i[None, :] >= first[j][:, None]) & (i[None, :] < j[:, None])
-        row, col = np.nonzero(near[:, ::-1])
-        if not len(row):
-            continue
-        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
-        a, b = i[::-1][col], j[row]
-        own = (rank >= lo) & (labels[a] != labels[b])
-        more = more or bool((own & (rank >= hi)).any())
-        own &= rank < hi
-        left.append(a[own])
-        right.append(b[own])
-    none = np.zeros(0, "i8")
-    return np.concatenate([none, *left]), np.concatenate([none, *right]), more
-
-
 def minima(shingles: np.ndarray) -> list[int]:
     """MINIMA shingles of a set, each the least by an order of its own: two sets share one of them with the
     probability of their Jaccard similarity."""
@@ -279,66 +261,153 @@ def minima(shingles: np.ndarray) -> list[int]:
     return [int(((shingles ^ x) * (y | _U(1))).min().view("i8")) for x, y in salts] if len(shingles) else []
 
 
-def candidates(sets: DataFrame, radius: int, similarity: float, lo: int, hi: int) -> DataFrame:
-    """(a, b, more): keys of ``sets`` (key, fp, size, minima, label) that may be similar. Each set goes to one shard per minimum, where
-    fingerprints are compared. Nulls in a and b: the shard has more to hand out."""
-    dealt = sets.select("key", "fp", "size", "label", F.posexplode("minima").alias("block", "value"))
-    dealt = split_hot(dealt, "key").repartition("block", "value", "part").sortWithinPartitions("block", "value", "part", "size", "fp", "key")
+def sketch(shingles: np.ndarray) -> bytes:
+    """A byte for each of BINS equal ranges of hashes: 0 for a range without shingles, else 1 to 255 by its least one."""
+    at = np.searchsorted(shingles, np.arange(BINS, dtype="u8") << _U(58))
+    out, own = np.zeros(BINS, "u1"), at < np.append(at[1:], len(shingles))
+    out[own] = shingles[at[own]] % _U(255) + _U(1)
+    return out.tobytes()
+
+
+def _alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sketches agree as those of similar sets do, four standard deviations allowed."""
+    x, y = sketches[a], sketches[b]
+    either = np.maximum(((x | y) != 0).sum(1), 1)
+    same = ((x == y) & (x != 0)).sum(1)
+    return same >= similarity * either - 4 * np.sqrt(similarity * (1 - similarity) * either)
+
+
+def near_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """For each of one shard's sets, ordered by size: the position of the first set that it hangs together with by candidates.
+    Pairs that hang together already are not looked at again."""
+    forest = Forest(len(fps))
+    first = np.searchsorted(sizes, np.ceil(similarity * sizes - 1e-9), "left")  # similar sets have similar sizes
+    for at in range(0, len(fps), 128):
+        j = np.arange(at, min(at + 128, len(fps)))
+        i = np.arange(first[at], j[-1] + 1)
+        near = np.bitwise_count(fps[j][:, None] ^ fps[i][None, :]) <= radius
+        near &= (i[None, :] >= first[j][:, None]) & (i[None, :] < j[:, None])
+        some = near.any(1)
+        a, b = i[near.argmax(1)][some], j[some]
+        own = _alike(sketches, a, b, similarity)
+        forest.link(a[own], b[own])
+        label = forest.find(i)
+        near &= label[None, :] != label[j - i[0]][:, None]
+        row, col = np.nonzero(near)
+        for k in range(0, len(row), 100_000):
+            a, b = i[col[k : k + 100_000]], j[row[k : k + 100_000]]
+            open_ = forest.find(a) != forest.find(b)
+            a, b = a[open_], b[open_]
+            own = _alike(sketches, a, b, similarity)
+            forest.link(a[own], b[own])
+    return forest.find(np.arange(len(fps)))
+
+
+def candidate_links(sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): keys of ``sets`` (key, fp, size, minima, sketch) that may be similar. Each set goes to one shard per minimum; a shard
+    emits a spanning forest of its candidates, at most one row a set."""
+    dealt = sets.select("key", "fp", "size", "sketch", F.posexplode("minima").alias("block", "value"))
+    dealt, _ = split_hot(dealt, "key", SHARD_ROWS)
+    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"s{k}") for k in range(BINS // 8)]
+    columns = ["key", "fp", "size", *(f"s{k}" for k in range(BINS // 8))]
+    dealt = dealt.select("block", "value", "part", "key", "fp", "size", *words)
+    dealt = dealt.repartition("block", "value", "part").sortWithinPartitions("block", "value", "part", "size", "fp", "key")
 
     @freeing
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left, right, n, any_more = [], [], 0, False
-        table_ = lambda a, b, more: pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "more": more})
-        for _, (key, fps, sizes, labels) in _shards(batches, ["key", "fp", "size", "label"]):
-            if len(key) < 2 or (labels == labels[0]).all():
+        left, right = [], []
+        for _, rows in _shards(batches, columns):
+            if rows.shape[1] < 2:
                 continue
-            i, j, more = near_pairs(fps.view("u8"), sizes, labels, radius, similarity, lo, hi)
-            any_more = any_more or more
-            left.append(key[i])
-            right.append(key[j])
-            n += len(i)
-            if n > 50_000:
-                yield table_(np.concatenate(left), np.concatenate(right), False)
-                left, right, n = [], [], 0
-        if n:
-            yield table_(np.concatenate(left), np.concatenate(right), False)
-        if any_more:
-            yield table_([None], [None], True)
+            key, sketches = rows[0], np.ascontiguousarray(rows[3:].T).view("u1").reshape(-1, BINS)
+            root = near_forest(rows[1].view("u8"), rows[2], sketches, radius, similarity)
+            own = root != np.arange(len(key))
+            left.append(key[root[own]])
+            right.append(key[own])
+            if len(left) >= 10_000:
+                yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+                left, right = [], []
+        if left:
+            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
 
-    return dealt.mapInPandas(search, "a long, b long, more boolean").distinct()
+    return dealt.mapInPandas(search, "a long, b long")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose sets have at least that Jaccard similarity; ``texts`` has each key's text."""
+def similar_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of one group's sets: the position of the first set that it is linked to, over pairs of at least that Jaccard
+    similarity. Sets are compared with all others at once by an inverted index. Once all sets outside one component were
+    compared, the sets inside need not be: a link from within leads to a set that was, or stays within."""
+    n, lengths = len(sets), np.array([len(x) for x in sets])
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), lengths)[np.argsort(inverse, kind="stable")]
+    ends = np.cumsum(np.bincount(inverse, minlength=len(values)))
+    own = np.split(inverse, np.cumsum(lengths)[:-1])
+    forest, seen, hits = Forest(n), np.zeros(n, bool), np.zeros(n, "i8")
+    for turn in range(n):
+        root = forest.find(np.arange(n))
+        largest = np.bincount(root, minlength=n).argmax()
+        outside = np.flatnonzero(~seen & (root != largest))
+        if turn and not len(outside):
+            break
+        hub = int(np.where(seen, -1, hits).argmax())  # a set that many others turned out to be similar to
+        x = hub if turn % 2 and not seen[hub] and hits[hub] > 1 else int(outside[0]) if len(outside) else 0
+        which = own[x]
+        start = np.where(which > 0, ends[which - 1], 0)
+        each = ends[which] - start
+        at = np.repeat(start - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        both = np.bincount(holders[at], minlength=n)
+        like = np.flatnonzero(both >= similarity * (lengths + lengths[x] - both) - 1e-9)
+        seen[x] = True
+        hits[like] += 1
+        forest.join(np.append(like, x))
+    return forest.find(np.arange(n))
+
+
+def verified_links(groups: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, bool]:
+    """(a, b): each set that is similar to others of its group (key, k1, k2, size, value: the group), and the first set that it is
+    linked to in its part; and whether parts have to be joined. ``texts`` (k1, k2, text) has their texts."""
+    dealt, cut = split_hot(groups.withColumn("block", F.lit(0)), "key", GROUP_SHINGLES, "size")
+    wanted = materialize(dealt.groupBy("key", "k1", "k2").agg(F.collect_list(F.struct("value", "part")).alias("parts")), "wanted")
 
     @freeing
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_set(x, words) for x in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "shingles": [x.tobytes() for x in found]})
+            yield pd.DataFrame({"key": batch["key"], "parts": batch["parts"], "shingles": [shingle_set(x, words).tobytes() for x in batch["text"]]})
+
+    held = meeting(texts, wanted).mapInPandas(sets, "key long, parts array<struct<value: long, part: long>>, shingles binary")
+    sent = held.select("key", "shingles", F.explode("parts").alias("p")).select("p.value", "p.part", "key", "shingles")
+    sent = sent.repartition("value", "part").sortWithinPartitions("value", "part", "key")
 
     @freeing
-    def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out = np.zeros(len(left), bool)
-            for k, (x, y) in enumerate(zip(left, right, strict=True)):
-                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            yield pd.Series(out)
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(rows: list[tuple[int, bytes]]) -> pd.DataFrame:
+            once = dict(rows)  # rows that agree in id and text come once each
+            keys = np.fromiter(once, "i8", len(once))
+            root = similar_forest([np.frombuffer(x, "u8") for x in once.values()], similarity)
+            linked = root != np.arange(len(keys))
+            return pd.DataFrame({"a": keys[root[linked]], "b": keys[linked]})
+
+        rows, now = [], None
+        for batch in batches:
+            for value, part, key, shingles in zip(batch["value"], batch["part"], batch["key"], batch["shingles"], strict=True):
+                if rows and (value, part) != now:
+                    yield out(rows)
+                    rows = []
+                now = value, part
+                rows.append((key, shingles))
+        if rows:
+            yield out(rows)
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = materialize(texts(asked).mapInPandas(sets, "key long, shingles binary"), "sets")
-    side = lambda c: held.select(F.col("key").alias(c), F.col("shingles").alias(f"__{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.pandas_udf(compare, "boolean")("__a", "__b")).select("a", "b")
+    return materialize(sent.mapInPandas(compare, "a long, b long"), "links"), cut
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SET_WORDS, radius: int = SET_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: k1, k2, doc_id, key (of its shingle set), root (the smallest key reachable over pairs of sets
-    of at least that Jaccard similarity). Fingerprints within ``radius`` bits are only candidates.
+    of at least that Jaccard similarity).
 
-    Candidates are handed out in passes, few per set first; between passes, found links join sets, and pairs within
-    a component need no comparison. Passes go on until each candidate was compared or lies within a component."""
+    Sets that share one of their minima meet in a shard, where fingerprints within ``radius`` bits and sketches that agree make
+    candidates. Each component of candidates is then one group, to which its sets' shingles travel once, and where exact
+    similarities decide. So each step moves a number of rows in proportion to the sets, however large the groups."""
 
     @freeing
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -346,32 +415,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for t in texts:
                 s = shingle_set(t, words)
-                rows.append((set_key(s), np.array([set_fingerprint(s)], "u8").view("i8")[0], len(s), minima(s)))
-            yield pd.DataFrame(rows, columns=["key", "fp", "size", "minima"])
+                rows.append((set_key(s), np.array([set_fingerprint(s)], "u8").view("i8")[0], len(s), minima(s), sketch(s)))
+            yield pd.DataFrame(rows, columns=["key", "fp", "size", "minima", "sketch"])
 
-    text = text_of("text")
     numbered = keyed(docs, id_col, text_col).select("k1", "k2", F.col(field(id_col)).alias("doc_id"), text_of(field(text_col)).alias("text"))
-    marked = numbered.withColumn("s", F.pandas_udf(run, "key long, fp long, size long, minima array<long>")(text))
+    marked = numbered.withColumn("s", F.pandas_udf(run, "key long, fp long, size long, minima array<long>, sketch binary")("text"))
     lite = materialize(marked.select("k1", "k2", "doc_id", "s.*"), "fingerprints")
     first = F.min(F.struct("k1", "k2")).alias("first")
-    sets = materialize(lite.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("minima").alias("minima"), first), "distinct")
-
-    def texts(asked: DataFrame) -> DataFrame:
-        wanted = materialize(sets.join(asked, "key").select("key", "first.k1", "first.k2"), "wanted")
-        return meeting(numbered.select("k1", "k2", "text"), wanted).groupBy("key").agg(F.first("text").alias("text"))
-
-    links, roots, lo, hi = None, None, 0, FIRST_PAIRS
-    while True:
-        labelled = sets.withColumn("label", F.col("key")) if roots is None else (
-            sets.join(roots, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key"))
-        )
-        found = materialize(candidates(labelled.select("key", "fp", "size", "minima", "label"), radius, similarity, lo, hi), "candidates")
-        new = similar_pairs(found.filter("not more").select("a", "b"), texts, words, similarity)
-        links = materialize(new if links is None else links.unionByName(new), "links")
-        roots = materialize(components(links), "roots")
-        if not found.filter("more").head(1):
-            break
-        lo, hi = hi, hi * 8
+    sets = lite.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("minima").alias("minima"), F.min("sketch").alias("sketch"), first)
+    sets = materialize(sets, "distinct")
+    candidates = materialize(components(candidate_links(sets, radius, similarity)), "candidates")
+    candidates = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
+    groups = sets.join(candidates, F.col("key") == F.col("node")).select("key", "first.k1", "first.k2", "size", F.col("root").alias("value"))
+    links, cut = verified_links(materialize(groups, "groups"), numbered.select("k1", "k2", "text"), words, similarity)
+    roots = components(links) if cut else links.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return lite.join(roots, F.col("key") == F.col("node"), "left").select("k1", "k2", "doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 

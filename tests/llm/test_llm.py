@@ -241,8 +241,8 @@ def test_similar_copies(spark, docs, none, monkeypatch):
                 label = [low if x == high else x for x in label]
     want = sorted(set(label))
     assert 10 < len(want) < 40
-    for first in (4, 1):  # one candidate a pass: more passes, the same groups
-        monkeypatch.setattr(simhash, "FIRST_PAIRS", first)
+    for most in (3_000_000, 2_000):  # a group in many parts, and whole
+        monkeypatch.setattr(simhash, "GROUP_SHINGLES", most)
         assert sorted(r.doc_id for r in simhash.drop_similar_copies(df).collect()) == want
     kept = simhash.drop_similar_copies(docs)
     assert kept.columns == docs.columns and sorted((str(r.doc_id) for r in kept.collect()), key=str) == sorted({"0", "3", "6", "8", "9", "11", "12", "13", "14", "None"}, key=str)
@@ -491,19 +491,24 @@ def test_lm_beats_the_base(spark):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
-def test_lm_fits_on_all_training_documents(spark):
-    path = public_tokenizers.path(lm_score.VOCABULARY)
-    size = bpe.encoder(path).max_token_value + 1
-    rows = [(i, False, f"the cat number {i} sat on the mat") for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string").coalesce(1)
-    used = sorted({x for _, _, t in rows for x in bpe.encoder(path).encode_ordinary(" " + t)})
-    counts = np.ones(size + 1, "i8")
-    counts[used] = 2
+def test_lm_fits_on_all_training_documents(spark, monkeypatch):
+    """An id's row moves only if a text that has it was learnt from: here each text has an id of its own, over many blocks."""
+    monkeypatch.setattr(lm_score, "FIRST_SHARE", 1000)  # the first round reads next to nothing
+    size, n = 2000, 400
+    own = np.arange(n) + 1000
+    blocks = []
+    for part in np.array_split(np.arange(n), 8):
+        ids = np.stack([np.full(len(part), 1), own[part], np.full(len(part), size)], 1).ravel()
+        held = np.arange(len(part)) == 0
+        blocks.append((lm_score._ints(ids), lm_score._ints(np.full(len(part), 3)), held.tobytes()))
+    laid = spark.createDataFrame(blocks, "ids binary, n_ids binary, held_out binary").repartition(3)
+    counts = np.zeros(size + 1, "i8")
+    counts[[1, *own]] = 5
     ids = lm_score.Ids(counts)
     start = lm_score.unpack(lm_score.start_weights(ids.bias))["o"]
-    for chars in (1_000, 2_000_000_000):  # an id's row moves only if a text that has it was learnt from
-        moved = (lm_score.unpack(lm_score._fit(df, ids, path, chars))["o"] != start).any(1)
-        assert moved[ids.row[used]].mean() > 0.95 and len(used) > 20
+    moved = (lm_score.unpack(lm_score._fit(laid, ids))["o"] != start).any(1)[ids.row[own]]
+    held = np.concatenate([np.arange(len(p)) == 0 for p in np.array_split(np.arange(n), 8)])
+    assert moved[~held].all() and not moved[held].any()
 
 
 def test_pipeline_on_small_tables(spark, tmp_path):
