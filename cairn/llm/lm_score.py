@@ -428,9 +428,9 @@ def _fit(laid: DataFrame, ids: Ids) -> np.ndarray:
                 yield pa.record_batch({"x": pa.array([total.tobytes()], "binary"), "n": pa.array([n], "int64")})
 
         parts = materialize(laid.select("ids", "n_ids", "held_out").mapInArrow(run, "x binary, n long"), "weights", "uncompressed")
-        sums = parts.repartition(max(1, int(parts.count() ** 0.5))).mapInArrow(add, "x binary, n long").collect()
-        if sums:
-            flat = (sum(np.frombuffer(r["x"], "f8") for r in sums) / sum(r["n"] for r in sums)).astype("f4")
+        some = parts.repartition(max(1, int(parts.count() ** 0.5))).mapInArrow(add, "x binary, n long")
+        for x, n in some.repartition(1).mapInArrow(add, "x binary, n long").collect():
+            flat = (np.frombuffer(x, "f8") / n).astype("f4")
     return flat
 
 
