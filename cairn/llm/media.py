@@ -4,8 +4,10 @@
 decodes the sample tables (stts, stsc, stsz, stco or co64, stss) and yields codec, duration and the keyframes' byte
 ranges without touching a payload; ``read_samples`` follows the same tables to the stored bytes.
 
-Defined results: null or broken media give nulls from ``probe``; a box whose size leaves its parent is broken, as are
-tables that point outside the file, samples that no chunk holds, and chunks whose samples are not stated.
+Defined results: null or broken media give nulls from ``probe`` and ``samples``, and never fail a task; a box whose size leaves its
+parent is broken, as are boxes nested more than MAX_DEPTH deep, tables that are shorter than stated or point outside the
+file, samples that no chunk holds, and chunks whose samples are not stated. A column of the result's name is replaced; all
+others come back as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from cairn.llm.common import freeing, table, text_of
 
 #: Boxes that hold only boxes (fixed values of ISO/IEC 14496-12).
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf")
+#: Boxes that a box may lie in, one inside the other.
+MAX_DEPTH = 32
 #: Bytes a sample, samples a second and a chunk, and every which sample is marked as a keyframe.
 SAMPLE_BYTES, TIMESCALE, SAMPLES_A_CHUNK, KEY_EVERY = 64, 8000, 256, 16
 CODEC = b"raw "
@@ -73,10 +77,13 @@ def pack(payload: bytes) -> bytes:
     return b"".join((head, mdat, payload, moov))
 
 
-def boxes(media: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, body start, body end) of each box, parents before children."""
-    end = len(media) if end is None else end
-    while start < end:
+def boxes(media: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, body start, body end) of each box, parents before children; nested MAX_DEPTH deep at most."""
+    todo = [(0, len(media), ())]  # rests of boxes whose children were not read yet, the innermost last
+    while todo:
+        start, end, path = todo.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("bytes left after the last box")
         size, kind = struct.unpack_from(">I4s", media, start)
@@ -90,9 +97,11 @@ def boxes(media: bytes, start: int = 0, end: int | None = None, path: tuple[byte
         if size < head or start + size > end:
             raise ValueError(f"{kind!r} leaves its parent")
         yield (*path, kind), start + head, start + size
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from boxes(media, start + head, start + size, (*path, kind))
-        start += size
+            if len(path) >= MAX_DEPTH:
+                raise ValueError("boxes are nested too deeply")
+            todo.append((start + head, start + size, (*path, kind)))
 
 
 def _numbers(media: bytes, start: int, end: int, kind: str, skip: int, width: int = 1) -> np.ndarray:
@@ -104,29 +113,43 @@ def _numbers(media: bytes, start: int, end: int, kind: str, skip: int, width: in
 
 
 def sample_table(media: bytes) -> dict:
-    """Codec, time scale, duration, and each sample's offset, size and keyframe mark, of the first track."""
+    """Codec, time scale, duration, and each sample's offset, size and keyframe mark, of the first track. ValueError of
+    whatever is no such file. Stated numbers are compared with the file's length before anything is made of them."""
     out, at = {}, {}
     tracks = 0
-    for path, a, b in boxes(media):
-        tracks += path[-1] == b"trak"
-        if tracks <= 1 and b"trak" in path:
-            at.setdefault(path[-1], (a, b))
     try:
-        a, _ = at[b"mdhd"]
-        version = media[a]
-        out["timescale"], out["duration"] = struct.unpack_from(">IQ", media, a + 20) if version == 1 else struct.unpack_from(">II", media, a + 12)
+        for path, a, b in boxes(media):
+            tracks += path[-1] == b"trak"
+            if tracks <= 1 and b"trak" in path:
+                at.setdefault(path[-1], (a, b))
+        a, b = at[b"mdhd"]
+        long = a < b and media[a] == 1
+        if b - a < (32 if long else 20):
+            raise ValueError("a media header is too short")
+        out["timescale"], out["duration"] = struct.unpack_from(">IQ", media, a + 20) if long else struct.unpack_from(">II", media, a + 12)
         a, b = at[b"stsd"]
+        if b - a < 16:
+            raise ValueError("a sample description is too short")
         out["codec"] = struct.unpack_from(">4s", media, a + 12)[0].decode("latin-1").strip()
         times = _numbers(media, *at[b"stts"], ">u4", 4, 2)
         runs = _numbers(media, *at[b"stsc"], ">u4", 4, 3)
         wide = b"co64" in at
         chunks = _numbers(media, *at[b"co64" if wide else b"stco"], ">u8" if wide else ">u4", 4)[:, 0]
         a, b = at[b"stsz"]
+        if b - a < 12:
+            raise ValueError("a table of sizes is too short")
         same, count = struct.unpack_from(">II", media, a + 4)
+        marked = _numbers(media, *at[b"stss"], ">u4", 4)[:, 0] - 1 if b"stss" in at else None
     except (KeyError, struct.error) as e:
         raise ValueError(f"a box is missing or too short: {e}") from None
+    if out["duration"] >= 1 << 63:
+        raise ValueError("a duration that no clock reaches")
+    if same * count > len(media):
+        raise ValueError("samples leave the file")
+    if len(chunks) and (chunks.min() < 0 or chunks.max() > len(media)):
+        raise ValueError("chunks leave the file")
     sizes = np.full(count, same, "i8") if same else _numbers(media, a, b, ">u4", 8)[:, 0]
-    if times[:, 0].sum() != count or (len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any())):
+    if times[:, 0].sum() != count or (len(runs) and (runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks))):
         raise ValueError("time or chunk tables do not fit the samples")
     per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1))) if len(runs) else np.zeros(0, "i8")
     if len(per) != len(chunks) or per.sum() != count:
@@ -135,16 +158,16 @@ def sample_table(media: bytes) -> dict:
     before = np.concatenate(([0], np.cumsum(sizes)))
     first = np.concatenate(([0], np.cumsum(per)))[:-1]
     offsets = chunks[chunk_of] + before[:-1] - before[first][chunk_of]
-    if count and (offsets.min() < 0 or (offsets + sizes).max() > len(media)):
+    if count and (offsets + sizes).max() > len(media):
         raise ValueError("samples leave the file")
     keys = np.ones(count, bool)
-    if b"stss" in at:
-        marked = _numbers(media, *at[b"stss"], ">u4", 4)[:, 0] - 1
+    if marked is not None:
         if len(marked) and (marked.min() < 0 or marked.max() >= count):
             raise ValueError("a keyframe is no sample")
         keys = np.zeros(count, bool)
         keys[marked] = True
-    return out | {"offsets": offsets, "sizes": sizes, "keys": keys, "ticks": int((times[:, 0] * times[:, 1]).sum())}
+    ticks = sum(int(n) * int(t) for n, t in times.tolist())
+    return out | {"offsets": offsets, "sizes": sizes, "keys": keys, "ticks": ticks}
 
 
 def read_samples(media: bytes) -> bytes:
@@ -201,8 +224,15 @@ def probe_column(df: DataFrame, media: str, probed: str) -> DataFrame:
     return _appended(df, media, probed, PROBED, _probe)
 
 
+def _samples(media: bytes) -> bytes | None:
+    try:
+        return read_samples(media)
+    except ValueError:
+        return None
+
+
 def samples_column(df: DataFrame, media: str, payload: str) -> DataFrame:
-    return _appended(df, media, payload, T.BinaryType(), read_samples)
+    return _appended(df, media, payload, T.BinaryType(), _samples)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,5 +253,5 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("samples="), F.col("__probe.n_samples").cast("string")),
                     F.concat(F.lit("keyframes="), F.size("__probe.key_ranges").cast("string")),
                     F.concat(F.lit("key_ranges_sha256="), F.sha2(ranges.cast("binary"), 256))).alias("feature"),
-        F.slice("__probe.key_ranges", 1, 1).alias("first_key_range"),
+        F.col("__probe.key_ranges").alias("key_ranges"),
     )
