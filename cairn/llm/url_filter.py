@@ -1,44 +1,41 @@
 """URL filters: host word segmentation, then naive Bayes.
 
-Rules on (host, path prefix) decide first. The other urls are judged by a multinomial naive Bayes over the words of
-host and path: host labels are split at non-letters and concatenated names are segmented by unigram Viterbi. The
-unigrams are the counts of letter runs in the paths and hyphenated hosts of all urls, plus a seed lexicon; the classes
-are fitted on seed examples. Both models are bounded (``MAX_WORDS``), so they travel inside the function; the urls are
-judged where they lie, without a shuffle, and each distinct host is segmented once per Python worker's cache.
-
-Defined results: null urls and urls without ``://`` have empty host and path, no rule, and the verdict of an
-empty word list: ``allow``. Rows that repeat are judged alike; other columns are not looked at.
+Rules on (host, path prefix) decide first. The other urls are judged by a multinomial naive Bayes over words: hosts are cut
+at what is no letter, and concatenated names are segmented by unigram Viterbi; paths are cut at what is no letter. The unigrams
+are the letter runs of WORD_LETTERS of all pages' visible text, of all paths and of hyphenated hosts. The classifier is trained
+here, on every distinct url of the table: urls that a rule blocks are one class, all others the other. So a url that no rule
+decides is blocked where its words are those of blocked urls, not for lack of evidence.
+
+Nothing grows on the driver and nothing is broadcast: words, their counts and odds are tables. Each distinct run of letters in
+a host is segmented once, from those of its substrings that the table of words has; each distinct url is judged once.
+
+Defined results: null urls and urls without ``://`` have empty host and path and no rule; an empty list of words has the
+score of the prior odds. Repeated urls are judged alike; without any blocked url nothing else is blocked. An empty table gives an
+empty result. Only the columns named are read, whatever the names of others.
 """
 
 from __future__ import annotations
 
-import functools
 import math
-import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import freeing, materialize, quoted, table
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Seed examples of the two classes, as space-separated words.
-BLOCK_WORDS = "spam farm cheap pills pill casino poker bet betting viagra cialis porn sex adult xxx loan loans payday replica free win winner prize lottery click clickbait escort dating crypto airdrop pharma pharmacy diet weight miracle warez crack keygen torrent hack cheats seo backlink backlinks"
-ALLOW_WORDS = "news blog docs wiki help about science school university library research health history archive media review guide learn book books article articles story travel music sports weather recipe recipes garden home family city museum art culture law public government open data code developer forum support contact page www index html"
-#: Words that a host's end or a path's form brings with it: no evidence.
-SILENT = frozenset("com net org example http https www html en de fr es utm source ref feed top page".split())
-MAX_WORDS, SEED_COUNT, SMOOTHING = 20_000, 1000, 0.5
-
-_LETTERS = re.compile(r"[a-z]+")
+#: Letters that a word of the unigram model has, at least and at most: longer runs are names to be segmented, not words.
+WORD_LETTERS = (2, 30)
+#: Added to each class's count of each word.
+SMOOTHING = 0.5
 
 
 def split_url(url: str) -> tuple["F.Column", "F.Column"]:
     """Host and path columns of a url column, as RULES use them; A-Z of the host are lower-cased."""
-    after = F.when(F.instr(F.col(url), "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)"))
+    after = F.when(F.instr(F.col(quoted(url)), "://") > 0, F.expr(f"substring({quoted(url)}, instr({quoted(url)}, '://') + 3)"))
     host = F.regexp_extract(after, r"^([^/?#]*)", 1)
     path = F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1)
     lower = F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,81 +54,120 @@ def rule_columns(host: "F.Column", path: "F.Column", rules=RULES) -> tuple["F.Co
 class HostWords:
     """Unigram Viterbi: the split of a run of letters with the highest product of word probabilities."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
-        self.log = {w: math.log10(n / self.total) for w, n in counts.items() if n > 0}
-        self.longest = max(map(len, self.log), default=1)
-        self.split = functools.lru_cache(50_000)(self._split)
+    def __init__(self, total: int):
+        self.total = total or 1
+
+    def known(self, count: int) -> float:
+        return math.log10(count / self.total)
 
-    def _unknown(self, n: int) -> float:
+    def unknown(self, n: int) -> float:
         return -math.log10(self.total) - n  # ten times less likely with each letter
 
-    def _split(self, run: str) -> tuple[str, ...]:
+    def split(self, run: str, counts: dict[str, int]) -> list[str]:
+        """``counts`` has at least the run's substrings that are words."""
+        log = {w: self.known(c) for w, c in counts.items() if c > 0}
+        longest = max(map(len, log), default=1)
         best, back = [0.0], [0]
+        # an unknown word may have any length; its letters cost alike, so the best place to open one is kept as we go
+        opened = (0.0, 0)
         for end in range(1, len(run) + 1):
-            known = [(best[a] + self.log[w], a) for a in range(max(0, end - self.longest), end) if (w := run[a:end]) in self.log]
-            # an unknown word may have any length: its letters cost alike, so opening one late never wins
-            a = max(range(end), key=lambda a: (best[a] + self._unknown(end - a), -a))
-            top = max([*known, (best[a] + self._unknown(end - a), a)], key=lambda x: (x[0], -x[1]))
+            opened = max(opened, (best[end - 1] + end - 1, -(end - 1)))
+            top = (opened[0] - math.log10(self.total) - end, opened[1])
+            for a in range(max(0, end - longest), end):
+                if (w := run[a:end]) in log:
+                    top = max(top, (best[a] + log[w], -a))
             best.append(top[0])
-            back.append(top[1])
+            back.append(-top[1])
         words, end = [], len(run)
         while end:
-            words.append(run[back[end]:end])
+            words.append(run[back[end] : end])
             end = back[end]
-        return tuple(reversed(words))
-
-
-class WordBayes:
-    """Multinomial naive Bayes of two classes over words; words that no example has are left out."""
+        return words[::-1]
 
-    def __init__(self, block: str, allow: str, smoothing: float = SMOOTHING):
-        words = sorted({*block.split(), *allow.split()})
-        n = [[t.split().count(w) + smoothing for w in words] for t in (block, allow)]
-        self.odds = {w: math.log(b / sum(n[0])) - math.log(a / sum(n[1])) for w, b, a in zip(words, *n, strict=True)}
 
-    def score(self, words) -> float:
-        """Log odds of block; an empty list gives 0."""
-        return sum(self.odds.get(w, 0.0) for w in words)
+def _runs(text: "F.Column") -> "F.Column":
+    """Runs of the letters a to z, in order; other letters separate."""
+    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
 
 
-def word_counts(pages: DataFrame, url: str) -> dict[str, int]:
-    """Letter runs of all hosts' hyphenated labels and all paths: the MAX_WORDS most frequent, and the seed lexicon."""
+def word_counts(pages: DataFrame, url: str = "url", html: str | None = None) -> DataFrame:
+    """Written: (word, n) of all words of the pages' texts without tags, of all paths and of hyphenated hosts."""
     host, path = split_url(url)
-    parts = F.split(F.lower(F.concat_ws("/", F.when(F.contains(host, F.lit("-")), host), path)), "[^a-z]+")
-    top = pages.select(F.explode(parts).alias("w")).filter(F.length("w").between(2, 30)).groupBy("w").count().orderBy(F.desc("count"), "w").limit(MAX_WORDS)
-    counts = {r["w"]: r["count"] for r in top.collect()}
-    for w in (BLOCK_WORDS + " " + ALLOW_WORDS).split():
-        counts[w] = counts.get(w, 0) + SEED_COUNT
-    return counts
-
-
-def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, counts: dict[str, int] | None = None) -> DataFrame:
-    """``pages`` with __host, __path, __rule, __verdict, __words (the segmented words) and __score (log odds of block)."""
-    counts = word_counts(pages, url) if counts is None else counts
-    shared = pages.sparkSession.sparkContext.broadcast(counts)
-    host, path = split_url(url)
-    rule, decided = rule_columns(F.col("__host"), F.col("__path"), rules)
-
-    def words(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        split, bayes = HostWords(shared.value), WordBayes(BLOCK_WORDS, ALLOW_WORDS)
-        cut = lambda s: [w for run in _LETTERS.findall(s.lower()) for w in split.split(run[:253])] if len(s) <= 253 else [w for run in _LETTERS.findall(s.lower()) for k in range(0, len(run), 253) for w in split.split(run[k:k + 253])]
-        for hosts, paths in batches:
-            found = [[w for w in cut(h) + cut(p) if w not in SILENT] for h, p in zip(hosts, paths, strict=True)]
-            yield pd.DataFrame({"words": found, "score": np.array([bayes.score(w) for w in found], "f8")})
-
-    judged = pages.withColumn("__host", host).withColumn("__path", path)
-    judged = judged.withColumn("__nb", F.pandas_udf(words, "words array<string>, score double")("__host", "__path"))
-    by_words = F.when(F.col("__nb.score") > 0, "block").otherwise("allow")
-    return (
-        judged.withColumn("__rule", rule).withColumn("__verdict", F.coalesce(decided, by_words))
-        .withColumn("__words", F.col("__nb.words")).withColumn("__score", F.col("__nb.score")).drop("__nb")
-    )
+    parts = [F.when(F.contains(host, F.lit("-")), host), path]
+    if html is not None:
+        parts.append(F.regexp_replace(F.coalesce(F.col(quoted(html)).cast("string"), F.lit("")), "<[^>]*>", " "))
+    words = pages.select(F.explode(_runs(F.concat_ws("/", *parts))).alias("word"))
+    return materialize(words.filter(F.length("word").between(*WORD_LETTERS)).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "unigrams")
+
+
+def segment(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of each distinct ``run``: its substrings meet the table of words, and Viterbi chooses among those found."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    low, high = WORD_LETTERS
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
+    rest = F.length("run") - F.col("start") + 1
+    ends = starts.filter(rest >= low).select("run", "start", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), rest))).alias("letters"))
+    pieces = ends.select("run", F.call_function("substring", "run", "start", "letters").alias("word")).distinct()
+    found = pieces.join(counts, "word").groupBy("run").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
+
+    @freeing
+    def split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = HostWords(total)
+        for run, words, n in batches:
+            yield pd.Series([model.split(r, {} if w is None else dict(zip(w, c, strict=True))) for r, w, c in zip(run, words, n, strict=True)])
+
+    whole = runs.join(found, "run", "left")
+    return whole.select("run", F.pandas_udf(split, "array<string>")("run", "words", "counts").alias("words"))
+
+
+def url_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """Written: (url, host, path, words) of distinct ``urls`` (url, host, path): the host's segmented words, then the path's."""
+    hosts = urls.select("host").distinct().select("host", F.posexplode(_runs(F.col("host"))).alias("at", "run"))
+    cut = materialize(segment(hosts.select("run").distinct(), counts), "segmented")
+    own = hosts.join(cut, "run").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("runs"))
+    own = materialize(own.select("host", F.flatten("runs.words").alias("host_words")), "hosts")
+    none = F.array().cast("array<string>")
+    words = F.concat(F.coalesce("host_words", none), _runs(F.col("path")))
+    return materialize(urls.join(own, "host", "left").select("url", "host", "path", words.alias("words")), "url-words")
+
+
+def train(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """Of (words, block): (word, odds), the log odds of block of each word; and the prior log odds."""
+    classes = labelled.groupBy("block").agg(F.count(F.lit(1)).alias("urls"), F.sum(F.size("words")).alias("words")).collect()
+    urls, words = ({r["block"]: r[c] for r in classes} for c in ("urls", "words"))
+    each = labelled.select("block", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("block").alias("b"), F.count_if(~F.col("block")).alias("a"))
+    each = materialize(each, "classes")
+    size = each.count()
+    log = lambda n, own: F.log((n + SMOOTHING) / (words.get(own, 0) + SMOOTHING * size))
+    prior = math.log((urls.get(True, 0) + SMOOTHING) / (urls.get(False, 0) + SMOOTHING))
+    return each.select("word", (log(F.col("b"), True) - log(F.col("a"), False)).alias("odds")), prior
+
+
+def score(urls: DataFrame, odds: DataFrame, prior: float) -> DataFrame:
+    """``urls`` (url, words, ...) with the log odds of block. A word that training never saw says nothing."""
+    each = urls.select("url", F.posexplode("words").alias("at", "word")).join(odds, "word")
+    # added in the order of the words, so that reruns agree to the last digit
+    sums = each.groupBy(F.col("url").alias("scored")).agg(F.array_sort(F.collect_list(F.struct("at", "odds"))).alias("w"))
+    total = F.aggregate("w", F.lit(float(prior)), lambda x, y: x + y["odds"])
+    sums = sums.select("scored", total.alias("score"))
+    return urls.join(sums, F.col("url") == F.col("scored"), "left").drop("scored").withColumn("score", F.coalesce("score", F.lit(float(prior))))
+
+
+def judge_urls(pages: DataFrame, url: str = "url", html: str | None = None, rules=RULES) -> DataFrame:
+    """One row per distinct url of ``pages`` (null counts as empty): url, host, path, rule, verdict, words and score (log odds of block)."""
+    counts = word_counts(pages, url, html)
+    urls = pages.select(F.coalesce(F.col(quoted(url)).cast("string"), F.lit("")).alias("url")).distinct()
+    host, path = split_url("url")
+    known = url_words(urls.select("url", host.alias("host"), path.alias("path")), counts)
+    rule, decided = rule_columns(F.col("host"), F.col("path"), rules)
+    odds, prior = train(known.select("words", F.coalesce(decided == "block", F.lit(False)).alias("block")))
+    judged = score(known, odds, prior)
+    verdict = F.coalesce(decided, F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return judged.select("url", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "words", "score")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge_urls(pages).select(
-        "page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"),
-        F.col("__verdict").alias("verdict"), F.col("__words").alias("words"), F.col("__score").alias("score"),
-    )
+    pages = table(spark, sf_dir, "pages")
+    judged = materialize(judge_urls(pages, html="html"), "judged").withColumnRenamed("url", "judged_url")
+    own = pages.select("page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"))
+    return own.join(judged, F.col("url") == F.col("judged_url")).select("page_id", "host", "path", "rule", "verdict", "words", "score")
