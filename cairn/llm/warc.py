@@ -25,11 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize, table
+from cairn.llm.common import freeing, materialize, table
+from cairn.llm.rows import BROADCAST_LOG2, filter_log2, flagged, words_set
 
 MIN_BYTES = 100
-#: Compressed bytes after which an archive ends; captures a merge range holds about; keys sampled for the splits at most.
-ARCHIVE_BYTES, RANGE_ROWS, SAMPLE_KEYS = 4_000_000, 40_000, 20_000
+#: Compressed bytes after which an archive ends; captures a merge range holds about; keys sampled for each range, and
+#: at most: ranges grow beyond 40,000 captures only where there are more than some 16 thousand million.
+ARCHIVE_BYTES, RANGE_ROWS, KEYS_A_RANGE, SAMPLE_KEYS = 4_000_000, 40_000, 20, 400_000
 
 CAPTURE = "page_id long, urlkey string, ts string, record_type string, payload_bytes long, payload_digest string, refers_to long, target string, offset long, length long"
 
@@ -58,48 +60,51 @@ def _record(kind: str, page_id, url: str, ts: str, digest: str, n: int, payload:
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + z.flush()
 
 
+def _raw(html: str = "html"):
+    return F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
+
+
 def first_captures(pages: DataFrame) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the rows that revisit an earlier capture. Only ids, lengths and digests shuffle."""
-    raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    sums = materialize(pages.select("page_id", F.octet_length(raw).alias("n"), F.sha2(raw, 256).alias("digest")), "digests").filter(F.col("n") >= MIN_BYTES)
+    """Written: (page_id, payload_digest, refers_to) of the rows that revisit an earlier capture. Only ids, lengths and digests shuffle."""
+    sums = pages.select("page_id", F.octet_length(_raw()).alias("n"), F.sha2(_raw(), 256).alias("digest"))
+    sums = materialize(sums, "digests").filter(F.col("n") >= MIN_BYTES)
     firsts = sums.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     later = F.col("page_id").isNull() | (F.col("page_id") > F.col("refers_to"))
-    return sums.join(firsts, "digest").filter(later & F.col("refers_to").isNotNull()).select("page_id", "digest", "refers_to").distinct()
+    decided = sums.join(materialize(firsts, "firsts"), "digest").filter(later & F.col("refers_to").isNotNull())
+    return materialize(decided.select("page_id", "digest", "refers_to").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """A written table of archives (archive long, content binary) with one record per row of ``pages`` (page_id,
-    url, html, ts). Records are compressed before rows meet their decision, so that shuffle moves little."""
-
-    def respond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for page, url, html, ts in zip(b["page_id"], b["url"], b["html"], b["ts"], strict=True):
-                raw = html.encode()
-                digest = hashlib.sha256(raw).hexdigest()
-                out.append((page, digest, len(raw), url, ts, _record("response", page, url, ts, digest, len(raw), raw)))
-            yield pd.DataFrame(out, columns=["page", "digest_", "n", "url", "ts", "record"])
-
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    records = pages.select(F.col("page_id").cast("string").alias("page_id"), empty("url"), empty("html"), "ts").mapInPandas(
-        respond, "page string, digest_ string, n long, url string, ts string, record binary"
-    )
-    decided = first_captures(pages).select(F.col("page_id").cast("string").alias("page_id"), "digest", F.col("refers_to").cast("string").alias("refers_to"))
-    joined = records.join(decided, F.col("page").eqNullSafe(F.col("page_id")) & (F.col("digest_") == F.col("digest")), "left")
-
+    url, html, ts; other columns are not read). Rows that a filter of the revisits clears are written where they lie; only the
+    others meet the decisions."""
+    decided = first_captures(pages)
+    key = F.xxhash64(F.col("page_id").isNull(), "page_id", "digest")
+    log2 = min(filter_log2(decided.count()), BROADCAST_LOG2)
+    words = materialize(words_set(decided.select(key.alias("h")), log2), "filter")
+    own = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), "ts")
+    own = flagged(own.withColumn("digest", F.sha2(_raw(), 256)), key, words, log2)
+    told = decided.select(F.col("page_id").alias("told_page"), F.col("digest").alias("told_digest"), "refers_to")
+    met = own.filter("maybe").join(told, F.col("page_id").eqNullSafe(F.col("told_page")) & (F.col("digest") == F.col("told_digest")), "left")
+    ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]  # as text: nulls would make floats of numbers
+    alone = own.filter("not maybe").withColumn("refers_to", F.lit(None))
+    rows = alone.select("url", "html", "ts", "digest", *ids).unionByName(met.select("url", "html", "ts", "digest", *ids))
+
+    @freeing
     def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for b in batches:
-            for page, digest, n, url, ts, record, to in zip(b["page"], b["digest_"], b["n"], b["url"], b["ts"], b["record"], b["refers_to"], strict=True):
-                held.append(record if to is None else _record("revisit", page, url, ts, digest, n, b"", to))
-                size += len(held[-1])
+            for page, url, html, ts, digest, to in zip(b["page_id"], b["url"], b["html"], b["ts"], b["digest"], b["refers_to"], strict=True):
+                raw = html.encode()
+                record = _record("response", page, url, ts, digest, len(raw), raw) if to is None else _record("revisit", page, url, ts, digest, len(raw), b"", to)
+                held.append(record)
+                size += len(record)
                 if size >= ARCHIVE_BYTES:
                     yield pd.DataFrame({"content": [b"".join(held)]})
                     held, size = [], 0
         if held:
             yield pd.DataFrame({"content": [b"".join(held)]})
 
-    rows = joined.select("page", "digest_", "n", "url", "ts", "record", "refers_to")
     written = materialize(rows.mapInPandas(archive, "content binary"), "archives", "uncompressed")
     return written.select(F.monotonically_increasing_id().alias("archive"), "content")
 
@@ -211,10 +216,10 @@ class LoserTree:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Fields of CAPTURE, archive, and (range, pos): the place in the global order by URL key, timestamp and id."""
     n = runs.count()
-    step = max(1, -(-n // SAMPLE_KEYS))
+    ranges = max(1, -(-n // RANGE_ROWS))
+    step = max(1, n // min(SAMPLE_KEYS, KEYS_A_RANGE * ranges))
     sample = runs.filter((F.col("pos") + F.xxhash64("archive") % step) % step == 0) if step > 1 else runs
     keys = sorted(sort_key((r[0], r[1], r[2])) for r in sample.select("page_id", "urlkey", "ts").limit(2 * SAMPLE_KEYS).collect())
-    ranges = max(1, -(-n // RANGE_ROWS))
     splits = [keys[len(keys) * k // ranges] for k in range(1, ranges)] if keys else []
     shared = runs.sparkSession.sparkContext.broadcast(splits)
 
@@ -258,14 +263,3 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages.withColumn("ts", F.date_format(F.timestamp_seconds(seconds), "yyyyMMddHHmmss"))
     merged = merge_runs(capture_runs(write_archives(pages)))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", F.col("ts").alias("capture_ts"), "range", "pos")
-
-
-OP1_PLAIN_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
-d AS (SELECT page_id, octet_length(raw) AS n, sha256(raw) AS digest FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM d)
-SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-       CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to
-FROM f
-"""
