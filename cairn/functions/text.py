@@ -7,19 +7,26 @@ from pyspark.sql import functions as F
 
 # Words that full-text search leaves out.
 STOP_WORDS = (
-    "the a an and or not is are was were be been being have has had do does did will would could should may might must shall "
-    "can to of in on at by for with about from as into through during before after above below up down out off over under again "
-    "further then once here there when where why how all any both each few more most other some such no nor only own same so than "
-    "too very just because but if while although though since until unless however therefore thus def return class import from self "
-    "none true false null undefined this that these those"
-).split()
+    "the", "a", "an", "and", "or", "not", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "to", "of",
+    "in", "on", "at", "by", "for", "with", "about", "from", "as", "into", "through", "during", "before", "after",
+    "above", "below", "up", "down", "out", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "only", "own", "same", "so", "than", "too", "very", "just", "because", "but", "if",
+    "while", "although", "though", "since", "until", "unless", "however", "therefore", "thus", "def", "return",
+    "class", "import", "from", "self", "none", "true", "false", "null", "undefined", "this", "that", "these",
+    "those",
+)
 # Words that are never a symbol's name.
 SYMBOL_STOP_WORDS = (
-    "the a an and or not is are was were be been to of in on at by for with how what where when why who which that this these those "
-    "do does did has have can could should would will may might must def class import from self true false none null undefined "
-    "function return var let const public private protected static void int string call calls called caller callers use used uses "
-    "usage where find who 谁 调用 哪里 哪个 哪个函数 哪里用 谁用"
-).split()
+    "the", "a", "an", "and", "or", "not", "is", "are", "was", "were", "be", "been", "to", "of", "in", "on", "at",
+    "by", "for", "with", "how", "what", "where", "when", "why", "who", "which", "that", "this", "these", "those",
+    "do", "does", "did", "has", "have", "can", "could", "should", "would", "will", "may", "might", "must", "def",
+    "class", "import", "from", "self", "true", "false", "none", "null", "undefined", "function", "return", "var",
+    "let", "const", "public", "private", "protected", "static", "void", "int", "string", "call", "calls", "called",
+    "caller", "callers", "use", "used", "uses", "usage", "where", "find", "who", "谁", "调用", "哪里", "哪个", "哪个函数",
+    "哪里用", "谁用",
+)
 # Extension to language, for indexing and (wider) for display.
 INDEX_LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go"}
 DISPLAY_LANGUAGES = {
@@ -47,7 +54,7 @@ def tokenize(text: Column) -> Column:
     parts = F.split(F.lower(t), r"[^\p{L}\p{N}]+")
     bigrams = lambda p: F.filter(F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.substring(p, i, 2)), lambda b: F.length(b) == 2)
     cut = F.flatten(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.when(p.rlike(cjk), bigrams(p)).otherwise(F.array(p))))
-    return F.filter(F.when(t.rlike(cjk), cut).otherwise(parts), lambda p: (F.length(p) > 1) & ~p.isin(STOP_WORDS))
+    return F.filter(F.when(t.rlike(cjk), cut).otherwise(parts), lambda p: (F.length(p) > 1) & ~p.isin(*STOP_WORDS))
 
 
 def normalize_query(q: Column) -> Column:
@@ -164,7 +171,7 @@ def rate_exempt(path: Column) -> Column:
 
 def symbol_tokens(q: Column) -> Column:
     tags = F.regexp_extract_all(q, F.lit(r"#([\p{L}\p{N}_]+)"), F.lit(1))
-    names = F.filter(F.regexp_extract_all(q, F.lit(r"([A-Za-z_][A-Za-z0-9_]+)"), F.lit(1)), lambda t: ~F.lower(t).isin(SYMBOL_STOP_WORDS))
+    names = F.filter(F.regexp_extract_all(q, F.lit(r"([A-Za-z_][A-Za-z0-9_]+)"), F.lit(1)), lambda t: ~F.lower(t).isin(*SYMBOL_STOP_WORDS))
     return F.array_distinct(F.concat(tags, names))
 
 

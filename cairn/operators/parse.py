@@ -4,6 +4,7 @@ languages by line patterns, which is less than a grammar would give."""
 from __future__ import annotations
 
 import ast
+import itertools
 import textwrap
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ from cairn.functions.text import chunk_id, is_import_line
 
 SYMBOLS = "path string, ord int, name string, symbol_type string, start_line int, end_line int"
 EDGES = "path string, ord int, kind string, target string, line int"
-# Lines that define functions, classes and variables.
-FUNC, CLASS, VAR = r"^\s*(?:(?:async\s+)?def|function|func)\s+(\w+)", r"^\s*class\s+(\w+)", r"^\s*(?:const|let|var)\s+(\w+)\s*="
+#: A line that defines something: the word that says what, its name, and whether a value follows.
+DEFINES = r"^\s*(?:async\s+)?(def|function|func|class|const|let|var)\s+(\w+)\s*(=?)"
 
 
 def _python_symbols(path: str, source: str) -> list[tuple]:
@@ -83,10 +84,10 @@ def source_lines(files: DataFrame) -> DataFrame:
 def fallback_symbols(files: DataFrame) -> DataFrame:
     """Definitions by line patterns: a function or class reaches to the line before the next one; variables inside such
     a block are part of it. Windows per file, no Python."""
-    t = F.col("text")
-    name = lambda p: F.regexp_extract(t, p, 1)
-    lines = source_lines(files).withColumn("kind", F.when(name(FUNC) != "", "function").when(name(CLASS) != "", "class").when(name(VAR) != "", "variable"))
-    lines = lines.withColumn("name", F.when(F.col("kind") == "function", name(FUNC)).when(F.col("kind") == "class", name(CLASS)).when(F.col("kind") == "variable", name(VAR)))
+    part = lambda k: F.regexp_extract("text", DEFINES, k)
+    word = part(1)
+    kind = F.when(word.isin("def", "function", "func"), "function").when(word == "class", "class").when(word.isin("const", "let", "var") & (part(3) == "="), "variable")
+    lines = source_lines(files).withColumn("kind", kind).withColumn("name", F.when(F.col("kind").isNotNull(), part(2)))
     w = W.partitionBy("path").orderBy("line")
     block = F.max(F.when(F.col("kind").isin("function", "class"), F.col("line"))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     lines = lines.withColumn("block", block)
@@ -141,45 +142,39 @@ PIECES = "path string, symbol_name string, chunk_type string, content string, st
 _CONTROL = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.TryStar, ast.With, ast.AsyncWith, ast.Match)
 
 
+def _cuts(sizes: list[int], least: int) -> list[int]:
+    """Where consecutive blocks end once those of fewer than ``least`` lines are gathered: numbers of blocks, as merge_small_blocks
+    gathers sizes."""
+    ends, gathered = [], 0
+    for k, size in enumerate(sizes, 1):
+        if size >= least and gathered:
+            ends.append(k - 1)
+        gathered = 0 if size >= least else gathered + size
+        if size >= least or gathered >= least:
+            ends.append(k)
+            gathered = 0
+    if gathered:  # a small rest belongs to the block before it
+        ends[-1:] = [len(sizes)]
+    return ends
+
+
 def _logical_blocks(lines: list[str], least: int) -> list[list[str]] | None:
-    """The body of a definition cut at its control-flow statements, runs of others together; blocks of fewer than
-    ``least`` lines gather. Null where the lines are not Python."""
+    """The body of a definition cut at its control-flow statements, runs of others together; small blocks gather. Null where
+    the lines are not Python."""
     try:
         body = ast.parse(textwrap.dedent("\n".join(lines))).body[0].body
     except (SyntaxError, ValueError, IndexError, AttributeError):
         return None
-    blocks, loose, end = [], [], 0
+    spans, last = [], 0  # (whether it is control flow, lines) of each statement that starts on a line of its own
     for stmt in body:
-        first = min([stmt.lineno, *(d.lineno for d in getattr(stmt, "decorator_list", []))])
-        if first <= end:  # shares a line with the statement before it
-            first = end + 1
-        text = lines[first - 1 : stmt.end_lineno]
-        end = max(end, stmt.end_lineno)
-        if not text:
-            continue
-        text = [text[0].lstrip(), *text[1:]]
-        if isinstance(stmt, _CONTROL):
-            blocks += [b for b in (loose, text) if b]
-            loose = []
-        else:
-            loose = loose + text
-    blocks += [loose] if loose else []
-    out, held = [], []
-    for b in blocks:
-        if len(b) >= least:
-            out += [x for x in (held, b) if x]
-            held = []
-        else:
-            held = held + b
-            if len(held) >= least:
-                out.append(held)
-                held = []
-    if held:
-        if out:
-            out[-1] = out[-1] + held
-        else:
-            out.append(held)
-    return out or None
+        first = max(last + 1, min([stmt.lineno, *(d.lineno for d in getattr(stmt, "decorator_list", []))]))
+        if own := lines[first - 1 : stmt.end_lineno]:
+            spans.append((isinstance(stmt, _CONTROL), [own[0].lstrip(), *own[1:]]))
+        last = max(last, stmt.end_lineno)
+    number = itertools.count()
+    runs = [[x for _, own in group for x in own] for _, group in itertools.groupby(spans, lambda s: next(number) if s[0] else -1)]
+    ends = _cuts([len(r) for r in runs], least)
+    return [[x for r in runs[a:b] for x in r] for a, b in zip([0, *ends], ends)] or None
 
 
 def chunk_split_ast(files: DataFrame, symbols: DataFrame, most: int = 200, piece: int = 150, least: int = 40) -> DataFrame:
