@@ -41,16 +41,18 @@ def compress_chunk(content: Column, chunk_type: Column, language: Column, lines:
 
 def context_truncate(items: DataFrame, budget: int) -> DataFrame:
     """Items (conv, ord, type, content) in the order of their type's priority, while their tokens fit; the first that
-    does not fit ends the list, but an implicit one is cut to what is left."""
+    does not fit ends the list, but an implicit one is cut to what is left. (conv, ord, type) names an item."""
     priority = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_PRIORITY.items() for x in kv]), F.col("type")), F.lit(9))
-    w = W.partitionBy("conv").orderBy("p", "ord")
-    tokens = F.floor(F.length("content") / 4)
-    run = items.withColumn("p", priority).withColumn("tokens", tokens).withColumn("cum", F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    run = run.withColumn("over", F.sum((F.col("cum") > budget).cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    w = W.partitionBy("conv").orderBy("p", "ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # the windows see numbers only; of the items, those that stay meet them again
+    sizes = items.select("conv", "ord", "type", priority.alias("p"), F.floor(F.length("content") / 4).alias("tokens"))
+    run = sizes.withColumn("cum", F.sum("tokens").over(w)).withColumn("over", F.sum((F.col("cum") > budget).cast("int")).over(w))
     left = F.lit(budget) - (F.col("cum") - F.col("tokens"))
-    cut = (F.col("over") == 1) & (F.col("type") == "implicit") & (left > 0)
-    kept = run.filter((F.col("over") == 0) | cut)
-    return kept.withColumn("content", F.when(F.col("over") == 1, X.truncate_text_tokens(F.col("content"), left)).otherwise(F.col("content"))).select("conv", "ord", "type", "content")
+    kept = run.filter((F.col("over") == 0) | ((F.col("over") == 1) & (F.col("type") == "implicit") & (left > 0)))
+    kept = kept.select(F.col("conv").alias("c"), F.col("ord").alias("o"), F.col("type").alias("y"), F.when(F.col("over") == 1, left).alias("left"))
+    both = items.join(kept, F.col("conv").eqNullSafe(F.col("c")) & (F.col("ord") == F.col("o")) & F.col("type").eqNullSafe(F.col("y")))
+    content = F.when(F.col("left").isNotNull(), X.truncate_text_tokens(F.col("content"), F.col("left"))).otherwise(F.col("content"))
+    return both.select("conv", "ord", "type", content.alias("content"))
 
 
 def assemble_budget(items: DataFrame, budget: int, overhead: int = 40) -> DataFrame:

@@ -9,22 +9,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions.text import match_call_target
+from cairn.sources.scratch import materialize
 
 
 def graph_bfs(edges: DataFrame, start: str, depth: int = 2, direction: str = "downstream") -> DataFrame:
-    """(node, direction, depth, via): every node reached at its least depth, by its first edge. ``depth`` is 1 to 5, so
-    the plan is a chain of at most five frontier joins; nothing is collected."""
-    depth = min(5, max(1, depth))
+    """(node, direction, depth, via): every node reached at its least depth, by its first edge. ``depth`` is 1 to 5. Each level is one
+    join with the edges and one with the nodes seen, and is written, so that no level is worked out twice."""
     a, b = ("source", "target") if direction == "downstream" else ("target", "source")
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, 0, None)], "node string, depth int, via string")
-    frontier = seen
-    for d in range(1, depth + 1):
-        step = frontier.select(F.col("node").alias("a")).join(e, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("via"))
-        frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "via")
-        seen = seen.unionByName(frontier)
-    return seen.filter("depth > 0").select("node", F.lit(direction).alias("direction"), "depth", "via")
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    seen = edges.sparkSession.createDataFrame([(start, 0, None)], "node string, depth int, via string")
+    levels = [seen]
+    for d in range(1, min(5, max(1, depth)) + 1):
+        step = levels[-1].select(F.col("node").alias("a")).join(e, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("via"))
+        known = reduce(DataFrame.union, (x.select("node") for x in levels))
+        levels.append(materialize(step.join(known, "node", "left_anti").select("node", F.lit(d).alias("depth"), "via"), "level"))
+    return reduce(DataFrame.unionByName, levels[1:]).select("node", F.lit(direction).alias("direction"), "depth", "via")
 
 
 def graph_imports(edges: DataFrame, files: DataFrame, source: str) -> DataFrame:
@@ -87,17 +86,24 @@ def build_edges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "target", "edge_type").agg(F.max_by("line", "ord").alias("line"))
 
 
-def dag_validate(steps: DataFrame, most: int = 10) -> DataFrame:
-    """One row per violation: missing and self dependencies, and steps on a cycle. Plans have at most ``most`` steps, so
-    reachability doubles a fixed number of times."""
+def dag_validate(steps: DataFrame) -> DataFrame:
+    """One row per violation: missing and self dependencies, and steps on a cycle of any length. Cycles are what is left of the
+    dependencies when steps that nothing depends on, or that depend on nothing, are taken away again and again; of the
+    rest, reachability doubles until nothing new is reached."""
     deps = steps.select("plan", "id", F.explode("deps").alias("dep"))
     ids = steps.select("plan", F.col("id").alias("dep"))
     missing = deps.join(ids, ["plan", "dep"], "left_anti").select("plan", "id", F.lit("missing").alias("violation"))
     own = deps.filter("id = dep").select("plan", "id", F.lit("self").alias("violation"))
-    reach = deps.filter("id <> dep").distinct()
-    for _ in range(max(1, (most - 1).bit_length())):
-        more = reach.select("plan", F.col("id").alias("x"), F.col("dep").alias("m")).join(reach.select("plan", F.col("id").alias("m"), F.col("dep").alias("y")), ["plan", "m"]).select("plan", F.col("x").alias("id"), F.col("y").alias("dep"))
-        reach = reach.union(more).distinct()
+    rest, left = materialize(deps.filter("id <> dep").distinct(), "deps"), None
+    while left != (left := rest.count()) and left:
+        asked = rest.select("plan", F.col("dep").alias("id")).distinct()
+        asking = rest.select("plan", F.col("id").alias("dep")).distinct()
+        rest = materialize(rest.join(asked, ["plan", "id"], "left_semi").join(asking, ["plan", "dep"], "left_semi").select("plan", "id", "dep"), "deps")
+    reach, n = rest, None
+    while left and n != (n := reach.count()):
+        first = reach.select("plan", "id", F.col("dep").alias("by"))
+        more = first.join(reach.select("plan", F.col("id").alias("by"), "dep"), ["plan", "by"]).select("plan", "id", "dep")
+        reach = materialize(reach.union(more).distinct(), "reach")
     cycle = reach.filter("id = dep").select("plan", "id", F.lit("cycle").alias("violation"))
     return reduce(DataFrame.unionByName, [missing, own, cycle]).distinct()
 

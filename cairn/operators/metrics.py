@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -58,8 +59,10 @@ def leaderboard(samples: DataFrame, model: str, problem: str, passed: Column) ->
     """Spec-derived: models by the share of problems that one of their samples passes; equal shares share a rank."""
     best = samples.groupBy(model, problem).agg(F.bool_or(passed).cast("double").alias("p"))
     board = best.groupBy(model).agg(F.round(F.avg("p"), 6).alias("pass_rate"), F.count(F.lit(1)).alias("problems"))
-    above = board.select(F.col("pass_rate").alias("r")).groupBy().agg(F.collect_list("r").alias("all"))  # one number per model
-    return board.crossJoin(F.broadcast(above)).withColumn("place", (F.size(F.filter("all", lambda x: x > F.col("pass_rate"))) + 1)).drop("all")
+    # models are counted by rate first, so that what is ordered is one row per rate
+    rates = board.groupBy("pass_rate").agg(F.count(F.lit(1)).alias("models"))
+    above = F.coalesce(F.sum("models").over(W.orderBy(F.desc("pass_rate")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1
+    return board.join(rates.select("pass_rate", above.cast("int").alias("place")), "pass_rate").select(model, "pass_rate", "problems", "place")
 
 
 def windowed_counts(events: DataFrame, ts: str, window: str) -> DataFrame:

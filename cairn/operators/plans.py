@@ -41,4 +41,4 @@ def plan_merge_checks(raw: DataFrame) -> DataFrame:
     steps = plan_convert(raw)
     flat = p.filter("not valid or steps is null or size(steps) not between 5 and 10").select("plan", F.when(~F.col("valid"), "json").when(F.col("steps").isNull(), "plan").otherwise("count").alias("violation"))
     blank = steps.filter("description = ''").select("plan", F.lit("description").alias("violation"))
-    return reduce(DataFrame.unionByName, [flat, blank, dag_validate(steps, MAX_STEPS).select("plan", "violation")]).distinct()
+    return reduce(DataFrame.unionByName, [flat, blank, dag_validate(steps).select("plan", "violation")]).distinct()

@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions import text as X
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
+#: Folders of postings: a term's rows are in the one of its hash.
+BUCKETS = 64
+
+
+class Bm25Index(NamedTuple):
+    """An index as written: (bucket, term, id, tf, dl), (id, dl) of documents with tokens, and one row of n, avgdl and the floor of
+    negative idf."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, dl): the inverted index. Counting needs one shuffle, on (id, term). A document without tokens has
     none; the outer form keeps the optimizer from tokenizing twice to test for that."""
@@ -18,44 +35,58 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.select("id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term is not null").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_index(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, df per term, one row of n, avgdl and the floor of negative idf)."""
-    p = postings(docs, id_col, text_col)
-    lengths = docs.select(F.nullif(F.size(X.tokenize(F.col(text_col))), F.lit(0)).alias("dl")).agg(F.count("dl").alias("n"), F.avg("dl").alias("avgdl"))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    floor = df.crossJoin(F.broadcast(lengths)).agg((F.avg(idf) * 0.25).alias("floor"))  # one row beside each term
-    return p, df, lengths.crossJoin(floor)
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _occurrences(tokens: str, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+def _idf(df: str) -> Column:
+    return F.log(F.col("n") - F.col(df) + 0.5) - F.log(F.col(df) + 0.5)
 
 
-def bm25_scores(docs: DataFrame, query: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, score) of documents; null for one without tokens. Only the query's terms are counted per document, where the rows
-    lie; the corpus statistics are one small aggregate. A term that the query repeats counts each time."""
-    terms = sorted(set(query))
-    t = docs.select(F.col(id_col).alias("id"), X.tokenize(F.col(text_col)).alias("t"))
-    hit = t.select("id", F.size("t").alias("dl"), *[_occurrences("t", w).alias(f"tf{k}") for k, w in enumerate(terms)])
-    # each document also yields a null word, which carries its length; one shuffle on the word gives every statistic
-    words = t.select(F.size("t").alias("dl"), F.explode_outer(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("w"))
-    none = F.col("w").isNull()
-    per = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(none, F.col("dl")).otherwise(0)).alias("words"), F.sum((none & (F.col("dl") > 0)).cast("long")).alias("docs"))
-    stats = per.agg(F.sum("docs").alias("n"), (F.sum("words") / F.nullif(F.sum("docs"), F.lit(0))).alias("avgdl"), *[F.coalesce(F.max(F.when(F.col("w") == w, F.col("df"))), F.lit(0)).alias(f"df{k}") for k, w in enumerate(terms)])
-    idf = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
-    floor = per.crossJoin(F.broadcast(stats.select("n"))).agg((F.avg(F.when(F.col("w").isNotNull(), idf(F.col("df")))) * 0.25).alias("floor"))
-    score = F.lit(0.0)
-    for k, w in enumerate(terms):
-        one = F.when(F.col(f"df{k}") > 0, F.when(idf(F.col(f"df{k}")) < 0, F.col("floor")).otherwise(idf(F.col(f"df{k}")))).otherwise(0.0)
-        tf = F.col(f"tf{k}")
-        score = score + query.count(w) * one * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.crossJoin(F.broadcast(stats.crossJoin(floor))).select("id", F.when(F.col("dl") > 0, score).alias("score"))
-
-
-def bm25_topk(docs: DataFrame, query: list[str], k: int, id_col: str, text_col: str, drop_zero: bool = False) -> DataFrame:
-    s = bm25_scores(docs, query, id_col, text_col).filter(F.col("score") > 0 if drop_zero else F.col("score") >= 0)
-    return s.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+def write_bm25(docs: DataFrame, path: str, id_col: str, text_col: str) -> Bm25Index:
+    """Each text is tokenized once; lengths, document frequencies and the floor come from the written postings."""
+    spark = docs.sparkSession
+    own = postings(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term")))
+    own.repartition("bucket").sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    own = _read_postings(spark, path, own.schema["id"].dataType)
+    own.groupBy("id").agg(F.max("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
+    size = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    floor = spark.read.parquet(f"{path}/df").crossJoin(F.broadcast(size.select("n"))).agg((F.avg(_idf("df")) * 0.25).alias("floor"))  # one row beside each term
+    size.crossJoin(floor).write.mode("overwrite").parquet(f"{path}/stats")
+    return read_bm25(spark, path)
+
+
+def _read_postings(spark: SparkSession, path: str, id_type: T.DataType) -> DataFrame:
+    fields = {"id": id_type, "dl": T.IntegerType(), "term": T.StringType(), "tf": T.LongType(), "bucket": T.IntegerType()}
+    return spark.read.schema(T.StructType([T.StructField(n, k) for n, k in fields.items()])).parquet(f"{path}/postings")
+
+
+def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
+    lengths, stats = (spark.read.parquet(f"{path}/{part}") for part in ("lengths", "stats"))
+    return Bm25Index(_read_postings(spark, path, lengths.schema["id"].dataType), lengths, stats)
+
+
+def bm25_scores(index: Bm25Index, query: list[str]) -> DataFrame:
+    """(id, score) of the documents that have a term of the query. Only the folders of its terms' hashes are read, and within
+    them the terms' rows. A term that the query repeats counts each time."""
+    times = Counter(query)
+    terms = [F.lit(w) for w in times]
+    hits = index.postings.filter(F.col("bucket").isin(*map(_bucket, terms)) & F.col("term").isin(*terms))
+    each = F.broadcast(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(index.stats)))  # a row per term of the query
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in times.items() for x in kv]), F.col("term")) * F.when(_idf("df") < 0, F.col("floor")).otherwise(_idf("df"))
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.join(each, "term").groupBy("id").agg(F.sum(part).alias("score"))
+
+
+def bm25_topk(index: Bm25Index, query: list[str], k: int, drop_zero: bool = False) -> DataFrame:
+    """The best k documents; those without a term of the query have score 0 and fill the list, unless ``drop_zero``."""
+    scored = bm25_scores(index, query) if query else index.lengths.select("id", F.lit(0.0).alias("score"))
+    if drop_zero:
+        scored = scored.filter("score > 0")
+    else:
+        scored = index.lengths.select("id").join(scored, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")).filter("score >= 0")
+    return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
 
 def l2_distance(a: Column, b: Column, squared: bool = True) -> Column:
@@ -113,12 +144,18 @@ def overlap_score(tokens: list[str], text: Column) -> Column:
     return F.size(F.array_intersect(F.array(*map(F.lit, q)), X.tokenize(text))) / float(max(1, len(q)))
 
 
-def rerank_topk(candidates: DataFrame, scorer: Column, k: int = 5, limit: int = 10) -> DataFrame:
-    """The first ``limit`` candidates by rrf_score, re-scored; the others are dropped. One candidate or none is not re-scored."""
+def rerank_topk(candidates: DataFrame, scorer: Column | None, k: int = 5, limit: int = 10, late: Column | None = None) -> DataFrame:
+    """The first ``limit`` candidates by rrf_score, re-scored; the others are dropped. One candidate or none is not re-scored
+    (status skipped). Without a scorer (unavailable), or where one of the scores came too late (``late`` true: timeout), the order
+    is that of the fusion."""
     head = candidates.orderBy(F.desc(F.round("rrf_score", 12)), "id").limit(limit)
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    scored = head.withColumn("n", n).withColumn("rerank_score", F.when(F.col("n") > 1, scorer)).withColumn("status", F.when(F.col("n") > 1, "reranked").otherwise("skipped"))
-    return scored.drop("n").orderBy(F.desc(F.coalesce("rerank_score", "rrf_score")), F.desc(F.round("rrf_score", 12)), "id").limit(k)
+    whole = W.partitionBy()  # the limit's rows
+    status = F.when(F.col("n") <= 1, "skipped").when(F.lit(scorer is None), "unavailable").when(F.col("slow"), "timeout").otherwise("reranked")
+    slow = F.lit(False) if late is None else F.coalesce(F.bool_or(late).over(whole), F.lit(False))
+    scored = head.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("slow", slow).withColumn("status", status)
+    own = F.lit(None).cast("double") if scorer is None else scorer
+    scored = scored.withColumn("rerank_score", F.when(F.col("status") == "reranked", own)).drop("n", "slow")
+    return scored.orderBy(F.desc(F.coalesce("rerank_score", "rrf_score")), F.desc(F.round("rrf_score", 12)), "id").limit(k)
 
 
 def hit_at_k(results: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -127,6 +164,31 @@ def hit_at_k(results: DataFrame, relevant: DataFrame) -> DataFrame:
     return results.select("q").distinct().join(hit, "q", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("hit_at_k"))
 
 
+def passages_in(passages: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
+    """(q, id) of passages (q, passage) that a document (id, text) contains, character by character. Texts meet on a hash of a
+    passage's first ``words`` whole words, and the pairs that meet are compared. A passage of fewer whole words than that is
+    known by as many as it has; one without any is compared with every document."""
+    cut = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
+    inner = F.slice(cut("passage"), 2, F.greatest(F.size(cut("passage")) - 2, F.lit(0)))  # the outer words may be parts of words
+    key = F.slice(inner, 1, words)
+    asked = passages.select("q", "passage", key.alias("key")).withColumn("size", F.size("key"))
+    sizes = [r[0] for r in asked.select("size").distinct().collect()]  # at most words + 1 numbers
+    own = docs.select("id", "text", cut("text").alias("w"))
+    found = None
+    for n in sorted(sizes):
+        some = asked.filter(F.col("size") == n)
+        if n:
+            starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+            grams = F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.slice("w", k, F.lit(n)))))
+            have = own.select("id", "text", F.explode(grams).alias("h"))
+            pairs = have.join(some.select("q", "passage", F.xxhash64("key").alias("h")), "h")
+        else:
+            pairs = own.crossJoin(some.select("q", "passage"))
+        hit = pairs.filter(F.contains("text", F.col("passage"))).select("q", "id")
+        found = hit if found is None else found.unionByName(hit)
+    return found.distinct() if found is not None else passages.select("q", F.lit(None).alias("id")).limit(0)
+
+
 def latency_report(df: DataFrame, value: str, error: Column) -> DataFrame:
     p = lambda q: F.percentile(value, F.lit(q))
     return df.agg(F.avg(value).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("max"), F.min(value).alias("min"), F.sum(error.cast("long")).alias("errors"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,21 +61,34 @@ def repair_budget(attempts: DataFrame, key: str, order: str, most: int = 20) ->
 
 
 def rate_limit(requests: DataFrame, user: str, seconds: str, per_minute: int = 20, per_day: int = 500) -> DataFrame:
-    """(user, seconds, n-th request, accepted): sliding windows in which only accepted requests count. The minute slot is
-    taken even where the day then rejects. A fold over a user's sorted requests, which keeps only what the windows hold."""
-    state = F.struct(F.array().cast("array<double>").alias("m"), F.array().cast("array<double>").alias("d"), F.array().cast("array<struct<t:double,ok:boolean>>").alias("out"))
+    """(user, n-th request, t, accepted): sliding windows in which only accepted requests count. The minute slot is
+    taken even where the day then rejects. Requests stream by in the order of user and time; only what the windows hold is
+    kept, so a user of any number of requests needs no more memory than the limits."""
 
-    def step(s: Column, t: Column) -> Column:
-        m = F.filter(s["m"], lambda x: x > t - 60)
-        d = F.filter(s["d"], lambda x: x > t - 86400)
-        minute, day = F.size(m) < per_minute, F.size(d) < per_day
-        return F.struct(
-            F.when(minute, F.array_append(m, t)).otherwise(m).alias("m"), F.when(minute & day, F.array_append(d, t)).otherwise(d).alias("d"),
-            F.array_append(s["out"], F.struct(t.alias("t"), (minute & day).alias("ok"))).alias("out"),
-        )
-
-    per = requests.groupBy(user).agg(F.array_sort(F.collect_list(F.col(seconds).cast("double"))).alias("ts"))
-    return per.select(user, F.posexplode(F.aggregate("ts", state, step)["out"]).alias("n", "r")).select(user, "n", F.col("r.t").alias("t"), F.col("r.ok").alias("accepted"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, minute, day = None, 0, deque(), deque()
+        for b in batches:
+            numbers, accepted = [], []
+            for who, t in zip(b["who"], b["t"], strict=True):
+                if who != now:
+                    now, n, minute, day = who, 0, deque(), deque()
+                while minute and minute[0] <= t - 60:
+                    minute.popleft()
+                while day and day[0] <= t - 86400:
+                    day.popleft()
+                fits = len(minute) < per_minute
+                ok = fits and len(day) < per_day
+                minute.extend([t] * fits)
+                day.extend([t] * ok)
+                numbers.append(n)
+                accepted.append(ok)
+                n += 1
+            yield b.assign(n=numbers, accepted=accepted)
+
+    kind = dict(requests.dtypes)[user]
+    own = requests.select(F.col(user).cast("string").alias("who"), F.col(seconds).cast("double").alias("t"))
+    done = own.repartition("who").sortWithinPartitions("who", "t").mapInPandas(run, "who string, t double, n int, accepted boolean")
+    return done.select(F.col("who").cast(kind).alias(user), "n", "t", "accepted")
 
 
 def rate_reset(oldest: Column, now: Column, window: int = 60) -> Column:
@@ -93,9 +107,11 @@ def latest_rows(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def react_context(steps: DataFrame, key: str, order: str, n: int = 3, chars: int = 500) -> DataFrame:
-    rn = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
+    """Finished steps; of each key the last ``n`` keep their observation, cut to ``chars`` characters. Texts are cut before rows are
+    ordered, so that whole ones are not moved."""
     text = F.when(F.length("observation") > chars, F.concat(F.left("observation", F.lit(chars)), F.lit("..."))).otherwise(F.col("observation"))
-    return steps.filter("status = 'done'").withColumn("__rn", rn).withColumn("observation", F.when(F.col("__rn") <= n, text)).drop("__rn")
+    rn = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
+    return steps.filter("status = 'done'").withColumn("observation", text).withColumn("__rn", rn).withColumn("observation", F.when(F.col("__rn") <= n, F.col("observation"))).drop("__rn")
 
 
 def confirm_check(issued: DataFrame, confirmed: DataFrame, ttl: int = 300) -> DataFrame:
@@ -113,10 +129,22 @@ def confirm_store(issued: DataFrame, lookups: DataFrame, ttl: int = 300) -> Data
     return j.withColumn("found", F.coalesce(~gone & ((F.col("kind") == "pop") | ~F.col("__late")), F.lit(False))).drop("__late")
 
 
-def retrieval_cache(requests: DataFrame, ttl: int = 300) -> DataFrame:
-    """Requests (key, at in seconds) with hit: served from the result computed at most ``ttl`` seconds before. The index's
-    version belongs in the key, so a change of the index empties the cache. Rows stream past in the order of key and time;
-    only the last computation is kept, so a hot key needs no memory. There is no limit on entries beside the time."""
+def session_store(writes: DataFrame, lookups: DataFrame, key: str, at: str, ttl: int = 86400) -> DataFrame:
+    """``lookups`` (key, at, ...) with ``value``: the latest write (key, at, value) before, if it is at most ``ttl`` seconds old; a lookup
+    that finds a session keeps it alive for as long again. One sort by key and time; a lookup's own age counts from the last
+    write or successful lookup, so gaps of more than ``ttl`` cut a session."""
+    w = W.partitionBy(key).orderBy(at, "is_lookup")
+    rest = [c for c in lookups.columns if c not in (key, at)]
+    row = lambda df, look, value: df.select(key, F.col(at).alias(at), F.lit(look).alias("is_lookup"), value.alias("value"), *[(F.col(c) if look else F.lit(None)).alias(c) for c in rest])
+    both = row(writes, False, F.struct(F.col("value"))).unionByName(row(lookups, True, F.lit(None)))
+    gap = F.coalesce(F.col(at) - F.lag(at).over(w) > ttl, F.lit(True))
+    cut = both.withColumn("life", F.sum((gap | ~F.col("is_lookup")).cast("long")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    last = F.last("value", ignorenulls=True).over(W.partitionBy(key, "life").orderBy(at, "is_lookup").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return cut.withColumn("value", last.getField("value")).filter("is_lookup").select(*lookups.columns, "value")
+
+
+def _cached(requests: DataFrame, ttl: int) -> DataFrame:
+    """Requests (key, at) with hit, without a limit on entries: rows stream by in the order of key and time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, since = None, 0.0
@@ -133,6 +161,34 @@ def retrieval_cache(requests: DataFrame, ttl: int = 300) -> DataFrame:
     return own.repartition("key").sortWithinPartitions("key", "at").mapInPandas(run, "key string, at double, hit boolean")
 
 
+def retrieval_cache(requests: DataFrame, ttl: int = 300, entries: int | None = None, place: str | None = None) -> DataFrame:
+    """Requests (key, at in seconds) with hit: served from the result computed at most ``ttl`` seconds before. The index's
+    version belongs in the key, so a change of the index empties the cache. With ``entries``, each cache (of a process: column
+    ``place``) holds that many results and gives up the one used least recently; its requests stream by in the order of time
+    and only the entries held are kept. Without, only the last computation of a key is kept, so a hot key needs no memory."""
+    if entries is None:
+        return _cached(requests, ttl)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, OrderedDict()
+        for b in batches:
+            hits = []
+            for where, k, at in zip(b["place"], b["key"], b["at"], strict=True):
+                if where != now:
+                    now, held = where, OrderedDict()
+                hit = k in held and at - held[k] <= ttl
+                if not hit:
+                    held[k] = at
+                held.move_to_end(k)
+                if len(held) > entries:
+                    held.popitem(last=False)
+                hits.append(hit)
+            yield b.assign(hit=hits)
+
+    own = requests.select((F.col(place).cast("string") if place else F.lit("")).alias("place"), "key", F.col("at").cast("double").alias("at"))
+    return own.repartition("place").sortWithinPartitions("place", "at", "key").mapInPandas(run, "place string, key string, at double, hit boolean")
+
+
 def rate_cleanup(log: DataFrame, seconds: str, now: float, window: int = 86400) -> DataFrame:
     """Requests that a limit may still count."""
     return log.filter(F.col(seconds) > now - window)

@@ -14,6 +14,7 @@ from cairn.functions import text as X
 from cairn.operators import context, graph, logs, metrics, parse, search, session
 from cairn.plans import fixtures
 from cairn.sources import tables
+from cairn.sources.scratch import scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +45,7 @@ _TERMS = ["license", "released", "license", "dans"]
 
 @query(f"SELECT doc_id, array_to_string({_TOK}, ' ') AS tokens FROM documents")
 def tokenize(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+    return spread(t(spark, d, "documents")).select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query(r"""SELECT doc_id, 'retrieval:5:' || trim(regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[。.？?！!，,；;]+$', '')) AS key FROM documents""")
@@ -133,14 +134,27 @@ s AS (SELECT doc_id, sum(coalesce(CASE WHEN idf < 0 THEN floor ELSE idf END, 0)
       FROM tf LEFT JOIN idf USING (w), st, fl GROUP BY doc_id)"""
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _stored_bm25(spark, d) -> search.Bm25Index:
+    """The index of a folder's documents: written by the first query that needs it, and read by all."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _WRITTEN:
+        path = scratch(spark, "bm25")
+        search.write_bm25(spread(t(spark, d, "documents")), path, "doc_id", "text")
+        _WRITTEN[key] = path
+    return search.read_bm25(spark, _WRITTEN[key])
+
+
 @query(f"WITH {_BM25} SELECT doc_id AS id, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY round(score, 9) DESC, id LIMIT 20")
 def bm25_topk(spark, d):
-    return search.bm25_topk(t(spark, d, "documents"), _TERMS, 20, "doc_id", "text").withColumn("score", F.round("score", 6))
+    return search.bm25_topk(_stored_bm25(spark, d), _TERMS, 20).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25}, p AS (SELECT doc_id, unnest(t) AS w FROM d) SELECT w AS term, count(*) AS occurrences, count(DISTINCT doc_id) AS df FROM p GROUP BY w")
 def bm25_index(spark, d):
-    p, df, _ = search.bm25_index(t(spark, d, "documents"), "doc_id", "text")
+    p = search.postings(spread(t(spark, d, "documents")), "doc_id", "text")
     return p.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("df"))
 
 
@@ -187,7 +201,7 @@ def symbol_definition(spark, d):
 
 def _fused(spark, d, k=30):
     docs = t(spark, d, "documents")
-    text = search.bm25_topk(docs, _TERMS, 20, "doc_id", "text")
+    text = search.bm25_topk(_stored_bm25(spark, d), _TERMS, 20)
     vec = search.vec_l2_topk(t(spark, d, "embeddings"), _query_vector(spark, d), 20, "vec_id", "embedding")  # paired by number only
     size = docs.select(F.col("doc_id").alias("id"), "n_chars").orderBy(F.desc("n_chars"), "id").limit(10)
     ranked = search.ranked_list(vec, 0, "vector", [F.col("distance"), F.col("id")]).unionByName(search.ranked_list(text, 1, "bm25", [F.desc(F.round("score", 9)), F.col("id")]))
@@ -225,9 +239,8 @@ def hybrid_topk(spark, d):
 
 @query("""WITH x AS (SELECT item_id, (SELECT count(*) FROM documents WHERE contains(documents.text, benchmark.text)) > 0 AS hit FROM benchmark) SELECT avg(hit::INT::DOUBLE) AS hit_at_k FROM x""")
 def hit_at_k(spark, d):
-    # the passages are few and of bounded number; each is looked for in every document, where the documents lie
     items = t(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("passage"))
-    holds = t(spark, d, "documents").join(F.broadcast(items), F.contains("text", F.col("passage"))).select("q", F.col("doc_id").alias("id"))
+    holds = search.passages_in(items, spread(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
     return search.hit_at_k(items.select("q").join(holds, "q", "left"), holds)
 
 
@@ -419,7 +432,11 @@ def repair_budget(spark, d):
     return session.repair_budget(t(spark, d, "events"), "user_id", "event_id").select("event_id", "allowed")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / 1e6 AS t, (row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1)::INT AS n FROM events),
+r AS (SELECT user_id, n, t, [t] AS m, [t] AS d, true AS accepted FROM s WHERE n = 0
+ UNION ALL SELECT user_id, n, t, CASE WHEN len(m) < 1 THEN list_append(m, t) ELSE m END, CASE WHEN len(m) < 1 AND len(d) < 3 THEN list_append(d, t) ELSE d END, len(m) < 1 AND len(d) < 3
+ FROM (SELECT s.user_id, s.n, s.t, list_filter(m, lambda x: x > s.t - 60) AS m, list_filter(d, lambda x: x > s.t - 86400) AS d FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1))
+SELECT user_id, n, t, accepted FROM r""")
 def rate_limit(spark, d):
     e = t(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return session.rate_limit(e.withColumn("t", F.col("us") / 1e6), "user_id", "t", 1, 3)
@@ -436,9 +453,15 @@ def pubsub_bounded(spark, d):
     return session.latest_rows(t(spark, d, "events"), "user_id", "event_id", 5).select("user_id", "event_id")
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, floor(epoch(ts))::BIGINT AS sec, event_type <> 'view' AS writes FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, writes DESC, event_id) AS n FROM e),
+r AS (SELECT user_id, n, event_id, sec, writes, CASE WHEN writes THEN event_type END AS value FROM o WHERE n = 1
+ UNION ALL SELECT o.user_id, o.n, o.event_id, o.sec, o.writes, CASE WHEN o.writes THEN o.event_type WHEN o.sec - r.sec <= 86400 THEN r.value END FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1)
+SELECT user_id, event_id, value FROM r WHERE NOT writes""")
 def agent_session_store(spark, d):
-    return session.latest_rows(t(spark, d, "events"), "user_id", "event_id", 1).select("user_id", "event_id", "event_type")
+    e = t(spark, d, "events").withColumn("at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000))
+    writes = e.filter("event_type <> 'view'").select("user_id", "at", F.col("event_type").alias("value"))
+    return session.session_store(writes, e.filter("event_type = 'view'").select("user_id", "at", "event_id"), "user_id", "at").select("user_id", "event_id", "value")
 
 
 @query("SELECT doc_id AS ord, CASE WHEN rn <= 3 THEN CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END END AS observation FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM documents)")
@@ -524,7 +547,7 @@ def compress_chunk(spark, d):
 @query()
 def parse_error(spark, d):
     logs_ = spark.createDataFrame(fixtures.LOGS, "id string, raw string, cwd string")
-    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("raw"), F.lit("/w").alias("cwd"))
+    docs = spread(t(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("raw"), F.lit("/w").alias("cwd"))
     return logs_.unionByName(docs).select("id", logs.parse_error(F.col("raw"), F.col("cwd")).alias("e")).select("id", "e.*")
 
 

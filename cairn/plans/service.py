@@ -83,10 +83,12 @@ def project_status(spark, d):
 
 @query(r"SELECT doc_id, count(*) FILTER (regexp_matches(trim(line), '^(import\s|from\s+\S+\s+import|import\s+\{|import\s+\*|import\s+[\"'']|import\s+\w+|export\s+|static\s+import|package\s+|require\s*\()')) AS imports, count(*) FILTER (trim(line) <> '' AND (starts_with(trim(line), '/*') OR starts_with(trim(line), '*') OR starts_with(trim(line), '//'))) AS comments, count(*) FILTER (regexp_matches(trim(line), '^((public|private|protected|static|final|abstract|async|export|default)\s+)*(function|class)\s+') OR regexp_matches(trim(line), '\)\s*\{|=>\s*\{') OR starts_with(trim(line), 'func ')) AS signatures FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def line_kinds(spark, d):
-    n = lambda c: F.sum(c.cast("long"))
-    lines = t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    # each text's lines are counted where it lies
+    n = lambda test: F.size(F.filter(F.split("text", "\n", -1), test)).cast("long")
     go = F.lit("go")
-    return lines.groupBy("doc_id").agg(n(X.is_import_line(F.col("line"))).alias("imports"), n(X.is_comment_line(F.col("line"), go)).alias("comments"), n(X.is_signature_line(F.col("line"), go)).alias("signatures"))
+    return t(spark, d, "documents").select(
+        "doc_id", n(X.is_import_line).alias("imports"), n(lambda x: X.is_comment_line(x, go)).alias("comments"), n(lambda x: X.is_signature_line(x, go)).alias("signatures")
+    )
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[。.？?！!，,；;]+$', '')) AS q FROM documents")
@@ -144,8 +146,8 @@ def unresolved_errors(spark, d):
 @query("SELECT p_partkey, row_number() OVER (ORDER BY CASE p_partkey WHEN 7 THEN 1 WHEN 3 THEN 2 ELSE 3 END, p_retailprice, p_partkey) AS place FROM part")
 def reorder_priority(spark, d):
     files = t(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("path"), F.struct("p_retailprice", "p_partkey").alias("pos"))
-    ranked = tables.reorder_priority(files.withColumn("n", F.row_number().over(W.orderBy("pos"))), ["7", "3", "7", "none"], "n")
-    return ranked.select("p_partkey", F.row_number().over(W.orderBy("place")).alias("place"))
+    ranked = tables.reorder_priority(files, ["7", "3", "7", "none"], "pos")
+    return tables.number_rows(ranked.select("p_partkey", F.col("place").alias("at")), "at", "place").select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query("SELECT p_partkey, least(floor(p_size * 1000 * 0.7::DOUBLE)::BIGINT, 8000) AS budget FROM part")
@@ -481,8 +483,8 @@ def sink_graph_json(spark, d):
 @query(f"WITH d AS (SELECT doc_id, {_TOK} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS w FROM d) SELECT w AS term, count(DISTINCT doc_id) AS df FROM p GROUP BY w")
 def sink_bm25(spark, d):
     path = stores.scratch(spark, "bm25")
-    stores.save_bm25(t(spark, d, "documents"), path, "doc_id", "text")
-    return stores.load_bm25(spark, path)[1]
+    index = search.write_bm25(t(spark, d, "documents"), path, "doc_id", "text")
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query("SELECT event_id::VARCHAR AS session_id, CASE WHEN length(p) > 500 THEN left(p, 500) || '... (total ' || length(p) || ' chars)' ELSE p END AS output_preview FROM (SELECT event_id, repeat(props, 60) AS p FROM events)")

@@ -3,36 +3,12 @@ Parquet or JSON lines, so executors write their own part and any of them can be
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.operators.search import bm25_index
+from cairn.sources.scratch import file_system, scratch  # noqa: F401 - scratch is part of this module's surface
 from cairn.sources.tables import compact, fresh_symbols, valid_vectors
 
-_OWN_FOLDER = "file:///tmp/checkpoints/cairn"
-
-
-def _fs(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        drop_store(spark, path)
-    except Exception:  # noqa: BLE001 - at exit the JVM may be gone; the folder is scratch space
-        pass
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; removed when the driver's Python ends."""
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _OWN_FOLDER).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
 
 def vec_insert(path: str, rows: DataFrame, column: str, dim: int) -> None:
     """Append the rows whose vector has ``dim`` numbers and no null."""
@@ -46,7 +22,7 @@ def vec_clear(path: str, spark: SparkSession) -> None:
 
 def drop_store(spark: SparkSession, path: str) -> bool:
     """Delete the whole table; false where there is none."""
-    fs, where = _fs(spark, path)
+    fs, where = file_system(spark, path)
     return fs.delete(where, True)
 
 
@@ -74,19 +50,6 @@ def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return e, e.select(F.col("target").alias("source"), F.col("source").alias("target"), "edge_type")
 
 
-def save_bm25(docs: DataFrame, path: str, id_col: str, text_col: str) -> None:
-    """Postings, document frequencies and the corpus's statistics; frequencies are counted from the written postings."""
-    spark = docs.sparkSession
-    postings, _, stats = bm25_index(docs, id_col, text_col)
-    postings.write.mode("overwrite").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def load_bm25(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("postings", "df", "stats"))
-
-
 def write_planner_log(calls: DataFrame, path: str) -> None:
     """One JSON row per planner call (goal, model, attempt, success, raw)."""
     calls.write.mode("append").json(path)

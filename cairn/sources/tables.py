@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cairn.sources.scratch import materialize
 from cairn.functions.text import INDEX_LANGUAGES, detect_language, is_test_file_pat, output_preview, workspace_relative
 
 # Folders that are never read, and the size beyond which a file is not.
@@ -50,7 +51,18 @@ def reorder_priority(files: DataFrame, first: list[str], order: str) -> DataFram
     """``files`` with ``place``: the files of ``first`` in that order, then the rest in theirs."""
     unique = list(dict.fromkeys(first))
     rank = F.array_position(F.array(*map(F.lit, unique)), F.col("path")) if unique else F.lit(0)
-    return files.withColumn("place", F.struct((rank == 0).cast("int").alias("rest"), F.when(rank == 0, F.col(order)).otherwise(rank).alias("n")))
+    return files.withColumn("place", F.struct((rank == 0).cast("int").alias("rest"), F.when(rank == 0, F.lit(0)).otherwise(rank).alias("rank"), F.col(order).alias("n")))
+
+
+def number_rows(rows: DataFrame, order: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: 1, 2, ... in the order given, without bringing them into one task. Rows are dealt by ranges of the order and
+    written; each range's rows are numbered by a window of their own, and added to the count of those before it."""
+    spread = rows.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
+    spread = materialize(spread, "ranges")
+    sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a range
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(order))
+    return spread.withColumn("__in", inside).join(F.broadcast(before), "__part").withColumn(out, F.col("__in") + F.col("before")).drop("__part", "__in", "before")
 
 
 def upsert_files(table: DataFrame, fresh: DataFrame, key: str = "file_path") -> DataFrame:

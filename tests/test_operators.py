@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from cairn.functions import text as X
 from cairn.operators import context, graph, logs, parse, plans, search, session
 from cairn.plans import fixtures
 from cairn.sources import stores, tables
+from cairn.sources.scratch import scratch
 from cairn.streaming import jobs
 
 
@@ -50,9 +52,10 @@ def test_rrf_example(spark):
 
 def test_bm25_prefers_matches(spark):
     docs = spark.createDataFrame([(1, "quick sort of numbers"), (2, "bubble sort"), (3, "http client"), (4, None), (5, "other words entirely here")], "id long, text string")
-    rows = search.bm25_topk(docs, ["quick", "sort"], 3, "id", "text").collect()
+    index = search.write_bm25(docs, scratch(spark, "bm25"), "id", "text")
+    rows = search.bm25_topk(index, ["quick", "sort"], 3).collect()
     assert [r.id for r in rows][:2] == [1, 2] and rows[2].score == 0
-    assert search.bm25_topk(docs, ["quick"], 3, "id", "text", drop_zero=True).count() == 1
+    assert search.bm25_topk(index, ["quick"], 3, drop_zero=True).count() == 1
 
 
 def test_error_parsers(spark):
@@ -283,8 +286,8 @@ def test_clicks_and_edits_against_every_pair(spark):
 
 def test_bm25_without_tokens(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, ""), (3, None), (4, "blue blue")], "i int, t string")
-    assert [r.id for r in search.bm25_topk(docs, ["fox"], 5, "i", "t").collect()] == [1, 4]
-    assert search.bm25_topk(docs.limit(0), ["fox"], 5, "i", "t").collect() == []
+    assert [r.id for r in search.bm25_topk(search.write_bm25(docs, scratch(spark, "bm25"), "i", "t"), ["fox"], 5).collect()] == [1, 4]
+    assert search.bm25_topk(search.write_bm25(docs.limit(0), scratch(spark, "bm25"), "i", "t"), ["fox"], 5).collect() == []
 
 
 def test_workspace_relative_of_all_pages(spark, tmp_path):
@@ -306,3 +309,85 @@ def test_workspace_relative_of_all_pages(spark, tmp_path):
         return i, rel(path), url.startswith("https://") and rel(path) is not None
 
     assert sorted(map(tuple, QUERIES["workspace_relative_all"](spark, str(tmp_path)).collect())) == [want(i, u) for i, u in enumerate(urls)]
+
+
+def test_bm25_reads_only_its_terms(spark):
+    docs = spark.range(300).selectExpr("id", "concat('alpha', cast(id as string), ' beta', cast(id % 7 as string)) as text")
+    path = scratch(spark, "bm25")
+    search.write_bm25(docs, path, "id", "text")
+    index = search.read_bm25(spark, path)
+    plan = search.bm25_scores(index, ["beta3"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (IN|=)", plan) and re.search(r"PushedFilters: \[[^]]*term,\s*\[?beta3", plan), plan
+    assert search.bm25_scores(index, ["beta3"]).count() == 43
+
+
+def test_rerank_falls_back_to_the_fusion(spark):
+    c = spark.createDataFrame([(k, 1.0 / (k + 1), k) for k in range(4)], "id int, rrf_score double, x int")
+    ids = lambda df: [(r.id, r.status) for r in df.collect()]
+    assert ids(search.rerank_topk(c, F.col("x").cast("double"), 2)) == [(3, "reranked"), (2, "reranked")]
+    assert ids(search.rerank_topk(c, None, 2)) == [(0, "unavailable"), (1, "unavailable")]
+    assert ids(search.rerank_topk(c, F.col("x").cast("double"), 2, late=F.col("x") == 3)) == [(0, "timeout"), (1, "timeout")]
+    assert ids(search.rerank_topk(c.limit(1), None, 2)) == [(0, "skipped")]
+
+
+def test_passages(spark):
+    passages = [(1, "the quick brown fox jumps over the lazy dog"), (2, "one two three"), (3, "zz"), (4, "a b"), (5, "nowhere to be found in any of these texts")]
+    texts = [(1, "see the quick brown fox jumps over the lazy dogs"), (2, "xone two threex"), (3, "pizza"), (4, "ba bo"), (5, "the quick  brown fox jumps over the lazy dog")]
+    got = search.passages_in(spark.createDataFrame(passages, "q int, passage string"), spark.createDataFrame(texts, "id int, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((q, i) for q, p in passages for i, t in texts if p in t)
+
+
+def test_session_store(spark):
+    day = 86400
+    writes = spark.createDataFrame([("a", 0, "x"), ("a", 5 * day, "y"), ("b", 0, None)], "k string, sec long, value string")
+    asks = [("a", 10), ("a", day), ("a", 2 * day), ("a", 3 * day + 1), ("a", 3 * day + 2), ("a", 5 * day), ("a", 6 * day + 1), ("b", 1), ("c", 1)]
+    got = session.session_store(writes, spark.createDataFrame(asks, "k string, sec long"), "k", "sec").collect()
+    want = {("a", 10): "x", ("a", day): "x", ("a", 2 * day): "x", ("a", 5 * day): "y"}
+    assert {(r.k, r.sec): r.value for r in got} == {k: want.get(k) for k in asks}
+
+
+def test_cache_with_a_limit(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("pq"), f"k{rng.randrange(12)}", float(t)) for t in range(0, 4000, 7)]
+    got = session.retrieval_cache(spark.createDataFrame(rows, "place string, key string, at double").repartition(3), 300, 5, "place").collect()
+    held, want = {"p": [], "q": []}, {}
+    for place, key, at in rows:
+        own = held[place]
+        old = next((x for x in own if x[0] == key), None)
+        hit = old is not None and at - old[1] <= 300
+        if old is not None:
+            own.remove(old)
+        own.append((key, old[1] if hit else at))
+        del own[:-5]
+        want[place, at] = hit
+    assert {(r.place, r["at"]): r.hit for r in got} == want and 0 < sum(want.values()) < len(want)
+
+
+def test_long_cycles_and_places(spark):
+    ring = [("r", f"s{k}", [f"s{(k + 1) % 40}"]) for k in range(40)] + [("r", "tail", ["s0"]), ("r", "x", ["y"]), ("r", "y", [])]
+    steps = spark.createDataFrame(ring, "plan string, id string, deps array<string>")
+    assert {(r.id, r.violation) for r in graph.dag_validate(steps).collect()} == {(f"s{k}", "cycle") for k in range(40)}
+    numbered = tables.number_rows(spark.range(1000).selectExpr("id * 7 % 1009 as x"), "x", "place").collect()
+    assert [r.place for r in sorted(numbered, key=lambda r: r.x)] == list(range(1, 1001))
+
+
+def test_bfs_plan_is_linear_in_depth(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(8)], "source string, target string")
+    got = graph.graph_bfs(edges, "n0", 5)
+    assert sorted((r.node, r.depth) for r in got.collect()) == [(f"n{k}", k) for k in range(1, 6)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_formats_of_error_lines():
+    assert re.search(logs.form(logs.TSC_LINE), "a b.ts(3,4): error TS23: no such thing").groups() == ("a b.ts", "3", "4", "no such thing")
+    assert re.search(logs.form(logs.V8_FRAME), "   at new X (/a (b)/c.js:1:22)").groups()[1:] == ("1", "22")
+    assert re.search(logs.form(logs.RUSTC_PLACE), "  --> src/a.rs:1:2").groups() == ("src/a.rs", "1", "2")
+    assert not re.search(logs.form(logs.GCC_LINE), "a.c:1: warning: error")
+
+
+def test_small_blocks_gather_alike(spark):
+    rng = random.Random(3)
+    for _ in range(40):
+        sizes = [rng.randrange(1, 70) for _ in range(rng.randrange(1, 9))]
+        ends = parse._cuts(sizes, 40)
+        assert [sum(sizes[a:b]) for a, b in zip([0, *ends], ends)] == list(value(spark, parse.merge_small_blocks(F.array(*map(F.lit, sizes)))))
