@@ -52,29 +52,30 @@ def _python_edges(path: str, source: str) -> list[tuple]:
     return [(path, k, *f) for k, f in enumerate(sorted(found, key=lambda f: (f[2], f[0], f[1])))]
 
 
-def _per_file(files: DataFrame, work, schema: str) -> DataFrame:
+def per_file(files: DataFrame, work, schema: str, *more: str) -> DataFrame:
+    """Rows of ``schema`` that ``work`` makes of each file's path, content and the columns ``more``; none of what it cannot read."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for path, source in zip(b["path"], b["content"], strict=True):
+            for path, source, *rest in zip(b["path"], b["content"], *(b[c] for c in more), strict=True):
                 try:
-                    out += work(path, source or "")
+                    out += work(path, source or "", *rest)
                 except (SyntaxError, ValueError):
                     continue
             yield pd.DataFrame(out, columns=names)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content", *more).mapInPandas(run, schema)
 
 
 def parse_symbols_py(files: DataFrame) -> DataFrame:
-    return _per_file(files, _python_symbols, SYMBOLS)
+    return per_file(files, _python_symbols, SYMBOLS)
 
 
 def extract_edges_py(files: DataFrame) -> DataFrame:
     """Imports and calls with their lines."""
-    return _per_file(files, _python_edges, EDGES)
+    return per_file(files, _python_edges, EDGES)
 
 
 def source_lines(files: DataFrame) -> DataFrame:
