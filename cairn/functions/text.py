@@ -249,7 +249,7 @@ def rg_norm(line: Column) -> Column:
 
 def anonymize(text: Column) -> Column:
     """Spec-derived: comments dropped, names of six or more letters replaced by ``id``."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?m)(#|//).*$", ""), r"\b[A-Za-z_]{6,}\b", "id")
+    return F.regexp_replace(F.regexp_replace(text, r"(#|//)[^\n]*", ""), r"(?<!\w)[A-Za-z_]{6,}(?!\w)", "id")
 
 
 def snippet_guard(text: Column, most: int = 50_000) -> Column:

@@ -127,10 +127,17 @@ def chunk_header(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return made.select("path", F.lit("__header__").alias("symbol_name"), F.lit("import").alias("chunk_type"), "content", "start_line", "end_line")
 
 
+def _bodies(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``symbols`` with their lines. A file's spans travel to the file, which is cut where it lies."""
+    spans = symbols.groupBy("path").agg(F.collect_list(F.struct("name", "symbol_type", "start_line", "end_line")).alias("spans"))
+    cut = files.join(spans, "path").select("path", F.split("content", "\r?\n", -1).alias("whole"), F.explode("spans").alias("s"))
+    return cut.select("path", "s.*", F.slice("whole", F.col("s.start_line"), F.col("s.end_line") - F.col("s.start_line") + 1).alias("lines"))
+
+
 def chunk_symbol(files: DataFrame, symbols: DataFrame, most: int = 200, piece: int = 150) -> DataFrame:
     """A chunk per function or class: name, signature and body; longer ones in pieces of ``piece`` lines."""
-    body = files.join(symbols.filter("symbol_type in ('function','class')"), "path")
-    lines = F.slice(F.split("content", "\r?\n", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    body = _bodies(files, symbols.filter("symbol_type in ('function','class')"))
+    lines = F.col("lines")
     signature = F.trim(F.coalesce(F.try_element_at(F.filter(lines, lambda x: ~F.trim(x).startswith("@")), F.lit(1)), F.lit("")))
     n = F.size(lines)
     step = F.when(n > most, piece).otherwise(n)
@@ -182,8 +189,7 @@ def chunk_split_ast(files: DataFrame, symbols: DataFrame, most: int = 200, piece
     """Chunks of Python functions and classes of more than ``most`` lines, cut at their statements; where they do not parse,
     in pieces of ``piece`` lines. Only the definitions' own lines reach Python."""
     long = symbols.filter((F.col("end_line") - F.col("start_line") >= most) & F.col("symbol_type").isin("function", "class") & F.endswith("path", F.lit(".py")))
-    lines = F.slice(F.split("content", "\r?\n", -1), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
-    bodies = files.join(long, "path").select("path", "name", "symbol_type", "start_line", "end_line", lines.alias("lines"))
+    bodies = _bodies(files, long).select("path", "name", "symbol_type", "start_line", "end_line", "lines")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -258,12 +258,12 @@ def latency_report(spark, d):
 def _edges(spark, d) -> DataFrame:
     li = t(spark, d, "lineitem")
     up = li.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct().withColumn("edge_type", F.lit("import"))
-    down = li.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("o"), F.col("l_orderkey") % 100).alias("target")).distinct().withColumn("edge_type", F.lit("import"))
+    down = li.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("o"), "l_orderkey").alias("target")).distinct().withColumn("edge_type", F.lit("import"))
     return up.unionByName(down)
 
 
 _EDGES = """e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem
- UNION SELECT DISTINCT 'p' || l_partkey, 'o' || (l_orderkey % 100) FROM lineitem)"""
+ UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem)"""
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT target, depth + 1 FROM b JOIN e ON source = node WHERE depth < 2),
@@ -482,16 +482,17 @@ def confirm_check(spark, d):
 
 
 def _scored(spark, d) -> DataFrame:
-    q = t(spark, d, "labels").select("doc_id", (F.col("quality") + 0.5).cast("double").alias("score"))
-    return t(spark, d, "documents").join(q, "doc_id").select(F.col("lang").alias("q"), F.col("doc_id").alias("ord"), F.col("source").alias("file_path"), "score", F.floor(F.length("text") / 4).alias("tokens"), "text")
+    q = t(spark, d, "labels").select("doc_id", "quality")
+    score = (F.coalesce("quality", F.lit(0)) + 0.5).cast("double").alias("score")
+    return t(spark, d, "documents").join(q, "doc_id", "left").select(F.col("lang").alias("q"), F.col("doc_id").alias("ord"), F.col("source").alias("file_path"), score, F.floor(F.length("text") / 4).alias("tokens"), "text")
 
 
-@query("SELECT doc_id AS ord, round((quality + 0.5)::DOUBLE * CASE WHEN lower(source) = 'src3' THEN 1.3 ELSE 1.0 END, 6)::DOUBLE AS position_score FROM documents JOIN labels USING (doc_id)")
+@query("SELECT doc_id AS ord, round((coalesce(quality, 0) + 0.5)::DOUBLE * CASE WHEN lower(source) = 'src3' THEN 1.3 ELSE 1.0 END, 6)::DOUBLE AS position_score FROM documents LEFT JOIN labels USING (doc_id)")
 def position_boost(spark, d):
     return context.position_boost(_scored(spark, d), "SRC3").select("ord", F.round("position_score", 6).alias("position_score"))
 
 
-_ASSEMBLE = "WITH i AS (SELECT lang AS q, doc_id AS ord, quality + 0.5 AS score, floor(length(text) / 4)::BIGINT AS tokens FROM documents JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER w AS rn, sum(tokens + 40) OVER w AS cum FROM i WINDOW w AS (PARTITION BY q ORDER BY score DESC, ord)), k AS (SELECT * FROM r WHERE cum <= 3000 OR rn = 1)"
+_ASSEMBLE = "WITH i AS (SELECT lang AS q, doc_id AS ord, coalesce(quality, 0) + 0.5 AS score, floor(length(text) / 4)::BIGINT AS tokens FROM documents LEFT JOIN labels USING (doc_id)), r AS (SELECT *, row_number() OVER w AS rn, sum(tokens + 40) OVER w AS cum FROM i WINDOW w AS (PARTITION BY q ORDER BY score DESC, ord)), k AS (SELECT * FROM r WHERE cum <= 3000 OR rn = 1)"
 
 
 @query(_ASSEMBLE + " SELECT q, ord, tokens, rn::INT AS rn FROM k")
@@ -544,23 +545,6 @@ def compress_chunk(spark, d):
 # --- logs and files -----------------------------------------------------------------------------------------------
 
 
-@query()
-def parse_error(spark, d):
-    logs_ = spark.createDataFrame(fixtures.LOGS, "id string, raw string, cwd string")
-    docs = spread(t(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("raw"), F.lit("/w").alias("cwd"))
-    return logs_.unionByName(docs).select("id", logs.parse_error(F.col("raw"), F.col("cwd")).alias("e")).select("id", "e.*")
-
-
-@query()
-def parse_pytest(spark, d):
-    return spark.createDataFrame(fixtures.REPORTS, "id string, stdout string, code int").select("id", logs.parse_pytest(F.col("stdout"), F.lit(""), F.col("code")).alias("r")).select("id", "r.*")
-
-
-@query()
-def parse_jest(spark, d):
-    return spark.createDataFrame(fixtures.REPORTS, "id string, stdout string, code int").select("id", logs.parse_jest(F.col("stdout"), F.lit(""), F.col("code")).alias("r")).select("id", "r.*")
-
-
 @query(r"""WITH l AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 h AS (SELECT path, line FROM l WHERE regexp_matches(text, 'License') ORDER BY path, line LIMIT 100), r AS (SELECT path, line + x AS line, bool_or(x = 0) AS matched FROM h, (VALUES (-1), (0), (1)) v(x) GROUP BY ALL),
 s AS (SELECT path, line, text, matched FROM l JOIN r USING (path, line)), g AS (SELECT *, coalesce((line - lag(line) OVER w > 1)::INT, 0) AS new FROM s WINDOW w AS (PARTITION BY path ORDER BY line))
@@ -570,55 +554,17 @@ def grep_context(spark, d):
     return logs.grep_context(files, "License", 1, 100)
 
 
-@query()
-def unified_diff(spark, d):
-    docs = t(spark, d, "documents")
-    return docs.select("doc_id", logs.unified_diff(F.col("source"), F.col("text"), F.replace("text", F.lit("the"), F.lit("a")), X.diff_context_lines(F.col("text"), F.col("text"))).alias("diff"))
-
-
-@query()
-def json_first_object(spark, d):
-    e = t(spark, d, "events").select("event_id", F.concat(F.lit("note "), "props", F.lit(" end }")).alias("s"))
-    return e.select("event_id", logs.json_first_object(F.col("s")).alias("first"), X.json_greedy(F.replace("s", F.lit(" end }"), F.lit(""))).alias("greedy"))
-
-
-def _files(spark) -> DataFrame:
-    return spark.createDataFrame(fixtures.FILES, "path string, content string")
-
-
-@query()
-def parse_symbols_py(spark, d):
-    return parse.parse_symbols_py(_files(spark).filter("path like '%.py'"))
-
-
-@query()
-def extract_calls(spark, d):
-    return parse.extract_edges_py(_files(spark).filter("path like '%.py'"))
-
-
-@query()
-def extract_imports(spark, d):
-    return parse.extract_imports(_files(spark))
-
-
-@query()
-def fallback_symbols(spark, d):
-    return parse.fallback_symbols(_files(spark))
-
-
-@query()
-def chunk_file(spark, d):
-    files = _files(spark)
-    return parse.chunk_file(files, parse.merge_fallback(parse.parse_symbols_py(files.filter("path like '%.py'")), parse.fallback_symbols(files.filter("path not like '%.py'"))))
-
-
 @query("""WITH l AS (SELECT doc_id AS path, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT path, l, unnest(range((len(l) - 1) // 10 + 1)) AS k FROM l)
 SELECT path, (k * 10 + 1)::INT AS start_line, least((k + 1) * 10, len(l))::INT AS end_line, array_to_string(l[k * 10 + 1 : k * 10 + 10], chr(10)) AS content FROM k""")
 def chunk_split_lines(spark, d):
     return parse.chunk_split_lines(t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")), 10)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey, l_quantity::INT AS q, row_number() OVER w AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity)),
+r AS (SELECT l_orderkey, n, c, CASE WHEN q >= 40 THEN [q] ELSE []::INT[] END AS out, CASE WHEN q >= 40 THEN 0 ELSE q END AS held FROM s WHERE n = 1
+ UNION ALL SELECT s.l_orderkey, s.n, s.c, CASE WHEN q >= 40 THEN (CASE WHEN held > 0 THEN list_append(out, held) ELSE out END) || [q] WHEN held + q >= 40 THEN list_append(out, held + q) ELSE out END,
+  CASE WHEN q >= 40 OR held + q >= 40 THEN 0 ELSE held + q END FROM r JOIN s ON s.l_orderkey = r.l_orderkey AND s.n = r.n + 1)
+SELECT l_orderkey, array_to_string(CASE WHEN held = 0 THEN out WHEN len(out) = 0 THEN [held] ELSE list_append(out[1:len(out) - 1], out[-1] + held) END, ',') AS merged FROM r WHERE n = c""")
 def merge_small_blocks(spark, d):
     sizes = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda x: x["l_quantity"].cast("int")).alias("sizes"))
     return sizes.select("l_orderkey", F.array_join(parse.merge_small_blocks(F.col("sizes")).cast("array<string>"), ",").alias("merged"))

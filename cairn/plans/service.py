@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as X
 from cairn.operators import context, graph, logs, metrics, parse, plans, search, session
 from cairn.plans import fixtures
-from cairn.plans.bindings import _EDGES, _STEPS, _TERMS, _TOK, _edges, _files, _steps, query, t
+from cairn.plans.bindings import _EDGES, _STEPS, _TERMS, _TOK, _edges, _steps, query, t
 from cairn.sources import stores, tables
 
 # --- text and predicates --------------------------------------------------------------------------------------------
@@ -44,16 +44,11 @@ def is_test_file_pat(spark, d):
     return t(spark, d, "pages").select("page_id", X.is_test_file_pat(F.concat(a, "page_id", b)).alias("kind"))
 
 
-@query("SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS rel, starts_with(url, 'https://') AS inside FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]*/[^/.]+/[^./]+\\.html$')")
+@query(r"""WITH x AS (SELECT page_id, url, regexp_replace(url, '^[a-z]+://[^/]*/', '/w/x/../') AS p FROM pages),
+y AS (SELECT *, list_reduce(list_prepend('', string_split(replace(CASE WHEN starts_with(p, '/') THEN p ELSE '/w/' || p END, chr(92), '/'), '/')), lambda a, s: CASE WHEN s IN ('', '.') THEN a WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END) AS f FROM x),
+z AS (SELECT *, CASE WHEN f = '/w' THEN '.' WHEN starts_with(f, '/w/') THEN substr(f, 4) END AS rel FROM y)
+SELECT page_id, rel, starts_with(url, 'https://') AND rel IS NOT NULL AS inside FROM z""")
 def workspace_relative(spark, d):
-    pages = t(spark, d, "pages").filter(F.col("url").rlike(r"^[a-z]+://[^/]*/[^/.]+/[^./]+\.html$"))
-    path = F.regexp_replace("url", r"^[a-z]+://[^/]*/", "/w/x/../")
-    return pages.select("page_id", X.workspace_relative(path, "/w").alias("rel"), X.path_within(F.when(F.col("url").startswith("https://"), path).otherwise(F.lit("/w/../x")), "/w").alias("inside"))
-
-
-@query()
-def workspace_relative_all(spark, d):
-    """As workspace_relative, for every page: urls of any depth, with dots, queries and fragments."""
     path = F.regexp_replace("url", r"^[a-z]+://[^/]*/", "/w/x/../")
     within = F.when(F.col("url").startswith("https://"), path).otherwise(F.lit("/w/../x"))
     return t(spark, d, "pages").select("page_id", X.workspace_relative(path, "/w").alias("rel"), X.path_within(within, "/w").alias("inside"))
@@ -111,15 +106,26 @@ def rg_norm(spark, d):
     return t(spark, d, "pages").select("page_id", X.rg_norm(F.concat(F.lit(".\\"), F.replace("url", F.lit("/"), F.lit("\\")))).alias("line"))
 
 
-@query()
+_NOT_NAMES = "[" + ", ".join(f"'{w}'" for w in X.SYMBOL_STOP_WORDS) + "]"
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(text, '#([\p{{L}}\p{{N}}_]+)', 1) || list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]+)', 1), lambda w: NOT list_contains({_NOT_NAMES}, lower(w))) AS l FROM conversations)
+SELECT conv_id, turn, array_to_string(list_filter(l, lambda w, i: list_position(l, w) = i), ' ') AS tokens FROM x""")
 def symbol_tokens(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", X.symbol_tokens(F.col("text")).alias("tokens"))
+    return t(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.symbol_tokens(F.col("text")), " ").alias("tokens"))
+
+
+#: (command, whether it is refused, whether it waits for input); ``#`` stands for a part's key.
+_COMMANDS = (
+    ("rm -rf /", True, False), ("rm -rf ./t#", False, False), ("sudo ls #", True, False), ("ls -l #", False, False), ("npm init", False, True), ("npm init -y #", False, False),
+    ("python3", False, True), ("python3 a#.py", False, False), ("ssh host#", False, True), ("ssh -T host#", False, False), ("passwd u#", False, True), ("mysql -u root -p", False, True), ("", False, False),
+)
 
 
-@query()
+@query("SELECT p_partkey, replace(c, '#', p_partkey::VARCHAR) AS cmd, danger, interactive FROM part, (VALUES " + ", ".join(f"('{c}', {a}, {b})" for c, a, b in _COMMANDS) + ") v(c, danger, interactive)")
 def command_guards(spark, d):
-    cmds = spark.createDataFrame([(c,) for c in fixtures.COMMANDS], "cmd string")
-    return cmds.select("cmd", X.is_danger_cmd(F.col("cmd")).alias("danger"), X.is_interactive_cmd(F.col("cmd")).alias("interactive"))
+    made = F.explode(F.array(*[F.replace(F.lit(c), F.lit("#"), F.col("p_partkey").cast("string")) for c, _, _ in _COMMANDS])).alias("cmd")
+    return t(spark, d, "part").select("p_partkey", made).select("p_partkey", "cmd", X.is_danger_cmd(F.col("cmd")).alias("danger"), X.is_interactive_cmd(F.col("cmd")).alias("interactive"))
 
 
 @query("SELECT p_partkey, lower(p_name) = 'bolt' OR ends_with(lower(p_name), '.bolt') AS hit FROM (SELECT p_partkey, replace(p_name, ' ', '.') AS p_name FROM part)")
@@ -132,7 +138,7 @@ def looks_local_module(spark, d):
     return t(spark, d, "part").select("p_partkey", X.looks_local_module(F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "python").otherwise("typescript")).alias("local"))
 
 
-@query()
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(#|//)[^\n]*', '', 'g'), '\b[A-Za-z_]{6,}\b', 'id', 'g') AS text FROM documents""")
 def anonymize(spark, d):
     return t(spark, d, "documents").select("doc_id", X.anonymize(F.col("text")).alias("text"))
 
@@ -191,7 +197,9 @@ def _requests(spark, d) -> DataFrame:
     return t(spark, d, "events").select(F.lower("event_type").alias("key"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("at"))
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT event_type AS key, floor(epoch(ts))::DOUBLE AS sec, row_number() OVER (PARTITION BY event_type ORDER BY floor(epoch(ts))) AS n FROM events),
+r AS (SELECT key, n, sec, sec AS since, false AS hit FROM q WHERE n = 1 UNION ALL SELECT q.key, q.n, q.sec, CASE WHEN q.sec - since <= 300 THEN since ELSE q.sec END, q.sec - since <= 300 FROM r JOIN q ON q.key = r.key AND q.n = r.n + 1)
+SELECT key, sec AS "at", hit FROM r""")
 def retrieval_cache(spark, d):
     return session.retrieval_cache(_requests(spark, d))
 
@@ -372,62 +380,6 @@ def scan_test_files(spark, d):
     return tables.scan_test_files(t(spark, d, "pages").select(F.concat(folder, F.lit("/test_"), "page_id", F.lit(".py")).alias("path")))
 
 
-@query()
-def build_diff_files(spark, d):
-    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    return logs.build_diff_files(docs.withColumn("content", F.replace("content", F.lit("the"), F.lit("a"))), docs)
-
-
-def _chain(name: str, column) -> None:
-    def run(spark, d):
-        raw = spark.createDataFrame(fixtures.LOGS, "id string, raw string, cwd string")
-        return raw.select("id", column(F.col("raw"), F.col("cwd")).alias("e")).select("id", "e.*")
-
-    run.__name__ = name
-    query()(run)
-
-
-for _name in ("err_py_traceback", "err_js_stack", "err_compiler", "err_py_direct"):
-    _chain(_name, getattr(logs, _name))
-_chain("err_fallback", lambda raw, cwd: logs.err_fallback(raw))
-
-
-def _symbols(spark) -> DataFrame:
-    files = _files(spark)
-    return parse.merge_fallback(parse.parse_symbols_py(files.filter("path like '%.py'")), parse.fallback_symbols(files.filter("path not like '%.py'")))
-
-
-@query()
-def merge_fallback(spark, d):
-    return _symbols(spark)
-
-
-@query()
-def index_symbols(spark, d):
-    return tables.index_symbols(_symbols(spark), "app.py")
-
-
-@query()
-def symbol_counts(spark, d):
-    return tables.symbol_counts(_symbols(spark))
-
-
-@query()
-def chunk_header(spark, d):
-    return parse.chunk_header(_files(spark), _symbols(spark))
-
-
-@query()
-def chunk_symbol(spark, d):
-    return parse.chunk_symbol(_files(spark), _symbols(spark))
-
-
-@query()
-def chunk_split_ast(spark, d):
-    files = spark.createDataFrame([fixtures.LONG_FILE], "path string, content string")
-    return parse.chunk_split_ast(files, parse.parse_symbols_py(files))
-
-
 # --- stores ---------------------------------------------------------------------------------------------------------
 
 

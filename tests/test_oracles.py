@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cairn.plans import service  # noqa: F401 - adds to the queries
+from cairn.plans import code, service  # noqa: F401 - add to the queries
 from cairn.plans.bindings import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
