@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cairn.llm.common import freeing, table
+from cairn.llm.common import free_name, freeing, quoted, table
 from cairn.llm.word_shuffle import blocks, buckets, compress, expand, lay_out, list_words, pack_rows, pack_words, shares, unpack_rows, unpack_words
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -145,11 +145,11 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, unless given) with an array of token ids per row."""
+    """The columns ``keep`` of ``docs`` (all, unless given) with an array of token ids per row; a column of that name is replaced."""
     path = path or public_tokenizers.path(VOCABULARY)
     keep = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
-    prepared = docs.select(*keep, *[F.col(text_col).cast("string").alias("__text")] * (text_col not in keep))
-    text = text_col if text_col in keep else "__text"
+    text = text_col if text_col in keep else free_name(keep, "__text")
+    prepared = docs.select(*map(quoted, keep), *[F.col(quoted(text_col)).cast("string").alias(text)] * (text_col not in keep))
     n = buckets(docs.sparkSession)
     answers = _answered(_asked(prepared, text, n), path)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
@@ -189,8 +189,9 @@ def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "id
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
-    """``encoded`` with the bytes that the ids stand for."""
-    path = path or public_tokenizers.path(VOCABULARY)
+    """``encoded`` with the bytes that the ids stand for behind the other columns, as ``out`` (with underscores behind it where the
+    caller has a column of the name)."""
+    path, out = path or public_tokenizers.path(VOCABULARY), free_name(encoded.columns, out)
 
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

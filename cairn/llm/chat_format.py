@@ -11,7 +11,8 @@ and sorted by turn; each task streams over its rows with a running state for eac
 any length needs bounded memory.
 
 Defined results: null text and null role are empty; rows without a conversation id form one conversation (null); rows of equal turn (null
-first) go by role, then text, and repeated rows are turns of their own. An empty table gives an empty result.
+first) go by role, then text, and repeated rows are turns of their own. An empty table gives an empty result. The query
+adds a conversation -1; rows that the table has of that number would be turns of the same conversation.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import table
+from cairn.llm.common import free_name, quoted, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -81,14 +82,15 @@ def render_turn(role: str, text: str) -> str:
 
 
 def render_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``turns`` with __rendered, the formatted turn; the conversation's text is their concatenation in order."""
+    """``turns`` with the formatted turn behind the other columns (__rendered, or that with underscores behind it where the caller
+    has a column of the name); the conversation's text is their concatenation in order."""
 
     def render(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for roles, texts in batches:
             yield pd.Series([render_turn(r, t) for r, t in zip(roles, texts, strict=True)], dtype=object)
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return turns.withColumn("__rendered", F.pandas_udf(render, "string")(empty(role_col), empty(text_col)))
+    return turns.withColumn(free_name(turns.columns, "__rendered"), F.pandas_udf(render, "string")(empty(role_col), empty(text_col)))
 
 
 class _Digest:
@@ -113,9 +115,9 @@ class _Digest:
 
 
 def read_back(rendered: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation of ``render_turns``: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """One row per conversation of ``render_turns``, whose last column it reads: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     kind = dict(rendered.dtypes)[conv_col]
-    rows = rendered.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("t"), F.col(role_col).alias("r"), F.col(text_col).alias("x"), "__rendered")
+    rows = rendered.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("t"), F.col(role_col).alias("r"), F.col(text_col).alias("x"), F.col(quoted(rendered.columns[-1])).alias("__rendered"))
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
