@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import Counter
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,6 +101,64 @@ def vec_l2_topk(vectors: DataFrame, query: list[float], k: int, id_col: str, vec
     return vectors.select(F.col(id_col).alias("id"), d.alias("distance")).orderBy("distance", "id").limit(k).withColumn("score", 1 / (1 + F.col("distance")))
 
 
+#: Vectors that the cells are fitted on at most (those whose ids hash lowest), rounds, and cells at most.
+IVF_SAMPLE, IVF_ROUNDS, IVF_CELLS = 20_000, 12, 4096
+
+
+def fit_cells(vectors: DataFrame, id_col: str, vec_col: str, cells: int) -> np.ndarray:
+    """Centres of ``cells`` cells by k-means on a bounded sample; the first centres are spread over the sample."""
+    cells = min(IVF_CELLS, cells)
+    sample = vectors.select(id_col, vec_col).orderBy(F.xxhash64(id_col), id_col).limit(IVF_SAMPLE).select(vec_col).toPandas()[vec_col]
+    x = np.array(sample.tolist(), "f4").reshape(len(sample), -1)
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype("i8")].copy()
+    for _ in range(IVF_ROUNDS if len(x) else 0):
+        own = nearest_cells(x, centres, 1)[:, 0]
+        sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centres of each row, in order; ties go to the smaller number."""
+    far = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+    return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+
+def _cells_of(vector: Column, centres: np.ndarray, n: int) -> Column:
+    """The numbers of the ``n`` nearest cells. The centres are bounded: IVF_CELLS rows."""
+
+    def run(vectors: pd.Series) -> pd.Series:
+        x = np.array(vectors.tolist(), "f4").reshape(len(vectors), -1)
+        return pd.Series(list(nearest_cells(x, centres, n).astype("i4"))) if len(x) else pd.Series([], dtype=object)
+
+    return F.pandas_udf(run, "array<int>")(vector)
+
+
+def write_ivf(vectors: DataFrame, path: str, id_col: str, vec_col: str, cells: int = 64) -> np.ndarray:
+    """Every vector (column ``vec_col``, all of one length) in the folder of its nearest cell; returns the centres."""
+    centres = fit_cells(vectors, id_col, vec_col, cells)
+    placed = vectors.withColumn("cell", F.element_at(_cells_of(F.col(vec_col), centres, 1), 1))
+    placed.repartition("cell").sortWithinPartitions(id_col).write.mode("overwrite").partitionBy("cell").parquet(path)
+    return centres
+
+
+def ivf_topk(index: DataFrame, centres: np.ndarray, query: list[float], k: int, id_col: str, vec_col: str, probe: int = 8, where: Column | None = None) -> DataFrame:
+    """As vec_l2_topk among the vectors of the ``probe`` nearest cells; other cells are not read. ``where`` filters before the
+    ranking, and reaches the files."""
+    near = nearest_cells(np.array([query], "f4"), centres, probe)[0].tolist()
+    some = index.filter(F.col("cell").isin(near))
+    return vec_l2_topk(some if where is None else some.filter(where), query, k, id_col, vec_col)
+
+
+def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, id_col: str, vec_col: str, probe: int = 8) -> DataFrame:
+    """(q, id, distance, rank): the best k of the ``probe`` nearest cells for each of ``queries`` (q, v). Queries travel to the cells."""
+    asked = queries.select("q", "v", F.explode(_cells_of(F.col("v"), centres, probe)).alias("cell"))
+    pairs = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("w"), "cell").join(asked, "cell").select("q", "id", l2_distance(F.col("w"), F.col("v")).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def symbol_scores(symbols: DataFrame, tokens: list[str], name: str, contains: bool = True) -> DataFrame:
     """Rows of ``symbols`` that a token names exactly (1.0), as a prefix (0.5) or within (0.3), with score. The tokens of
     one query are literals, so this is a filter."""

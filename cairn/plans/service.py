@@ -387,6 +387,15 @@ def _vectors(spark, d) -> DataFrame:
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.when(F.col("label") == 1, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"))
 
 
+@query("SELECT e.vec_id AS q, e.vec_id AS id, 1 AS rank FROM embeddings e WHERE e.vec_id % 20 = 0")
+def vec_ivf_self(spark, d):
+    """Each twentieth vector, searched for in an index of cells, is its own nearest."""
+    path, own = stores.scratch(spark, "ivf"), t(spark, d, "embeddings")
+    centres = search.write_ivf(own, path, "vec_id", "embedding", 32)
+    queries = own.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    return search.ivf_search(spark.read.parquet(path), centres, queries, 1, "vec_id", "embedding", 8).select("q", "id", "rank")
+
+
 @query("SELECT vec_id AS id, label FROM embeddings WHERE label <> 1")
 def vec_insert(spark, d):
     path = stores.scratch(spark, "vectors")
@@ -489,9 +498,16 @@ def src_telemetry(spark, d):
 
 @query("SELECT p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'new' ELSE p_name END AS content FROM part WHERE p_partkey % 4 <> 1")
 def incremental_index(spark, d):
+    """The files as version -1, and a stream of their changes."""
     from cairn.streaming import jobs
 
-    part = t(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("content"))
-    change = F.when(F.col("path") % 4 == 0, F.array(F.struct(F.lit(1).alias("seq"), F.lit("modify").alias("action"), F.lit("old").alias("content")), F.struct(F.lit(2).alias("seq"), F.lit("modify").alias("action"), F.lit("new").alias("content")))).otherwise(F.array(F.struct(F.lit(1).alias("seq"), F.lit("delete").alias("action"), F.lit(None).cast("string").alias("content"))))
-    changes = part.filter("path % 4 in (0, 1)").select("path", F.inline(change).alias("seq", "action", "content"))
-    return jobs.apply_changes(part, changes)
+    part = t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_name").alias("content"))
+    number = F.col("path").cast("long") % 4
+    row = lambda seq, action, content: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(action).alias("action"), F.lit(content).alias("content"))
+    made = F.when(number == 0, F.array(row(1, "modify", "old"), row(2, "modify", "new"))).otherwise(F.array(row(1, "modify", "old"), row(2, "delete", "")))
+    index, changed, checkpoint = (stores.scratch(spark, name) for name in ("index", "changes", "checkpoint"))
+    part.withColumn("deleted", F.lit(False)).write.parquet(f"{index}/v=-1")
+    part.filter(number < 2).select("path", F.inline(made).alias("seq", "action", "content")).write.parquet(changed)
+    stream = spark.readStream.schema("path string, seq long, action string, content string").parquet(changed)
+    jobs.incremental_index(stream, index, checkpoint).awaitTermination()
+    return jobs.read_index(spark, index).select(F.col("path").cast("long").alias("path"), "content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,11 +14,16 @@ LIMITED = "user_id long, t double, accepted boolean"
 LIMIT_STATE = "minute array<double>, day array<double>"
 
 
-def rate_limit_stream(requests: DataFrame, per_minute: int = 20, per_day: int = 500) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, per_minute: int = 20, per_day: int = 500, forget_after: int | None = None) -> DataFrame:
     """(user_id, t, accepted) of a stream (user_id, t in seconds). State holds the accepted times of the last minute and
-    day, so it is bounded by the limits."""
+    day, so it is bounded by the limits. A stream that runs for ever should give ``forget_after``, in seconds of processing
+    time, a day or more: a user who is not heard of for so long is forgotten. (A stream that ends when its input does
+    must not: with such a timeout it waits for ever.)"""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         minute, day = map(list, state.get) if state.exists else ([], [])
         out = []
         for t in sorted(t for b in batches for t in b["t"]):
@@ -31,9 +36,11 @@ def rate_limit_stream(requests: DataFrame, per_minute: int = 20, per_day: int =
                 day.append(t)
             out.append((key[0], t, ok))
         state.update((minute, day))
+        if forget_after is not None:
+            state.setTimeoutDuration(forget_after * 1000)
         yield pd.DataFrame(out, columns=["user_id", "t", "accepted"])
 
-    return requests.groupBy("user_id").applyInPandasWithState(decide, LIMITED, LIMIT_STATE, "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("user_id").applyInPandasWithState(decide, LIMITED, LIMIT_STATE, "append", GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def session_ttl_stream(events: DataFrame, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -57,12 +64,36 @@ def apply_changes(table: DataFrame, changes: DataFrame) -> DataFrame:
     return table.join(last.select("path"), "path", "left_anti").select("path", "content").unionByName(last.filter("action <> 'delete'").select("path", "content"))
 
 
+INDEX = "path string, content string, deleted boolean"
+
+
 def incremental_index(changes: DataFrame, table_path: str, checkpoint: str):
-    """Keeps a table of versions ``table_path``/v=N up to date; each batch writes a version, so a repeated batch is harmless."""
+    """Keeps an index of files up to date: each batch writes the last change of each of its paths to ``table_path``/v=N, and nothing
+    else. A repeated batch writes the same again."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        before = spark.read.schema("path string, content string").parquet(f"{table_path}/v={number - 1}") if number else spark.createDataFrame([], "path string, content string")
-        apply_changes(before, df).write.mode("overwrite").parquet(f"{table_path}/v={number}")
+        last = latest_changes(df).select("path", "content", (F.col("action") == "delete").alias("deleted"))
+        last.write.mode("overwrite").parquet(f"{table_path}/v={number}")
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_index(spark: SparkSession, table_path: str) -> DataFrame:
+    """(path, content) of the files that are there: each path's newest row, unless it says that the file was deleted."""
+    log = spark.read.schema(f"{INDEX}, v long").parquet(table_path)
+    newest = log.groupBy("path").agg(F.max_by(F.struct("content", "deleted"), "v").alias("r"))
+    return newest.filter("not r.deleted").select("path", "r.content")
+
+
+def compact_index(spark: SparkSession, source: str, target: str) -> None:
+    """The index without its history, as version -1 of a new folder."""
+    read_index(spark, source).withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(f"{target}/v=-1")
+
+
+def click_then_edit_stream(clicks: DataFrame, edits: DataFrame, key: str, seconds: int = 30, late: str = "10 minutes") -> DataFrame:
+    """Spec-derived: of two streams (key, click_id, at timestamp) and (key, edit_id, at timestamp), each click with the edits that
+    follow within ``seconds``. Watermarks and the interval bound what both sides keep."""
+    a = clicks.select(F.col(key).alias("clicked"), "click_id", F.col("at").alias("click_at")).withWatermark("click_at", late)
+    b = edits.select(F.col(key).alias("edited"), "edit_id", F.col("at").alias("edit_at")).withWatermark("edit_at", late)
+    soon = (F.col("edit_at") > F.col("click_at")) & (F.col("edit_at") <= F.col("click_at") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
+    return a.join(b, (F.col("clicked") == F.col("edited")) & soon).select(F.col("clicked").alias(key), "click_id", "edit_id", "click_at", "edit_at")

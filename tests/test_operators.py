@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,7 +212,44 @@ def test_streams_equal_batch(spark, tmp_path):
     for k, batch in enumerate(changes):
         spark.createDataFrame(batch, "path string, seq long, action string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "chg"))
         jobs.incremental_index(spark.readStream.schema("path string, seq long, action string, content string").parquet(str(tmp_path / "chg")), str(tmp_path / "idx"), str(tmp_path / "ck2")).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "idx/v=1")).select("path", "content").collect()} == {("a", "2"), ("c", "y")}
+    assert {tuple(r) for r in jobs.read_index(spark, str(tmp_path / "idx")).collect()} == {("a", "2"), ("c", "y")}
+    jobs.compact_index(spark, str(tmp_path / "idx"), str(tmp_path / "small"))
+    assert {tuple(r) for r in jobs.read_index(spark, str(tmp_path / "small")).collect()} == {("a", "2"), ("c", "y")}
+
+
+def test_interval_join_of_streams(spark, tmp_path):
+    rng = random.Random(7)
+    rows = {name: [(rng.choice("aab"), k, rng.randrange(400)) for k in range(80)] for name in ("click_id", "edit_id")}
+    streams = {}
+    for name, own in rows.items():
+        schema = f"who string, {name} int, at timestamp"
+        frame = spark.createDataFrame(own, f"who string, {name} int, s int").select("who", name, F.timestamp_seconds("s").alias("at"))
+        frame.coalesce(1).write.parquet(str(tmp_path / name))
+        streams[name] = spark.readStream.schema(schema).parquet(str(tmp_path / name))
+    joined = jobs.click_then_edit_stream(streams["click_id"], streams["edit_id"], "who", 30)
+    joined.writeStream.format("memory").queryName("cues").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination()
+    want = sorted((a[1], b[1]) for a in rows["click_id"] for b in rows["edit_id"] if a[0] == b[0] and 0 < b[2] - a[2] <= 30)
+    assert sorted((r.click_id, r.edit_id) for r in spark.table("cues").collect()) == want and want
+
+
+def test_cells_find_most_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 16))).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "id long, v array<float>, label int").repartition(4)
+    centres = search.write_ivf(df, str(tmp_path / "ivf"), "id", "v", 30)
+    index = spark.read.parquet(str(tmp_path / "ivf"))
+    assert index.count() == 3000
+    queries = df.filter("id % 20 = 0").select(F.col("id").alias("q"), "v")
+    got = {}
+    for r in search.ivf_search(index, centres, queries, 10, "id", "v", 8).collect():
+        got.setdefault(r.q, set()).add(r.id)
+    far = ((x[:, None, :].astype("f8") - x[None, ::20, :]) ** 2).sum(2)
+    exact = {20 * k: set(np.lexsort((np.arange(3000), far[:, k]))[:10].tolist()) for k in range(150)}
+    recall = np.mean([len(got[q] & exact[q]) / 10 for q in exact])
+    assert recall >= 0.9
+    some = search.ivf_topk(index, centres, x[0].tolist(), 5, "id", "v", 8, where=F.col("label") == 1)
+    assert all(r.id % 3 == 1 for r in some.collect()) and some.count() == 5
+    assert "PartitionFilters: [cell#" in some._jdf.queryExecution().executedPlan().toString()
 
 
 def test_plan_convert_and_checks(spark):
