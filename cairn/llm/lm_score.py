@@ -42,8 +42,8 @@ CONTEXT, STRIDE, DIM = 8, 24, 32
 INPUTS, HEAD, TAILS = 1024, 64, (128, 320, 512)
 #: Windows a step; step size; and the first round's share of windows (one in so many).
 BATCH, RATE, FIRST_SHARE = 128, 0.03, 16
-#: A block with fewer steps than this a pass repeats its pass, MAX_PASSES times at most.
-MIN_STEPS, MAX_PASSES = 40, 8
+#: A task whose first block has fewer steps than this passes over it again, MAX_PASSES times at most.
+MIN_STEPS, MAX_PASSES = 600, 3
 BLOCK_CHARS = 5_000_000
 #: Logits are held below this, so that no maximum need be taken off before exp.
 HIGHEST = np.float32(60)
@@ -200,8 +200,8 @@ def layout(ids: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> tuple[np.nd
 
 
 class Adam:
-    """Steps over windows in random order. A pass over few windows is repeated; the step size falls with every block,
-    and within it, so that the average of several learners' weights is taken when they move little."""
+    """Steps over windows in random order. Where the first block is small, it is passed over again; the step size falls with
+    every block, and within it, so that the average of several learners' weights is taken when they move little."""
 
     def __init__(self, flat: np.ndarray, seed: int):
         self.flat, self.rng, self.step, self.blocks = flat.copy(), np.random.default_rng(seed), 0, 0
@@ -209,7 +209,7 @@ class Adam:
 
     def learn(self, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray) -> None:
         steps = -(-len(starts) // BATCH)
-        passes = min(MAX_PASSES, max(1, round(MIN_STEPS / max(1, steps))))
+        passes = 1 if self.blocks else min(MAX_PASSES, max(1, round(MIN_STEPS / max(1, steps))))
         order = np.concatenate([self.rng.permutation(len(starts)) for _ in range(passes)])
         steps, span = -(-len(order) // BATCH), np.arange(_LEN)
         self.blocks += 1
