@@ -114,6 +114,14 @@ _DISTANCE = np.clip(_QUERY - _KEY, 0, None)
 _CAUSAL = np.where(_KEY <= _QUERY, 0, -1e9).astype("f4")
 
 
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """Their sums along the last axis; ``logits`` become the exponentials, held below a bound that as a rule none comes near."""
+    if logits.max(initial=0) > HIGHEST:
+        np.minimum(logits, HIGHEST, out=logits)
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[-1], logits.dtype)
+
+
 def _attend(p: dict, windows: np.ndarray) -> tuple[np.ndarray, ...]:
     """Masked attention of a batch of windows: the positions' outputs, and what training needs."""
     q_ids = windows[:, CONTEXT:]
@@ -121,9 +129,8 @@ def _attend(p: dict, windows: np.ndarray) -> tuple[np.ndarray, ...]:
     a = q @ k[:, :, :DIM].transpose(0, 2, 1)
     a += (k[:, :, DIM] + np.where(windows == PAD, np.float32(-1e9), np.float32(0)))[:, None, :]
     a += p["r"][_DISTANCE] + _CAUSAL
-    np.minimum(a, HIGHEST, out=a)
-    np.exp(a, out=a)
-    a *= 1 / (a.sum(-1, keepdims=True) + np.float32(1e-30))
+    total = _exponentials(a)
+    a *= 1 / (total[..., None] + np.float32(1e-30))
     h = a @ v
     h += p["o"].take(q_ids, 0)
     return h.reshape(-1, DIM), a, q, k, v, q_ids
@@ -162,9 +169,7 @@ def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float,
         d = x @ w
         rows, counts = np.arange(len(goal)), (use[own] / np.float32(n)).astype(h.dtype)
         wanted = np.minimum(d[rows, goal], HIGHEST)
-        np.minimum(d, HIGHEST, out=d)
-        np.exp(d, out=d)
-        total = d.sum(1)
+        total = _exponentials(d)
         loss += float((np.log(total) - wanted) @ counts)
         d *= (counts / total)[:, None]
         d[rows, goal] -= counts
@@ -172,11 +177,13 @@ def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float,
         dh[own] += d @ w.T
     dh = dh[:, :DIM].reshape(*q_ids.shape, DIM)
     da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    at_keys = np.concatenate((ds.transpose(0, 2, 1) @ q, ds.sum(1)[:, :, None], a.transpose(0, 2, 1) @ dh), -1)
-    at_queries = np.concatenate((ds @ k[:, :, :DIM], dh), -1)
-    g["k"], g["v"] = np.split(_scatter(INPUTS, windows, at_keys), [DIM + 1], 1)
-    g["q"], g["o"] = np.split(_scatter(INPUTS, q_ids, at_queries), [DIM], 1)
+    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    ds = np.multiply(a, da, out=da)
+    # by position: what its k, bias of k, v, and (of scored positions) q and o are to move by
+    at = np.zeros((*windows.shape, 4 * DIM + 1), dh.dtype)
+    at[:, :, :DIM], at[:, :, DIM], at[:, :, DIM + 1 : 2 * DIM + 1] = ds.transpose(0, 2, 1) @ q, ds.sum(1), a.transpose(0, 2, 1) @ dh
+    at[:, CONTEXT:, 2 * DIM + 1 : 3 * DIM + 1], at[:, CONTEXT:, 3 * DIM + 1 :] = ds @ k[:, :, :DIM], dh
+    g["k"], g["v"], g["q"], g["o"] = np.split(_scatter(INPUTS, windows, at), [DIM + 1, 2 * DIM + 1, 3 * DIM + 1], 1)
     g["r"] = np.bincount(_DISTANCE.ravel(), (ds.sum(0) * (_CAUSAL == 0)).ravel(), _LEN).astype("f4")
     return float(loss), np.concatenate([g[name].ravel() for name in shapes()])
 
