@@ -8,7 +8,7 @@ out again by their positions and replaced by their ids.
 
 A block is a run of rows of one input partition. Answers carry a checksum of the words asked for; if a plan deals rows
 differently in the two passes, words without an answer are encoded in place, so the ids are right in any case. A bucket
-whose words outgrow ``MAX_KNOWN`` starts its list anew. Decoding looks up each id's bytes in the vocabulary's table.
+whose words outgrow ``MAX_KNOWN`` starts its list anew; a task keeps one bucket's list at a time. Decoding looks up each id's bytes in the vocabulary's table.
 
 Defined results: null text is empty and has no ids. Rows that repeat are encoded alike, each for itself. An
 empty table gives an empty result. The columns asked for come back, with ``ids`` under a name of the caller's choice.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -58,9 +59,11 @@ def encoder(path: str) -> tiktoken.Encoding:
 @functools.lru_cache(4)
 def token_bytes(path: str) -> list[bytes]:
     """The token-byte table: the bytes of each id."""
-    out: list[bytes] = []
-    for raw, rank in sorted(encoder(path)._mergeable_ranks.items(), key=lambda x: x[1]):
-        out += [b""] * (rank - len(out)) + [raw]
+    with open(path, "rb") as f:
+        ranks = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, f)]
+    out = [b""] * (max(ranks, default=(-1, b""))[0] + 1)
+    for rank, raw in ranks:
+        out[rank] = raw
     return out
 
 
@@ -104,13 +107,14 @@ def _answered(asked: DataFrame, path: str) -> DataFrame:
 
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoder(path).encode_ordinary, {}
+        encode, known, now = encoder(path).encode_ordinary, {}, None
         for batch in batches:
             checks, ids = [], []
-            for packed in batch.column("words").to_pylist():
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
                 words = unpack_words(packed)
-                if len(known) > MAX_KNOWN:
+                if bucket != now or len(known) > MAX_KNOWN:  # buckets have no word in common
                     known.clear()
+                now = bucket
                 for w in words:
                     if w not in known:
                         known[w] = np.array(encode(w.decode()), "u4").tobytes()
@@ -209,13 +213,30 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", out: str = "decod
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return digests(decode_documents(encoded))
+    return digests(encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
 
+def digests(encoded: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of encoded rows, which are decoded here as decode_documents does, a few at a
+    time, so that neither the decoded bytes nor the ids as text leave the worker."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    kind = encoded.schema[id_col].dataType
 
-def digests(decoded: DataFrame) -> DataFrame:
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    @freeing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = token_bytes(path)
+        shown = [str(k).encode() for k in range(len(raw))]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, DECODED_ROWS):
+                rows = batch.slice(lo, DECODED_ROWS)
+                counts, ids_sha, decoded_sha = [], [], []
+                for ids in rows.column(1):
+                    own = [] if ids.values is None else ids.values.to_numpy().tolist()
+                    counts.append(len(own))
+                    ids_sha.append(hashlib.sha256(b" ".join(map(shown.__getitem__, own))).hexdigest())
+                    decoded_sha.append(hashlib.sha256(b"".join(map(raw.__getitem__, own))).hexdigest())
+                yield pa.record_batch({"doc_id": rows.column(0), "n_tokens": pa.array(counts, "int64"), "ids_sha256": pa.array(ids_sha), "decoded_sha256": pa.array(decoded_sha)})
+
+    text = T.StringType()
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", text), T.StructField("decoded_sha256", text)])
+    return encoded.select(F.col(quoted(id_col)), F.col(quoted(ids_col))).mapInArrow(run, schema)
