@@ -12,6 +12,7 @@ from cairn.llm.mixing import OP3_SQL, op3_mixing
 from cairn.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from cairn.llm.quality import op9_quality
 from cairn.llm.simhash import op7_simhash
+from cairn.llm.substring import OP13_SQL, op13_substring_dedup
 from cairn.llm.url_filter import op6_url_filter
 from cairn.llm.warc import op1_warc_index
 
@@ -20,7 +21,7 @@ QUERIES = {
     for f in (
         op1_warc_index, op2_exact_dedup, op3_mixing, op4_lm_score, op5_media,
         op6_url_filter, op7_simhash, op8_byte_bpe, op9_quality, op10_chat_format,
-        op11_prefix_trie, op12_hard_negatives,
+        op11_prefix_trie, op12_hard_negatives, op13_substring_dedup,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_mixing": OP3_SQL, "op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_substring_dedup": OP13_SQL}
