@@ -25,31 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import field, free_name, freeing, materialize, table, text_of
+from cairn.llm.common import SPACES, field, free_name, freeing, materialize, table, text_of
 from cairn.llm.fm_index import FMIndex
 from cairn.llm.rows import BROADCAST_LOG2, filter_log2, flagged, keyed, meeting, words_set
 
 WINDOW, GRAM = 50, 20
-#: Words of a shard's index; words streamed to one task; words of one streamed passage; words hashed together.
-INDEX_WORDS, STREAM_WORDS, PASSAGE_WORDS, TOGETHER = 300_000, 2_000_000, 400, 400_000
+#: Words of a shard's index; words streamed to one task; words of one streamed passage; bytes hashed together.
+INDEX_WORDS, STREAM_WORDS, PASSAGE_WORDS, TOGETHER = 300_000, 2_000_000, 400, 1 << 20
 #: Streamed words that are searched in step.
 IN_STEP = 300_000
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-class _Hashes(dict):
-    """Hashes of words, each worked out once while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_BASE = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(x: np.ndarray, k: int) -> np.ndarray:
@@ -66,9 +55,7 @@ def shingle_hashes(x: np.ndarray, k: int) -> np.ndarray:
             break
         piece = piece[: len(piece) - size] * np.uint64(pow(_BASE, size, 1 << 64)) + piece[size:]
         size *= 2
-    total ^= total >> np.uint64(29)
-    total *= np.uint64(0xBF58476D1CE4E5B9)
-    return total ^ (total >> np.uint64(32))
+    return _mixed(total)
 
 
 def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
@@ -80,13 +67,49 @@ def sliding_least(x: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(x[:n], x[k - size : k - size + n])
 
 
-def _together(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Texts' words, as many texts at a time as hold TOGETHER words: (number of the first text, words)."""
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES.encode())] = True
+_tables: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The base's powers and those of its inverse; kept for blocks of ordinary size."""
+    if len(_tables[0]) >= n:
+        return _tables
+    made = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, "u8")]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    if n <= 4 * TOGETHER:
+        _tables[:] = made
+    return made
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' words in a row, and the number of the word with which each text begins (and the number of all): a polynomial over a
+    word's bytes, from sums over all bytes, so that no word is handled by itself."""
+    raw = np.frombuffer(b" ".join([*texts, b""]), "u1")
+    if not len(raw):
+        return np.zeros(0, "u8"), np.zeros(len(texts) + 1, "i8")
+    space = _SPACE[raw]
+    inside = ~space
+    begin = np.flatnonzero(inside & np.r_[True, space[:-1]])
+    end = np.flatnonzero(space & np.r_[False, inside[:-1]])
+    power, inverse = _powers(len(raw) + 1)
+    sums = np.cumsum((raw.astype("u8") + np.uint64(1)) * power[: len(raw)])
+    before = np.where(begin > 0, sums[begin - 1], np.uint64(0))
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return _mixed((sums[end - 1] - before) * inverse[begin]), np.searchsorted(begin, starts)
+
+
+def _together(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """As many texts at a time as hold TOGETHER bytes: (number of the first text, texts)."""
     first, held, n = 0, [], 0
     for at, text in enumerate(texts):
-        words = (text or b"").split()  # splits at the six spaces of the contract, no others
-        held.append(words)
-        n += len(words)
+        held.append(text or b"")
+        n += len(held[-1])
         if n >= TOGETHER:
             yield first, held
             first, held, n = at + 1, [], 0
@@ -94,19 +117,13 @@ def _together(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]
         yield first, held
 
 
-def _hashed(held: list[list[bytes]], cache: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in a row, and where each text begins."""
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in held])]).astype("i8")
-    return np.fromiter(map(cache.__getitem__, itertools.chain.from_iterable(held)), "u8", starts[-1]), starts
-
-
 def _anchors(window: int, gram: int):
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
         for b in batches:
+            keys = b.select(["k1", "k2", "id"])
             for first, held in _together(b["text"].to_pylist()):
-                x, starts = _hashed(held, cache)
+                x, starts = word_hashes(held)
                 if len(x) < window:
                     continue
                 least = sliding_least(shingle_hashes(x, gram), window - gram + 1)
@@ -115,7 +132,7 @@ def _anchors(window: int, gram: int):
                 cut = np.flatnonzero(whole & np.r_[True, (least[1:] != least[:-1]) | ~whole[:-1] | (doc[1 : len(least)] != doc[: len(least) - 1])])
                 ends = np.concatenate([[0], np.cumsum(whole)])  # windows up to each place
                 size = np.diff(np.r_[ends[cut], ends[-1]])
-                own = b.slice(first).take(pa.array(doc[cut]))
+                own = keys.slice(first).take(pa.array(doc[cut]))
                 yield pa.RecordBatch.from_arrays(
                     [own["k1"], own["k2"], own["id"], pa.array(least[cut].view("i8")), pa.array((cut - starts[doc[cut]]).astype("i4")), pa.array(size.astype("i4"))],
                     names=["k1", "k2", "id", "anchor", "start", "n"],
@@ -127,11 +144,10 @@ def _anchors(window: int, gram: int):
 def _windows(window: int):
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
         for b in batches:
-            spans = b["spans"].to_pylist()
+            spans, keys = b["spans"].to_pylist(), b.select(["k1", "k2", "id"])
             for first, held in _together(b["text"].to_pylist()):
-                x, starts = _hashed(held, cache)
+                x, starts = word_hashes(held)
                 h = shingle_hashes(x, window)
                 pieces = [(k, starts[k] + s["start"], s["n"]) for k in range(len(held)) for s in spans[first + k]]
                 if not pieces:
@@ -139,7 +155,7 @@ def _windows(window: int):
                 sizes = np.array([n for *_, n in pieces])
                 at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat([s for _, s, _ in pieces], sizes)
                 doc = np.repeat([k for k, *_ in pieces], sizes)
-                own = b.slice(first).take(pa.array(doc))
+                own = keys.slice(first).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view("i8")), own["k1"], own["k2"], own["id"], pa.array((at - starts[doc]).astype("i4"))], names=["w", "k1", "k2", "id", "pos"])
 
     return run
@@ -182,7 +198,7 @@ def _cut_out(window: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "task", "streamed", "k1", "k2", "id", "start", "words"]
         for b in batches:
-            spans, rows, picked = b["spans"].to_pylist(), [], []
+            keys, spans, rows, picked = b.select(["k1", "k2", "id"]), b["spans"].to_pylist(), [], []
             for at, text in enumerate(b["text"].to_pylist()):
                 words = (text or b"").split()
                 for s in spans[at]:
@@ -193,7 +209,7 @@ def _cut_out(window: int, longest: int):
                         rows.append((s["shard"], s["task"], s["streamed"], start, b" ".join(words[start : end + window - 1])))
             for k in range(0, len(rows), 5000):
                 part = list(zip(*rows[k : k + 5000], strict=True))
-                own = b.take(pa.array(picked[k : k + 5000]))
+                own = keys.take(pa.array(picked[k : k + 5000]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.bool_()), own["k1"], own["k2"], own["id"], pa.array(part[3], pa.int32()), pa.array(part[4], pa.binary())], names=names
                 )

@@ -37,6 +37,15 @@ def test_hashes_are_of_words_alone():
     assert len(substring.shingle_hashes(x[:3], 5)) == 0
 
 
+def test_word_hashes():
+    texts = [b"a  b\n\x00 \x00\x00 b", b"", b" \t ", "é a\u3000x ".encode(), b"b" * 3000, b"ab ba"]
+    h, starts = substring.word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert len(h) == len(words) and np.diff(starts).tolist() == [len(t.split()) for t in texts]
+    assert len(set(h.tolist())) == len(set(words)) and {w: x for w, x in zip(words, h.tolist())} == dict(zip(words, h.tolist()))
+    assert (substring.word_hashes([b"zzz " * 9, b"b"])[0][-1] == h[1]).all() and len(substring.word_hashes([])[0]) == 0
+
+
 def brute(rows, window=50):
     owner = {}
     split = [(i, (t or "").encode().split()) for i, t, *_ in rows]
@@ -65,7 +74,7 @@ def frame(spark, rows):
 @pytest.fixture()
 def small(monkeypatch):
     """Many shards, tasks and pieces on little data."""
-    for name, value in (("INDEX_WORDS", 500), ("STREAM_WORDS", 900), ("PASSAGE_WORDS", 120), ("TOGETHER", 700), ("IN_STEP", 600)):
+    for name, value in (("INDEX_WORDS", 500), ("STREAM_WORDS", 900), ("PASSAGE_WORDS", 120), ("TOGETHER", 3000), ("IN_STEP", 600)):
         monkeypatch.setattr(substring, name, value)
 
 
