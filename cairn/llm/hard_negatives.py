@@ -106,9 +106,11 @@ def _packer(size: int):
 
 
 def _blocks(rows: DataFrame, order: list[Column], size: int, name: str) -> DataFrame:
-    """``rows`` (written) sorted by ``order`` over all and packed."""
+    """``rows`` (written) sorted by ``order`` over all and packed. A cluster that deals rows over more partitions than asked for would leave
+    blocks of a few rows each, so partitions are joined up to the number that full blocks need."""
     ranges = max(1, min(rows.count() // size, 100_000))
-    return materialize(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_packer(size), _PACKED), name)
+    dealt = rows.repartitionByRange(ranges, *order).coalesce(ranges).sortWithinPartitions(*order)
+    return materialize(dealt.mapInArrow(_packer(size), _PACKED), name)
 
 
 def _vectors(row: dict) -> np.ndarray:
