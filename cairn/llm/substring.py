@@ -145,7 +145,7 @@ def _windows(window: int):
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, keys = b["spans"].to_pylist(), b.select(["k1", "k2", "id"])
+            spans, keys = b["spans"].to_pylist(), b.select(["doc", "id"])
             for first, held in _together(b["text"].to_pylist()):
                 x, starts = word_hashes(held)
                 h = shingle_hashes(x, window)
@@ -156,14 +156,14 @@ def _windows(window: int):
                 at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat([s for _, s, _ in pieces], sizes)
                 doc = np.repeat([k for k, *_ in pieces], sizes)
                 own = keys.slice(first).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view("i8")), own["k1"], own["k2"], own["id"], pa.array((at - starts[doc]).astype("i4"))], names=["w", "k1", "k2", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view("i8")), own["doc"], own["id"], pa.array((at - starts[doc]).astype("i4"))], names=["w", "doc", "id", "pos"])
 
     return run
 
 
 @freeing
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k1, k2, id, owner, pos) in order become runs of windows with one owner: start, end (behind the last window's start)."""
+    """Rows (doc, owner, pos) in order become runs of windows with one owner: start, end (behind the last window's start)."""
     held = None
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -177,18 +177,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _changes(t: pa.Table) -> np.ndarray:
-    k1, k2, pos = (t[c].to_numpy() for c in ("k1", "k2", "pos"))
+    doc, pos = (t[c].to_numpy() for c in ("doc", "pos"))
     owner = t["owner"].combine_chunks().dictionary_encode()
     owner = (owner.combine_chunks() if isinstance(owner, pa.ChunkedArray) else owner).indices.to_numpy()
     step = pos[1:] - pos[:-1]  # 0: a repeated row
-    return np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (owner[1:] != owner[:-1]) | (step < 0) | (step > 1)])
+    return np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1]) | (step < 0) | (step > 1)])
 
 
 def _runs(t: pa.Table, change: np.ndarray) -> Iterator[pa.RecordBatch]:
     pos = t["pos"].to_numpy()
     last = np.r_[change[1:], t.num_rows] - 1
     own = t.take(pa.array(change)).combine_chunks().to_batches()[0]
-    yield pa.RecordBatch.from_arrays([own["k1"], own["k2"], own["id"], own["owner"], pa.array(pos[change]), pa.array(pos[last] + 1)], names=["k1", "k2", "id", "owner", "start", "end"])
+    yield pa.RecordBatch.from_arrays([own["doc"], own["owner"], pa.array(pos[change]), pa.array(pos[last] + 1)], names=["doc", "owner", "start", "end"])
 
 
 def _cut_out(window: int, longest: int):
@@ -292,13 +292,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     log2 = min(filter_log2(anchors.count()), BROADCAST_LOG2)
     words = materialize(words_set(anchors.select(F.xxhash64("anchor").alias("h")), log2), "filter")
     met = flagged(runs, F.xxhash64("anchor"), words, log2).filter("maybe").join(anchors, "anchor", "left_semi")
-    spans = materialize(met.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
-    near = meeting(_rows(docs, id_col, text_col), spans).select(*_fields(id_col, text_col), "spans")
-    windows = materialize(near.mapInArrow(_windows(window), f"w long, {key}, pos int"), "windows")
+    spans = met.groupBy("k1", "k2").agg(F.first("id").alias("own"), F.collect_set(F.struct("start", "n")).alias("spans"))
+    # windows are many, so their rows bear a short number of the document
+    spans = materialize(spans.withColumn("doc", F.monotonically_increasing_id()), "spans")
+    near = meeting(_rows(docs, id_col, text_col), spans).select(*_fields(id_col, text_col), "spans", "doc")
+    windows = materialize(near.mapInArrow(_windows(window), f"w long, doc long, id {kind}, pos int"), "windows")
     owners = materialize(_repeated(windows, "w"), "owners")
-    owned = windows.join(owners, "w").select("k1", "k2", "id", "owner", "pos")
-    owned = owned.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "pos")
-    parts = materialize(owned.mapInArrow(_segments, f"{key}, owner {kind}, start int, end int"), "segments").distinct()
+    owned = windows.select("w", "doc", "pos").join(owners, "w").select("doc", "owner", "pos")
+    owned = owned.repartition("doc").sortWithinPartitions("doc", "pos")
+    runs = materialize(owned.mapInArrow(_segments, f"doc long, owner {kind}, start int, end int"), "segments")
+    parts = runs.join(spans.select("doc", "k1", "k2", F.col("own").alias("id")), "doc")
     own = F.coalesce(F.col("id") == F.col("owner"), F.lit(False))
     size = F.col("end") - F.col("start") + window - 1
     indexed = parts.agg(F.sum(F.when(own, size))).first()[0] or 0
