@@ -122,7 +122,7 @@ def detect_language_ext(path: Column) -> Column:
 
 def is_test_file(path: Column) -> Column:
     p = F.lower(F.regexp_replace(path, r"\\", "/"))
-    return p.rlike(r"(^|/)tests?/") | p.rlike(r"(^|/)test[_.][^/]*$") | p.rlike(r"(_test\.|\.test\.)[^/]*$")
+    return p.rlike(r"(^|/)tests?(/|$)") | p.rlike(r"(^|/)test[_.][^/]*$") | p.rlike(r"(_test\.|\.test\.)[^/]*$")
 
 
 def is_test_file_pat(path: Column) -> Column:
@@ -200,8 +200,10 @@ def truncate_tail_lines(text: Column, n: int = 50) -> Column:
 
 
 def truncate_two_thirds(text: Column, limit: int = 8000) -> Column:
-    head, tail = limit * 2 // 3, limit // 3 - 60
-    cut = F.concat(F.left(text, F.lit(head)), F.lit("\n... ["), (F.length(text) - head - tail).cast("string"), F.lit(" chars omitted] ...\n"), F.right(text, F.lit(tail)))
+    """Texts of more than ``limit`` characters: the first two thirds, how far the text is over the limit, and what is left for its end."""
+    head = limit * 2 // 3
+    tail = max(limit - head - 60, 0)
+    cut = F.concat(F.left(text, F.lit(head)), F.lit("\n... [diff truncated: "), (F.length(text) - limit).cast("string"), F.lit(" chars omitted] ...\n"), F.right(text, F.lit(tail)))
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 

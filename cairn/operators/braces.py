@@ -63,14 +63,18 @@ class Source:
 
     def __init__(self, text: str, language: str):
         self.t = tokens(text, language)
-        self.close, self.open, self.depth, stack = {}, {}, [], []
+        self.close, self.open, self.depth, stack, stray = {}, {}, [], [], False
         for k, token in enumerate(self.t):
-            if token.kind == "sign" and token.text in _PAIRS and stack and self.t[stack[-1]].text == _PAIRS[token.text]:
-                self.open[k] = stack[-1]
-                self.close[stack.pop()] = k
+            if token.kind == "sign" and token.text in _PAIRS:
+                if stack and self.t[stack[-1]].text == _PAIRS[token.text]:
+                    self.open[k] = stack[-1]
+                    self.close[stack.pop()] = k
+                else:
+                    stray = True
             self.depth.append(len(stack))
             if token.kind == "sign" and token.text in "([{":
                 stack.append(k)
+        self.broken = stray or bool(stack)
         for k in stack:  # never closed: to the end of the file
             self.close[k] = len(self.t) - 1
         for k in range(len(self.t)):
@@ -276,6 +280,16 @@ def symbols(path: str, source: str, language: str) -> list[tuple]:
     return [(path, k, *f) for k, f in enumerate(_SYMBOLS[language](own))] if own.t else []
 
 
+def rows(path: str, source: str, language: str) -> list[tuple]:
+    """Symbols and references of a file: (path, ord, kind, name, first line, last line); where brackets do not match, also a row of kind broken."""
+    if language not in _SYMBOLS:
+        return []
+    found = [(p, k, kind, name, a, b) for p, k, name, kind, a, b in symbols(path, source, language)]
+    found += [(p, k, kind, target, line, line) for p, k, kind, target, line in edges(path, source, language)]
+    broken = Source(source, "javascript" if language == "typescript" else language).broken
+    return [*found, (path, -1, "broken", None, 0, 0)] if broken else found
+
+
 def _callee(s: Source, k: int) -> int:
     """The first token of what is called where a bracket opens at ``k``: names joined by dots, calls and indexes among them."""
     at = k - 1

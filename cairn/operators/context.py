@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 
-TYPE_PRIORITY = {"selection": 0, "file": 1, "implicit": 2}
+TYPE_PRIORITY = {"file": 0, "selection": 1, "implicit": 2}
 
 
 def position_boost(items: DataFrame, cursor: str, factor: float = 1.3) -> DataFrame:
@@ -81,12 +81,14 @@ def set_dedupe_contexts(items: DataFrame, user: DataFrame) -> DataFrame:
     return fresh.groupBy("file_path", "k").agg(F.min_by("content", "ord").alias("content"), F.min("ord").alias("ord")).drop("k")
 
 
-def inline_annotate(items: DataFrame) -> DataFrame:
-    """File items whose file has no selection get a line-range prefix."""
-    chosen = items.filter("type = 'selection'").select("file_path").distinct().withColumn("has", F.lit(True))
-    prefix = F.concat(F.lit("[行 "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("，共 "), (F.col("end") - F.col("start") + 1).cast("string"), F.lit(" 行]\n"))
-    tagged = items.join(chosen, "file_path", "left")
-    return tagged.withColumn("content", F.when((F.col("type") == "file") & F.col("has").isNull(), F.concat(prefix, "content")).otherwise(F.col("content"))).drop("has")
+def inline_annotate(items: DataFrame, inline: DataFrame) -> DataFrame:
+    """``items`` (conv, ord, type, file_path, content) and, behind them, the inline selections (conv, ord, file_path, start, end, text) as
+    selection items with their range of lines before the text; not where the conversation has a selection of the file."""
+    chosen = items.filter("type = 'selection'").select("conv", "file_path").distinct()
+    count = F.greatest(F.lit(1), F.col("end") - F.col("start") + 1).cast("string")
+    prefix = F.concat(F.lit("[行 "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("，共 "), count, F.lit(" 行]\n"))
+    added = inline.join(chosen, ["conv", "file_path"], "left_anti").select("conv", "ord", F.lit("selection").alias("type"), "file_path", F.concat(prefix, "text").alias("content"))
+    return items.select("conv", "ord", "type", "file_path", "content").unionByName(added)
 
 
 def git_numstat(staged: DataFrame, unstaged: DataFrame) -> DataFrame:

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.functions.text import match_call_target
+from cairn.functions.text import detect_language, looks_local_module, match_call_target
 from cairn.sources.scratch import materialize
 
+# What the path of an imported script may end with, in order.
+SCRIPT_ENDS = (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", "/index.js", "/index.ts")
 
-def graph_bfs(edges: DataFrame, start: str, depth: int = 2, direction: str = "downstream") -> DataFrame:
-    """(node, direction, depth, via): every node reached at its least depth, by its first edge. ``depth`` is 1 to 5. Each level is one
-    join with the edges and one with the nodes seen, and is written, so that no level is worked out twice."""
-    a, b = ("source", "target") if direction == "downstream" else ("target", "source")
+
+def graph_bfs(edges: DataFrame, start: str, depth: int = 2, direction: str = "downstream", files: DataFrame | None = None) -> DataFrame:
+    """(node, direction, depth, via): every node reached at its least depth, by its first edge. Upstream is what ``start`` imports, downstream who
+    imports it. ``depth`` is 1 to 5. With ``files`` (file_path) only files are reached; without, names of unresolved modules are nodes
+    too. The edges are written once, and so is each level, so that no level is worked out twice."""
+    a, b = ("source", "target") if direction == "upstream" else ("target", "source")
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    if files is not None:
+        e = e.join(files.select(F.col("file_path").alias("b")).distinct(), "b", "left_semi")
+    e = materialize(e, "edges")
     seen = edges.sparkSession.createDataFrame([(start, 0, None)], "node string, depth int, via string")
     levels = [seen]
     for d in range(1, min(5, max(1, depth)) + 1):
@@ -35,14 +45,12 @@ def graph_symbols(calls: DataFrame, path: str | None = None) -> DataFrame:
     return calls if path is None else calls.filter((F.col("source") == path) | F.startswith(F.col("source"), F.lit(path + "::")))
 
 
-def graph_stats(edges: DataFrame) -> DataFrame:
-    """Counts of nodes, import edges and call edges, in one pass: each edge yields its ends."""
-    ends = edges.select("edge_type", "source", "target", F.explode(F.when(F.col("edge_type") == "import", F.array("source", "target")).otherwise(F.array("source"))).alias("node"))
-    return ends.agg(
-        F.countDistinct(F.when(F.col("edge_type") == "import", F.col("node"))).alias("files"),
-        F.countDistinct(F.when(F.col("edge_type") == "import", F.struct("source", "target"))).alias("import_edges"),
-        F.countDistinct(F.when(F.col("edge_type") == "call", F.struct("source", "target"))).alias("call_edges"),
-    )
+def graph_stats(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: the files of the workspace (file_path), and the different import and call edges."""
+    each = edges.groupBy("edge_type", "source", "target").agg(F.lit(1).alias("one")).select("edge_type")
+    rows = each.unionByName(files.groupBy("file_path").agg(F.lit("file").alias("edge_type")).select("edge_type"))
+    count = lambda kind: F.count_if(F.col("edge_type") == kind)
+    return rows.agg(count("file").alias("files"), count("import").alias("import_edges"), count("call").alias("call_edges"))
 
 
 def graph_remove_file(edges: DataFrame, path: str) -> DataFrame:
@@ -67,44 +75,158 @@ def cue_suggest(calls: DataFrame, symbols: DataFrame, change: str, name: str, cu
     return hits.filter((F.col("file") != current) & (F.col("line") >= 1)).orderBy("file", "line").limit(cap)
 
 
-def enclosing_symbol(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """``points`` (file, line) with the first span in list order (ord) that holds the line; the equal file is the
-    shuffle key, the range is checked within."""
-    hit = points.join(spans, "file").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    return hit.groupBy("file", "line").agg(F.min_by("name", "ord").alias("symbol"))
+_POINTS = "file string, line int, symbol string"
+
 
+def _enclose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweep over rows (file, line, last, ord, name) in the order of file and line, a span's start before a point on its line. Spans that have
+    begun wait by their place in the list; those that have ended are dropped when they come up."""
+    file, begun = None, []
+    for b in batches:
+        out = []
+        for f, line, last, place, name in zip(*(b[c].to_pylist() for c in ("file", "line", "last", "ord", "name")), strict=True):
+            if f != file:
+                file, begun = f, []
+            if last is not None:
+                heapq.heappush(begun, (place, last, name))
+                continue
+            while begun and begun[0][1] < line:
+                heapq.heappop(begun)
+            if begun:
+                out.append((f, line, begun[0][2]))
+        files, lines, names = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(lines, pa.int32()), pa.array(names, pa.string())], names=["file", "line", "symbol"])
 
-def resolve_import(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``imports`` (source, module, candidates): the first candidate that is a file of the workspace, else null."""
-    c = imports.select("source", "module", F.posexplode_outer("candidates").alias("ord", "file_path"))
-    found = files.select("file_path").distinct().withColumn("ok", F.lit(True))
-    return c.join(found, "file_path", "left").groupBy("source", "module").agg(F.min_by(F.when(F.col("ok"), F.col("file_path")), F.when(F.col("ok"), F.col("ord"))).alias("target"))
+
+def enclosing_symbol(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``points`` (file, line) with the first span in list order (ord) that holds the line: one sweep over each file's starts and points, so that
+    work grows with their number and not with their product. Of spans without a name or with null ends none holds a line."""
+    starts = spans.filter("name is not null and end_line is not null").select("file", F.col("start_line").cast("int").alias("line"), F.col("end_line").cast("int").alias("last"), F.col("ord").cast("long").alias("ord"), "name")
+    asked = points.select("file", F.col("line").cast("int").alias("line")).distinct()
+    blank = [F.lit(None).cast(k).alias(c) for c, k in (("last", "int"), ("ord", "long"), ("name", dict(spans.dtypes)["name"]))]
+    both = starts.unionByName(asked.select("file", "line", *blank)).filter("file is not null and line is not null")
+    kinds = dict(asked.dtypes)["file"], dict(spans.dtypes)["name"]
+    dealt = both.withColumns({"file": F.col("file").cast("string"), "name": F.col("name").cast("string")}).repartition("file").sortWithinPartitions("file", "line", F.col("last").isNull())
+    return dealt.mapInArrow(_enclose, _POINTS).select(F.col("file").cast(kinds[0]).alias("file"), "line", F.col("symbol").cast(kinds[1]).alias("symbol"))
+
+
+def candidate_paths(module: Column, language: Column) -> Column:
+    """Paths that a module may have in the workspace, in the order in which they are tried."""
+    dotted = F.replace(module, F.lit("."), F.lit("/"))
+    bare = F.regexp_replace(module, r"^[./]+", "")
+    script = F.array(*[F.concat(bare, F.lit(end)) for end in SCRIPT_ENDS])
+    none = F.array().cast("array<string>")
+    return (
+        F.when(language == "python", F.array(F.concat(dotted, F.lit(".py")), F.concat(dotted, F.lit("/__init__.py"))))
+        .when(language.isin("javascript", "typescript"), F.when(module.rlike("^[./]"), script).otherwise(none))
+        .when(language == "java", F.array(F.concat(dotted, F.lit(".java"))))
+        .when((language == "go") & ~module.startswith("/"), F.array(F.concat(F.substring_index(module, "/", -1), F.lit(".go"))))
+        .otherwise(none)
+    )
 
 
-def build_edges(rows: DataFrame) -> DataFrame:
-    """(source, target, edge_type): of repeated edges the last one's line stays."""
-    return rows.groupBy("source", "target", "edge_type").agg(F.max_by("line", "ord").alias("line"))
+def resolve_import(imports: DataFrame, files: DataFrame, suffixes: bool = False) -> DataFrame:
+    """(language, module, target) for each different module of ``imports`` (language, module): the first of its candidate paths that is one of ``files``
+    (file_path), else null. A module that many files import is resolved once. With ``suffixes`` a module without such a file may also be
+    the file whose path ends with a candidate at a folder's border: the shortest, then the least."""
+    modules = imports.select("language", "module").distinct()
+    tried = modules.select("language", "module", F.posexplode(candidate_paths(F.col("module"), F.col("language"))).alias("place", "file_path"))
+    known = files.select("file_path").distinct()
+    hits = tried.join(known, "file_path").select("language", "module", "place", F.lit(0).alias("longer"), F.col("file_path").alias("target"))
+    if suffixes:
+        parts = F.split("file_path", "/")
+        ends = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+        index = known.filter(F.size(parts) > 1).select(F.col("file_path").alias("target"), F.explode(ends).alias("file_path"))
+        more = tried.join(index, "file_path").select("language", "module", "place", F.length("target").alias("longer"), "target")
+        hits = hits.unionByName(more)
+    first = hits.groupBy("language", "module").agg(F.min(F.struct(F.col("longer") > 0, "place", "longer", "target")).alias("best"))
+    return modules.join(first, ["language", "module"], "left").select("language", "module", F.col("best.target").alias("target"))
+
+
+def build_edges(refs: DataFrame, spans: DataFrame, files: DataFrame, suffixes: bool = False) -> DataFrame:
+    """Edges (source, target, edge_type, source_type, line, raw) from the references (path, ord, kind, target, line) of files to modules and callables.
+
+    An import leads to the file that its module resolves to; one that resolves to none, or to the file itself, keeps the module's name where it looks
+    local to the language. A call starts at the first of the file's symbols ``spans`` (path, ord, name, start_line, end_line) that holds
+    its line, as path::name, or at the file. Of repeated edges the last one's line stays."""
+    language = detect_language(F.col("path"))
+    imports = refs.filter("kind = 'import'").select("path", "ord", F.col("target").alias("module"), "line", language.alias("language"))
+    met = imports.join(resolve_import(imports, files, suffixes), ["language", "module"])
+    outside = F.col("target").isNull() | (F.col("target") == F.col("path"))
+    target = F.when(~outside, F.col("target")).when(looks_local_module(F.col("module"), F.col("language")), F.col("module"))
+    file_edges = met.select(F.col("path").alias("source"), target.alias("target"), F.lit("import").alias("edge_type"), F.lit("file").alias("source_type"), "ord", "line", F.col("module").alias("raw"))
+    calls = refs.filter("kind = 'call'").select(F.col("path").alias("file"), "line", "ord", "target")
+    held = enclosing_symbol(calls, spans.withColumnRenamed("path", "file"))
+    inside = calls.join(held, ["file", "line"], "left")
+    source = F.when(F.col("symbol").isNotNull(), F.concat("file", F.lit("::"), "symbol")).otherwise(F.col("file"))
+    kind = F.when(F.col("symbol").isNotNull(), "symbol").otherwise("file")
+    call_edges = inside.select(source.alias("source"), "target", F.lit("call").alias("edge_type"), kind.alias("source_type"), "ord", "line", F.col("target").alias("raw"))
+    every = file_edges.filter("target is not null").unionByName(call_edges)
+    last = every.groupBy("source", "target", "edge_type").agg(F.max_by(F.struct("source_type", "line", "raw"), "ord").alias("e"))
+    return last.select("source", "target", "edge_type", "e.*")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` (plan, id, dep) without those that lie on no way from a cycle to a cycle: steps that nothing depends on, or that depend on nothing, go
+    until none is left."""
+    left = None
+    while left != (left := edges.count()) and left:
+        asked = edges.select("plan", F.col("dep").alias("id")).distinct()
+        asking = edges.select("plan", F.col("id").alias("dep")).distinct()
+        edges = materialize(edges.join(asked, ["plan", "id"], "left_semi").join(asking, ["plan", "dep"], "left_semi").select("plan", "id", "dep"), "deps")
+    return edges
+
+
+def _spread_least(edges: DataFrame, start: DataFrame, a: str, b: str) -> DataFrame:
+    """(plan, node, mark): the least mark of ``start`` that reaches each node along the edges from ``a`` to ``b``. Edges of a round may lead two, four, ...
+    steps on, one shortcut a node, so that long ways take few rounds; there are never more shortcuts than nodes."""
+    marks = start
+    ways = edges.select("plan", F.col(a).alias("node"), F.col(b).alias("to"))
+    jump = materialize(ways.groupBy("plan", "node").agg(F.min("to").alias("to")), "jumps")
+    moved = 1
+    while moved:
+        along = ways.unionByName(jump).join(marks, ["plan", "node"]).select("plan", F.col("to").alias("node"), "mark")
+        best = marks.unionByName(along).groupBy("plan", "node").agg(F.min("mark").alias("mark"))
+        best = materialize(best, "marks")
+        moved = best.join(marks.withColumnRenamed("mark", "old"), ["plan", "node"], "left").filter("old is null or old <> mark").count()
+        marks = best
+        two = jump.join(jump.select("plan", F.col("node").alias("to"), F.col("to").alias("far")), ["plan", "to"]).select("plan", "node", F.col("far").alias("to"))
+        jump = materialize(two, "jumps")
+    return marks
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(plan, id): the steps on a cycle of ``edges`` (plan, id, dep), without edges from a step to itself.
+
+    What trimming leaves is coloured: each step gets the least step that reaches it, and a step is of one component with its colour where
+    it reaches that step in turn, along steps of the colour. Such components with more than one step are cycles; they are taken out, and the rest is trimmed
+    again. Each round reads and writes as many rows as there are edges and steps left."""
+    found, edges = [], _trimmed(materialize(edges, "deps"))
+    while edges.count():
+        steps = edges.select("plan", F.col("id").alias("node")).union(edges.select("plan", F.col("dep").alias("node"))).distinct()
+        colour = _spread_least(edges, steps.withColumn("mark", F.col("node")), "id", "dep")
+        ends = colour.select("plan", F.col("node").alias("id"), F.col("mark").alias("c"))
+        same = edges.join(ends, ["plan", "id"]).join(ends.select("plan", F.col("id").alias("dep"), F.col("c").alias("d")), ["plan", "dep"]).filter("c = d").select("plan", "id", "dep")
+        same = materialize(same, "same")
+        # backwards from the step that gave the colour
+        roots = colour.filter("node = mark")
+        back = _spread_least(same, roots, "dep", "id").select("plan", F.col("node").alias("id"))
+        inner = same.join(back, ["plan", "id"], "left_semi").join(back.withColumnRenamed("id", "dep"), ["plan", "dep"], "left_semi")
+        on = materialize(inner.select("plan", "id").union(inner.select("plan", F.col("dep").alias("id"))).distinct(), "cycle")
+        found.append(on)
+        roots_and = back.unionByName(on).distinct()
+        rest = edges.join(roots_and, ["plan", "id"], "left_anti").join(roots_and.withColumnRenamed("id", "dep"), ["plan", "dep"], "left_anti")
+        edges = _trimmed(materialize(rest.select("plan", "id", "dep"), "deps"))
+    return reduce(DataFrame.unionByName, found) if found else edges.select("plan", "id")
 
 
 def dag_validate(steps: DataFrame) -> DataFrame:
-    """One row per violation: missing and self dependencies, and steps on a cycle of any length. Cycles are what is left of the
-    dependencies when steps that nothing depends on, or that depend on nothing, are taken away again and again; of the
-    rest, reachability doubles until nothing new is reached."""
+    """One row per violation: missing and self dependencies, and steps on a cycle of any length."""
     deps = steps.select("plan", "id", F.explode("deps").alias("dep"))
     ids = steps.select("plan", F.col("id").alias("dep"))
     missing = deps.join(ids, ["plan", "dep"], "left_anti").select("plan", "id", F.lit("missing").alias("violation"))
     own = deps.filter("id = dep").select("plan", "id", F.lit("self").alias("violation"))
-    rest, left = materialize(deps.filter("id <> dep").distinct(), "deps"), None
-    while left != (left := rest.count()) and left:
-        asked = rest.select("plan", F.col("dep").alias("id")).distinct()
-        asking = rest.select("plan", F.col("id").alias("dep")).distinct()
-        rest = materialize(rest.join(asked, ["plan", "id"], "left_semi").join(asking, ["plan", "dep"], "left_semi").select("plan", "id", "dep"), "deps")
-    reach, n = rest, None
-    while left and n != (n := reach.count()):
-        first = reach.select("plan", "id", F.col("dep").alias("by"))
-        more = first.join(reach.select("plan", F.col("id").alias("by"), "dep"), ["plan", "by"]).select("plan", "id", "dep")
-        reach = materialize(reach.union(more).distinct(), "reach")
-    cycle = reach.filter("id = dep").select("plan", "id", F.lit("cycle").alias("violation"))
+    cycle = cycles(deps.filter("id <> dep").distinct()).select("plan", "id", F.lit("cycle").alias("violation"))
     return reduce(DataFrame.unionByName, [missing, own, cycle]).distinct()
 
 

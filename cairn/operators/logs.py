@@ -156,22 +156,51 @@ def parse_pytest(stdout: Column, stderr: Column, exit_code: Column) -> Column:
     full = F.concat(F.coalesce(stdout, F.lit("")), F.lit("\n"), F.coalesce(stderr, F.lit("")))
     passed, failed, errors, skipped = (_count(full, w) for w in ("passed", "failed", "errors?", "skipped"))
     lines = F.filter(F.transform(F.split(F.coalesce(stdout, F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^(FAILED|ERROR)\s+\S"))
-    name = lambda x: F.trim(F.regexp_extract(x, r"^(?:FAILED\s+(?:\[.*?\]\s+)?|ERROR\s+)(.+?)(?:\s*-\s*(.+))?$", 1))
-    message = lambda x: F.coalesce(F.nullif(F.trim(F.regexp_extract(x, r"^(?:FAILED\s+(?:\[.*?\]\s+)?|ERROR\s+)(.+?)(?:\s*-\s*(.+))?$", 2)), F.lit("")), F.when(x.startswith("FAILED"), "assertion failed").otherwise("test error"))
-    failures = F.transform(F.slice(lines, 1, 20), lambda x: F.struct(name(x).alias("test_name"), message(x).alias("error")))
+
+    def failure(line: Column) -> Column:
+        """What stands behind the status word is cut at the first hyphen: the test, then why it failed."""
+        rest = F.substring_index(line, " ", 1)
+        rest = F.trim(F.substr(line, F.length(rest) + 1))
+        rest = F.when(line.startswith("FAILED"), F.regexp_replace(rest, r"^\[[^\]]*\]\s+", "")).otherwise(rest)
+        at = F.instr(F.substr(rest, F.lit(2)), "-") + 1  # a test's name has a character at least
+        why = F.when(at > 1, F.trim(F.substr(rest, at + 1))).otherwise("")
+        default = F.when(line.startswith("FAILED"), "assertion failed").otherwise("test error")
+        name = F.when((at > 1) & (why != ""), F.trim(F.substr(rest, F.lit(1), at - 1))).otherwise(rest)
+        return F.struct(name.alias("test_name"), F.when(why != "", why).otherwise(default).alias("error"))
+
+    failures = F.transform(F.slice(lines, 1, 20), failure)
     return F.struct(((failed == 0) & (errors == 0) & (exit_code == 0)).alias("success"), passed.alias("passed"), failed.alias("failed"), errors.alias("errors"), skipped.alias("skipped"), (passed + failed + errors + skipped).alias("total"), failures.alias("failures"))
 
 
 def parse_jest(stdout: Column, stderr: Column, exit_code: Column) -> Column:
     full = F.concat(F.coalesce(stdout, F.lit("")), F.lit("\n"), F.coalesce(stderr, F.lit("")))
-    line = F.regexp_extract(full, r"(?m)^\s*Tests:\s*(.*)$", 1)
-    passed, failed0, skipped = (_count(line, w) for w in ("passed", "failed", "skipped"))
-    failed = F.when((exit_code != 0) & (failed0 == 0), 1).otherwise(failed0)
-    return F.struct(((failed == 0) & (exit_code == 0)).alias("success"), passed.alias("passed"), failed.alias("failed"), skipped.alias("skipped"), (passed + failed + skipped).alias("total"))
+    whole = "".join((r"Tests:\s+", _A_NUMBER, r"failed,\s*", _A_NUMBER, r"passed[,\s]*", _A_NUMBER, "skipped"))
+    part = lambda k: _int(F.regexp_extract(full, whole, k))
+    is_whole = full.rlike(whole)
+    only = F.coalesce(_int(F.regexp_extract(full, r"Tests:\s+" + _A_NUMBER + "passed", 1)), F.lit(0))
+    silent = ~is_whole & (exit_code != 0) & (only == 0)  # the exit code speaks only where no test is counted
+    failed = F.when(is_whole, part(1)).when(silent, 1).otherwise(0)
+    passed, skipped = F.when(is_whole, part(2)).otherwise(only), F.when(is_whole, part(3)).otherwise(0)
+    marked = F.filter(F.transform(F.split(F.coalesce(stdout, F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^●\s+\S"))
+    failures = F.transform(F.slice(marked, 1, 20), lambda x: F.struct(F.trim(F.substr(x, F.lit(2))).alias("test_name"), F.lit("test failed").alias("error")))
+    return F.struct(
+        ((failed == 0) & (exit_code == 0)).alias("success"), passed.alias("passed"), failed.alias("failed"), skipped.alias("skipped"), (passed + failed + skipped).alias("total"), failures.alias("failures")
+    )
+
 
+_A_NUMBER = r"(\d+)\s+"
 
-def test_summary(timed_out: Column, success: Column, message: Column, passed: Column, failed: Column) -> Column:
-    return F.when(timed_out, "timed out").when(success, F.concat(passed.cast("string"), F.lit(" passed"))).when(F.coalesce(message, F.lit("")) != "", message).otherwise(F.concat(failed.cast("string"), F.lit(" failed, "), passed.cast("string"), F.lit(" passed")))
+
+def test_summary(timed_out: Column, success: Column, message: Column, passed: Column, failed: Column, errors: Column, skipped: Column) -> Column:
+    """One line for a run's result; its wording is fixed."""
+    n = lambda c, word: F.concat(c.cast("string"), F.lit(" " + word))
+    message = F.coalesce(message, F.lit(""))
+    return (
+        F.when(timed_out, F.concat(F.lit("测试超时中止（"), message, F.lit("）")))
+        .when(success, F.concat(F.lit("测试全部通过 ✅ ("), n(passed, "passed)")))
+        .when(message != "", F.concat(F.lit("测试框架不可用: "), message))
+        .otherwise(F.concat(F.lit("测试存在失败 ❌ ("), n(passed, "passed, "), n(failed, "failed, "), n(errors, "errors, "), n(skipped, "skipped)")))
+    )
 
 
 test_summary.__test__ = False
@@ -232,9 +261,20 @@ def json_first_object(text: Column) -> Column:
     return F.pandas_udf(_first_objects, "string")(text)
 
 
+#: The status letters that are passed on.
+STATUS_LETTERS = "MADRC?U"
+
+
 def git_status_parse(line: Column) -> Column:
-    path = F.substring(line, 4, 1 << 30)
-    return F.struct(F.trim(F.substring(line, 1, 2)).alias("status"), F.regexp_replace(path, "^.* -> ", "").alias("path"))
+    """(status, path) of a line of the short status: the index's letter, where it is blank the worktree's; ``?`` for letters that are not known.
+    Of a move the new path. Null for lines that are too short."""
+    line = F.rtrim(F.regexp_replace(line, r"[\r\n\t]+$", ""))
+    x, rest = F.substring(line, 1, 1), F.substring(line, 4, 1 << 30)
+    letter = F.when(x == " ", F.substring(line, 2, 1)).otherwise(x)
+    status = F.when(F.contains(F.lit(STATUS_LETTERS), letter), letter).otherwise("?")
+    moved = F.instr(rest, " -> ")
+    path = F.when(moved > 0, F.substr(rest, moved + 4)).otherwise(rest)
+    return F.when(F.length(line) >= 4, F.struct(status.alias("status"), path.alias("path")))
 
 
 # Messages of error codes.

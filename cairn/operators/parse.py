@@ -21,7 +21,7 @@ EDGES = "path string, ord int, kind string, target string, line int"
 DEFINES = r"^\s*(?:async\s+)?(def|function|func|class|const|let|var)\s+(\w+)\s*(=?)"
 
 
-def _python_symbols(path: str, source: str) -> list[tuple]:
+def _python_symbols(path: str, source: str, tree: ast.AST | None = None) -> list[tuple]:
     found = []
 
     def visit(node: ast.AST, top: bool) -> None:
@@ -34,17 +34,18 @@ def _python_symbols(path: str, source: str) -> list[tuple]:
                 found.extend((t.id, "variable", child.lineno, child.end_lineno) for t in targets if isinstance(t, ast.Name))
             visit(child, False)
 
-    visit(ast.parse(source), True)
+    visit(tree or ast.parse(source), True)
     return [(path, k, *f) for k, f in enumerate(found)]
 
 
-def _python_edges(path: str, source: str) -> list[tuple]:
+def _python_edges(path: str, source: str, tree: ast.AST | None = None) -> list[tuple]:
     found = []
-    for node in ast.walk(ast.parse(source)):
+    for node in ast.walk(tree or ast.parse(source)):
         if isinstance(node, ast.Import):
             found.extend(("import", a.name, node.lineno) for a in node.names)
         elif isinstance(node, ast.ImportFrom):
-            found.append(("import", "." * node.level + (node.module or ""), node.lineno))
+            if (name := "." * node.level + (node.module or "")) != ".":
+                found.append(("import", name, node.lineno))
         elif isinstance(node, ast.Call):
             name = ast.unparse(node.func)
             if name.replace(".", "").replace("_", "").isalnum():
@@ -52,8 +53,13 @@ def _python_edges(path: str, source: str) -> list[tuple]:
     return [(path, k, *f) for k, f in enumerate(sorted(found, key=lambda f: (f[2], f[0], f[1])))]
 
 
-def per_file(files: DataFrame, work, schema: str, *more: str) -> DataFrame:
-    """Rows of ``schema`` that ``work`` makes of each file's path, content and the columns ``more``; none of what it cannot read."""
+#: What a parser says to text that is not its language, or nested deeper than it can follow.
+_UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def per_file(files: DataFrame, work, schema: str, *more: str, broken=None) -> DataFrame:
+    """Rows of ``schema`` that ``work`` makes of each file's path, content and the columns ``more``; of what it cannot read those that
+    ``broken`` makes of the path, if any."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,8 +68,8 @@ def per_file(files: DataFrame, work, schema: str, *more: str) -> DataFrame:
             for path, source, *rest in zip(b["path"], b["content"], *(b[c] for c in more), strict=True):
                 try:
                     out += work(path, source or "", *rest)
-                except (SyntaxError, ValueError):
-                    continue
+                except _UNREADABLE:
+                    out += [] if broken is None else broken(path)
             yield pd.DataFrame(out, columns=names)
 
     return files.select("path", "content", *more).mapInPandas(run, schema)
@@ -73,13 +79,20 @@ def parse_symbols_py(files: DataFrame) -> DataFrame:
     return per_file(files, _python_symbols, SYMBOLS)
 
 
+def python_rows(path: str, source: str) -> list[tuple]:
+    """Symbols and references of a file, parsed once: (path, ord, kind, name, first line, last line)."""
+    tree = ast.parse(source)
+    symbols = [(path, k, kind, name, a, b) for _, k, name, kind, a, b in _python_symbols(path, source, tree)]
+    return symbols + [(path, k, kind, target, line, line) for _, k, kind, target, line in _python_edges(path, source, tree)]
+
+
 def extract_edges_py(files: DataFrame) -> DataFrame:
     """Imports and calls with their lines."""
     return per_file(files, _python_edges, EDGES)
 
 
 def source_lines(files: DataFrame) -> DataFrame:
-    return files.select("path", F.posexplode(F.split("content", "\r?\n", -1)).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
+    return files.select("path", F.posexplode(F.split(F.regexp_replace("content", r"\r?\n\z", ""), "\r?\n", -1)).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
 
 
 def fallback_symbols(files: DataFrame) -> DataFrame:
@@ -97,9 +110,12 @@ def fallback_symbols(files: DataFrame) -> DataFrame:
     return ends.select("path", "name", "symbol_type", F.col("block").alias("start_line"), "end_line").unionByName(loose)
 
 
-def merge_fallback(parsed: DataFrame, fallback: DataFrame) -> DataFrame:
-    columns = ["path", "name", "symbol_type", "start_line", "end_line"]
-    return parsed.select(columns).unionByName(fallback.select(columns).join(parsed, ["path", "symbol_type", "name"], "left_anti").select(columns))
+def merge_fallback(parsed: DataFrame, fallback: DataFrame, broken: DataFrame) -> DataFrame:
+    """``parsed`` symbols, and those of ``fallback`` that the parser did not see in files (path) whose text has errors. Behind the parsed ones
+    (ord) stand the others by their line."""
+    columns = ["path", "ord", "name", "symbol_type", "start_line", "end_line"]
+    more = fallback.join(broken.select("path").distinct(), "path", "left_semi").join(parsed, ["path", "symbol_type", "name"], "left_anti")
+    return parsed.select(columns).unionByName(more.withColumn("ord", F.lit(1_000_000) + F.col("start_line")).select(columns))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
@@ -116,15 +132,25 @@ def chunk_split_lines(files: DataFrame, size: int = 150) -> DataFrame:
 
 
 def chunk_header(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One ``__header__`` chunk per file: its first run of import lines, then its variables."""
-    lines = source_lines(files).withColumn("imp", is_import_line(F.col("text")))
-    w = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    lines = lines.withColumn("seen", F.sum(F.col("imp").cast("int")).over(w)).withColumn("broken", F.sum(((~F.col("imp")) & (F.col("seen") > 0) & (F.trim("text") != "")).cast("int")).over(w))
-    text = source_lines(files).withColumnRenamed("path", "p").withColumnRenamed("line", "l")
-    of = symbols.filter("symbol_type = 'variable'").join(text, (F.col("path") == F.col("p")) & (F.col("l") == F.col("start_line"))).select("path", F.lit(1).alias("part"), F.col("l").alias("line"), "text")
-    rows = lines.filter("imp and broken = 0").select("path", F.lit(0).alias("part"), "line", "text").unionByName(of)
-    made = rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line", "text"))), lambda s: s["text"]), "\n").alias("content"), F.min("line").alias("start_line"), F.max("line").alias("end_line"))
-    return made.select("path", F.lit("__header__").alias("symbol_name"), F.lit("import").alias("chunk_type"), "content", "start_line", "end_line")
+    """One ``__header__`` chunk per file that has either: its first run of import lines (other lines before it are passed over, a blank or any
+    other line ends it), then its variables with all their lines. The range begins at line 1 and ends with as many lines as there are
+    imports, or with the last variable; without imports it is the variables'."""
+    whole = F.split("content", "\r\n|\r|\n", -1)
+    flags = F.transform("whole", lambda x: is_import_line(x))
+    first = F.array_position("flags", True).cast("int")
+    length = F.array_position(F.slice("flags", F.col("first") + 1, F.size("flags")), False).cast("int")
+    cut = files.select("path", whole.alias("whole")).withColumn("flags", flags).withColumn("first", first)
+    cut = cut.withColumn("imports", F.when(F.col("first") > 0, F.slice("whole", F.col("first"), F.when(length > 0, length).otherwise(F.size("flags") - F.col("first") + 1))).otherwise(F.slice("whole", 1, 0)))
+    spans = symbols.filter("symbol_type = 'variable'").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "start_line", "end_line"))).alias("vars"))
+    both = cut.join(spans, "path", "left").filter("first > 0 or vars is not null")
+    text = lambda v: F.trim(F.array_join(F.slice("whole", v["start_line"], v["end_line"] - v["start_line"] + 1), "\n"))
+    n, held = F.size("imports"), F.coalesce("vars", F.array().cast("array<struct<ord:int,start_line:int,end_line:int>>"))
+    last = F.array_max(F.transform("vars", lambda v: v["end_line"]))
+    start = F.when(n > 0, 1).otherwise(F.array_min(F.transform("vars", lambda v: v["start_line"])))
+    return both.select(
+        "path", F.lit("__header__").alias("symbol_name"), F.lit("import").alias("chunk_type"), F.array_join(F.concat("imports", F.transform(held, text)), "\n").alias("content"),
+        start.cast("int").alias("start_line"), F.greatest(n, last).cast("int").alias("end_line"),
+    )
 
 
 def _bodies(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -171,7 +197,7 @@ def _logical_blocks(lines: list[str], least: int) -> list[list[str]] | None:
     the lines are not Python."""
     try:
         body = ast.parse(textwrap.dedent("\n".join(lines))).body[0].body
-    except (SyntaxError, ValueError, IndexError, AttributeError):
+    except (*_UNREADABLE, IndexError, AttributeError):
         return None
     spans, last = [], 0  # (whether it is control flow, lines) of each statement that starts on a line of its own
     for stmt in body:

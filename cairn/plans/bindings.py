@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
@@ -68,7 +69,7 @@ def norm_path(spark, d):
     return t(spark, d, "pages").select("page_id", X.norm_path(F.col("url")).alias("path"))
 
 
-@query(r"""SELECT page_id, regexp_matches(lower(url), '(^|/)tests?/') OR regexp_matches(lower(url), '(^|/)test[_.][^/]*$') OR regexp_matches(lower(url), '(_test\.|\.test\.)[^/]*$') AS is_test,
+@query(r"""SELECT page_id, regexp_matches(lower(url), '(^|/)tests?(/|$)') OR regexp_matches(lower(url), '(^|/)test[_.][^/]*$') OR regexp_matches(lower(url), '(_test\.|\.test\.)[^/]*$') AS is_test,
  CASE WHEN regexp_matches(url, '\.html$') THEN 'html' ELSE '' END AS kind FROM pages""")
 def is_test_file(spark, d):
     return t(spark, d, "pages").select("page_id", X.is_test_file(F.col("url")).alias("is_test"), F.when(F.col("url").rlike(r"\.html$"), "html").otherwise("").alias("kind"))
@@ -85,9 +86,9 @@ def read_lines_range(spark, d):
     return t(spark, d, "documents").select("doc_id", X.read_lines_range(F.col("text"), 2, 4).alias("part"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 900 THEN left(text, 600) || chr(10) || '... [' || (length(text) - 600 - 240)::VARCHAR || ' chars omitted] ...' || chr(10) || right(text, 240) ELSE text END AS cut FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 1333) || chr(10) || '... [diff truncated: ' || (length(text) - 2000) || ' chars omitted] ...' || chr(10) || right(text, 607) ELSE text END AS cut FROM documents")
 def truncate_two_thirds(spark, d):
-    return t(spark, d, "documents").select("doc_id", X.truncate_two_thirds(F.col("text"), 900).alias("cut"))
+    return t(spark, d, "documents").select("doc_id", X.truncate_two_thirds(F.col("text"), 2000).alias("cut"))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), greatest(len(string_split(text, chr(10))) - 2, 1), len(string_split(text, chr(10)))), chr(10)) AS tail FROM documents")
@@ -266,16 +267,25 @@ _EDGES = """e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey A
  UNION SELECT DISTINCT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem)"""
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT target, depth + 1 FROM b JOIN e ON source = node WHERE depth < 2),
-m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node)
-SELECT m.node, 'downstream' AS direction, m.depth::INT AS depth, min(p.node) AS via FROM m JOIN e ON target = m.node JOIN m p ON p.node = source AND p.depth = m.depth - 1 WHERE m.depth > 0 GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {_EDGES},
+b AS (SELECT 's1' AS node, 0 AS depth UNION SELECT target, depth + 1 FROM b JOIN e ON source = node WHERE depth < 2),
+c AS (SELECT 'o1' AS node, 0 AS depth UNION SELECT source, depth + 1 FROM c JOIN e ON target = node WHERE depth < 2),
+m AS (SELECT node, min(depth) AS depth FROM b GROUP BY node), n AS (SELECT node, min(depth) AS depth FROM c GROUP BY node)
+SELECT m.node, 'upstream' AS direction, m.depth::INT AS depth, min(p.node) AS via
+FROM m JOIN e ON target = m.node JOIN m p ON p.node = source AND p.depth = m.depth - 1 WHERE m.depth > 0 GROUP BY ALL
+UNION ALL
+SELECT n.node, 'downstream', n.depth::INT, min(p.node) FROM n JOIN e ON source = n.node JOIN n p ON p.node = target AND p.depth = n.depth - 1 WHERE n.depth > 0 GROUP BY ALL""")
 def graph_bfs(spark, d):
-    return graph.graph_bfs(_edges(spark, d), "s1", 2)
+    """What a supplier reaches, and who reaches an order."""
+    edges = _edges(spark, d)
+    return graph.graph_bfs(edges, "s1", 2, "upstream").unionByName(graph.graph_bfs(edges, "o1", 2, "downstream"))
 
 
-@query(f"WITH {_EDGES} SELECT count(DISTINCT n)::BIGINT AS files, (SELECT count(*) FROM e) AS import_edges, 0::BIGINT AS call_edges FROM (SELECT source AS n FROM e UNION ALL SELECT target FROM e)")
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM part) AS files, (SELECT count(*) FROM e) AS import_edges, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)) AS call_edges")
 def graph_stats(spark, d):
-    return graph.graph_stats(_edges(spark, d))
+    files = t(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("file_path"))
+    calls = _calls(spark, d).select("source", "target", F.lit("call").alias("edge_type"))
+    return graph.graph_stats(_edges(spark, d).unionByName(calls), files)
 
 
 @query(f"WITH {_EDGES} SELECT source, target, target IN (SELECT 'p' || p_partkey FROM part WHERE p_size < 25) AS resolved FROM e WHERE source = 's1'")
@@ -315,8 +325,6 @@ def find_related_symbols(spark, d):
 @query("""WITH s AS (SELECT conv_id AS file, turn AS ord, role AS name, (sum(length(text)) OVER w - length(text))::BIGINT AS a, (sum(length(text)) OVER w)::BIGINT AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT DISTINCT file, (x * 100)::BIGINT AS line FROM s, (VALUES (0), (3), (20)) v(x)) SELECT p.file, line, arg_min(name, ord) AS symbol FROM p JOIN s ON p.file = s.file AND line BETWEEN a AND b GROUP BY ALL""")
 def enclosing_symbol(spark, d):
-    from pyspark.sql import Window as W
-
     cum = F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn"))
     spans = t(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"), F.col("role").alias("name"), (cum - F.length("text")).alias("start_line"), cum.alias("end_line"))
     points = spans.select("file").distinct().select("file", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 300, 2000)])).alias("line"))
@@ -353,10 +361,23 @@ def dag_runnable(spark, d):
     return graph.dag_runnable(_steps(spark, d))
 
 
-@query("SELECT o_custkey AS plan, o_orderkey AS id, 'self' AS violation FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'missing' FROM orders WHERE o_orderkey % 89 = 0 AND o_orderkey % 97 <> 0")
+@query("""WITH o AS (SELECT o_custkey AS plan, o_orderkey AS id, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
+SELECT plan, id, CASE WHEN n = 1 THEN 'self' ELSE 'cycle' END AS violation FROM o WHERE plan % 3 = 0
+UNION ALL SELECT plan, id, 'cycle' FROM o WHERE plan % 3 = 1 AND k > 2 AND n > 3
+UNION ALL SELECT plan, id, CASE WHEN id % 7 = 0 THEN 'self' ELSE 'missing' END FROM o WHERE plan % 3 = 2 AND (id % 7 = 0 OR id % 5 = 0)""")
 def dag_validate(spark, d):
-    bad = F.when(F.col("id") % 97 == 0, F.array("id")).when(F.col("id") % 89 == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    return graph.dag_validate(_steps(spark, d).withColumn("deps", bad))
+    """Customers' orders as plans. Of every three: a ring of all orders; a way into a ring from the third order on, where there are four; a chain with
+    steps that depend on themselves or on none that exists."""
+    by = W.partitionBy("plan")
+    orders = t(spark, d, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("id"))
+    o = orders.withColumn("k", F.row_number().over(by.orderBy("id"))).withColumn("before", F.lag("id").over(by.orderBy("id"))).withColumn("last", F.max("id").over(by)).withColumn("n", F.count("id").over(by))
+    none = F.array().cast("array<bigint>")
+    ring = F.array(F.coalesce("before", "last"))
+    # the third order depends on the second and the last, so that the ring is entered from outside; a ring of one is left out
+    late = F.when(F.col("k") == 3, F.when(F.col("n") > 3, F.array("before", "last")).otherwise(F.array("before"))).otherwise(F.when(F.col("before").isNull(), none).otherwise(F.array("before")))
+    loose = F.concat(F.when(F.col("before").isNull(), none).otherwise(F.array("before")), F.when(F.col("id") % 7 == 0, F.array("id")).when(F.col("id") % 5 == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(none))
+    kind = F.col("plan") % 3
+    return graph.dag_validate(o.select("plan", "id", F.when(kind == 0, ring).when(kind == 1, late).otherwise(loose).alias("deps")))
 
 
 @query(f"WITH {_STEPS} SELECT id, CASE WHEN status = 'pending' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'pending' THEN 'stopped' END AS reason FROM st")
@@ -506,7 +527,7 @@ def assembly_stats(spark, d):
     return context.assembly_stats(items, context.assemble_budget(items, 3000))
 
 
-@query("""WITH i AS (SELECT source AS conv, doc_id AS ord, ['selection', 'file', 'implicit'][(doc_id % 3 + 1)::INT] AS type, text, doc_id % 3 AS p, floor(length(text) / 4)::BIGINT AS tokens FROM documents),
+@query("""WITH i AS (SELECT source AS conv, doc_id AS ord, ['selection', 'file', 'implicit'][(doc_id % 3 + 1)::INT] AS type, text, [1, 0, 2][(doc_id % 3 + 1)::INT] AS p, floor(length(text) / 4)::BIGINT AS tokens FROM documents),
 c AS (SELECT *, (sum(tokens) OVER w)::BIGINT AS cum FROM i WINDOW w AS (PARTITION BY conv ORDER BY p, ord)), o AS (SELECT *, sum((cum > 9000)::INT) OVER (PARTITION BY conv ORDER BY p, ord) AS over FROM c)
 SELECT conv, ord, type, CASE WHEN over = 1 AND length(text) > (9000 - cum + tokens) * 4 THEN left(text, greatest((9000 - cum + tokens) * 4 - 20, 0)) ELSE text END AS content FROM o WHERE over = 0 OR (over = 1 AND type = 'implicit' AND 9000 - cum + tokens > 0)""")
 def context_truncate(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import braces, logs, parse
+from cairn.operators import braces, logs, parse, workspace
 from cairn.plans.bindings import query, t
 from cairn.sources import tables
 
@@ -56,9 +56,7 @@ def _files(spark, d) -> DataFrame:
 
 
 def _symbols(spark, d) -> DataFrame:
-    files = _files(spark, d)
-    parsed = parse.parse_symbols_py(files.filter("language = 'python'")).unionByName(braces.parse_symbols_braces(files.filter("language <> 'python'")))
-    return parse.merge_fallback(parsed, parse.fallback_symbols(files.filter("language <> 'python'")))
+    return workspace.file_symbols(_files(spark, d))
 
 
 _OF = lambda end: tuple(r for r in DEFINED if r[0].endswith(end))
@@ -106,14 +104,28 @@ def fallback_symbols(spark, d):
 _MERGED = _rows(tuple((p, *r) for p, _, *r in DEFINED), "path, name, symbol_type, start_line, end_line")
 
 
-@query(_MERGED)
+@query("""WITH p AS (SELECT p_partkey AS k, p_size % 3 AS kind, p_size AS n FROM part)
+SELECT 'b' || k || '.py' AS path, 'open' || k AS name, 'function' AS symbol_type, 1 AS start_line, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 3 + n ELSE 2 + n END AS end_line FROM p
+UNION ALL SELECT 'b' || k || '.py', 'Late' || k, 'class', 4 + n, 5 + n FROM p WHERE kind <> 2
+UNION ALL SELECT 'b' || k || '.py', 'n' || k, 'variable', 3, 3 FROM p WHERE kind = 0
+UNION ALL SELECT 'b' || k || '.py', 'g', 'function', 5 + n, 5 + n FROM p WHERE kind = 0""")
 def merge_fallback(spark, d):
-    return _symbols(spark, d)
+    """Files that parse (p_size % 3 = 0), do not (1), or end in their first function (2): symbols of the parser, or by line patterns."""
+    n, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    fill = lambda x: F.replace(F.lit(x), F.lit("#"), key)
+    kind = n % 3
+    lines = F.concat(
+        F.array(fill("def open#(x):"), fill("    return x"), F.when(kind == 0, fill("n# = 1")).otherwise("    oops ((")),
+        F.array_repeat(F.lit(""), n),
+        F.when(kind == 2, F.array().cast("array<string>")).otherwise(F.array(fill("class Late#:"), F.when(kind == 0, "    def g(self): pass").otherwise("    x = ["))),
+    )
+    files = t(spark, d, "part").select(F.concat(F.lit("b"), key, F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("content"), F.lit("python").alias("language"))
+    return workspace.file_symbols(files).select("path", "name", "symbol_type", "start_line", "end_line")
 
 
 @query(f"SELECT * FROM ({_MERGED}) WHERE path = 'p7/app.py'")
 def index_symbols(spark, d):
-    return tables.index_symbols(_symbols(spark, d), "p7/app.py")
+    return tables.index_symbols(_symbols(spark, d), "p7/app.py").drop("ord")
 
 
 @query(f"SELECT path, count(*) AS symbols FROM ({_MERGED}) GROUP BY path")
@@ -124,7 +136,7 @@ def symbol_counts(spark, d):
 _CHUNK = "path, symbol_name, chunk_type, content, start_line, end_line"
 _HEADERS = (
     ("p#/app.py", "__header__", "import", "import os\nfrom utils# import tidy\nLIMIT# = 3", 1, 4), ("p#/view.js", "__header__", "import", "import { a } from './a#'\nconst b# = require('b')", 1, 2),
-    ("p#/Item#.java", "__header__", "import", "package p#;\nimport java.util.List;\n    private int n = 3;", 1, 5), ("p#/run.go", "__header__", "import", "package main\nimport \"fmt\"", 1, 2),
+    ("p#/Item#.java", "__header__", "import", "package p#;\nimport java.util.List;\nprivate int n = 3;", 1, 5), ("p#/run.go", "__header__", "import", "package main\nimport \"fmt\"", 1, 2),
 )
 _BODIES = tuple(
     (p, name, kind, f"{name} | {next(x.strip() for x in _LINES[p][a - 1 : b] if not x.startswith('@'))}\n" + "\n".join(_LINES[p][a - 1 : b]), a, b)
@@ -240,8 +252,20 @@ def _reports(spark, d) -> DataFrame:
     ).select(
         "l_orderkey", "l_linenumber",
         F.concat(F.when(F.col("bad") > 0, F.concat(F.lit("FAILED t/test_a.py::test_"), n("bad"), F.lit(" - assert 3 == "), n("good"), F.lit("\n"), n("bad"), F.lit(" failed, "))).otherwise(""), n("good"), F.lit(" passed, 1 skipped in 0.2s")).alias("pytest"),
-        F.concat(F.lit("Tests:       "), n("bad"), F.lit(" failed, 1 skipped, "), n("good"), F.lit(" passed, 9 total")).alias("jest"), F.when(F.col("bad") > 0, 1).otherwise(0).alias("code"),
+        _jest(n).alias("jest"), F.when(F.col("bad") > 0, 1).otherwise(0).alias("code"),
+    )
+
+
+def _jest(n):
+    """Four forms of the summary line, by the order's key; each failed test has its line before it."""
+    form = F.col("l_orderkey") % 4
+    line = (
+        F.when(form == 0, F.concat(F.lit("Tests:       "), n("bad"), F.lit(" failed, "), n("good"), F.lit(" passed, 1 skipped")))
+        .when(form == 1, F.concat(F.lit("Tests: "), n("good"), F.lit(" passed, 9 total"))).when(form == 2, F.concat(F.lit("Tests: "), n("bad"), F.lit(" failed, "), n("good"), F.lit(" passed")))
+        .otherwise("sh: jest: not found")
     )
+    marks = F.transform(F.sequence(F.lit(0), F.col("bad")), lambda k: F.concat(F.lit("  ● suite › test "), k.cast("string"), F.lit("  \n")))
+    return F.concat(F.array_join(F.slice(marks, 2, F.lit(99)), ""), line)
 
 
 _REPORT = "l_orderkey, l_linenumber, l_linenumber = 1 AS success, l_quantity::INT AS passed, (l_linenumber - 1)::INT AS failed"
@@ -254,9 +278,13 @@ def parse_pytest(spark, d):
     return r.withColumn("failures", F.array_join(F.transform("failures", lambda x: F.concat(x["test_name"], F.lit("="), x["error"])), ";"))
 
 
-@query(f"SELECT {_REPORT}, 1 AS skipped, (l_quantity + l_linenumber)::INT AS total FROM lineitem")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber - 1 AS bad, l_quantity::INT AS good, l_orderkey % 4 AS form FROM lineitem),
+c AS (SELECT *, CASE form WHEN 0 THEN bad WHEN 1 THEN 0 ELSE (bad > 0)::INT END AS failed, CASE WHEN form < 2 THEN good ELSE 0 END AS passed, (form = 0)::INT AS skipped FROM r)
+SELECT l_orderkey, l_linenumber, bad = 0 AS success, passed, failed::INT AS failed, skipped, (passed + failed + skipped)::INT AS total,
+ array_to_string(list_transform(range(1, bad + 1), lambda k: 'suite › test ' || k || '=test failed'), ';') AS failures FROM c""")
 def parse_jest(spark, d):
-    return _reports(spark, d).select("l_orderkey", "l_linenumber", logs.parse_jest(F.col("jest"), F.lit(""), F.col("code")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    r = _reports(spark, d).select("l_orderkey", "l_linenumber", logs.parse_jest(F.col("jest"), F.lit(""), F.col("code")).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
+    return r.withColumn("failures", F.array_join(F.transform("failures", lambda x: F.concat(x["test_name"], F.lit("="), x["error"])), ";"))
 
 
 @query("SELECT event_id, props AS first, props AS greedy FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
-from cairn.operators import context, graph, logs, metrics, parse, plans, search, session
+from cairn.operators import context, graph, logs, metrics, parse, plans, search, session, workspace
 from cairn.plans import fixtures
 from cairn.plans.bindings import _EDGES, _STEPS, _TERMS, _TOK, _edges, _steps, query, t
 from cairn.sources import stores, tables
@@ -207,22 +207,48 @@ def retrieval_cache(spark, d):
 # --- graph and plans ------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_EDGES} SELECT source, target, 'import' AS edge_type, max(n)::INT AS line FROM (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, l_linenumber AS n FROM lineitem) GROUP BY source, target")
-def build_edges(spark, d):
-    rows = t(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("import").alias("edge_type"), F.col("l_linenumber").alias("line"), F.col("l_linenumber").alias("ord"))
-    return graph.build_edges(rows)
-
-
 @query("SELECT 'f' || l_orderkey || '::m' || l_linenumber AS source, l_partkey AS target FROM lineitem WHERE l_orderkey = 1")
 def graph_symbols(spark, d):
     calls = t(spark, d, "lineitem").select(F.concat(F.lit("f"), "l_orderkey", F.lit("::m"), "l_linenumber").alias("source"), F.col("l_partkey").alias("target"))
     return graph.graph_symbols(calls, "f1")
 
 
-@query("SELECT DISTINCT l_orderkey AS source, l_partkey || ':' || l_suppkey AS module, CASE WHEN l_partkey % 2 = 0 THEN 'p' || l_partkey WHEN l_suppkey % 2 = 0 THEN 'p' || l_suppkey END AS target FROM lineitem")
+#: A workspace: each order is a file that imports its parts and calls them from a function each; a part with an even key is a file, of the others
+#: those whose key three divides are packages, and the rest is not there. Each order also imports itself.
+_ITEMS = """i AS (SELECT l_orderkey AS o, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+m AS (SELECT *, 'pkg.p' || p AS module, CASE WHEN p % 2 = 0 THEN 'pkg/p' || p || '.py' WHEN p % 3 = 0 THEN 'pkg/p' || p || '/__init__.py' END AS file FROM i)"""
+
+
+def _workspace(spark, d) -> DataFrame:
+    item = F.struct("l_linenumber", "l_partkey")
+    orders = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    part = lambda x: x["l_partkey"].cast("string")
+    imports = F.transform("items", lambda x: F.concat(F.lit("from pkg.p"), part(x), F.lit(" import run")))
+    bodies = F.transform("items", lambda x, k: F.concat(F.lit("def f"), (k + 1).cast("string"), F.lit("(x):\n    return p"), part(x), F.lit(".run(x)")))
+    key = F.col("l_orderkey").cast("string")
+    lines = F.concat(imports, F.array(F.concat(F.lit("import o"), key), F.lit("")), bodies, F.array(F.lit("f1(0)")))
+    files = orders.select(F.concat(F.lit("o"), key, F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("content"))
+    number = F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("pkg/p"), number, F.lit(".py"))).when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("pkg/p"), number, F.lit("/__init__.py")))
+    parts = t(spark, d, "part").select(path.alias("path"), F.lit("def run(x):\n    return x\n").alias("content")).filter("path is not null")
+    return files.unionByName(parts).withColumn("language", X.detect_language(F.col("path")))
+
+
+@query(f"""WITH {_ITEMS}, x AS (
+SELECT 'o' || o || '.py' AS source, coalesce(file, module) AS target, 'import' AS edge_type, 'file' AS source_type, k AS line, module AS raw FROM m
+UNION ALL SELECT DISTINCT 'o' || o || '.py', 'o' || o, 'import', 'file', n + 1, 'o' || o FROM m
+UNION ALL SELECT 'o' || o || '.py::f' || k, 'p' || p || '.run', 'call', 'symbol', n + 2 + 2 * k, 'p' || p || '.run' FROM m
+UNION ALL SELECT DISTINCT 'o' || o || '.py', 'f1', 'call', 'file', 3 * n + 3, 'f1' FROM m)
+SELECT source, target, edge_type, source_type, max(line)::INT AS line, raw FROM x GROUP BY ALL""")
+def build_edges(spark, d):
+    return workspace.file_edges(_workspace(spark, d))
+
+
+@query(f"WITH {_ITEMS} SELECT DISTINCT 'python' AS language, module, file AS target FROM m UNION ALL SELECT DISTINCT 'python', 'o' || o, 'o' || o || '.py' FROM m")
 def resolve_import(spark, d):
-    li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.concat("l_partkey", F.lit(":"), "l_suppkey").alias("module"), F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("p"), "l_suppkey")).alias("candidates"))
-    return graph.resolve_import(li, t(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("file_path")))
+    files = _workspace(spark, d)
+    refs = workspace.references_of(workspace.read_files(files)).filter("kind = 'import'")
+    return graph.resolve_import(refs.select(F.lit("python").alias("language"), F.col("target").alias("module")), files.select(F.col("path").alias("file_path")))
 
 
 @query(f"WITH {_STEPS} SELECT plan, bool_and(status IN ('done', 'blocked')) AS all_done FROM st GROUP BY plan")
@@ -320,25 +346,41 @@ def cursor_file(spark, d):
     return tables.cursor_file(_items(spark, d))
 
 
-@query("WITH i AS (SELECT doc_id AS ord, doc_id % 3 AS k, source || '/' || (doc_id % 500) AS f, text FROM documents), s AS (SELECT DISTINCT f FROM i WHERE k = 0) SELECT ord, CASE WHEN k = 1 AND s.f IS NULL THEN '[行 1-9，共 9 行]' || chr(10) || text ELSE text END AS content FROM i LEFT JOIN s USING (f)")
+@query('''WITH i AS (SELECT doc_id AS ord, lang AS conv, ['selection', 'file', 'implicit'][(doc_id % 3 + 1)::INT] AS type, source || '/' || (doc_id % 500) AS file_path, text AS content FROM documents),
+x AS (SELECT page_id AS ord, ['en', 'de', 'fr', 'es'][(page_id % 4 + 1)::INT] AS conv, 'src' || page_id % 5 || '/' || page_id % 500 AS file_path, page_id AS a, page_id + page_id % 7 - 1 AS b, url FROM pages)
+SELECT ord, conv, type, file_path, content FROM i
+UNION ALL SELECT ord, conv, 'selection', file_path, '[行 ' || a || '-' || b || '，共 ' || greatest(1, b - a + 1) || ' 行]' || chr(10) || url FROM x
+WHERE NOT EXISTS (FROM i WHERE type = 'selection' AND i.conv = x.conv AND i.file_path = x.file_path)''')
 def inline_annotate(spark, d):
-    return context.inline_annotate(_items(spark, d)).select("ord", "content")
+    conv = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("page_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("src"), F.col("page_id") % 5, F.lit("/"), F.col("page_id") % 500)
+    last = F.col("page_id") + F.col("page_id") % 7 - 1
+    inline = t(spark, d, "pages").select(F.col("page_id").alias("ord"), conv.alias("conv"), path.alias("file_path"), F.col("page_id").alias("start"), last.alias("end"), F.col("url").alias("text"))
+    return context.inline_annotate(_items(spark, d), inline)
 
 
 # --- logs and files -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, ['M', 'R', '??'][(page_id % 3 + 1)::INT] AS status, url AS path FROM pages")
+#: Lines of a short status without their path, and the status that each means; a line of the last one has no path and is passed over.
+_STATES = ((" M", "M"), ("R ", "R"), ("??", "?"), ("MM", "M"), ("AM", "A"), ("UU", "U"), ("T ", "?"), (" D", "D"), ("C ", "C"), ("M", None))
+
+
+@query(f"""SELECT page_id, {[s for _, s in _STATES[:-1]]}[(page_id % {len(_STATES)} + 1)::INT] AS status,
+ CASE WHEN page_id % {len(_STATES)} IN (1, 8) THEN 'b -> ' || url ELSE url END AS path FROM pages WHERE page_id % {len(_STATES)} < {len(_STATES) - 1}""")
 def git_status_parse(spark, d):
-    state = F.element_at(F.array(F.lit(" M"), F.lit("R "), F.lit("??")), (F.col("page_id") % 3 + 1).cast("int"))
-    line = F.concat(state, F.lit(" "), F.when(F.col("page_id") % 3 == 1, "old -> ").otherwise(""), "url")
-    return t(spark, d, "pages").select("page_id", logs.git_status_parse(line).alias("r")).select("page_id", "r.*")
+    k = F.col("page_id") % len(_STATES)
+    state = F.element_at(F.array(*[F.lit(s) for s, _ in _STATES]), (k + 1).cast("int"))
+    line = F.when(k == len(_STATES) - 1, state).otherwise(F.concat(state, F.lit(" "), F.when(k.isin(1, 8), "a -> b -> ").otherwise(""), "url"))
+    return t(spark, d, "pages").select("page_id", logs.git_status_parse(line).alias("r")).filter("r is not null").select("page_id", "r.*")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'timed out' WHEN event_type = 'view' THEN floor(value)::BIGINT || ' passed' WHEN event_type = 'click' THEN 'broken' ELSE '2 failed, ' || floor(value)::BIGINT || ' passed' END AS summary FROM events")
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN '测试超时中止（after ' || event_id || '）' WHEN event_type = 'view' THEN '测试全部通过 ✅ (' || floor(value)::BIGINT || ' passed)'
+ WHEN event_type = 'click' THEN '测试框架不可用: broken' ELSE '测试存在失败 ❌ (' || floor(value)::BIGINT || ' passed, ' || user_id || ' failed, ' || event_id % 3 || ' errors, 4 skipped)' END AS summary FROM events""")
 def test_summary(spark, d):
     e, passed = F.col("event_type"), F.floor("value")
-    return t(spark, d, "events").select("event_id", logs.test_summary(e == "error", e == "view", F.when(e == "click", "broken"), passed, F.lit(2)).alias("summary"))
+    message = F.when(e == "click", "broken").when(e == "error", F.concat(F.lit("after "), "event_id"))
+    return t(spark, d, "events").select("event_id", logs.test_summary(e == "error", e == "view", message, passed, F.col("user_id"), F.col("event_id") % 3, F.lit(4)).alias("summary"))
 
 
 @query("SELECT doc_id, 1 AS errors, left(text, 2000) AS stdout, true AS timed_out FROM documents")

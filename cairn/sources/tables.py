@@ -36,8 +36,11 @@ def scan_workspace(spark: SparkSession, root: str) -> DataFrame:
         raise ValueError(f"no workspace at {root}")
     base = fs.getFileStatus(where).getPath().toUri().getPath().rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(INDEX_LANGUAGES) + "}").load(root).filter(F.col("length") <= MAX_FILE)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", ""), f"^{base}/", "")
-    return workspace_files(raw.select(rel.alias("path"), "length", F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content")))
+    full = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?", "")
+    rel = F.when(F.startswith(full, F.lit(base + "/")), F.substr(full, F.lit(len(base) + 2))).otherwise(full)
+    # bytes that are no UTF-8 are replaced, as editors do
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return workspace_files(raw.select(rel.alias("path"), "length", F.col("modificationTime").alias("mtime"), text.alias("content")))
 
 
 def scan_test_files(listing: DataFrame, most: int = 500) -> DataFrame:

@@ -142,5 +142,5 @@ def test_any_text_is_read():
             cut.insert(rng.randrange(len(cut) + 1), rng.choice("(){}[]\"'`/\\;\n"))
         source = "".join(cut)
         lines = source.count("\n") + 1
-        assert all(1 <= a <= b <= lines for *_, a, b in braces.symbols("p", source, language))
+        assert all(1 <= a <= b <= lines for _, k, *_, a, b in braces.symbols("p", source, language) if k >= 0)
         assert all(1 <= line <= lines for *_, line in braces.edges("p", source, language))
