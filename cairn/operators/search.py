@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions import text as X
+from cairn.sources.scratch import materialize
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-#: Folders of postings: a term's rows are in the one of its hash.
-BUCKETS = 64
+#: Postings of a block; a block is kept or skipped as a whole. Postings of a file. For how many results a term's own impacts bound a
+#: list from below. Smallest ids kept with the statistics, from which documents of score 0 are taken.
+BLOCK, FILE_POSTINGS, LADDER, RESERVE = 128, 2_000_000, (1, 5, 10, 20, 50, 100, 200, 500, 1000), 1000
 
 
 class Bm25Index(NamedTuple):
-    """An index as written: (bucket, term, id, tf, dl), (id, dl) of documents with tokens, and one row of n, avgdl and the floor of
-    negative idf."""
+    """An index as written: blocks of postings (term, ids, tf, dl, top), the dictionary (term, df, top, ladder), (id, dl) of documents with
+    tokens, and the statistics: n, avgdl, the floor of negative idf, and the smallest ids."""
 
-    postings: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
     lengths: DataFrame
-    stats: DataFrame
+    stats: Row
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,57 +44,133 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.select("id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).filter("term is not null").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def idf_of(df: Column | float, n: Column | float) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def _idf(df: str) -> Column:
-    return F.log(F.col("n") - F.col(df) + 0.5) - F.log(F.col(df) + 0.5)
+def _impact(tf, dl, avgdl):
+    """What a posting adds to a score, but for its term's weight; of columns or arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _blocks(avgdl: float):
+    """Postings (term, id, tf, dl) in the order of term and falling impact become blocks. The last block of a term's run in a partition bears the run's
+    length and ladder: the greatest impact, the 5th greatest and so on, 0 where there are fewer."""
+
+    def pack(term: str, ids: pa.Array, tf: np.ndarray, dl: np.ndarray) -> Iterator[dict]:
+        impact = _impact(tf, dl, avgdl)
+        for a in range(0, len(tf), BLOCK):
+            last = a + BLOCK >= len(tf)
+            yield {
+                "term": term, "ids": ids.slice(a, BLOCK).to_pylist(), "tf": tf[a : a + BLOCK].tolist(), "dl": dl[a : a + BLOCK].tolist(), "top": float(impact[a : a + BLOCK].max()),
+                "run": len(tf) if last else 0, "ladder": [float(impact[k - 1]) if k <= len(tf) else 0.0 for k in LADDER] if last else None,
+            }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                t = pa.Table.from_batches([b])
+                held = t if held is None else pa.concat_tables([held, t])
+            if held is None or not held.num_rows:
+                continue
+            term = held["term"].combine_chunks().dictionary_encode()
+            codes, names = term.indices.to_numpy(zero_copy_only=False), term.dictionary.to_pylist()
+            cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            ends = np.r_[cuts[1:], len(codes)] if b is None else cuts[1:]  # the last run may go on in the next batch
+            ids, tf, dl = held["id"].combine_chunks(), held["tf"].to_numpy(), held["dl"].to_numpy()
+            out = [x for a, e in zip(cuts, ends) for x in pack(names[codes[a]], ids.slice(a, e - a), tf[a:e], dl[a:e])]
+            for k in range(0, len(out), 500):
+                part = out[k : k + 500]
+                kinds = {"ids": pa.list_(held.schema.field("id").type), "tf": pa.list_(pa.int64()), "dl": pa.list_(pa.int32()), "ladder": pa.list_(pa.float64())}
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], kinds.get(c)) for c in part[0]], names=list(part[0]))
+            held = held.slice(int(ends[-1])) if len(ends) else held
+
+    return run
 
 
 def write_bm25(docs: DataFrame, path: str, id_col: str, text_col: str) -> Bm25Index:
-    """Each text is tokenized once; lengths, document frequencies and the floor come from the written postings."""
+    """Each text is tokenized once; lengths, blocks, the dictionary and the floor come from the written postings. The number of files comes from
+    the number of postings, and files are cut by term and impact, so that a frequent term lies in many; its blocks come with falling impact."""
     spark = docs.sparkSession
-    own = postings(docs, id_col, text_col).withColumn("bucket", _bucket(F.col("term")))
-    own.repartition("bucket").sortWithinPartitions("term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    own = _read_postings(spark, path, own.schema["id"].dataType)
-    own.groupBy("id").agg(F.max("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
-    own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
-    size = spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    floor = spark.read.parquet(f"{path}/df").crossJoin(F.broadcast(size.select("n"))).agg((F.avg(_idf("df")) * 0.25).alias("floor"))  # one row beside each term
-    size.crossJoin(floor).write.mode("overwrite").parquet(f"{path}/stats")
+    flat = materialize(postings(docs, id_col, text_col), "postings")
+    flat.groupBy("id").agg(F.max("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    files = max(1, -(-flat.count() // FILE_POSTINGS))
+    kind = flat.schema["id"].dataType.simpleString()
+    falling = (-_impact(F.col("tf"), F.col("dl"), F.lit(size.avgdl))).alias("falling")
+    keyed = flat.select("term", "id", "tf", "dl", falling)
+    dealt = keyed.repartitionByRange(max(files, min(spark.sparkContext.defaultParallelism, 16)), "term", "falling", "id").sortWithinPartitions("term", "falling", "id").drop("falling")
+    packed = dealt.mapInArrow(_blocks(size.avgdl or 1.0), f"term string, ids array<{kind}>, tf array<long>, dl array<int>, top double, run long, ladder array<double>")
+    packed.write.mode("overwrite").parquet(f"{path}/blocks")
+    runs = spark.read.parquet(f"{path}/blocks").filter("ladder is not null")
+    whole = runs.groupBy("term").agg(F.sum("run").alias("df"), *[F.max(F.col("ladder")[k]).alias(f"l{k}") for k in range(len(LADDER))])
+    terms = whole.select("term", "df", F.col("l0").alias("top"), F.array(*[f"l{k}" for k in range(len(LADDER))]).alias("ladder"))
+    terms.repartitionByRange(max(1, files // 8), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    floor = spark.read.parquet(f"{path}/terms").agg((F.avg(idf_of(F.col("df"), F.lit(size.n))) * 0.25).alias("floor")).first().floor
+    reserve = [r.id for r in lengths.select("id").orderBy("id").limit(RESERVE).collect()]
+    stats = spark.createDataFrame([(size.n, size.avgdl, floor, reserve)], f"n long, avgdl double, floor double, reserve array<{kind}>")
+    stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return read_bm25(spark, path)
 
 
-def _read_postings(spark: SparkSession, path: str, id_type: T.DataType) -> DataFrame:
-    fields = {"id": id_type, "dl": T.IntegerType(), "term": T.StringType(), "tf": T.LongType(), "bucket": T.IntegerType()}
-    return spark.read.schema(T.StructType([T.StructField(n, k) for n, k in fields.items()])).parquet(f"{path}/postings")
-
-
 def read_bm25(spark: SparkSession, path: str) -> Bm25Index:
-    lengths, stats = (spark.read.parquet(f"{path}/{part}") for part in ("lengths", "stats"))
-    return Bm25Index(_read_postings(spark, path, lengths.schema["id"].dataType), lengths, stats)
+    return Bm25Index(*(spark.read.parquet(f"{path}/{part}") for part in ("blocks", "terms", "lengths")), spark.read.parquet(f"{path}/stats").first())
+
+
+def term_weights(query: list[str], df: dict[str, int], n: int, floor: float) -> dict[str, float]:
+    """Weight of each term of the query that the index has; one that the query repeats counts each time."""
+    idf = {w: math.log(n - d + 0.5) - math.log(d + 0.5) for w, d in df.items()}
+    return {w: times * (floor if idf[w] < 0 else idf[w]) for w, times in Counter(query).items() if w in idf}
+
+
+def bm25_blocks(index: Bm25Index, query: list[str], k: int | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """Blocks of the query's terms, and the terms' weights. With ``k``, only blocks that may hold one of the k best documents: the dictionary tells what
+    score the k-th best has at least, by one term alone, and a block whose greatest impact, with the other terms at their greatest, stays below
+    that is left out by the file source. Of the documents in such a block none is among the k best, and what is left of their scores only falls."""
+    words = sorted(set(query))
+    known = {r.term: r for r in index.terms.filter(F.col("term").isin(*words)).collect()}
+    weight = term_weights(query, {w: r.df for w, r in known.items()}, index.stats.n, index.stats.floor)
+    positive = all(x >= 0 for x in weight.values())
+    wanted = F.lit(False)
+    steps = [i for i, size in enumerate(LADDER) if k is not None and size >= k]
+    least = max((weight[w] * known[w].ladder[steps[0]] for w in weight), default=0.0) if steps and positive else 0.0
+    for w, x in weight.items():
+        others = sum(weight[v] * known[v].top for v in weight if v != w)
+        enough = (least - others - 1e-8) / x if x > 0 else 0.0  # scores are compared to nine places
+        wanted = wanted | ((F.col("term") == w) & (F.col("top") >= enough) if enough > 0 else F.col("term") == w)
+    return index.blocks.filter(wanted), weight
+
+
+def bm25_hits(index: Bm25Index, query: list[str], k: int | None = None) -> tuple[DataFrame, bool]:
+    """(id, part): what each posting of the query's terms adds to its document's score, of the blocks that ``bm25_blocks`` gives; and whether no
+    part is negative."""
+    blocks, weight = bm25_blocks(index, query, k)
+    positive = all(x >= 0 for x in weight.values())
+    rows = blocks.select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p"))
+    of = F.element_at(F.create_map(*[F.lit(x) for kv in weight.items() for x in kv]), F.col("term")) if weight else F.lit(0.0)
+    return rows.select(F.col("p.ids").alias("id"), (of * _impact(F.col("p.tf"), F.col("p.dl"), F.lit(index.stats.avgdl))).alias("part")), positive
 
 
 def bm25_scores(index: Bm25Index, query: list[str]) -> DataFrame:
-    """(id, score) of the documents that have a term of the query. Only the folders of its terms' hashes are read, and within
-    them the terms' rows. A term that the query repeats counts each time."""
-    times = Counter(query)
-    terms = [F.lit(w) for w in times]
-    hits = index.postings.filter(F.col("bucket").isin(*map(_bucket, terms)) & F.col("term").isin(*terms))
-    each = F.broadcast(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(index.stats)))  # a row per term of the query
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in times.items() for x in kv]), F.col("term")) * F.when(_idf("df") < 0, F.col("floor")).otherwise(_idf("df"))
-    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.join(each, "term").groupBy("id").agg(F.sum(part).alias("score"))
+    """(id, score) of the documents that have a term of the query."""
+    return bm25_hits(index, query)[0].groupBy("id").agg(F.sum("part").alias("score"))
 
 
 def bm25_topk(index: Bm25Index, query: list[str], k: int, drop_zero: bool = False) -> DataFrame:
-    """The best k documents; those without a term of the query have score 0 and fill the list, unless ``drop_zero``."""
-    scored = bm25_scores(index, query) if query else index.lengths.select("id", F.lit(0.0).alias("score"))
+    """The best k documents; those without a term of the query have score 0 and fill the list, unless ``drop_zero``. Since at most k documents
+    stand before them, the k smallest ids are enough to fill it; they are kept with the statistics up to RESERVE."""
+    hits, positive = bm25_hits(index, query, k)
     if drop_zero:
-        scored = scored.filter("score > 0")
+        scored = hits.groupBy("id").agg(F.sum("part").alias("score")).filter("score > 0")
+    elif positive and 0 < min(k, index.stats.n) <= len(index.stats.reserve):
+        kind = index.lengths.schema["id"].dataType
+        rest = hits.sparkSession.range(1, numPartitions=1).select(F.explode(F.lit(index.stats.reserve[:k]).cast(T.ArrayType(kind))).alias("id"), F.lit(0.0).alias("part"))
+        scored = hits.unionByName(rest).groupBy("id").agg(F.sum("part").alias("score"))
     else:
-        scored = index.lengths.select("id").join(scored, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score")).filter("score >= 0")
+        every = index.lengths.select("id", F.lit(0.0).alias("part"))
+        scored = hits.unionByName(every).groupBy("id").agg(F.sum("part").alias("score")).filter("score >= 0")
     return scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
 
 

@@ -15,7 +15,7 @@ from cairn.functions import text as X
 from cairn.operators import context, graph, logs, metrics, parse, search, session
 from cairn.plans import fixtures
 from cairn.sources import tables
-from cairn.sources.scratch import scratch, spread
+from cairn.sources.scratch import file_states, scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,17 +135,15 @@ s AS (SELECT doc_id, sum(coalesce(CASE WHEN idf < 0 THEN floor ELSE idf END, 0)
       FROM tf LEFT JOIN idf USING (w), st, fl GROUP BY doc_id)"""
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple, search.Bm25Index] = {}
 
 
 def _stored_bm25(spark, d) -> search.Bm25Index:
-    """The index of a folder's documents: written by the first query that needs it, and read by all."""
-    key = spark.sparkContext.applicationId, d
+    """The index of a folder's documents: written by the first query that needs it, and again where the table's files have changed."""
+    key = spark.sparkContext.applicationId, file_states(spark, f"{d}/documents.parquet")
     if key not in _WRITTEN:
-        path = scratch(spark, "bm25")
-        search.write_bm25(spread(t(spark, d, "documents")), path, "doc_id", "text")
-        _WRITTEN[key] = path
-    return search.read_bm25(spark, _WRITTEN[key])
+        _WRITTEN[key] = search.write_bm25(spread(t(spark, d, "documents")), scratch(spark, "bm25"), "doc_id", "text")
+    return _WRITTEN[key]
 
 
 @query(f"WITH {_BM25} SELECT doc_id AS id, round(score, 6) AS score FROM s WHERE score >= 0 ORDER BY round(score, 9) DESC, id LIMIT 20")

@@ -487,7 +487,7 @@ def sink_graph_json(spark, d):
 def sink_bm25(spark, d):
     path = stores.scratch(spark, "bm25")
     index = search.write_bm25(t(spark, d, "documents"), path, "doc_id", "text")
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return index.blocks.groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
 
 
 @query("SELECT event_id::VARCHAR AS session_id, CASE WHEN length(p) > 500 THEN left(p, 500) || '... (total ' || length(p) || ' chars)' ELSE p END AS output_preview FROM (SELECT event_id, repeat(props, 60) AS p FROM events)")

@@ -34,6 +34,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def file_states(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of the files of a table: another value where the table has been written again."""
+    fs, where = file_system(spark, path)
+    listed = fs.listFiles(where, True)
+    found = []
+    while listed.hasNext():
+        f = listed.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back: lineage ends there."""
     path = scratch(df.sparkSession, name)

@@ -352,10 +352,32 @@ def test_bm25_reads_only_its_terms(spark):
     search.write_bm25(docs, path, "id", "text")
     index = search.read_bm25(spark, path)
     plan = search.bm25_scores(index, ["beta3"])._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^]]*bucket#\d+ (IN|=)", plan) and re.search(r"PushedFilters: \[[^]]*term,\s*\[?beta3", plan), plan
+    assert re.search(r"PushedFilters: \[[^]]*term,\s*\[?beta3", plan), plan
     assert search.bm25_scores(index, ["beta3"]).count() == 43
 
 
+def test_bm25_skips_blocks(spark):
+    """The k best are those of a search that reads every block, also among equal scores and with documents of score 0; a rare term
+    leaves most blocks of a frequent one unread."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices(["the", "of", "rare", "fox", "sea", f"w{k}"], [60, 30, 0.15, 1, 2, 3], k=rng.choice([5, 40, 41])))) for k in range(6000)]
+    index = search.write_bm25(spark.createDataFrame(rows, "id long, text string").repartition(6), scratch(spark, "bm25"), "id", "text")
+    held = {r.id for r in index.lengths.collect()}  # documents of stop words alone have no place
+    size = index.blocks.filter("term = 'fox'").selectExpr("sum(size(ids))").first()[0]
+    assert size == sum("fox" in x.split() for _, x in rows) and index.terms.filter("term = 'fox'").first().df == size
+    for query, k in ((["rare", "fox"], 10), (["fox", "sea", "sea"], 5), (["w17", "none"], 20), (["sea"], 1), (["none"], 4), ([], 3), (["fox"], 1500)):
+        got = [(r.id, round(r.score, 9)) for r in search.bm25_topk(index, query, k).collect()]
+        every = {r.id: r.score for r in search.bm25_scores(index, query).collect()}
+        want = sorted(((i, round(every.get(i, 0.0), 9)) for i in held), key=lambda x: (-x[1], x[0]))[:k]
+        assert got == want
+    read, every = (search.bm25_blocks(index, ["fox"], k)[0].count() for k in (5, None))
+    assert every > 10 and read <= 4
+    read, every = (search.bm25_blocks(index, ["w17"] * 9 + ["fox"], k)[0].count() for k in (1, None))
+    assert read <= every
+    plan = search.bm25_topk(index, ["sea"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(top", plan), plan
+
+
 def test_rerank_falls_back_to_the_fusion(spark):
     c = spark.createDataFrame([(k, 1.0 / (k + 1), k) for k in range(4)], "id int, rrf_score double, x int")
     ids = lambda df: [(r.id, r.status) for r in df.collect()]
