@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.functions import text as X
 from cairn.sources.scratch import materialize
@@ -180,7 +181,7 @@ def l2_distance(a: Column, b: Column, squared: bool = True) -> Column:
 
 
 def vec_l2_topk(vectors: DataFrame, query: list[float], k: int, id_col: str, vec_col: str, squared: bool = True) -> DataFrame:
-    d = l2_distance(F.col(vec_col), F.array(*[F.lit(float(x)) for x in query]), squared)
+    d = l2_distance(F.col(vec_col), F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in query) + ")"), squared)
     return vectors.select(F.col(id_col).alias("id"), d.alias("distance")).orderBy("distance", "id").limit(k).withColumn("score", 1 / (1 + F.col("distance")))
 
 
@@ -262,7 +263,7 @@ def symbol_definition(symbols: DataFrame, token: str, name: str, ordinal: str) -
 
 
 def rrf_fuse(ranked: DataFrame, k: int = 30) -> DataFrame:
-    """``ranked`` (path_ord, path, id, rank) to (id, rrf_score, sources): one shuffle on id."""
+    """``ranked`` (path_ord, path, id, rank) to (id, rrf_score, sources): one shuffle on id, none where the lists are in one partition."""
     fused = ranked.groupBy("id").agg(
         F.sum(1 / (RRF_K + F.col("rank"))).alias("rrf_score"), F.min(F.struct("path_ord", "rank")).alias("first"),
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("path_ord", "path"))), lambda s: s["path"])).alias("sources"),
@@ -275,9 +276,25 @@ def ranked_list(top: DataFrame, path_ord: int, path: str, order: list[Column]) -
     return top.select(F.lit(path_ord).alias("path_ord"), F.lit(path).alias("path"), "id", F.row_number().over(W.orderBy(*order)).alias("rank"))
 
 
+def _local(like: DataFrame, rows: list[Row]) -> DataFrame:
+    """``rows`` of ``like`` as a relation in the plan."""
+    schema = to_arrow_schema(like.schema)
+    return like.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema), like.schema)
+
+
+#: Candidates that are looked up by their ids; beyond, candidates and chunks are joined.
+FEW = 1000
+
+
 def enrich_candidates(fused: DataFrame, chunks: DataFrame, columns: list[str]) -> DataFrame:
-    own = [c for c in columns if c in fused.columns]
-    filled = fused.join(chunks.select("id", *[F.col(c).alias(f"__{c}") for c in columns]), "id", "left")
+    """Candidates with ``columns`` of their chunks (id, ...; each id once), where they have no value of their own. Up to FEW candidates are read first, and
+    their ids reach the chunks' files as a filter; more of them are joined with the chunks."""
+    own, found = [c for c in columns if c in fused.columns], chunks.select("id", *[F.col(c).alias(f"__{c}") for c in columns])
+    rows = fused.limit(FEW + 1).collect()
+    if rows and len(rows) <= FEW:
+        fused = _local(fused, rows)
+        found = F.broadcast(found.filter(F.col("id").isin(*{r.id for r in rows if r.id is not None})))
+    filled = fused.join(found, "id", "left")
     return filled.select(*[c for c in fused.columns if c not in own], *[(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")) if c in own else F.col(f"__{c}")).alias(c) for c in columns])
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairn.functions import text as X
 from cairn.operators import context, graph, logs, metrics, parse, search, session
@@ -31,8 +32,16 @@ def query(sql: str | None = None):
     return add
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table; its files are asked for their schema once for each of their states."""
+    path = f"{d}/{name}.parquet"
+    key = file_states(spark, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
@@ -204,7 +213,8 @@ def _fused(spark, d, k=30):
     vec = search.vec_l2_topk(t(spark, d, "embeddings"), _query_vector(spark, d), 20, "vec_id", "embedding")  # paired by number only
     size = docs.select(F.col("doc_id").alias("id"), "n_chars").orderBy(F.desc("n_chars"), "id").limit(10)
     ranked = search.ranked_list(vec, 0, "vector", [F.col("distance"), F.col("id")]).unionByName(search.ranked_list(text, 1, "bm25", [F.desc(F.round("score", 9)), F.col("id")]))
-    return search.rrf_fuse(ranked.unionByName(search.ranked_list(size, 2, "symbol", [F.desc("n_chars"), F.col("id")])), k)
+    ranked = ranked.unionByName(search.ranked_list(size, 2, "symbol", [F.desc("n_chars"), F.col("id")]))
+    return search.rrf_fuse(ranked.coalesce(1), k)  # three lists of 20 rows at most
 
 
 _FUSED = f"""{_BM25},
