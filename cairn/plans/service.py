@@ -553,3 +553,29 @@ def incremental_index(spark, d):
     stream = spark.readStream.schema("path string, seq long, action string, content string").parquet(changed)
     jobs.incremental_index(stream, index, checkpoint).awaitTermination()
     return jobs.read_index(spark, index).select(F.col("path").cast("long").alias("path"), "content")
+
+
+@query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 2 THEN 'q' ELSE 'p' END || p_partkey || '.py' AS path, p_partkey AS k, p_partkey % 4 AS kind, p_size AS n FROM part WHERE p_partkey % 4 <> 1),
+c AS (SELECT path, 'f' || k AS symbol_name, 'function' AS chunk_type, 3 AS start_line, 4 + n AS end_line FROM f WHERE kind <> 0
+ UNION ALL SELECT path, 'C' || k, 'class', 1, 3 FROM f WHERE kind = 0 UNION ALL SELECT path, 'go', 'function', 2, 3 FROM f WHERE kind = 0
+ UNION ALL SELECT path, '__header__', 'import', 1, 1 FROM f WHERE kind <> 0)
+SELECT path, left(sha256(path || ':' || symbol_name || ':' || start_line || '-' || end_line), 16) AS id, symbol_name, chunk_type, start_line::INT AS start_line, end_line::INT AS end_line, (SELECT count(*) FROM c) AS documents FROM c""")
+def incremental_stores(spark, d):
+    """Chunks of a file for each part after two batches: all files, then of every four one rewritten, one deleted and one renamed; and how many documents
+    the index counts by its sums."""
+    from cairn.sources import segments
+
+    key, number = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    path = F.concat(F.lit("p"), key, F.lit(".py"))
+    body = F.array_join(F.array_repeat(F.lit("    x += 1"), F.col("p_size")), "\n")
+    first = F.concat(F.lit("import os\n\ndef f"), key, F.lit("(x):\n"), body, F.lit("\n    return x"))
+    second = F.concat(F.lit("class C"), key, F.lit(":\n    def go(self):\n        return 1\n"))
+    root, part = stores.scratch(spark, "segments"), t(spark, d, "part")
+    rows = lambda action, content, new: part.select(path.alias("path"), F.col("p_partkey").alias("ord"), action.alias("action"), content.alias("content"), new.alias("new_path"))
+    none = F.lit(None).cast("string")
+    segments.apply_batch(spark, root, rows(F.lit("modified"), first, none), 0)
+    action = F.when(number == 0, "modified").when(number == 1, "deleted").when(number == 2, "renamed")
+    moved = rows(action, F.when(number == 0, second), F.when(number == 2, F.concat(F.lit("q"), key, F.lit(".py"))))
+    segments.apply_batch(spark, root, moved.filter("action is not null"), 1)
+    total = segments.sums(spark, root, "totals").first().n
+    return segments.live(spark, root, "chunks").select("path", "id", "symbol_name", "chunk_type", "start_line", "end_line", F.lit(total).alias("documents"))
