@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -20,8 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 _OWN_FOLDER = "file:///tmp/checkpoints/cairn"
 
 
-#: Folders written and not yet removed, oldest first.
-_written: list[str] = []
+class _Written(threading.local):
+    """Folders that this thread has written and not yet removed, oldest first: what one thread releases, no other one reads."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,21 +54,21 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     outlive the executors that wrote them. The folder is removed by ``release``, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written.paths.append(path)
     df.write.option("compression", compression).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def written() -> int:
-    """A mark for ``release``: the number of folders written and not yet removed."""
-    return len(_written)
+    """A mark for ``release``: the number of folders that this thread has written and not yet removed."""
+    return len(_written.paths)
 
 
 def release(spark: SparkSession, since: int, keep: int = 1) -> None:
-    """Remove the folders written since the mark, but for the last ``keep``; nothing may read them any more."""
-    gone = _written[since : len(_written) - keep]
-    del _written[since : len(_written) - keep]
+    """Remove the folders that this thread has written since the mark, but for the last ``keep``; nothing may read them any more."""
+    gone = _written.paths[since : len(_written.paths) - keep]
+    del _written.paths[since : len(_written.paths) - keep]
     for path in gone:
         _remove(spark, path)
 

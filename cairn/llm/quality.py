@@ -106,17 +106,20 @@ def _sparse(slots: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return u, np.sqrt(c / max(1, words))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Train on at most MAX_TRAIN_ROWS labelled rows that are not held out. The sample is drawn from ids alone and
-    broadcast (its size is bounded), so no text is shuffled; one task makes the features, trains, and hands back
-    the weights (2**LOG2 numbers)."""
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k, t, y) of at most MAX_TRAIN_ROWS labelled rows that are not held out: of rows that share an id, the one with the least text. The sample is drawn
+    from ids alone and broadcast (its size is bounded), so of the texts only the sample's are shuffled."""
     order = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
     marks = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("y"))
     marks = marks.filter((id_crc_mod("id", 5) != 0) & F.col("y").isin(0, 1)).select("id", F.col("y").cast("int").alias("y")).distinct()
     rows = docs.select(F.col(quoted(id_col)).alias("id"), text_of(quoted(text_col)).alias("t"))
     drawn = rows.select("id").distinct().join(marks, "id").orderBy(order, "id", "y").limit(MAX_TRAIN_ROWS)
-    sample = rows.join(F.broadcast(drawn), "id").select(order.alias("k"), "t", "y")
-    sample = sample.repartition(1).sortWithinPartitions("k", "y", "t")
+    return rows.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("t").alias("t")).select(order.alias("k"), "t", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+    """Train on ``training_sample``: one task makes the features, trains, and hands back the weights (2**LOG2 numbers)."""
+    sample = training_sample(docs, labels, label_col, id_col, text_col).repartition(1).sortWithinPartitions("k", "y", "t")
 
     @freeing
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -625,3 +625,34 @@ def test_pipeline_on_small_tables(spark, tmp_path):
         if k == 1:
             assert not {r.doc_id for r in seen.collect()} & set(range(101, 110))
     assert sorted(map(tuple, seen.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, d).collect()))
+
+
+def test_quality_sample_is_bounded_by_rows(spark):
+    """20,000 rows of one labelled id are one row of the sample."""
+    docs = spark.range(20_000).selectExpr("7L as doc_id", "concat('some words ', id) as text").union(spark.createDataFrame([(3, "good text"), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (3, 0), (4, 1), (7, 1)], "doc_id long, quality int")
+    assert [zlib.crc32(str(i).encode()) % 5 != 0 for i in (7, 3, 4)] == [True] * 3
+    assert sorted((r.t, r.y) for r in quality.training_sample(docs, labels).collect()) == [("", 1), ("good text", 0), ("some words 0", 1)]
+
+
+def test_release_is_of_one_thread(spark):
+    """A thread that releases what it wrote leaves the folders of another."""
+    import threading
+
+    from cairn.llm import common
+
+    mark, mine = common.written(), common.materialize(spark.range(5).toDF("x"), "mine")
+
+    def other():
+        start = common.written()
+        common.materialize(spark.range(3).toDF("x"), "other")
+        common.materialize(spark.range(4).toDF("x"), "other")
+        common.release(spark, start, keep=0)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    assert mine.count() == 5
+    common.release(spark, mark, keep=0)
+    with pytest.raises(Exception):  # noqa: B017 - the file is gone
+        mine.count()
