@@ -3,8 +3,10 @@
 Rules on (host, path prefix) decide first. The other urls are judged by a multinomial naive Bayes over words: hosts are cut
 at what is no letter, and concatenated names are segmented by unigram Viterbi; paths are cut at what is no letter. The unigrams
 are the letter runs of WORD_LETTERS of all pages' visible text, of all paths and of hyphenated hosts. The classifier is trained
-here, on every distinct url of the table: urls that a rule blocks are one class, all others the other. So a url that no rule
-decides is blocked where its words are those of blocked urls, not for lack of evidence.
+here, on every distinct url of the table, from positive and unlabelled examples: urls that a rule blocks, and those that no rule decides and whose host has
+one of TOPICS standing by itself (free-bets), are one class; all others, most of which are fine, the other. So a url that no rule decides is blocked
+where its words are those of blocked urls, not for lack of evidence; and a name in which such words are run together (freecasinobets) is
+blocked through its segments, since as a whole no url has taught it.
 
 Nothing grows on the driver and nothing is broadcast: words, their counts and odds are tables. Each distinct run of letters in
 a host is segmented once, from those of its substrings that the table of words has; each distinct url is judged once.
@@ -27,6 +29,10 @@ from cairn.llm.common import freeing, materialize, quoted, table
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Words that a host names what it offers by; a host that has one between its hyphens and dots is an example of what is to be blocked.
+TOPICS = (
+    "adult", "ads", "adserver", "bet", "bets", "betting", "casino", "casinos", "escort", "jackpot", "loans", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx",
+)
 #: Letters that a word of the unigram model has, at least and at most: longer runs are names to be segmented, not words.
 WORD_LETTERS = (2, 30)
 #: Added to each class's count of each word.
@@ -153,14 +159,15 @@ def score(urls: DataFrame, odds: DataFrame, prior: float) -> DataFrame:
     return urls.join(sums, F.col("url") == F.col("scored"), "left").drop("scored").withColumn("score", F.coalesce("score", F.lit(float(prior))))
 
 
-def judge_urls(pages: DataFrame, url: str = "url", html: str | None = None, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, url: str = "url", html: str | None = None, rules=RULES, topics=TOPICS) -> DataFrame:
     """One row per distinct url of ``pages`` (null counts as empty): url, host, path, rule, verdict, words and score (log odds of block)."""
     counts = word_counts(pages, url, html)
     urls = pages.select(F.coalesce(F.col(quoted(url)).cast("string"), F.lit("")).alias("url")).distinct()
     host, path = split_url("url")
     known = url_words(urls.select("url", host.alias("host"), path.alias("path")), counts)
     rule, decided = rule_columns(F.col("host"), F.col("path"), rules)
-    odds, prior = train(known.select("words", F.coalesce(decided == "block", F.lit(False)).alias("block")))
+    named = F.arrays_overlap(_runs(F.col("host")), F.array(*map(F.lit, topics)).cast("array<string>"))
+    odds, prior = train(known.select("words", F.coalesce(decided == "block", named).alias("block")))
     judged = score(known, odds, prior)
     verdict = F.coalesce(decided, F.when(F.col("score") > 0, "block").otherwise("allow"))
     return judged.select("url", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "words", "score")

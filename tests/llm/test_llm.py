@@ -17,6 +17,7 @@ import public_tokenizers
 import tiktoken
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from cairn.llm import bpe, chat_format, exact_dedup, lm_score, media, mixing, quality, rows, simhash, url_filter, warc
 
@@ -408,7 +409,7 @@ def test_url_words_and_bayes_against_brute_force(spark):
     memo = functools.lru_cache(None)(best)
     words = {u: [w for r in runs(split(u)[0]) for w in memo(r)[1]] + runs(split(u)[1]) for u in set(urls)}
     assert {u: got[u].words for u in words} == words
-    blocked = {u for u in words if got[u].rule in ("net/", "example.com/de/")}
+    blocked = {u for u in words if got[u].rule in ("net/", "example.com/de/") or got[u].rule is None and set(runs(split(u)[0])) & set(url_filter.TOPICS)}
     by = {c: Counter(w for u in words if (u in blocked) == c for w in words[u]) for c in (True, False)}
     size = len({w for ws in words.values() for w in ws})
     log = lambda w, c: np.log((by[c][w] + 0.5) / (sum(by[c].values()) + 0.5 * size))
@@ -656,3 +657,19 @@ def test_release_is_of_one_thread(spark):
     common.release(spark, mark, keep=0)
     with pytest.raises(Exception):  # noqa: B017 - the file is gone
         mine.count()
+
+
+def test_run_together_hosts_are_blocked_through_their_segments(spark, monkeypatch):
+    """Names that no url has taught are blocked where their segments are words of blocked urls; as whole names they say nothing."""
+    text = "<p>" + "free casino bets garden music win letters house " * 20 + "</p>"
+    rows = [(f"https://free-casino-bets.example.com/en/{k}", text) for k in range(12)] + [(f"https://win-casino.example.com/a{k}", text) for k in range(8)]
+    rows += [(f"https://{h}.example.com/en/{k}", text) for h in ("garden-house", "music-letters", "house-music") for k in range(15)]
+    planted = ["https://freecasinobets.example.com/en/x", "https://www.casinowin.example.com/"]
+    clean = ["https://gardenmusic.example.com/en/x", "https://lettershouse.example.org/"]
+    pages = spark.createDataFrame(rows + [(u, text) for u in planted + clean], "url string, html string")
+    verdicts = lambda: {r.url: r.verdict for r in url_filter.judge_urls(pages, html="html").collect()}
+    got = verdicts()
+    assert [got[u] for u in planted] == ["block"] * 2 and [got[u] for u in clean] == ["allow"] * 2
+    monkeypatch.setattr(url_filter, "segment", lambda runs, counts: runs.select("run", F.array("run").alias("words")))
+    whole = verdicts()
+    assert {whole[u] for u in planted + clean} == {"allow"} and whole[rows[0][0]] == "block"
