@@ -9,7 +9,8 @@ at least CONTEXT ids before it (fewer only at a text's start); windows are score
 Counts (of words for the base; of ids for ranks and the last tail's inside) cover all training documents. The attention
 weights are fitted by distributed training on every training document: a first, short round on one window in FIRST_SHARE
 brings all tasks to common weights, then each task passes over all windows of its partition, and the tasks' weights
-are averaged by their numbers of ids. Weights travel as one packed vector a task, summed in two steps.
+are averaged by their numbers of ids. Weights travel as one packed vector a task, summed in two steps. A text's score is that of a mixture of
+the model and the base, whose shares the training documents tell (``mixed``).
 
 Documents travel as blocks: one written table holds each block's ids of documents, its texts as positions in the list of its
 distinct words, and that list with counts, by bucket. Buckets sum the counts and encode each distinct word once; their answers
@@ -22,6 +23,7 @@ repeat are counted and scored each for itself. Without training documents N and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +44,6 @@ CONTEXT, STRIDE, DIM = 8, 24, 32
 INPUTS, HEAD, TAILS = 1024, 64, (128, 320, 512)
 #: Windows a step; step size; and the first round's share of windows (one in so many).
 BATCH, RATE, FIRST_SHARE = 128, 0.03, 16
-#: A task whose first block has fewer steps than this passes over it again, MAX_PASSES times at most.
-MIN_STEPS, MAX_PASSES = 600, 3
 BLOCK_CHARS = 5_000_000
 #: Logits are held below this, so that no maximum need be taken off before exp.
 HIGHEST = np.float32(60)
@@ -207,17 +207,15 @@ def layout(ids: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> tuple[np.nd
 
 
 class Adam:
-    """Steps over windows in random order. Where the first block is small, it is passed over again; the step size falls with
-    every block, and within it, so that the average of several learners' weights is taken when they move little."""
+    """Steps over windows in random order, each block once at any size; the step size falls with every block, and within it, so that the average of
+    several learners' weights is taken when they move little."""
 
     def __init__(self, flat: np.ndarray, seed: int):
         self.flat, self.rng, self.step, self.blocks = flat.copy(), np.random.default_rng(seed), 0, 0
         self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def learn(self, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray) -> None:
-        steps = -(-len(starts) // BATCH)
-        passes = 1 if self.blocks else min(MAX_PASSES, max(1, round(MIN_STEPS / max(1, steps))))
-        order = np.concatenate([self.rng.permutation(len(starts)) for _ in range(passes)])
+        order = self.rng.permutation(len(starts))
         steps, span = -(-len(order) // BATCH), np.arange(_LEN)
         self.blocks += 1
         for k in range(steps):
@@ -479,8 +477,19 @@ def _laid_table(table_: DataFrame, words: DataFrame, size: int, n_docs: int, tot
     return materialize(placed, "laid", "uncompressed")
 
 
+def mixed(scored: DataFrame) -> DataFrame:
+    """``scored`` (written; held_out, base_score, model_score, ...) with score: the log10 probability that a mixture of the word base and the model gives
+    the text. The model's share is that of the training documents that it finds likelier than the base does, so that a text scores below the base by
+    no more than the base's share takes off, however little the model has learnt from few documents."""
+    better, n = scored.filter("not held_out").agg(F.count_if(F.col("model_score") > F.col("base_score")), F.count(F.lit(1))).first()
+    share = (better + 0.5) / (n + 1)
+    a, b = F.col("model_score") + math.log10(share), F.col("base_score") + math.log10(1 - share)
+    top = F.greatest(a, b)
+    return scored.withColumn("score", top + F.log10(F.pow(F.lit(10.0), a - top) + F.pow(F.lit(10.0), b - top)))
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, model_score (the attention model's alone), score."""
     path = path or public_tokenizers.path(VOCABULARY)
     rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), (id_crc_mod(quoted(id_col), 10) == 0).alias("held_out"), text_of(quoted(text_col)).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -503,10 +512,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 inputs, starts, scored, targets = _windows(flat_ids, n_ids, row, rank)
                 by_rank = score_ranks(flat, inputs, starts, targets).ravel()[scored]
                 total = np.add.reduceat(by_rank.astype("f8") + inside[flat_ids], np.cumsum(n_ids) - n_ids)
-                yield from unpack_rows(told).append_column("score", pa.array(total)).to_batches()
+                yield from unpack_rows(told).append_column("model_score", pa.array(total)).to_batches()
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return laid.select("rows", "ids", "n_ids").mapInArrow(score, schema)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, model_score double"
+    return mixed(materialize(laid.select("rows", "ids", "n_ids").mapInArrow(score, schema), "scored"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
