@@ -206,19 +206,6 @@ def test_summary(timed_out: Column, success: Column, message: Column, passed: Co
 test_summary.__test__ = False
 
 
-def grep_context(files: DataFrame, pattern: str, n: int = 2, most: int = 100) -> DataFrame:
-    """(path, line, text, matched, grp): matching lines of ``files`` (path, content) with n lines around; ranges that
-    overlap or touch are one group. At most ``most`` matches in all, in the order of path and line."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n", -1)).alias("p", "text")).withColumn("line", F.col("p") + 1)
-    hits = lines.filter(F.col("text").rlike(pattern)).select("path", "line").orderBy("path", "line").limit(most)
-    around = hits.select("path", F.col("line").alias("hit"), F.explode(F.sequence(F.col("line") - n, F.col("line") + n)).alias("line"))
-    ranges = around.groupBy("path", "line").agg(F.bool_or(F.col("line") == F.col("hit")).alias("matched"))
-    shown = lines.join(ranges, ["path", "line"]).select("path", "line", "text", "matched")
-    w = W.partitionBy("path").orderBy("line")
-    new = (F.col("line") - F.lag("line").over(w) > 1).cast("int")
-    return shown.withColumn("__new", F.coalesce(new, F.lit(0))).withColumn("grp", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("__new")
-
-
 def _diffs(path: pd.Series, old: pd.Series, new: pd.Series, context: pd.Series) -> pd.Series:
     def one(p, a, b, n):
         a, b = a or "", b or ""

@@ -276,7 +276,7 @@ def ranked_list(top: DataFrame, path_ord: int, path: str, order: list[Column]) -
     return top.select(F.lit(path_ord).alias("path_ord"), F.lit(path).alias("path"), "id", F.row_number().over(W.orderBy(*order)).alias("rank"))
 
 
-def _local(like: DataFrame, rows: list[Row]) -> DataFrame:
+def local_rows(like: DataFrame, rows: list[Row]) -> DataFrame:
     """``rows`` of ``like`` as a relation in the plan."""
     schema = to_arrow_schema(like.schema)
     return like.sparkSession.createDataFrame(pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema), like.schema)
@@ -292,7 +292,7 @@ def enrich_candidates(fused: DataFrame, chunks: DataFrame, columns: list[str]) -
     own, found = [c for c in columns if c in fused.columns], chunks.select("id", *[F.col(c).alias(f"__{c}") for c in columns])
     rows = fused.limit(FEW + 1).collect()
     if rows and len(rows) <= FEW:
-        fused = _local(fused, rows)
+        fused = local_rows(fused, rows)
         found = F.broadcast(found.filter(F.col("id").isin(*{r.id for r in rows if r.id is not None})))
     filled = fused.join(found, "id", "left")
     return filled.select(*[c for c in fused.columns if c not in own], *[(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"__{c}")) if c in own else F.col(f"__{c}")).alias(c) for c in columns])

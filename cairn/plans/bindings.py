@@ -6,6 +6,7 @@ The tables hold prose, events and orders, not code; each query states what plays
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairn.functions import text as X
-from cairn.operators import context, graph, logs, metrics, parse, search, session
+from cairn.operators import context, graph, logs, metrics, parse, search, session, trigrams
 from cairn.plans import fixtures
 from cairn.sources import tables
 from cairn.sources.scratch import file_states, scratch, spread
@@ -144,7 +145,8 @@ s AS (SELECT doc_id, sum(coalesce(CASE WHEN idf < 0 THEN floor ELSE idf END, 0)
       FROM tf LEFT JOIN idf USING (w), st, fl GROUP BY doc_id)"""
 
 
-_WRITTEN: dict[tuple, search.Bm25Index] = {}
+#: Indexes that queries have written, by what they are of.
+_WRITTEN: dict[tuple, Any] = {}
 
 
 def _stored_bm25(spark, d) -> search.Bm25Index:
@@ -190,14 +192,30 @@ def _sym_sql(contains: bool) -> str:
 _NAMES = ["Cold widget", "blue", "Bolt", "zz"]
 
 
+def _stored_names(spark, d) -> trigrams.NameIndex:
+    key = "names", spark.sparkContext.applicationId, file_states(spark, f"{d}/part.parquet")
+    if key not in _WRITTEN:
+        _WRITTEN[key] = trigrams.write_names(t(spark, d, "part").select("p_partkey", "p_name"), scratch(spark, "names"), "p_name")
+    return _WRITTEN[key]
+
+
+def _stored_grams(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The documents as files, and their trigrams."""
+    files = t(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.col("text").alias("content"))
+    key = "grams", spark.sparkContext.applicationId, file_states(spark, f"{d}/documents.parquet")
+    if key not in _WRITTEN:
+        _WRITTEN[key] = trigrams.write_grams(spread(files), scratch(spark, "grams"), "path", "content")
+    return files, _WRITTEN[key]
+
+
 @query(_sym_sql(True))
 def symbol_match(spark, d):
-    return search.symbol_topk(t(spark, d, "part"), _NAMES, 20, "p_name", ["p_partkey"]).select("p_partkey", "p_name", "score")
+    return trigrams.name_topk(_stored_names(spark, d), _NAMES, 20, "p_name", ["p_partkey"]).select("p_partkey", "p_name", "score")
 
 
 @query(_sym_sql(False))
 def symbol_suggest(spark, d):
-    return search.symbol_topk(t(spark, d, "part"), _NAMES, 20, "p_name", ["p_partkey"], contains=False).select("p_partkey", "p_name", "score")
+    return trigrams.name_topk(_stored_names(spark, d), _NAMES, 20, "p_name", ["p_partkey"], contains=False).select("p_partkey", "p_name", "score")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) = lower((SELECT n_name FROM nation WHERE n_nationkey = 7)) ORDER BY n_nationkey LIMIT 1")
@@ -579,8 +597,8 @@ h AS (SELECT path, line FROM l WHERE regexp_matches(text, 'License') ORDER BY pa
 s AS (SELECT path, line, text, matched FROM l JOIN r USING (path, line)), g AS (SELECT *, coalesce((line - lag(line) OVER w > 1)::INT, 0) AS new FROM s WINDOW w AS (PARTITION BY path ORDER BY line))
 SELECT path, line::INT AS line, text, matched, (sum(new) OVER (PARTITION BY path ORDER BY line))::BIGINT AS grp FROM g""")
 def grep_context(spark, d):
-    files = t(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.col("text").alias("content"))
-    return logs.grep_context(files, "License", 1, 100)
+    files, index = _stored_grams(spark, d)
+    return trigrams.grep_context(files, "License", 1, 100, index)
 
 
 @query("""WITH l AS (SELECT doc_id AS path, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT path, l, unnest(range((len(l) - 1) // 10 + 1)) AS k FROM l)
