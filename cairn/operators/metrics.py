@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,12 +20,28 @@ def daily_actives(events: DataFrame, user: str, ts: str) -> DataFrame:
     return events.groupBy(F.to_date(ts).alias("day")).agg(F.countDistinct(user).alias("dau"))
 
 
-def retention(events: DataFrame, user: str, ts: str, days: tuple[int, ...] = (1, 7)) -> DataFrame:
-    """Spec-derived: of the users first seen on a day, how many come back n days later."""
-    seen = events.select(user, F.to_date(ts).alias("day")).distinct()
-    first = seen.groupBy(user).agg(F.min("day").alias("cohort"))
-    gap = seen.join(first, user).withColumn("gap", F.datediff("day", "cohort"))
-    return gap.groupBy("cohort").agg(F.countDistinct(user).alias("users"), *[F.countDistinct(F.when(F.col("gap") == d, F.col(user))).alias(f"d{d}") for d in days])
+def day_bits(events: DataFrame, user: str, ts: str) -> DataFrame:
+    """(user, word, bits): the days on which a user was seen, a bit each, 32 to a word. Rows of several batches merge by ``merge_bits``."""
+    day = F.unix_date(F.to_date(ts))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(32)))
+    return events.filter(F.col(user).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(user).alias("user"), F.floor(day / 32).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def merge_bits(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("user", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def retention(bits: DataFrame, days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
+    """Spec-derived: of the users first seen on a day, how many come back n days later, from ``day_bits``. A user's rows are as many as months of use."""
+    lowest = F.log2(F.col("bits").bitwiseAND(-F.col("bits")).cast("double")).cast("int")
+    users = bits.groupBy("user").agg(F.min(F.col("word") * 32 + lowest).alias("first"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("seen"))
+
+    def back(d: int) -> Column:
+        day = F.col("first") + d
+        word = F.coalesce(F.try_element_at("seen", F.floor(day / 32).cast("int")), F.lit(0).cast("long"))
+        return F.count_if(F.call_function("getbit", word, F.pmod(day, F.lit(32))) == 1).alias(f"d{d}")
+
+    return users.groupBy(F.date_from_unix_date("first").alias("cohort")).agg(F.count(F.lit(1)).alias("users"), *map(back, days))
 
 
 def pass_at_k(samples: DataFrame, problem: str, ordinal: str, passed: Column, k: int) -> DataFrame:

@@ -349,6 +349,27 @@ def passages_in(passages: DataFrame, docs: DataFrame, words: int = 5) -> DataFra
     return found.distinct() if found is not None else passages.select("q", F.lit(None).alias("id")).limit(0)
 
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """(by, a column for each of ``qs``): exact quantiles, interpolated between neighbours; nulls do not count. Rows are dealt by ranges of (by, value) and written;
+    the counts of the ranges tell in which of them a rank lies, and only those ranges are ranked, each by itself. So a group of any size is spread
+    over all tasks, and what is added up is no larger than the number of ranges."""
+    rows = df.filter(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("all"), *by).alias("g"), F.col(value).cast("double").alias("v"))
+    dealt = materialize(rows.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = materialize(dealt.groupBy("g", "part").agg(F.count(F.lit(1)).alias("own")), "counts")
+    upto = counts.withColumn("end", F.sum("own").over(W.partitionBy("g").orderBy("part"))).withColumn("n", F.sum("own").over(W.partitionBy("g")))
+    at = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for name, q in qs.items()])).alias("x")
+    ranks = upto.select("g", "part", "own", "end", at).select("g", "part", "own", "end", "x.*").withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))))
+    held = ranks.filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("own")))
+    held = materialize(held.select("g", "part", "q", "at", "rank", (F.col("rank") - F.col("end") + F.col("own") + 1).cast("int").alias("place")), "held")
+    some = dealt.join(F.broadcast(held.select("g", "part").distinct()), ["g", "part"], "left_semi")  # two ranges a quantile and group at most
+    placed = some.withColumn("place", F.row_number().over(W.partitionBy("g", "part").orderBy("v"))).join(held, ["g", "part", "place"])
+    low, high = F.min(F.struct("rank", "v"))["v"], F.max(F.struct("rank", "v"))["v"]
+    each = placed.groupBy("g", "q").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias("v"))
+    return each.groupBy("g").agg(*[F.max(F.when(F.col("q") == name, F.col("v"))).alias(name) for name in qs]).select("g.*", *qs).drop("all")
+
+
 def latency_report(df: DataFrame, value: str, error: Column) -> DataFrame:
-    p = lambda q: F.percentile(value, F.lit(q))
-    return df.agg(F.avg(value).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("max"), F.min(value).alias("min"), F.sum(error.cast("long")).alias("errors"))
+    """One row: mean, exact quantiles, extremes, and the number of errors; nulls and 0 for an empty table."""
+    whole = df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.coalesce(F.sum(error.cast("long")), F.lit(0)).alias("errors"))
+    parts = exact_quantiles(df, [], value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return whole.join(F.broadcast(parts), F.lit(True), "left").select("mean", "p50", "p95", "p99", "max", "min", "errors")  # one row beside one

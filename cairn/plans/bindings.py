@@ -672,9 +672,12 @@ def dau(spark, d):
     return metrics.daily_actives(t(spark, d, "events"), "user_id", "ts")
 
 
-@query("WITH s AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), g AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS cohort FROM s) SELECT cohort, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (day - cohort = 1) AS d1, count(DISTINCT user_id) FILTER (day - cohort = 7) AS d7 FROM g GROUP BY cohort")
+@query("WITH s AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), g AS (SELECT *, min(day) OVER (PARTITION BY user_id) AS cohort FROM s) SELECT cohort, count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (day - cohort = 1) AS d1, count(DISTINCT user_id) FILTER (day - cohort = 7) AS d7, count(DISTINCT user_id) FILTER (day - cohort = 30) AS d30 FROM g GROUP BY cohort")
 def retention(spark, d):
-    return metrics.retention(t(spark, d, "events"), "user_id", "ts")
+    """From the bits of two parts of the events, merged."""
+    e = t(spark, d, "events")
+    parts = [metrics.day_bits(e.filter(F.col("event_id") % 2 == k), "user_id", "ts") for k in (0, 1)]
+    return metrics.retention(metrics.merge_bits(*parts))
 
 
 @query("SELECT round(avg(p), 6) AS pass_at_k FROM (SELECT l_orderkey, bool_or(l_returnflag = 'R')::INT::DOUBLE AS p FROM lineitem WHERE l_linenumber < 3 GROUP BY l_orderkey)")
