@@ -579,3 +579,20 @@ def incremental_stores(spark, d):
     segments.apply_batch(spark, root, moved.filter("action is not null"), 1)
     total = segments.sums(spark, root, "totals").first().n
     return segments.live(spark, root, "chunks").select("path", "id", "symbol_name", "chunk_type", "start_line", "end_line", F.lit(total).alias("documents"))
+
+
+@query()
+def vec_pq_recall(spark, d):
+    """Every 20th vector as a query: its ten nearest others by codes, and which share of the ten nearest by a scan is among them."""
+    from cairn.operators import quantised
+
+    every = t(spark, d, "embeddings").filter("embedding is not null").select("vec_id", "embedding")
+    path = stores.scratch(spark, "pq")
+    books = quantised.write_pq(every, path, "vec_id", "embedding")
+    asked = every.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    near = quantised.pq_search(spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors"), books, asked, 11).filter("q <> id")
+    near = near.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy("rank"))).filter("place <= 10")
+    # the scan compares the stated queries with all vectors
+    pairs = every.join(asked, F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("id"), search.l2_distance(F.col("embedding"), F.col("v")).alias("distance"))
+    exact = pairs.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))).filter("rank <= 10").select("q", "id", F.lit(1).alias("hit"))
+    return near.join(exact, ["q", "id"], "left").groupBy("q").agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / 10, 6).alias("recall"), F.array_sort(F.collect_list("id")).alias("found"))
