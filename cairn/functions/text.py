@@ -136,9 +136,13 @@ def is_import_line(line: Column) -> Column:
     return F.trim(line).rlike(IMPORT_LINES)
 
 
+# Words that may stand before a definition in brace languages.
+MODIFIERS = ("public", "private", "protected", "static", "final", "abstract", "async", "export", "default")
+
+
 def is_signature_line(line: Column, language: Column) -> Column:
     s = F.trim(line)
-    braces = s.rlike(r"^((public|private|protected|static|final|abstract|async|export|default)\s+)*(function|class)\s+") | s.rlike(r"\)\s*\{|=>\s*\{")
+    braces = s.rlike(rf"^(({'|'.join(MODIFIERS)})\s+)*(function|class)\s+") | s.rlike(r"\)\s*\{|=>\s*\{")
     own = ((language == "go") & s.startswith("func ")) | ((language == "rust") & s.startswith("fn ")) | ((language == "ruby") & s.startswith("def "))
     return F.when(language == "python", s.rlike(r"^(async\s+)?def\s+") | s.startswith("class ")).otherwise(braces | own)
 

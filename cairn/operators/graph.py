@@ -154,7 +154,9 @@ def build_edges(refs: DataFrame, spans: DataFrame, files: DataFrame, suffixes: b
     met = imports.join(resolve_import(imports, files, suffixes), ["language", "module"])
     outside = F.col("target").isNull() | (F.col("target") == F.col("path"))
     target = F.when(~outside, F.col("target")).when(looks_local_module(F.col("module"), F.col("language")), F.col("module"))
-    file_edges = met.select(F.col("path").alias("source"), target.alias("target"), F.lit("import").alias("edge_type"), F.lit("file").alias("source_type"), "ord", "line", F.col("module").alias("raw"))
+    file_edges = met.select(
+        F.col("path").alias("source"), target.alias("target"), F.lit("import").alias("edge_type"), F.lit("file").alias("source_type"), "ord", "line", F.col("module").alias("raw")
+    )
     calls = refs.filter("kind = 'call'").select(F.col("path").alias("file"), "line", "ord", "target")
     held = enclosing_symbol(calls, spans.withColumnRenamed("path", "file"))
     inside = calls.join(held, ["file", "line"], "left")
@@ -206,7 +208,8 @@ def cycles(edges: DataFrame) -> DataFrame:
         steps = edges.select("plan", F.col("id").alias("node")).union(edges.select("plan", F.col("dep").alias("node"))).distinct()
         colour = _spread_least(edges, steps.withColumn("mark", F.col("node")), "id", "dep")
         ends = colour.select("plan", F.col("node").alias("id"), F.col("mark").alias("c"))
-        same = edges.join(ends, ["plan", "id"]).join(ends.select("plan", F.col("id").alias("dep"), F.col("c").alias("d")), ["plan", "dep"]).filter("c = d").select("plan", "id", "dep")
+        other = ends.select("plan", F.col("id").alias("dep"), F.col("c").alias("d"))
+        same = edges.join(ends, ["plan", "id"]).join(other, ["plan", "dep"]).filter("c = d").select("plan", "id", "dep")
         same = materialize(same, "same")
         # backwards from the step that gave the colour
         roots = colour.filter("node = mark")

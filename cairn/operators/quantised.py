@@ -88,7 +88,8 @@ def _lookup(books: np.ndarray, names: list, asked: np.ndarray, keep: int):
             seen += len(codes)
         if seen:
             q, col = np.nonzero(np.isfinite(far))
-            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in q.tolist()]), pa.chunked_array(ids).take(pa.array(at[q, col])).combine_chunks(), pa.array(far[q, col])], names=["q", "id", "far"])
+            own = pa.chunked_array(ids).take(pa.array(at[q, col])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in q.tolist()]), own, pa.array(far[q, col])], names=["q", "id", "far"])
 
     return run
 

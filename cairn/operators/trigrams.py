@@ -118,7 +118,11 @@ def grep_context(files: DataFrame, pattern: str, n: int = 2, most: int = 100, in
     shown = F.array_sort(F.array_distinct(around))
     # a line begins a group where the one before it is not shown
     starts = F.filter(F.col("shown"), lambda w: ~F.array_contains(F.col("shown"), w - 1))
-    row = lambda w: F.struct(w.alias("line"), F.get(F.col("lines"), w - 1).alias("text"), F.array_contains(F.col("hits"), w).alias("matched"), (F.size(F.filter(F.col("starts"), lambda s: s <= w)) - 1).cast("long").alias("grp"))
+
+    def row(w: Column) -> Column:
+        group = F.size(F.filter(F.col("starts"), lambda s: s <= w)) - 1
+        return F.struct(w.alias("line"), F.get(F.col("lines"), w - 1).alias("text"), F.array_contains(F.col("hits"), w).alias("matched"), group.cast("long").alias("grp"))
+
     cut = found.withColumn("shown", shown).withColumn("starts", starts)
     return cut.select("path", F.inline(F.transform("shown", row)))
 
