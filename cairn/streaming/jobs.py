@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 LIMITED = "user_id long, t double, accepted boolean"
 LIMIT_STATE = "minute array<double>, day array<double>"
@@ -97,3 +98,73 @@ def click_then_edit_stream(clicks: DataFrame, edits: DataFrame, key: str, second
     b = edits.select(F.col(key).alias("edited"), "edit_id", F.col("at").alias("edit_at")).withWatermark("edit_at", late)
     soon = (F.col("edit_at") > F.col("click_at")) & (F.col("edit_at") <= F.col("click_at") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
     return a.join(b, (F.col("clicked") == F.col("edited")) & soon).select(F.col("clicked").alias(key), "click_id", "edit_id", "click_at", "edit_at")
+
+
+#: The state store that ``session_store_stream`` needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Messages of a session that its state keeps.
+SESSION_MESSAGES = 200
+SESSION_EVENTS = "session string, at timestamp, ord long, op string, message string"
+
+
+class SessionStore(StatefulProcessor):
+    """State of a session: its last SESSION_MESSAGES messages and when it ends. Appending and reading put the end off; a timer in event time ends it."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "messages array<string>, ends long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - names of the interface
+        held, out = None, []
+        if self.state.exists():
+            messages, ends = self.state.get()
+            held = (list(messages), ends)
+        batch = pd.concat(list(rows)).sort_values(["at", "ord"], kind="stable")
+        for at, op, message in zip((batch["at"].astype("datetime64[ms]").astype("int64")).tolist(), batch["op"], batch["message"], strict=True):
+            if held and held[1] <= at:
+                out.append((held[1], "expired", len(held[0])))
+                held = None
+            if op == "delete":
+                held = None
+            elif op == "append":
+                messages = held[0] if held else []
+                if not messages or messages[-1] != message:  # a message sent again is one
+                    messages = [*messages, message][-SESSION_MESSAGES:]
+                held = (messages, at + self.ttl)
+            elif op == "read":
+                out.append((at, "read", len(held[0]) if held else -1))
+                held = (held[0], at + self.ttl) if held else None
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if held:
+            self.state.update((held[0], held[1]))
+            self.handle.registerTimer(held[1])
+        else:
+            self.state.clear()
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.state.exists():
+            messages, ends = self.state.get()
+            out.append((ends, "expired", len(messages)))
+            self.state.clear()
+        yield self._rows(key, out)
+
+    def _rows(self, key, out: list[tuple]) -> pd.DataFrame:
+        text = lambda values: pd.Series(values, dtype=object)
+        numbers = lambda values: pd.Series(values, dtype="int64")
+        return pd.DataFrame({"session": text([key[0]] * len(out)), "at_ms": numbers([a for a, *_ in out]), "kind": text([k for _, k, _ in out]), "messages": numbers([n for *_, n in out])})
+
+    def close(self) -> None:
+        pass
+
+
+def session_store_stream(events: DataFrame, ttl_seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """(session, at_ms, kind, messages) from a stream of SESSION_EVENTS (op append, read or delete): each read with the number of messages that it finds (-1: no
+    session), and each end by time. A session lives ``ttl_seconds`` from its last append or read; what comes later than the watermark allows is dropped,
+    and a session that nothing more is heard of ends when the watermark passes its end. Needs ``spark.sql.streaming.stateStore.providerClass`` to be ROCKS."""
+    return events.withWatermark("at", late).groupBy("session").transformWithStateInPandas(SessionStore(ttl_seconds * 1000), "session string, at_ms long, kind string, messages long", "Append", "EventTime")
