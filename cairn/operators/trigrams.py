@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.search import FEW, local_rows, symbol_scores
+from cairn.sources.scratch import materialize
 
 FILE_ROWS = 2_000_000
 
@@ -19,15 +20,15 @@ Need = str | tuple | None
 
 
 def grams_of(text: Column) -> Column:
-    """The distinct trigrams of the lower-cased text."""
-    low = F.lower(text)
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda k: F.substr(low, k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of the lower-cased text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def write_grams(rows: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
     """(gram, id) for each trigram of each row's text, sorted by gram in files of bounded size, so that a reader's grams prune them."""
-    flat = rows.select(F.explode(grams_of(F.col(text_col))).alias("gram"), F.col(id_col).alias("id")).distinct()
-    files = max(1, -(-rows.select(F.length(text_col).alias("n")).agg(F.sum("n")).first()[0] // FILE_ROWS) if rows.head(1) else 1)
+    # written first: dealing by ranges reads its input twice
+    flat = materialize(rows.select(F.explode(grams_of(F.col(text_col))).alias("gram"), F.col(id_col).alias("id")), "grams")
+    files = max(1, -(-flat.count() // FILE_ROWS))
     flat.repartitionByRange(files, "gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.parquet(path)
 

@@ -199,13 +199,15 @@ def _stored_names(spark, d) -> trigrams.NameIndex:
     return _WRITTEN[key]
 
 
-def _stored_grams(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The documents as files, and their trigrams."""
-    files = t(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.col("text").alias("content"))
+def _text_files(spark, d) -> DataFrame:
+    return spread(t(spark, d, "documents")).select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.col("text").alias("content"))
+
+
+def _stored_grams(spark, d) -> DataFrame:
     key = "grams", spark.sparkContext.applicationId, file_states(spark, f"{d}/documents.parquet")
     if key not in _WRITTEN:
-        _WRITTEN[key] = trigrams.write_grams(spread(files), scratch(spark, "grams"), "path", "content")
-    return files, _WRITTEN[key]
+        _WRITTEN[key] = trigrams.write_grams(_text_files(spark, d), scratch(spark, "grams"), "path", "content")
+    return _WRITTEN[key]
 
 
 @query(_sym_sql(True))
@@ -592,13 +594,21 @@ def compress_chunk(spark, d):
 # --- logs and files -----------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH l AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+_GREP = r"""WITH l AS (SELECT source || '/' || doc_id AS path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
 h AS (SELECT path, line FROM l WHERE regexp_matches(text, 'License') ORDER BY path, line LIMIT 100), r AS (SELECT path, line + x AS line, bool_or(x = 0) AS matched FROM h, (VALUES (-1), (0), (1)) v(x) GROUP BY ALL),
 s AS (SELECT path, line, text, matched FROM l JOIN r USING (path, line)), g AS (SELECT *, coalesce((line - lag(line) OVER w > 1)::INT, 0) AS new FROM s WINDOW w AS (PARTITION BY path ORDER BY line))
-SELECT path, line::INT AS line, text, matched, (sum(new) OVER (PARTITION BY path ORDER BY line))::BIGINT AS grp FROM g""")
+SELECT path, line::INT AS line, text, matched, (sum(new) OVER (PARTITION BY path ORDER BY line))::BIGINT AS grp FROM g"""
+
+
+@query(_GREP)
 def grep_context(spark, d):
-    files, index = _stored_grams(spark, d)
-    return trigrams.grep_context(files, "License", 1, 100, index)
+    return trigrams.grep_context(_text_files(spark, d), "License", 1, 100)
+
+
+@query(_GREP)
+def grep_indexed(spark, d):
+    """As grep_context, of the files that have the pattern's trigrams."""
+    return trigrams.grep_context(_text_files(spark, d), "License", 1, 100, _stored_grams(spark, d))
 
 
 @query("""WITH l AS (SELECT doc_id AS path, string_split(text, chr(10)) AS l FROM documents), k AS (SELECT path, l, unnest(range((len(l) - 1) // 10 + 1)) AS k FROM l)
