@@ -10,6 +10,7 @@ from cairn.functions import text as X
 from cairn.operators import braces, logs, parse, workspace
 from cairn.plans.bindings import query, t
 from cairn.sources import tables
+from cairn.sources.scratch import spread
 
 #: (path, language, lines); ``#`` stands for the part's key.
 SOURCES = (
@@ -52,7 +53,7 @@ def _files(spark, d) -> DataFrame:
     key = F.col("p_partkey").cast("string")
     fill = lambda x: F.replace(F.lit(x), F.lit("#"), key)
     made = F.array(*[F.struct(fill(p).alias("path"), fill("\n".join(lines)).alias("content"), F.lit(lang).alias("language")) for p, lang, lines in SOURCES])
-    return t(spark, d, "part").select(F.explode(made).alias("f")).select("f.*")
+    return spread(t(spark, d, "part").select("p_partkey")).select(F.explode(made).alias("f")).select("f.*")
 
 
 def _symbols(spark, d) -> DataFrame:
@@ -119,7 +120,7 @@ def merge_fallback(spark, d):
         F.array_repeat(F.lit(""), n),
         F.when(kind == 2, F.array().cast("array<string>")).otherwise(F.array(fill("class Late#:"), F.when(kind == 0, "    def g(self): pass").otherwise("    x = ["))),
     )
-    files = t(spark, d, "part").select(F.concat(F.lit("b"), key, F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("content"), F.lit("python").alias("language"))
+    files = spread(t(spark, d, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("b"), key, F.lit(".py")).alias("path"), F.array_join(lines, "\n").alias("content"), F.lit("python").alias("language"))
     return workspace.file_symbols(files).select("path", "name", "symbol_type", "start_line", "end_line")
 
 
