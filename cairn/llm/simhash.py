@@ -277,29 +277,44 @@ def _alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float
     return same >= similarity * either - 4 * np.sqrt(similarity * (1 - similarity) * either)
 
 
+def bk_near(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b): positions in a shard of fingerprints within ``radius`` bits of each other, as a search of the shard's BK-tree for all of them
+    at once finds them; pairs come both ways, in pieces of bounded size. Subtrees of equal fingerprints are not cut further."""
+    todo = [(np.arange(len(fps)), np.arange(len(fps)))] if len(fps) else []
+    while todo:
+        nodes, queries = todo.pop()  # a subtree's fingerprints, and those that search it
+        if len(nodes) <= LEAF or (fps[nodes] == fps[nodes[0]]).all():
+            for at in range(0, len(nodes), LEAF):
+                some = nodes[at : at + LEAF]
+                for lo in range(0, len(queries), 4096):
+                    q = queries[lo : lo + 4096]
+                    row, col = np.nonzero(np.bitwise_count(fps[q][:, None] ^ fps[some][None, :]) <= radius)
+                    yield some[col], q[row]
+            continue
+        root, rest = nodes[0], nodes[1:]
+        to_query = np.bitwise_count(fps[queries] ^ fps[root]).astype("i2")
+        hit = queries[to_query <= radius]
+        yield np.full(len(hit), root), hit
+        key = np.bitwise_count(fps[rest] ^ fps[root]).astype("i2")
+        order = np.argsort(key, kind="stable")
+        keys, first = np.unique(key[order], return_index=True)
+        for k, child in zip(keys.tolist(), np.split(rest[order], first[1:]), strict=True):
+            if len(follow := queries[np.abs(to_query - k) <= radius]):
+                todo.append((child, follow))
+
+
 def near_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """For each of one shard's sets, ordered by size: the position of the first set that it hangs together with by candidates.
-    Pairs that hang together already are not looked at again."""
+    """For each of one shard's sets, ordered by size: the position of the first set that it hangs together with by candidates, which the
+    shard's BK-tree finds. Pairs that hang together already are not looked at again."""
     forest = Forest(len(fps))
     first = np.searchsorted(sizes, np.ceil(similarity * sizes - 1e-9), "left")  # similar sets have similar sizes
-    for at in range(0, len(fps), 128):
-        j = np.arange(at, min(at + 128, len(fps)))
-        i = np.arange(first[at], j[-1] + 1)
-        near = np.bitwise_count(fps[j][:, None] ^ fps[i][None, :]) <= radius
-        near &= (i[None, :] >= first[j][:, None]) & (i[None, :] < j[:, None])
-        some = near.any(1)
-        a, b = i[near.argmax(1)][some], j[some]
+    for a, b in bk_near(fps, radius):
+        own = (a < b) & (a >= first[b])
+        a, b = a[own], b[own]
+        open_ = forest.find(a) != forest.find(b)
+        a, b = a[open_], b[open_]
         own = _alike(sketches, a, b, similarity)
         forest.link(a[own], b[own])
-        label = forest.find(i)
-        near &= label[None, :] != label[j - i[0]][:, None]
-        row, col = np.nonzero(near)
-        for k in range(0, len(row), 100_000):
-            a, b = i[col[k : k + 100_000]], j[row[k : k + 100_000]]
-            open_ = forest.find(a) != forest.find(b)
-            a, b = a[open_], b[open_]
-            own = _alike(sketches, a, b, similarity)
-            forest.link(a[own], b[own])
     return forest.find(np.arange(len(fps)))
 
 
@@ -405,8 +420,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: k1, k2, doc_id, key (of its shingle set), root (the smallest key reachable over pairs of sets
     of at least that Jaccard similarity).
 
-    Sets that share one of their minima meet in a shard, where fingerprints within ``radius`` bits and sketches that agree make
-    candidates. Each component of candidates is then one group, to which its sets' shingles travel once, and where exact
+    Sets that share one of their minima meet in a shard, where fingerprints that its BK-tree finds within ``radius`` bits and sketches that
+    agree make candidates. Each component of candidates is then one group, to which its sets' shingles travel once, and where exact
     similarities decide. So each step moves a number of rows in proportion to the sets, however large the groups."""
 
     @freeing
