@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.functions.text import detect_language, looks_local_module, match_call_target
 from cairn.sources.scratch import materialize
@@ -197,8 +198,80 @@ def _spread_least(edges: DataFrame, start: DataFrame, a: str, b: str) -> DataFra
     return marks
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(plan, id): the steps on a cycle of ``edges`` (plan, id, dep), without edges from a step to itself.
+def _on_cycles(edges: list[tuple]) -> list:
+    """The steps of components with more than one step (Tarjan), of edges (id, dep)."""
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    number, low, stack, found = {}, {}, [], []
+    for start in out:
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        stack.append(start)
+        way = [(start, iter(out[start]))]
+        held = {start}
+        while way:
+            node, rest = way[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    stack.append(to)
+                    held.add(to)
+                    way.append((to, iter(out.get(to, ()))))
+                    break
+                if to in held:
+                    low[node] = min(low[node], number[to])
+            else:
+                way.pop()
+                if way:
+                    low[way[-1][0]] = min(low[way[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = [stack.pop()]
+                    while part[-1] != node:
+                        part.append(stack.pop())
+                    held.difference_update(part)
+                    found += part if len(part) > 1 else []
+    return found
+
+
+#: A plan of so many edges or fewer is looked at by the task that gets it; those of more by all tasks together.
+PLAN_EDGES = 100_000
+
+
+def cycles(edges: DataFrame, most: int = PLAN_EDGES) -> DataFrame:
+    """(plan, id): the steps on a cycle of ``edges`` (plan, id, dep), without edges from a step to itself. Plans of at most ``most`` edges
+    stream by, each held by itself; the edges of larger ones are moved in rounds."""
+    edges = materialize(edges.filter("plan is not null and id is not null and dep is not null"), "deps")
+    large = materialize(edges.groupBy("plan").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("plan"), "large")
+    some = bool(large.head(1))
+    schema = edges.select("plan", "id").schema
+    made = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, own, found = None, [], []
+        for b in batches:
+            for p, a, to in zip(*(b.column(c).to_pylist() for c in ("plan", "id", "dep")), strict=True):
+                if p != plan:
+                    found += [(plan, x) for x in _on_cycles(own)]
+                    plan, own = p, []
+                own.append((a, to))
+            yield _rows_of(found, made)
+            found = []
+        yield _rows_of([(plan, x) for x in _on_cycles(own)], made)
+
+    small = edges.join(F.broadcast(large), "plan", "left_anti") if some else edges
+    on = small.repartition("plan").sortWithinPartitions("plan").mapInArrow(run, schema)
+    return on.unionByName(_cycles_of_large(edges.join(F.broadcast(large), "plan", "left_semi"))) if some else on
+
+
+def _rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _cycles_of_large(edges: DataFrame) -> DataFrame:
+    """As ``cycles``, whatever a plan's size.
 
     What trimming leaves is coloured: each step gets the least step that reaches it, and a step is of one component with its colour where
     it reaches that step in turn, along steps of the colour. Such components with more than one step are cycles; they are taken out, and the rest is trimmed
