@@ -487,7 +487,7 @@ def sink_graph_json(spark, d):
 @query(f"WITH d AS (SELECT doc_id, {_TOK} AS t FROM documents), p AS (SELECT doc_id, unnest(t) AS w FROM d) SELECT w AS term, count(DISTINCT doc_id) AS df FROM p GROUP BY w")
 def sink_bm25(spark, d):
     path = stores.scratch(spark, "bm25")
-    index = search.write_bm25(t(spark, d, "documents"), path, "doc_id", "text")
+    index = search.write_bm25(spread(t(spark, d, "documents").select("doc_id", "text")), path, "doc_id", "text")
     return index.blocks.groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
 
 

@@ -4,8 +4,8 @@ import ast
 
 import pytest
 
-from cairn.operators import braces, parse, workspace
-from cairn.plans import code
+from cairn.operators import braces, parse, search, workspace
+from cairn.plans import code, service
 
 
 def test_files_of_a_table_of_one_row_group_are_parsed_by_all_cores(spark, tmp_path):
@@ -52,3 +52,11 @@ def test_imports_alone_are_those_of_all_references(spark):
     assert sorted(map(tuple, workspace.read_imports(files).collect())) == sorted(map(tuple, want.collect()))
 
 
+
+
+def test_documents_of_one_row_group_are_indexed_by_all_cores(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("id AS doc_id", "'some words' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(search, "write_bm25", lambda docs, *a, real=search.write_bm25: seen.append(docs.rdd.getNumPartitions()) or real(docs, *a))
+    assert {(r.term, r.df) for r in service.sink_bm25(spark, str(tmp_path)).collect()} == {("some", 100), ("words", 100)}
+    assert seen == [spark.sparkContext.defaultParallelism]
