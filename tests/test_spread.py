@@ -55,8 +55,8 @@ def test_imports_alone_are_those_of_all_references(spark):
 
 
 def test_documents_of_one_row_group_are_indexed_by_all_cores(spark, tmp_path, monkeypatch):
-    spark.range(100).selectExpr("id AS doc_id", "'some words' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(100).selectExpr("id AS doc_id", "'zebra quokka' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     seen = []
     monkeypatch.setattr(search, "write_bm25", lambda docs, *a, real=search.write_bm25: seen.append(docs.rdd.getNumPartitions()) or real(docs, *a))
-    assert {(r.term, r.df) for r in service.sink_bm25(spark, str(tmp_path)).collect()} == {("some", 100), ("words", 100)}
+    assert {(r.term, r.df) for r in service.sink_bm25(spark, str(tmp_path)).collect()} == {("zebra", 100), ("quokka", 100)}
     assert seen == [spark.sparkContext.defaultParallelism]
