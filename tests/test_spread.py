@@ -6,6 +6,7 @@ import pytest
 
 from cairn.operators import braces, parse, search, workspace
 from cairn.plans import code, service
+from cairn.sources.scratch import spread
 
 
 def test_files_of_a_table_of_one_row_group_are_parsed_by_all_cores(spark, tmp_path):
@@ -60,3 +61,27 @@ def test_documents_of_one_row_group_are_indexed_by_all_cores(spark, tmp_path, mo
     monkeypatch.setattr(search, "write_bm25", lambda docs, *a, real=search.write_bm25: seen.append(docs.rdd.getNumPartitions()) or real(docs, *a))
     assert {(r.term, r.df) for r in service.sink_bm25(spark, str(tmp_path)).collect()} == {("zebra", 100), ("quokka", 100)}
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_a_row_group_in_a_file_of_many_cuts_is_spread_by_its_rows(spark, tmp_path):
+    spark.range(20_000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        held = [n for n in spread(rows, 1000).rdd.glom().map(len).collect() if n]
+        assert len(held) == 20 and max(held) < 2000 and sum(held) == 20_000
+        even = spark.range(20_000, numPartitions=40)
+        assert spread(even, 1000).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
+@pytest.mark.parametrize(("path", "language"), [(p, language) for p, language, _ in code.SOURCES])
+def test_symbols_alone_are_those_of_a_whole_reading(spark, path, language):
+    source = next("\n".join(lines) for p, _, lines in code.SOURCES if p == path)
+    sources = [source, "try:\n  def a(): pass\nexcept E:\n  x = 1\nelse:\n  class C:\n    y = 2\nfinally:\n  async def d(): pass\nmatch x:\n  case 1:\n    @o\n    def e(): pass\nb: int = 3\n", "class (", ""]
+    files = spark.createDataFrame([(f"f{k}", x, language) for k, x in enumerate(sources)], "path string, content string, language string")
+    want = workspace.read_files(files).filter("kind not in ('import', 'call')")
+    assert sorted(map(tuple, workspace.read_files(files, references=False).collect())) == sorted(map(tuple, want.collect()))
