@@ -58,38 +58,60 @@ def _blocks(avgdl: float):
     """Postings (term, id, tf, dl) in the order of term and falling impact become blocks. The last block of a term's run in a partition bears the run's
     length and ladder: the greatest impact, the 5th greatest and so on, 0 where there are fewer."""
 
-    def pack(term: str, ids: pa.Array, tf: np.ndarray, dl: np.ndarray) -> Iterator[dict]:
+    def pack(held: pa.Table, whole: int) -> Iterator[pa.RecordBatch]:
+        """Blocks of the first ``whole`` postings, whose runs are complete."""
+        held = held.slice(0, whole).combine_chunks()
+        ids, tf, dl = held["id"].combine_chunks(), held["tf"].to_numpy(), held["dl"].to_numpy()
+        ends = np.append(_changes(held["term"]), whole)
+        starts = np.append(0, ends[:-1])
+        size = -(-(ends - starts) // BLOCK)  # blocks of each run
+        last = np.cumsum(size) - 1
+        run_of = np.repeat(np.arange(len(size)), size)
+        first = starts[run_of] + (np.arange(len(run_of)) - (last - size + 1)[run_of]) * BLOCK
         impact = _impact(tf, dl, avgdl)
-        for a in range(0, len(tf), BLOCK):
-            last = a + BLOCK >= len(tf)
-            yield {
-                "term": term, "ids": ids.slice(a, BLOCK).to_pylist(), "tf": tf[a : a + BLOCK].tolist(), "dl": dl[a : a + BLOCK].tolist(), "top": float(impact[a : a + BLOCK].max()),
-                "run": len(tf) if last else 0, "ladder": [float(impact[k - 1]) if k <= len(tf) else 0.0 for k in LADDER] if last else None,
-            }
+        at = starts[:, None] + np.array(LADDER)[None, :] - 1
+        ladder = np.where(at < ends[:, None], impact[np.minimum(at, whole - 1)], 0.0)
+        ladders, run = np.zeros(len(first), bool), np.zeros(len(first), "i8")
+        ladders[last], run[last] = True, ends - starts
+        offsets = pa.array(np.append(first, whole), "int32")
+        cuts = pa.array(np.append(0, np.cumsum(ladders) * len(LADDER)), "int32")
+        lists = lambda x: pa.ListArray.from_arrays(offsets, x)
+        out = pa.record_batch({
+            "term": held["term"].combine_chunks().take(pa.array(first)), "ids": lists(ids), "tf": lists(pa.array(tf, "int64")), "dl": lists(pa.array(dl, "int32")),
+            "top": pa.array(np.maximum.reduceat(impact, first)), "run": pa.array(run),
+            "ladder": pa.ListArray.from_arrays(cuts, pa.array(ladder.ravel(), "float64"), mask=pa.array(~ladders)),
+        })
+        for k in range(0, len(first), 2000):
+            yield out.slice(k, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                t = pa.Table.from_batches([b])
-                held = t if held is None else pa.concat_tables([held, t])
-            if held is None or not held.num_rows:
+        held, term = [], None  # postings of runs that may go on in the next batch, the last of which is of ``term``
+        for b in batches:
+            if not b.num_rows:
                 continue
-            term = held["term"].combine_chunks().dictionary_encode()
-            codes, names = term.indices.to_numpy(zero_copy_only=False), term.dictionary.to_pylist()
-            cuts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-            ends = np.r_[cuts[1:], len(codes)] if b is None else cuts[1:]  # the last run may go on in the next batch
-            ids, tf, dl = held["id"].combine_chunks(), held["tf"].to_numpy(), held["dl"].to_numpy()
-            out = [x for a, e in zip(cuts, ends) for x in pack(names[codes[a]], ids.slice(a, e - a), tf[a:e], dl[a:e])]
-            for k in range(0, len(out), 500):
-                part = out[k : k + 500]
-                kinds = {"ids": pa.list_(held.schema.field("id").type), "tf": pa.list_(pa.int64()), "dl": pa.list_(pa.int32()), "ladder": pa.list_(pa.float64())}
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in part], kinds.get(c)) for c in part[0]], names=list(part[0]))
-            held = held.slice(int(ends[-1])) if len(ends) else held
+            held.append(pa.Table.from_batches([b]))
+            if held[1:] and b["term"][0].as_py() == term == b["term"][b.num_rows - 1].as_py():
+                continue  # a run of many batches is put together once
+            term = b["term"][b.num_rows - 1].as_py()
+            both = pa.concat_tables(held)
+            cut = _changes(both["term"])
+            if len(cut):
+                yield from pack(both, int(cut[-1]))
+                both = both.slice(int(cut[-1]))
+            held = [both]
+        if held:
+            both = pa.concat_tables(held)
+            yield from pack(both, both.num_rows)
 
     return run
 
 
+def _changes(term: pa.ChunkedArray) -> np.ndarray:
+    """Where a term differs from the one before it."""
+    codes = term.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(codes[1:] != codes[:-1]) + 1
+
+
 def write_bm25(docs: DataFrame, path: str, id_col: str, text_col: str) -> Bm25Index:
     """Each text is tokenized once; lengths, blocks, the dictionary and the floor come from the written postings. The number of files comes from
     the number of postings, and files are cut by term and impact, so that a frequent term lies in many; its blocks come with falling impact."""

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators.search import FEW, local_rows, symbol_scores
-from cairn.sources.scratch import materialize
 
 FILE_ROWS = 2_000_000
 
@@ -25,11 +24,10 @@ def grams_of(text: Column) -> Column:
 
 
 def write_grams(rows: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """(gram, id) for each trigram of each row's text, sorted by gram in files of bounded size, so that a reader's grams prune them."""
-    # written first: dealing by ranges reads its input twice
-    flat = materialize(rows.select(F.explode(grams_of(F.col(text_col))).alias("gram"), F.col(id_col).alias("id")), "grams")
-    files = max(1, -(-flat.count() // FILE_ROWS))
-    flat.repartitionByRange(files, "gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(path)
+    """(gram, id) for each trigram of each row's text. Each partition's rows are written by the task that has them, sorted by gram in files of bounded
+    size, so that a reader's grams prune files and pages; nothing is shuffled, and texts are read once."""
+    flat = rows.select(F.explode(grams_of(F.col(text_col))).alias("gram"), F.col(id_col).alias("id"))
+    flat.sortWithinPartitions("gram", "id").write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 

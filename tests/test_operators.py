@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -448,3 +449,14 @@ def test_small_blocks_gather_alike(spark):
         sizes = [rng.randrange(1, 70) for _ in range(rng.randrange(1, 9))]
         ends = parse._cuts(sizes, 40)
         assert [sum(sizes[a:b]) for a, b in zip([0, *ends], ends)] == list(value(spark, parse.merge_small_blocks(F.array(*map(F.lit, sizes)))))
+
+
+def test_a_long_run_of_postings_is_put_together_once(monkeypatch):
+    rows = [("a", k, 3, 10) for k in range(5)] + [("b", k, 2, 10) for k in range(2000)] + [("c", 7, 1, 10)]
+    table = pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate((("term", "string"), ("id", "int64"), ("tf", "int64"), ("dl", "int32")))})
+    seen = []
+    monkeypatch.setattr(search, "_changes", lambda term, real=search._changes: seen.append(len(term)) or real(term))
+    out = [r for b in search._blocks(10.0)(iter(table.to_batches(max_chunksize=10))) for r in b.to_pylist()]
+    assert [(r["term"], i) for r in out for i in r["ids"]] == [(t, k) for t, k, *_ in rows]
+    assert [r["run"] for r in out if r["ladder"]] == [5, 2000, 1] and max(len(r["ids"]) for r in out) == search.BLOCK
+    assert sum(seen) < 4 * len(rows)  # each posting is looked at a few times, not once a batch

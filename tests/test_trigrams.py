@@ -60,3 +60,17 @@ def test_names(spark):
             assert [tuple(r) for r in got] == [tuple(r) for r in want], (tokens, k, contains)
     plan = trigrams.name_topk(index, ["data"], 5, "name", ["id"], False)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(low,data\)", plan), plan
+
+
+def test_trigrams_are_written_where_texts_lie(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "FILE_ROWS", 50)
+    rows = spark.createDataFrame([(k, f"word{k:03d}") for k in range(200)], "id int, w string").repartition(2)
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("grams", "")
+    index = trigrams.write_grams(rows.localCheckpoint(), scratch(spark, "grams"), "id", "w")
+    jobs = stages.getJobIdsForGroup("grams")
+    spark.sparkContext.setJobGroup("", "")
+    spread = [(r.gram, r.id) for r in index.collect()]
+    assert len(spread) == len(set(spread)) == 200 * 5
+    assert len(index.inputFiles()) == 20  # of 50 rows
+    assert len(jobs) <= 3
