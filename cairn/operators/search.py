@@ -227,8 +227,22 @@ def fit_cells(vectors: DataFrame, id_col: str, vec_col: str, cells: int) -> np.n
 
 def nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` nearest centres of each row, in order; ties go to the smaller number."""
-    far = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
-    return np.argsort(far, axis=1, kind="stable")[:, :n]
+    size, out = (centres * centres).sum(1)[None, :], np.empty((len(x), min(n, len(centres))), "i8")
+    step = max(1, 4_000_000 // max(1, len(centres)))
+    for a in range(0, len(x), step):
+        far = size - 2 * x[a : a + step] @ centres.T
+        if n == 1:
+            out[a : a + step, 0] = far.argmin(1)
+            continue
+        if n >= len(centres):
+            out[a : a + step] = np.argsort(far, axis=1, kind="stable")
+            continue
+        near = np.sort(np.argpartition(far, n - 1, axis=1)[:, :n], axis=1)
+        own = np.take_along_axis(far, near, 1)
+        out[a : a + step] = np.take_along_axis(near, np.argsort(own, axis=1, kind="stable"), 1)
+        tied = np.flatnonzero((far <= own.max(1)[:, None]).sum(1) > n)
+        out[a + tied] = np.argsort(far[tied], axis=1, kind="stable")[:, :n]
+    return out
 
 
 def _cells_of(vector: Column, centres: np.ndarray, n: int) -> Column:
@@ -241,8 +255,10 @@ def _cells_of(vector: Column, centres: np.ndarray, n: int) -> Column:
     return F.pandas_udf(run, "array<int>")(vector)
 
 
-def write_ivf(vectors: DataFrame, path: str, id_col: str, vec_col: str, cells: int = 64) -> np.ndarray:
-    """Every vector (column ``vec_col``, all of one length) in the folder of its nearest cell; returns the centres."""
+def write_ivf(vectors: DataFrame, path: str, id_col: str, vec_col: str, cells: int | None = 64) -> np.ndarray:
+    """Every vector (column ``vec_col``, all of one length) in the folder of its nearest cell; returns the centres. Without ``cells`` there are as many
+    as the root of the number of vectors, 32 at least."""
+    cells = cells or max(32, math.isqrt(vectors.count()))
     centres = fit_cells(vectors, id_col, vec_col, cells)
     placed = vectors.withColumn("cell", F.element_at(_cells_of(F.col(vec_col), centres, 1), 1))
     placed.repartition("cell").sortWithinPartitions(id_col).write.mode("overwrite").partitionBy("cell").parquet(path)
@@ -258,13 +274,72 @@ def ivf_topk(index: DataFrame, centres: np.ndarray, query: list[float], k: int,
 
 
 def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, id_col: str, vec_col: str, probe: int = 8) -> DataFrame:
-    """(q, id, distance, rank): the best k of the ``probe`` nearest cells for each of ``queries`` (q, v). Queries travel to the cells."""
-    asked = queries.select("q", "v", F.explode(_cells_of(F.col("v"), centres, probe)).alias("cell"))
-    pairs = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("w"), "cell").join(asked, "cell").select("q", "id", l2_distance(F.col("w"), F.col("v")).alias("distance"))
+    """(q, id, distance, rank): the best k of the ``probe`` nearest cells for each of ``queries`` (q, v). Queries travel to the cells. Cells of more than
+    SLICE_ROWS vectors are cut into slices; a slice's vectors meet its queries in one task, which holds the vectors, compares blocks
+    of queries by matrix products and hands on k rows a query."""
+    own = index.select("cell", F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    sizes = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).alias("slices"))  # one row a cell
+    asked = queries.select("q", "v", F.explode(_cells_of(F.col("v"), centres, probe)).alias("cell")).join(F.broadcast(sizes), "cell")
+    held = own.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), F.lit(None).cast(queries.schema["q"].dataType).alias("q"), "id", "v", F.lit(False).alias("asks"))
+    sent = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)).alias("slice"), "q", F.lit(None).cast(own.schema["id"].dataType).alias("id"), "v", F.lit(True).alias("asks"))
+    dealt = held.unionByName(sent).repartition("cell", "slice").sortWithinPartitions("cell", "slice", "asks")
+    pairs = dealt.mapInArrow(_meet(k), f"q {dict(queries.dtypes)['q']}, id {dict(own.dtypes)['id']}, distance double")
     rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Vectors of a cell that meet queries in one task; queries that are compared at once; pairs whose distances are taken exactly at once.
+SLICE_ROWS, ASK_ROWS, EXACT_PAIRS = 10_000, 256, 50_000
+
+
+def _matrix(v: pa.Array) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(len(v), -1)
+
+
+def _meet(k: int):
+    """Of rows (cell, slice, q, id, v, asks), sorted so that a slice's vectors come before its queries: (q, id, distance), the k nearest for each query, ties by
+    id. A matrix product finds what may be among them, up to rounding; the distances that decide are summed number by number, as l2_distance does."""
+
+    def near(v: np.ndarray, ids: pa.Array, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        sizes = (w * w).sum(1)
+        far = sizes[None, :] - 2 * v @ w.T
+        room = 1e-9 * (1 + (v * v).sum(1) + sizes.max())
+        last = np.partition(far, min(k, len(w)) - 1, axis=1)[:, min(k, len(w)) - 1]
+        row, col = np.nonzero(far <= (last + room)[:, None])
+        exact = np.empty(len(row))
+        for a in range(0, len(row), EXACT_PAIRS):
+            d = w[col[a : a + EXACT_PAIRS]] - v[row[a : a + EXACT_PAIRS]]
+            exact[a : a + EXACT_PAIRS] = np.cumsum(d * d, axis=1)[:, -1] if d.shape[1] else 0
+        order = np.lexsort((col, exact, row))  # vectors stand in the order of their ids
+        row, col, exact = row[order], col[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[best], col[best], exact[best]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids, w = None, [], None, None
+        for b in batches:
+            keys = np.stack([b[c].to_numpy(zero_copy_only=False).astype("i8") for c in ("cell", "slice", "asks")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]) if len(keys) else ():
+                part, (cell, slice_, asks) = b.slice(a, e - a), keys[a].tolist()
+                if (cell, slice_) != now:
+                    now, held, ids = (cell, slice_), [], None
+                if not asks:
+                    held.append(part)
+                    continue
+                if not held:  # a cell without vectors
+                    continue
+                if ids is None:
+                    whole = pa.Table.from_batches(held).sort_by("id").combine_chunks()
+                    ids, w = whole["id"].combine_chunks(), _matrix(whole["v"].combine_chunks())
+                for x in range(0, part.num_rows, ASK_ROWS):
+                    some = part.slice(x, ASK_ROWS)
+                    row, col, exact = near(_matrix(some["v"]), ids, w)
+                    yield pa.RecordBatch.from_arrays([some["q"].take(pa.array(row)), ids.take(pa.array(col)), pa.array(exact)], names=["q", "id", "distance"])
+
+    return run
+
+
 def symbol_scores(symbols: DataFrame, tokens: list[str], name: str, contains: bool = True) -> DataFrame:
     """Rows of ``symbols`` that a token names exactly (1.0), as a prefix (0.5) or within (0.3), with score. The tokens of
     one query are literals, so this is a filter."""

@@ -433,8 +433,8 @@ def _vectors(spark, d) -> DataFrame:
 @query("SELECT e.vec_id AS q, e.vec_id AS id, 1 AS rank FROM embeddings e WHERE e.vec_id % 20 = 0")
 def vec_ivf_self(spark, d):
     """Each twentieth vector, searched for in an index of cells, is its own nearest."""
-    path, own = stores.scratch(spark, "ivf"), t(spark, d, "embeddings")
-    centres = search.write_ivf(own, path, "vec_id", "embedding", 32)
+    path, own = stores.scratch(spark, "ivf"), spread(t(spark, d, "embeddings"))
+    centres = search.write_ivf(own, path, "vec_id", "embedding", None)
     queries = own.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
     return search.ivf_search(spark.read.parquet(path), centres, queries, 1, "vec_id", "embedding", 8).select("q", "id", "rank")
 
@@ -587,7 +587,7 @@ def vec_pq_recall(spark, d):
     """Every 20th vector as a query: its ten nearest others by codes, and which share of the ten nearest by a scan is among them."""
     from cairn.operators import quantised
 
-    every = t(spark, d, "embeddings").filter("embedding is not null").select("vec_id", "embedding")
+    every = spread(t(spark, d, "embeddings")).filter("embedding is not null").select("vec_id", "embedding")
     path = stores.scratch(spark, "pq")
     books = quantised.write_pq(every, path, "vec_id", "embedding")
     asked = every.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))

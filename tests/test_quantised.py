@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.operators import quantised
+from cairn.operators import quantised, search
 from cairn.plans import service
 from cairn.sources.scratch import scratch
 
@@ -40,3 +40,27 @@ def test_clusters_and_edges(spark, monkeypatch):
     few = df.limit(3)
     books = quantised.write_pq(few, path, "id", "v", 4)
     assert quantised.pq_search(read("codes"), read("vectors"), books, asked, 5).groupBy("q").count().filter("count = 3").count() == 25
+
+
+def test_cells_grow_with_the_vectors_and_meet_their_queries_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2500, 6)).astype("f4")
+    x[100:400] = x[100]  # a cell of copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(5)
+    path = scratch(spark, "ivf")
+    centres = search.write_ivf(df, path, "id", "v", None)
+    assert len(centres) == 50
+    monkeypatch.setattr(search, "SLICE_ROWS", 70)
+    index = spark.read.parquet(path)
+    asked = df.filter("id % 50 = 0").select(F.col("id").alias("q"), "v")
+    got = search.ivf_search(index, centres, asked, 4, "id", "v", 50).collect()  # all cells: exact
+    plan = search.ivf_search(index, centres, asked, 4, "id", "v", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan  # pairs are compared by blocks
+    for q in range(0, 2500, 50):
+        d = ((x.astype("f8") - x[q].astype("f8")) ** 2).cumsum(1)[:, -1]
+        want = sorted(range(2500), key=lambda i: (d[i], i))[:4]
+        own = sorted((r for r in got if r.q == q), key=lambda r: r.rank)
+        assert [(r.id, r.distance) for r in own] == [(i, d[i]) for i in want]
+    many = rng.integers(-2, 3, size=(300, 3)).astype("f4")  # ties
+    far = (many * many).sum(1)[None, :] - 2 * x[:200, :3] @ many.T
+    assert (search.nearest_cells(x[:200, :3], many, 8) == np.argsort(far, axis=1, kind="stable")[:, :8]).all()
