@@ -278,8 +278,19 @@ def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int
     SLICE_ROWS vectors are cut into slices; a slice's vectors meet its queries in one task, which holds the vectors, compares blocks
     of queries by matrix products and hands on k rows a query."""
     own = index.select("cell", F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    sizes = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).alias("slices"))  # one row a cell
-    asked = queries.select("q", "v", F.explode(_cells_of(F.col("v"), centres, probe)).alias("cell")).join(F.broadcast(sizes), "cell")
+    return _within_cells(own, queries.select("q", "v", F.explode(_cells_of(F.col("v"), centres, probe)).alias("cell")), k, SLICE_ROWS)
+
+
+def scan_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
+    """As ``ivf_search`` of all vectors. Work grows with vectors times queries, which nothing can help; what a task holds does not, and k rows a query and
+    slice leave it."""
+    own = vectors.select(F.lit(0).alias("cell"), F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return _within_cells(own, queries.select("q", "v", F.lit(0).alias("cell")), k, SCAN_ROWS)
+
+
+def _within_cells(own: DataFrame, queries: DataFrame, k: int, rows: int) -> DataFrame:
+    sizes = own.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("slices"))  # one row a cell
+    asked = queries.join(F.broadcast(sizes), "cell")
     held = own.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), F.lit(None).cast(queries.schema["q"].dataType).alias("q"), "id", "v", F.lit(False).alias("asks"))
     sent = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("slices").cast("int") - 1)).alias("slice"), "q", F.lit(None).cast(own.schema["id"].dataType).alias("id"), "v", F.lit(True).alias("asks"))
     dealt = held.unionByName(sent).repartition("cell", "slice").sortWithinPartitions("cell", "slice", "asks")
@@ -288,8 +299,8 @@ def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-#: Vectors of a cell that meet queries in one task; queries that are compared at once; pairs whose distances are taken exactly at once.
-SLICE_ROWS, ASK_ROWS, EXACT_PAIRS = 10_000, 256, 50_000
+#: Vectors of a cell, and of a scan, that meet queries in one task; pairs that are compared at once, and whose distances are taken exactly at once.
+SLICE_ROWS, SCAN_ROWS, PAIRS, EXACT_PAIRS = 10_000, 50_000, 2_500_000, 50_000
 
 
 def _matrix(v: pa.Array) -> np.ndarray:
@@ -332,8 +343,9 @@ def _meet(k: int):
                 if ids is None:
                     whole = pa.Table.from_batches(held).sort_by("id").combine_chunks()
                     ids, w = whole["id"].combine_chunks(), _matrix(whole["v"].combine_chunks())
-                for x in range(0, part.num_rows, ASK_ROWS):
-                    some = part.slice(x, ASK_ROWS)
+                step = max(1, PAIRS // len(w))
+                for x in range(0, part.num_rows, step):
+                    some = part.slice(x, step)
                     row, col, exact = near(_matrix(some["v"]), ids, w)
                     yield pa.RecordBatch.from_arrays([some["q"].take(pa.array(row)), ids.take(pa.array(col)), pa.array(exact)], names=["q", "id", "distance"])
 

@@ -64,3 +64,13 @@ def test_cells_grow_with_the_vectors_and_meet_their_queries_in_slices(spark, mon
     many = rng.integers(-2, 3, size=(300, 3)).astype("f4")  # ties
     far = (many * many).sum(1)[None, :] - 2 * x[:200, :3] @ many.T
     assert (search.nearest_cells(x[:200, :3], many, 8) == np.argsort(far, axis=1, kind="stable")[:, :8]).all()
+
+
+def test_a_scan_is_exact_in_slices(spark, monkeypatch):
+    x = np.random.default_rng(6).integers(-2, 3, size=(300, 4)).astype("f4")  # ties and copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>").repartition(3)
+    monkeypatch.setattr(search, "SCAN_ROWS", 40)
+    got = search.scan_search(df, df.filter("id % 30 = 0").select(F.col("id").alias("q"), "v"), 5, "id", "v").collect()
+    for q in range(0, 300, 30):
+        d = ((x - x[q]) ** 2).sum(1)
+        assert [r.id for r in sorted((r for r in got if r.q == q), key=lambda r: r.rank)] == sorted(range(300), key=lambda i: (d[i], i))[:5]
