@@ -112,80 +112,117 @@ def start_weights(bias: list[np.ndarray]) -> np.ndarray:
 _QUERY, _KEY = np.arange(STRIDE)[:, None] + CONTEXT, np.arange(_LEN)[None, :]
 _DISTANCE = np.clip(_QUERY - _KEY, 0, None)
 _CAUSAL = np.where(_KEY <= _QUERY, 0, -1e9).astype("f4")
+#: Of each rank, its softmax (0 for the head; the rest has none of its own) and its place in the head's.
+_TIER = np.repeat(np.arange(len(TAILS) + 2, dtype="i1"), [HEAD, *TAILS, 1])
+_IN_HEAD = np.where(_TIER == 0, np.arange(REST + 1), HEAD - 1 + _TIER)
+#: Ids that a batch has more often than this are summed each for itself.
+_FEW = 24
 
 
-def _exponentials(logits: np.ndarray) -> np.ndarray:
-    """Their sums along the last axis; ``logits`` become the exponentials, held below a bound that as a rule none comes near."""
+def _exponentials(logits: np.ndarray) -> None:
+    """``logits`` become their exponentials, held below a bound that as a rule none comes near."""
     if logits.max(initial=0) > HIGHEST:
         np.minimum(logits, HIGHEST, out=logits)
     np.exp(logits, out=logits)
-    return logits @ np.ones(logits.shape[-1], logits.dtype)
 
 
-def _attend(p: dict, windows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention of a batch of windows: the positions' outputs, and what training needs."""
-    q_ids = windows[:, CONTEXT:]
-    q, k, v = p["q"].take(q_ids, 0), p["k"].take(windows, 0), p["v"].take(windows, 0)
-    a = q @ k[:, :, :DIM].transpose(0, 2, 1)
-    a += (k[:, :, DIM] + np.where(windows == PAD, np.float32(-1e9), np.float32(0)))[:, None, :]
-    a += p["r"][_DISTANCE] + _CAUSAL
-    total = _exponentials(a)
-    a *= 1 / (total[..., None] + np.float32(1e-30))
-    h = a @ v
-    h += p["o"].take(q_ids, 0)
-    return h.reshape(-1, DIM), a, q, k, v, q_ids
+def _beside(table: np.ndarray, value: float) -> np.ndarray:
+    """The table with one more column of ``value``: a product with it gives sums or adds a bias on the way."""
+    out = np.full((len(table), table.shape[1] + 1), value, table.dtype)
+    out[:, :-1] = table
+    return out
+
+
+def _tables(p: dict) -> tuple[np.ndarray, ...]:
+    """Queries, keys, values and own vectors by id as attention multiplies them: a key's last number is its bias, a value's is one, so
+    that weights times values end in the weights' sum. Padding is never looked at."""
+    keys = p["k"].copy()
+    keys[PAD, DIM] = -1e9
+    return _beside(p["q"], 1), keys, _beside(p["v"], 1), _beside(p["o"], 0)
 
 
 def _scatter(n: int, ids: np.ndarray, grads: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``grads`` by id: frequent ids each for itself, the others together, first rows, then second rows and so on."""
     out = np.zeros((n, grads.shape[-1]), grads.dtype)
     ids, grads = ids.ravel(), grads.reshape(-1, grads.shape[-1])
-    order = np.argsort(ids, kind="stable")
-    rows, first = np.unique(ids[order], return_index=True)
-    out[rows] = np.add.reduceat(grads[order], first, axis=0)
+    order = np.argsort(ids.astype("i2"), kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    times, rows = np.diff(first, append=len(ids)), ids[order[first]]
+    for k in np.flatnonzero(times > _FEW).tolist():
+        np.add.reduce(grads.take(order[first[k] : first[k] + times[k]], 0), axis=0, out=out[rows[k]])
+    few = np.flatnonzero(times <= _FEW)
+    few = few[np.argsort(-times[few], kind="stable")]
+    at, more = first[few], len(few) - np.cumsum(np.bincount(times[few], minlength=1))  # more[k]: ids with more than k rows
+    total = grads.take(order[at], 0)
+    for k, m in enumerate(more[1:-1].tolist(), 1):
+        total[:m] += grads.take(order[at[:m] + k], 0)
+    out[rows[few]] = total
     return out
 
 
-def _tiers(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice, np.ndarray]]:
-    """(softmax number, positions that it takes part in, their targets there); ranks are not negative."""
-    yield 0, slice(None), np.where(ranks < HEAD, ranks, HEAD + np.searchsorted(_EDGES, ranks, "right") - 1)
-    for k, (a, b) in enumerate(zip(_EDGES, _EDGES[1:])):
-        own = np.flatnonzero((ranks >= a) & (ranks < b))
+def _tiers(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray | None, np.ndarray]]:
+    """(softmax number, positions that it takes part in, their targets there); ranks are not negative. None: all positions."""
+    yield 0, None, _IN_HEAD.take(ranks)
+    tier = _TIER.take(ranks)
+    for k, a in enumerate(_EDGES[:-1], 1):
+        own = np.flatnonzero(tier == k)
         if len(own):
-            yield k + 1, own, ranks[own] - a
+            yield k, own, ranks.take(own) - a
 
 
 def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss (nats) and its gradient; targets are ranks, and those below 0 do not count."""
-    h, a, q, k, v, q_ids = _attend(p, windows)
-    t = targets.ravel()
+    """Mean loss (nats) and its gradient; targets are ranks, and those below 0 do not count. Exponentials are never divided by
+    their sums: what they are multiplied by is, which is narrower."""
+    q_ids, t = windows[:, CONTEXT:], targets.ravel()
+    q_of, k_of, v_of, o_of = _tables(p)
+    q, k, v = q_of.take(q_ids, 0), k_of.take(windows, 0), v_of.take(windows, 0)
+    a = q @ k.transpose(0, 2, 1)
+    a += p["r"][_DISTANCE] + _CAUSAL
+    _exponentials(a)
+    mean = a @ v
+    scale = 1 / (mean[:, :, DIM:] + np.float32(1e-30))
+    mean *= scale
+    h = (mean + o_of.take(q_ids, 0)).reshape(-1, DIM + 1)  # its last column is one, for the bias
     use = t >= 0
-    n = max(1, int(use.sum()))
-    h = np.concatenate((h, np.ones((len(h), 1), h.dtype)), 1)
-    dh, loss = np.zeros_like(h), 0.0
-    g = {f"w{x}": np.zeros_like(p[f"w{x}"]) for x in range(len(TAILS) + 1)}
+    shares, loss = (use / np.float32(max(1, int(use.sum())))).astype(h.dtype), 0.0
+    flat = np.zeros(sum(x.size for x in p.values()), h.dtype)
+    g = unpack(flat)
     for tier, own, goal in _tiers(np.maximum(t, 0)):
         w = p[f"w{tier}"]
-        x = h[own]
-        d = x @ w
-        rows, counts = np.arange(len(goal)), (use[own] / np.float32(n)).astype(h.dtype)
+        x, share = (h, shares) if own is None else (h.take(own, 0), shares.take(own))
+        d, rows = x @ w, np.arange(len(goal))
         wanted = np.minimum(d[rows, goal], HIGHEST)
-        total = _exponentials(d)
-        loss += float((np.log(total) - wanted) @ counts)
-        d *= (counts / total)[:, None]
-        d[rows, goal] -= counts
-        g[f"w{tier}"] = x.T @ d
-        dh[own] += d @ w.T
-    dh = dh[:, :DIM].reshape(*q_ids.shape, DIM)
-    da = dh @ v.transpose(0, 2, 1)
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
-    ds = np.multiply(a, da, out=da)
+        _exponentials(d)
+        back = w.copy()
+        back[DIM] = 1
+        dx = d @ back.T
+        total = dx[:, DIM].copy()
+        loss += float((np.log(total) - wanted) @ share)
+        d[rows, goal] -= total
+        part = (share / total)[:, None]
+        g[f"w{tier}"][:] = (d.T @ (x * part)).T
+        dx *= part
+        dx[:, :DIM] -= share[:, None] * np.ascontiguousarray(w[:DIM].T).take(goal, 0)
+        if own is None:
+            dh = dx
+        else:
+            dh[own] += dx
+    dh = dh.reshape(mean.shape)
     # by position: what its k, bias of k, v, and (of scored positions) q and o are to move by
     at = np.zeros((*windows.shape, 4 * DIM + 1), dh.dtype)
-    at[:, :, :DIM], at[:, :, DIM], at[:, :, DIM + 1 : 2 * DIM + 1] = ds.transpose(0, 2, 1) @ q, ds.sum(1), a.transpose(0, 2, 1) @ dh
-    at[:, CONTEXT:, 2 * DIM + 1 : 3 * DIM + 1], at[:, CONTEXT:, 3 * DIM + 1 :] = ds @ k[:, :, :DIM], dh
-    g["k"], g["v"], g["q"], g["o"] = np.split(_scatter(INPUTS, windows, at), [DIM + 1, 2 * DIM + 1, 3 * DIM + 1], 1)
-    g["r"] = np.bincount(_DISTANCE.ravel(), (ds.sum(0) * (_CAUSAL == 0)).ravel(), _LEN).astype("f4")
-    return float(loss), np.concatenate([g[name].ravel() for name in shapes()])
+    at[:, CONTEXT:, 3 * DIM + 1 :] = dh[:, :, :DIM]
+    dh[:, :, DIM] = -np.einsum("bij,bij->bi", dh[:, :, :DIM], mean[:, :, :DIM])
+    dh *= scale
+    ds = dh @ v.transpose(0, 2, 1)
+    ds *= a
+    np.matmul(ds.transpose(0, 2, 1), q, out=at[:, :, : DIM + 1])
+    np.matmul(a.transpose(0, 2, 1), dh[:, :, :DIM], out=at[:, :, DIM + 1 : 2 * DIM + 1])
+    np.matmul(ds, k[:, :, :DIM], out=at[:, CONTEXT:, 2 * DIM + 1 : 3 * DIM + 1])
+    moved = np.split(_scatter(INPUTS, windows, at), [DIM + 1, 2 * DIM + 1, 3 * DIM + 1], 1)
+    for name, x in zip("kvqo", moved, strict=True):
+        g[name][:] = x
+    g["r"][:] = np.bincount(_DISTANCE.ravel(), (ds.sum(0) * (_CAUSAL == 0)).ravel(), _LEN)
+    return loss, flat
 
 
 def layout(ids: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,7 +249,7 @@ class Adam:
 
     def __init__(self, flat: np.ndarray, seed: int):
         self.flat, self.rng, self.step, self.blocks = flat.copy(), np.random.default_rng(seed), 0, 0
-        self.m, self.s = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.m, self.s, self.move = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat)
 
     def learn(self, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray) -> None:
         order = self.rng.permutation(len(starts))
@@ -222,15 +259,29 @@ class Adam:
             pick = order[k * BATCH : (k + 1) * BATCH]
             _, g = gradient(unpack(self.flat), inputs.take(starts[pick][:, None] + span), targets[pick])
             self.step += 1
-            self.m += np.float32(0.1) * (g - self.m)
-            self.s += np.float32(0.01) * (g * g - self.s)
             rate = RATE / np.sqrt(self.blocks) * (1 - 0.9 * k / steps) * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-            self.flat -= np.float32(rate) * self.m / (np.sqrt(self.s) + np.float32(1e-8))
-
-
-def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray, size: int = 64) -> np.ndarray:
+            self._move(g, np.float32(rate))
+
+    def _move(self, g: np.ndarray, rate: np.float32) -> None:
+        """One step, in place; ``g`` is used up."""
+        m, s, move = self.m, self.s, self.move
+        np.multiply(g, g, out=move)
+        move -= s
+        move *= np.float32(0.01)
+        s += move
+        g -= m
+        g *= np.float32(0.1)
+        m += g
+        np.sqrt(s, out=move)
+        move += np.float32(1e-8)
+        np.divide(m, move, out=move)
+        move *= rate
+        self.flat -= move
+
+
+def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray, size: int = 128) -> np.ndarray:
     """log10 probability of each window position's rank; targets (windows, STRIDE), below 0 for no position. The
-    buffers of a batch of ``size`` windows are used again and again, and are small enough for a core's cache."""
+    buffers of a batch of ``size`` windows are used again and again; the scores do not depend on it."""
     p, out = unpack(flat), np.empty(targets.shape, "f4")
     # attention mixes rows of v, so these are bounds for any text: as a rule no maximum need be taken off before exp
     scores = p["q"] @ p["k"][:, :DIM].T + p["k"][:, DIM]
@@ -241,13 +292,10 @@ def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, target
         high, low = max(high, (ahead.max(0) + mixing.max(0) + w[DIM]).max()), min(low, (ahead.min(0) + mixing.min(0) + w[DIM]).max())
     safe = high < 80 and low > -80
     bias = (p["r"][_DISTANCE] + _CAUSAL).astype("f4")
-    keys = p["k"].copy()
-    keys[PAD, DIM] = -1e9
-    queries = np.concatenate((p["q"], np.ones((INPUTS, 1), "f4")), 1)
+    queries, keys, values, own_vectors = _tables(p)
     span, n = np.arange(_LEN), size * STRIDE
     rows = np.arange(n)
-    weights, mixed = np.empty((size, STRIDE, _LEN), "f4"), np.empty((size, STRIDE, DIM), "f4")
-    h, total = np.ones((n, DIM + 1), "f4"), np.ones(_LEN, "f4")
+    weights, mixed = np.empty((size, STRIDE, _LEN), "f4"), np.empty((size, STRIDE, DIM + 1), "f4")
     logits, ones = [np.empty((n, w.shape[1]), "f4") for w in last], [np.ones(w.shape[1], "f4") for w in last]
     for lo in range(0, len(starts), size):
         windows = inputs.take(starts[lo : lo + size][:, None] + span)
@@ -258,18 +306,21 @@ def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, target
         if not safe:
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        m = np.matmul(a, p["v"].take(windows, 0), out=mixed[:k])
-        m /= (a @ total + np.float32(1e-30))[:, :, None]
-        m += p["o"].take(q_ids, 0)
-        h[: len(t), :DIM] = m.reshape(-1, DIM)
-        found = np.zeros(len(t), "f4")
+        m = np.matmul(a, values.take(windows, 0), out=mixed[:k])
+        m *= 1 / (m[:, :, DIM:] + np.float32(1e-30))
+        m += own_vectors.take(q_ids, 0)
+        h, found = m.reshape(-1, DIM + 1), np.zeros(len(t), "f4")
         for tier, own, goal in _tiers(t):
-            g = np.matmul(h[: len(t)][own], last[tier], out=logits[tier][: len(goal)])
+            g = np.matmul(h if own is None else h.take(own, 0), last[tier], out=logits[tier][: len(goal)])
             if not safe:
                 g -= g.max(1, keepdims=True)
             wanted = g[rows[: len(goal)], goal]
             np.exp(g, out=g)
-            found[own] += wanted - np.log(g @ ones[tier])
+            wanted -= np.log(g @ ones[tier])
+            if own is None:
+                found += wanted
+            else:
+                found[own] += wanted
         out[lo : lo + size] = found.reshape(-1, STRIDE) * np.float32(1 / np.log(10))
     return out
 

@@ -5,6 +5,7 @@ import functools
 import hashlib
 import os
 import re
+import timeit
 import zlib
 from collections import Counter, defaultdict
 
@@ -568,6 +569,48 @@ def test_lm_gradient_and_windows():
     assert (10 ** one.astype("f8")).sum(0) == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_sums_gradients_by_id():
+    """Frequent, rare and single ids, against plain addition; and clearly faster than one reduceat over the sorted rows, as it was done before."""
+    rng = np.random.default_rng(3)
+    skewed = np.minimum(rng.zipf(1.3, 4096), 1000).astype("i4")
+    for ids in (skewed, np.full(4096, 7, "i4"), np.arange(900, dtype="i4"), np.repeat(np.arange(100, dtype="i4"), lm_score._FEW), np.zeros(1, "i4")):
+        grads = rng.normal(size=(len(ids), 129)).astype("f4")
+        want = np.zeros((lm_score.INPUTS, 129))
+        np.add.at(want, ids, grads)
+        assert lm_score._scatter(lm_score.INPUTS, ids, grads) == pytest.approx(want, abs=1e-3)
+    ids, grads = np.minimum(rng.exponential(100, 4096), 1000).astype("i4"), rng.normal(size=(4096, 129)).astype("f4")
+
+    def plain():
+        order = np.argsort(ids, kind="stable")
+        rows, first = np.unique(ids[order], return_index=True)
+        out = np.zeros((lm_score.INPUTS, 129), "f4")
+        out[rows] = np.add.reduceat(grads[order], first, axis=0)
+
+    best = lambda run: min(timeit.repeat(run, number=1, repeat=40))
+    assert best(lambda: lm_score._scatter(lm_score.INPUTS, ids, grads)) < 0.8 * best(plain)
+
+
+def test_lm_steps():
+    """A learner's weights after some steps are those of Adam's formulas."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 90, 60)
+    ids = rng.integers(0, 900, int(lengths.sum())).astype("i4")
+    inputs, starts, _, targets = lm_score._windows(ids, lengths, (2 + np.arange(900)).astype("i4"), np.arange(900, dtype="i4"))
+    flat = lm_score.start_weights([np.zeros(n, "f4") for n in (lm_score.WIDTH, *lm_score.TAILS)])
+    learner = lm_score.Adam(flat, 1)
+    order, steps = np.random.default_rng(1).permutation(len(starts)), -(-len(starts) // lm_score.BATCH)
+    m, s = np.zeros_like(flat), np.zeros_like(flat)
+    learner.learn(inputs, starts, targets)
+    assert steps > 1
+    for k in range(steps):
+        pick = order[k * lm_score.BATCH : (k + 1) * lm_score.BATCH]
+        _, g = lm_score.gradient(lm_score.unpack(flat), inputs[starts[pick][:, None] + np.arange(lm_score._LEN)], targets[pick])
+        m, s = m + 0.1 * (g - m), s + 0.01 * (g * g - s)
+        rate = lm_score.RATE * (1 - 0.9 * k / steps) * (1 - 0.99 ** (k + 1)) ** 0.5 / (1 - 0.9 ** (k + 1))
+        flat = flat - rate * m / (np.sqrt(s) + 1e-8)
+    assert learner.flat == pytest.approx(flat, abs=1e-5)
+
+
 def test_lm_beats_the_base(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(["ka", "to", "mi", "ru", "se"], 3)) for _ in range(50)]
