@@ -85,8 +85,12 @@ class Ids:
         self.bias = [np.log(x / x.sum()).astype("f4") for x in (head, *parts)]
 
 
+#: Where an id's row has its key with the key's bias, its value, query and own vector.
+_ROW = {"k": slice(0, DIM + 1), "v": slice(DIM + 1, 2 * DIM + 1), "q": slice(2 * DIM + 1, 3 * DIM + 1), "o": slice(3 * DIM + 1, 4 * DIM + 1)}
+
+
 def shapes() -> dict[str, tuple[int, ...]]:
-    out = {"q": (INPUTS, DIM), "k": (INPUTS, DIM + 1), "v": (INPUTS, DIM), "o": (INPUTS, DIM), "r": (_LEN,)}
+    out = {"ids": (INPUTS, 4 * DIM + 1), "r": (_LEN,)}
     return out | {f"w{k}": (DIM + 1, n) for k, n in enumerate((WIDTH, *TAILS))}  # the last row is the bias
 
 
@@ -96,13 +100,15 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
-    return out
+    return out | {name: out["ids"][:, own] for name, own in _ROW.items()}
 
 
 def start_weights(bias: list[np.ndarray]) -> np.ndarray:
     rng = np.random.default_rng(7)
-    flat = rng.normal(0, 0.1, sum(int(np.prod(s)) for s in shapes().values())).astype("f4")
+    flat = np.empty(sum(int(np.prod(s)) for s in shapes().values()), "f4")
     p = unpack(flat)
+    for name in ("q", "k", "v", "o", *list(shapes())[1:]):
+        p[name][:] = rng.normal(0, 0.1, p[name].shape)
     p["k"][:, DIM], p["r"][:] = 0, 0
     for k, b in enumerate(bias):
         p[f"w{k}"][DIM] = b
@@ -116,7 +122,9 @@ _CAUSAL = np.where(_KEY <= _QUERY, 0, -1e9).astype("f4")
 _TIER = np.repeat(np.arange(len(TAILS) + 2, dtype="i1"), [HEAD, *TAILS, 1])
 _IN_HEAD = np.where(_TIER == 0, np.arange(REST + 1), HEAD - 1 + _TIER)
 #: Ids that a batch has more often than this are summed each for itself.
-_FEW = 24
+_FEW = 48
+#: Rows of a product of matrices that are multiplied at a time: by this many numbers of their product, small products being the faster ones.
+_NUMBERS = 20_000
 
 
 def _exponentials(logits: np.ndarray) -> None:
@@ -141,15 +149,16 @@ def _tables(p: dict) -> tuple[np.ndarray, ...]:
     return _beside(p["q"], 1), keys, _beside(p["v"], 1), _beside(p["o"], 0)
 
 
-def _scatter(n: int, ids: np.ndarray, grads: np.ndarray) -> np.ndarray:
-    """Sums of the rows of ``grads`` by id: frequent ids each for itself, the others together, first rows, then second rows and so on."""
-    out = np.zeros((n, grads.shape[-1]), grads.dtype)
+def _scatter(n: int, ids: np.ndarray, grads: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows of ``grads`` by id (in ``out``, if given, which is zero): frequent ids each for itself, the others together, first rows, then second rows and so on."""
+    out = np.zeros((n, grads.shape[-1]), grads.dtype) if out is None else out
     ids, grads = ids.ravel(), grads.reshape(-1, grads.shape[-1])
     order = np.argsort(ids.astype("i2"), kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
     times, rows = np.diff(first, append=len(ids)), ids[order[first]]
+    ones = np.ones(int(times.max(initial=0)), grads.dtype)
     for k in np.flatnonzero(times > _FEW).tolist():
-        np.add.reduce(grads.take(order[first[k] : first[k] + times[k]], 0), axis=0, out=out[rows[k]])
+        np.dot(ones[: times[k]], grads.take(order[first[k] : first[k] + times[k]], 0), out=out[rows[k]])
     few = np.flatnonzero(times <= _FEW)
     few = few[np.argsort(-times[few], kind="stable")]
     at, more = first[few], len(few) - np.cumsum(np.bincount(times[few], minlength=1))  # more[k]: ids with more than k rows
@@ -170,13 +179,43 @@ def _tiers(ranks: np.ndarray) -> Iterator[tuple[int, np.ndarray | None, np.ndarr
             yield k, own, ranks.take(own) - a
 
 
-def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss (nats) and its gradient; targets are ranks, and those below 0 do not count. Exponentials are never divided by
-    their sums: what they are multiplied by is, which is narrower."""
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each window's matrix transposed, as a copy: products with it are that much faster."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def _cut(n: int, width: int) -> tuple[int, int]:
+    """Rows at a time, and how many of n rows are multiplied so; the others follow by themselves."""
+    size = min(max(1, _NUMBERS // width), max(1, n))
+    return size, n - n % size
+
+
+def _product(x: np.ndarray, w: np.ndarray, width: int, out: np.ndarray | None = None) -> np.ndarray:
+    """x @ w, by some rows of x at a time; ``width``: the wider of what comes in and goes out."""
+    size, n = _cut(len(x), width)
+    out = np.empty((len(x), w.shape[1]), x.dtype) if out is None else out
+    np.matmul(x[:n].reshape(-1, size, x.shape[1]), w, out=out[:n].reshape(-1, size, w.shape[1]))
+    if n < len(x):
+        np.matmul(x[n:], w, out=out[n:])
+    return out
+
+
+def _sums(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """x.T @ d, in the same way."""
+    size, n = _cut(len(x), d.shape[1])
+    out = np.matmul(x[:n].reshape(-1, size, x.shape[1]).transpose(0, 2, 1), d[:n].reshape(-1, size, d.shape[1])).sum(0)
+    if n < len(x):
+        out += x[n:].T @ d[n:]
+    return out
+
+
+def gradient(p: dict, windows: np.ndarray, targets: np.ndarray, told: bool = True) -> tuple[float, np.ndarray]:
+    """Mean loss (nats; 0 unless ``told``) and its gradient; targets are ranks, and those below 0 do not count. Exponentials are never
+    divided by their sums: what they are multiplied by is, which is narrower."""
     q_ids, t = windows[:, CONTEXT:], targets.ravel()
     q_of, k_of, v_of, o_of = _tables(p)
     q, k, v = q_of.take(q_ids, 0), k_of.take(windows, 0), v_of.take(windows, 0)
-    a = q @ k.transpose(0, 2, 1)
+    a = q @ _turned(k)
     a += p["r"][_DISTANCE] + _CAUSAL
     _exponentials(a)
     mean = a @ v
@@ -185,42 +224,42 @@ def gradient(p: dict, windows: np.ndarray, targets: np.ndarray) -> tuple[float,
     h = (mean + o_of.take(q_ids, 0)).reshape(-1, DIM + 1)  # its last column is one, for the bias
     use = t >= 0
     shares, loss = (use / np.float32(max(1, int(use.sum())))).astype(h.dtype), 0.0
-    flat = np.zeros(sum(x.size for x in p.values()), h.dtype)
+    flat = np.zeros(sum(p[name].size for name in shapes()), h.dtype)
     g = unpack(flat)
     for tier, own, goal in _tiers(np.maximum(t, 0)):
         w = p[f"w{tier}"]
         x, share = (h, shares) if own is None else (h.take(own, 0), shares.take(own))
-        d, rows = x @ w, np.arange(len(goal))
-        wanted = np.minimum(d[rows, goal], HIGHEST)
+        width = w.shape[1]
+        d, wanted = _product(x, w, width), np.arange(0, len(goal) * width, width) + goal
+        numbers = d.reshape(-1)
+        right = np.minimum(numbers.take(wanted), HIGHEST) if told else 0
         _exponentials(d)
-        back = w.copy()
-        back[DIM] = 1
-        dx = d @ back.T
-        total = dx[:, DIM].copy()
-        loss += float((np.log(total) - wanted) @ share)
-        d[rows, goal] -= total
+        total = d @ np.ones(width, d.dtype)
+        if told:
+            loss += float((np.log(total) - right) @ share)
+        numbers[wanted] -= total
         part = (share / total)[:, None]
-        g[f"w{tier}"][:] = (d.T @ (x * part)).T
+        g[f"w{tier}"][:] = _sums(x * part, d)
+        dx = _product(d, np.ascontiguousarray(w[:DIM].T), width)
         dx *= part
-        dx[:, :DIM] -= share[:, None] * np.ascontiguousarray(w[:DIM].T).take(goal, 0)
         if own is None:
             dh = dx
         else:
             dh[own] += dx
-    dh = dh.reshape(mean.shape)
+    dh, inner = dh.reshape(*mean.shape[:2], DIM), np.empty_like(mean)
     # by position: what its k, bias of k, v, and (of scored positions) q and o are to move by
-    at = np.zeros((*windows.shape, 4 * DIM + 1), dh.dtype)
-    at[:, CONTEXT:, 3 * DIM + 1 :] = dh[:, :, :DIM]
-    dh[:, :, DIM] = -np.einsum("bij,bij->bi", dh[:, :, :DIM], mean[:, :, :DIM])
-    dh *= scale
-    ds = dh @ v.transpose(0, 2, 1)
+    at = np.empty((*windows.shape, 4 * DIM + 1), dh.dtype)
+    at[:, :CONTEXT, 2 * DIM + 1 :] = 0
+    at[:, CONTEXT:, _ROW["o"]] = dh
+    inner[:, :, DIM] = -np.einsum("bij,bij->bi", dh, mean[:, :, :DIM])
+    inner[:, :, :DIM] = dh
+    inner *= scale
+    ds = inner @ _turned(v)
     ds *= a
-    np.matmul(ds.transpose(0, 2, 1), q, out=at[:, :, : DIM + 1])
-    np.matmul(a.transpose(0, 2, 1), dh[:, :, :DIM], out=at[:, :, DIM + 1 : 2 * DIM + 1])
-    np.matmul(ds, k[:, :, :DIM], out=at[:, CONTEXT:, 2 * DIM + 1 : 3 * DIM + 1])
-    moved = np.split(_scatter(INPUTS, windows, at), [DIM + 1, 2 * DIM + 1, 3 * DIM + 1], 1)
-    for name, x in zip("kvqo", moved, strict=True):
-        g[name][:] = x
+    np.matmul(ds.transpose(0, 2, 1), q, out=at[:, :, _ROW["k"]])
+    np.matmul(a.transpose(0, 2, 1), inner[:, :, :DIM], out=at[:, :, _ROW["v"]])
+    np.matmul(ds, k[:, :, :DIM], out=at[:, CONTEXT:, _ROW["q"]])
+    _scatter(INPUTS, windows, at, g["ids"])
     g["r"][:] = np.bincount(_DISTANCE.ravel(), (ds.sum(0) * (_CAUSAL == 0)).ravel(), _LEN)
     return loss, flat
 
@@ -257,23 +296,21 @@ class Adam:
         self.blocks += 1
         for k in range(steps):
             pick = order[k * BATCH : (k + 1) * BATCH]
-            _, g = gradient(unpack(self.flat), inputs.take(starts[pick][:, None] + span), targets[pick])
+            _, g = gradient(unpack(self.flat), inputs.take(starts[pick][:, None] + span), targets[pick], told=False)
             self.step += 1
             rate = RATE / np.sqrt(self.blocks) * (1 - 0.9 * k / steps) * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
             self._move(g, np.float32(rate))
 
     def _move(self, g: np.ndarray, rate: np.float32) -> None:
-        """One step, in place; ``g`` is used up."""
+        """One step, in place; ``g`` is used up. ``m`` is ten times the gradients' mean, ``s`` a hundred times that of their squares."""
         m, s, move = self.m, self.s, self.move
-        np.multiply(g, g, out=move)
-        move -= s
-        move *= np.float32(0.01)
-        s += move
-        g -= m
-        g *= np.float32(0.1)
+        m *= np.float32(0.9)
         m += g
+        g *= g
+        s *= np.float32(0.99)
+        s += g
         np.sqrt(s, out=move)
-        move += np.float32(1e-8)
+        move += np.float32(1e-7)
         np.divide(m, move, out=move)
         move *= rate
         self.flat -= move
@@ -294,14 +331,13 @@ def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, target
     bias = (p["r"][_DISTANCE] + _CAUSAL).astype("f4")
     queries, keys, values, own_vectors = _tables(p)
     span, n = np.arange(_LEN), size * STRIDE
-    rows = np.arange(n)
     weights, mixed = np.empty((size, STRIDE, _LEN), "f4"), np.empty((size, STRIDE, DIM + 1), "f4")
     logits, ones = [np.empty((n, w.shape[1]), "f4") for w in last], [np.ones(w.shape[1], "f4") for w in last]
     for lo in range(0, len(starts), size):
         windows = inputs.take(starts[lo : lo + size][:, None] + span)
         q_ids, t = windows[:, CONTEXT:], np.maximum(targets[lo : lo + size], 0).ravel()
         k = len(windows)
-        a = np.matmul(queries.take(q_ids, 0), keys.take(windows, 0).transpose(0, 2, 1), out=weights[:k])
+        a = np.matmul(queries.take(q_ids, 0), _turned(keys.take(windows, 0)), out=weights[:k])
         a += bias
         if not safe:
             a -= a.max(-1, keepdims=True)
@@ -311,10 +347,11 @@ def score_ranks(flat: np.ndarray, inputs: np.ndarray, starts: np.ndarray, target
         m += own_vectors.take(q_ids, 0)
         h, found = m.reshape(-1, DIM + 1), np.zeros(len(t), "f4")
         for tier, own, goal in _tiers(t):
-            g = np.matmul(h if own is None else h.take(own, 0), last[tier], out=logits[tier][: len(goal)])
+            width = len(ones[tier])
+            g = _product(h if own is None else h.take(own, 0), last[tier], width, logits[tier][: len(goal)])
             if not safe:
                 g -= g.max(1, keepdims=True)
-            wanted = g[rows[: len(goal)], goal]
+            wanted = g.reshape(-1).take(np.arange(0, len(goal) * width, width) + goal)
             np.exp(g, out=g)
             wanted -= np.log(g @ ones[tier])
             if own is None:

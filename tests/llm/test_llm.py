@@ -5,6 +5,8 @@ import functools
 import hashlib
 import os
 import re
+import subprocess
+import sys
 import timeit
 import zlib
 from collections import Counter, defaultdict
@@ -590,6 +592,37 @@ def test_lm_sums_gradients_by_id():
     assert best(lambda: lm_score._scatter(lm_score.INPUTS, ids, grads)) < 0.8 * best(plain)
 
 
+def test_lm_multiplies_by_pieces():
+    """Products by some rows at a time are the whole ones, clearly faster where a softmax's gradients are summed; and learning, which leaves the
+    loss out, moves weights by the same gradient. Start weights are drawn as they were before ids had one row each."""
+    rng = np.random.default_rng(6)
+    for n, width in ((3072, lm_score.WIDTH), (797, 128), (335, 320), (1, 512), (40, 512), (0, 128)):
+        x, w = rng.normal(size=(n, lm_score.DIM + 1)).astype("f4"), rng.normal(size=(lm_score.DIM + 1, width)).astype("f4")
+        d = lm_score._product(x, w, width)
+        assert d == pytest.approx(x @ w, abs=1e-3)
+        assert lm_score._product(d, np.ascontiguousarray(w.T), width) == pytest.approx(d @ w.T, abs=5e-2)
+        assert lm_score._sums(x, d) == pytest.approx(x.T @ d, abs=5e-2)
+    # one thread, as in a task
+    code = """
+import timeit, numpy as np
+from cairn.llm import lm_score
+x, d = (np.random.default_rng(6).normal(size=(3072, k)).astype("f4") for k in (lm_score.DIM + 1, lm_score.WIDTH))
+print(*(min(timeit.repeat(run, number=1, repeat=200)) for run in (lambda: lm_score._sums(x, d), lambda: x.T @ d)))
+"""
+    env = os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(sys.path)}
+    pieces, whole = map(float, subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.split())
+    assert pieces < 0.9 * whole
+
+    p = lm_score.unpack(lm_score.start_weights([np.zeros(n, "f4") for n in (lm_score.WIDTH, *lm_score.TAILS)]))
+    drawn = np.random.default_rng(7).normal(0, 0.1, 4 * lm_score.INPUTS * lm_score.DIM + lm_score.INPUTS).astype("f4")
+    q, k, v, o = (x.reshape(lm_score.INPUTS, -1) for x in np.split(drawn, np.cumsum([lm_score.INPUTS * (lm_score.DIM + (i == 1)) for i in range(3)])))
+    assert (p["q"] == q).all() and (p["k"][:, :-1] == k[:, :-1]).all() and (p["v"] == v).all() and (p["o"] == o).all()
+    windows = rng.integers(1, lm_score.INPUTS, (50, lm_score._LEN)).astype("i4")
+    targets = rng.integers(-1, lm_score.REST + 1, (50, lm_score.STRIDE)).astype("i4")
+    loss, g = lm_score.gradient(p, windows, targets)
+    assert loss > 0 and (lm_score.gradient(p, windows, targets, told=False)[1] == g).all()
+
+
 def test_lm_steps():
     """A learner's weights after some steps are those of Adam's formulas."""
     rng = np.random.default_rng(4)
