@@ -249,9 +249,10 @@ def chunk_header(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def _bodies(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``symbols`` with their lines. A file's spans travel to the file, which is cut where it lies."""
+    """``symbols`` with their lines. A file's spans meet the file in sorted partitions: texts that are made within a plan are counted there as a few bytes
+    each, by which all of them would be broadcast through the driver."""
     spans = symbols.groupBy("path").agg(F.collect_list(F.struct("name", "symbol_type", "start_line", "end_line")).alias("spans"))
-    cut = files.join(spans, "path").select("path", F.split("content", "\r?\n", -1).alias("whole"), F.explode("spans").alias("s"))
+    cut = files.join(spans.hint("merge"), "path").select("path", F.split("content", "\r?\n", -1).alias("whole"), F.explode("spans").alias("s"))
     return cut.select("path", "s.*", F.slice("whole", F.col("s.start_line"), F.col("s.end_line") - F.col("s.start_line") + 1).alias("lines"))
 
 
@@ -309,7 +310,8 @@ def _logical_blocks(lines: list[str], least: int) -> list[list[str]] | None:
 def chunk_split_ast(files: DataFrame, symbols: DataFrame, most: int = 200, piece: int = 150, least: int = 40) -> DataFrame:
     """Chunks of Python functions and classes of more than ``most`` lines, cut at their statements; where they do not parse,
     in pieces of ``piece`` lines. Only the definitions' own lines reach Python."""
-    long = symbols.filter((F.col("end_line") - F.col("start_line") >= most) & F.col("symbol_type").isin("function", "class") & F.endswith("path", F.lit(".py")))
+    python = F.endswith("path", F.lit(".py"))
+    long = symbols.filter((F.col("end_line") - F.col("start_line") >= most) & F.col("symbol_type").isin("function", "class") & python)
     bodies = _bodies(files, long).select("path", "name", "symbol_type", "start_line", "end_line", "lines")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

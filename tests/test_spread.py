@@ -3,6 +3,7 @@
 import ast
 
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.operators import braces, parse, search, workspace
 from cairn.plans import code, service
@@ -85,3 +86,11 @@ def test_symbols_alone_are_those_of_a_whole_reading(spark, path, language):
     files = spark.createDataFrame([(f"f{k}", x, language) for k, x in enumerate(sources)], "path string, content string, language string")
     want = workspace.read_files(files).filter("kind not in ('import', 'call')")
     assert sorted(map(tuple, workspace.read_files(files, references=False).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("chunk", [parse.chunk_symbol])
+def test_texts_made_within_a_plan_are_not_broadcast(spark, tmp_path, chunk):
+    spark.range(2000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    rows = spark.range(3_000_000).select(F.concat(F.lit("p"), "id", F.lit("/app.py")).alias("path"), F.lit("f").alias("name"), F.lit("function").alias("symbol_type"), F.lit(1).alias("start_line"), F.lit(300).alias("end_line"))
+    plan = chunk(code._files(spark, str(tmp_path)), rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
