@@ -312,7 +312,7 @@ def chunk_split_ast(files: DataFrame, symbols: DataFrame, most: int = 200, piece
     in pieces of ``piece`` lines. Only the definitions' own lines reach Python."""
     python = F.endswith("path", F.lit(".py"))
     long = symbols.filter((F.col("end_line") - F.col("start_line") >= most) & F.col("symbol_type").isin("function", "class") & python)
-    bodies = _bodies(files, long).select("path", "name", "symbol_type", "start_line", "end_line", "lines")
+    bodies = _bodies(files.filter(python), long).select("path", "name", "symbol_type", "start_line", "end_line", "lines")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -88,7 +88,7 @@ def test_symbols_alone_are_those_of_a_whole_reading(spark, path, language):
     assert sorted(map(tuple, workspace.read_files(files, references=False).collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("chunk", [parse.chunk_symbol])
+@pytest.mark.parametrize("chunk", [parse.chunk_symbol, parse.chunk_split_ast])
 def test_texts_made_within_a_plan_are_not_broadcast(spark, tmp_path, chunk):
     spark.range(2000).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
     rows = spark.range(3_000_000).select(F.concat(F.lit("p"), "id", F.lit("/app.py")).alias("path"), F.lit("f").alias("name"), F.lit("function").alias("symbol_type"), F.lit(1).alias("start_line"), F.lit(300).alias("end_line"))
