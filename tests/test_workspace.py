@@ -190,3 +190,14 @@ def test_enclosing_symbol(spark):
     hot = spark.range(100_000).selectExpr("'h' AS file", "id AS start_line", "200000 - id AS end_line", "id AS ord", "concat('s', id) AS name")
     lines = spark.range(100_000).selectExpr("'h' AS file", "id * 2 AS line")
     assert graph.enclosing_symbol(lines, hot).groupBy("symbol").count().collect() == [("s0", 100_000)]
+
+
+def test_modules_are_read_once_and_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "REFERENCES", 400, raising=False)
+    files = spark.range(2000).select(F.format_string("a%d.py", "id").alias("path"), F.format_string("import a%d, b%d", F.col("id") + 1, "id").alias("content"), F.lit("python").alias("language"))
+    modules = workspace.read_imports(files).select(F.lit("python").alias("language"), "module")
+    got = graph.resolve_import(modules, files.select(F.col("path").alias("file_path")))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+    assert got.rdd.getNumPartitions() == 40
+    want = {f"a{k + 1}": f"a{k + 1}.py" if k < 1999 else None for k in range(2000)} | {f"b{k}": None for k in range(2000)}
+    assert {r.module: r.target for r in got.collect()} == want
