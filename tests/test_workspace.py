@@ -201,3 +201,14 @@ def test_modules_are_read_once_and_dealt_by_their_number(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == 40
     want = {f"a{k + 1}": f"a{k + 1}.py" if k < 1999 else None for k in range(2000)} | {f"b{k}": None for k in range(2000)}
     assert {r.module: r.target for r in got.collect()} == want
+
+
+def test_edges_are_dealt_by_the_number_of_references(spark, monkeypatch):
+    monkeypatch.setattr(graph, "REFERENCES", 100, raising=False)
+    refs = spark.range(3000).select(F.format_string("a%d.py", F.col("id") % 50).alias("path"), F.col("id").cast("int").alias("ord"), F.lit("call").alias("kind"), F.format_string("t%d", "id").alias("target"), F.when(F.col("id") > 0, (F.col("id") % 5).cast("int")).alias("line"))
+    spans = spark.createDataFrame([(f"a{k}.py", 0, "f", 2, 3) for k in range(50)], "path string, ord int, name string, start_line int, end_line int")
+    got = graph.build_edges(refs, spans, spans.select(F.col("path").alias("file_path")))
+    assert max(got.rdd.glom().map(len).collect()) < 200
+    held = lambda k: k and k % 5 in (2, 3)
+    want = sorted((f"a{k % 50}.py" + "::f" * bool(held(k)), f"t{k}", "call", "symbol" if held(k) else "file", k % 5 if k else None, f"t{k}") for k in range(3000))
+    assert sorted(map(tuple, got.collect())) == want
