@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import braces, parse, search, workspace
 from cairn.plans import code, service
+from cairn.sources import scratch
 from cairn.sources.scratch import spread
 
 
@@ -94,3 +95,11 @@ def test_texts_made_within_a_plan_are_not_broadcast(spark, tmp_path, chunk):
     rows = spark.range(3_000_000).select(F.concat(F.lit("p"), "id", F.lit("/app.py")).alias("path"), F.lit("f").alias("name"), F.lit("function").alias("symbol_type"), F.lit(1).alias("start_line"), F.lit(300).alias("end_line"))
     plan = chunk(code._files(spark, str(tmp_path)), rows)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_files_of_orders_are_dealt_by_the_number_of_items(spark, tmp_path, monkeypatch):
+    spark.range(9000).selectExpr("id div 3 AS l_orderkey", "id AS l_partkey", "cast(id % 3 AS int) AS l_linenumber").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(2).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(service, "spread_by", lambda df, key: scratch.spread_by(df, key, 300), raising=False)
+    held = [n for n in service._workspace(spark, str(tmp_path)).rdd.glom().map(len).collect() if n]
+    assert sum(held) == 3001 and max(held) < 300
